@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carecheck import rule_values as rv
@@ -14,25 +17,32 @@ WGS84_FLATTENING = 1 / 298.257223563
 CELL_COARSE, CELL_FINE = 25, 200
 
 
-def _hav(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Half the chord squared between two points given in radians."""
-    half_lat = F.sin((lat2 - lat1) / 2)
-    half_lon = F.sin((lon2 - lon1) / 2)
-    h = half_lat * half_lat + F.cos(lat1) * F.cos(lat2) * half_lon * half_lon
-    return F.least(h, F.lit(1.0))
+def central_angle(b1: Column, l1: Column, b2: Column, l2: Column) -> Column:
+    """Angle between two points whose latitudes and longitudes are in radians."""
+    half_lat = F.sin((b2 - b1) / 2)
+    half_lon = F.sin((l2 - l1) / 2)
+    h = half_lat * half_lat + F.cos(b1) * F.cos(b2) * half_lon * half_lon
+    return F.lit(2.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A distance in two steps, so that each point is prepared once however many pairs it joins.
+
+    ``latitude`` turns degrees into the radians the angle is taken between; ``km`` turns
+    both latitudes and the angle into kilometres.
+    """
 
+    latitude: Callable[[Column], Column]
+    km: Callable[[Column, Column, Column], Column]
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    h = _hav(F.radians(lat1), F.radians(lon1), F.radians(lat2), F.radians(lon2))
-    return F.lit(2 * rv.EARTH_RADIUS_KM) * F.asin(F.sqrt(h))
 
+def _reduced(lat: Column) -> Column:
+    return F.atan(F.lit(1 - WGS84_FLATTENING) * F.tan(F.radians(lat)))
 
-def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Distance on WGS-84 by Lambert's closed formula."""
+
+def _lambert(b1: Column, b2: Column, sigma: Column) -> Column:
     f = WGS84_FLATTENING
-    b1 = F.atan(F.lit(1 - f) * F.tan(F.radians(lat1)))
-    b2 = F.atan(F.lit(1 - f) * F.tan(F.radians(lat2)))
-    sigma = F.lit(2.0) * F.asin(F.sqrt(_hav(b1, F.radians(lon1), b2, F.radians(lon2))))
     p, q = (b1 + b2) / 2, (b2 - b1) / 2
     sin_p, cos_p, sin_q, cos_q = F.sin(p), F.cos(p), F.sin(q), F.cos(q)
     sin_half, cos_half = F.sin(sigma / 2), F.cos(sigma / 2)
@@ -42,6 +52,26 @@ def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.when(sigma == 0, F.lit(0.0)).otherwise(distance)
 
 
+# On the sphere, and on WGS-84 by Lambert's closed formula.
+SPHERE = Metric(F.radians, lambda b1, b2, sigma: F.lit(rv.EARTH_RADIUS_KM) * sigma)
+ELLIPSOID = Metric(_reduced, _lambert)
+
+
+def distance_km(metric: Metric, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    b1, b2 = metric.latitude(lat1), metric.latitude(lat2)
+    return metric.km(b1, b2, central_angle(b1, F.radians(lon1), b2, F.radians(lon2)))
+
+
+def within(df: DataFrame, km: str, limit: str) -> DataFrame:
+    """Rows whose column ``km`` is at most the column ``limit``.
+
+    Written as an outer explode of zero or one value: a plain filter would be pushed into
+    the join below, where the distance would be spelled out, and computed, once more.
+    """
+    kept = df.withColumn("_kept", F.expr(f"explode_outer(filter(array({km}), d -> d <= {limit}))"))
+    return kept.where(F.col("_kept").isNotNull()).drop("_kept")
+
+
 def cell_index(degrees: Column, offset: int, per_degree: Column | int) -> Column:
     return F.floor((degrees + F.lit(float(offset))) * per_degree).cast("bigint")
 
@@ -61,12 +91,6 @@ def wkt_point(lat: Column, lon: Column) -> Column:
     return F.when(lat.isNotNull() & lon.isNotNull(), text)
 
 
-def in_country(lat: Column, lon: Column) -> Column:
-    return lat.between(rv.COUNTRY_MIN_LAT, rv.COUNTRY_MAX_LAT) & lon.between(
-        rv.COUNTRY_MIN_LON, rv.COUNTRY_MAX_LON
-    )
-
-
 def in_box(lat: Column, lon: Column) -> Column:
     """Inside the box columns of the row, bounds included."""
     return lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(

@@ -1,202 +1,170 @@
-"""The eight contradiction rules and the trust score as native columns.
+"""The eight contradiction rules and the trust score as native expressions.
 
-Each rule is an expression over one clean facility row (plus the box of its claimed
-state); nothing shuffles and nothing leaves the JVM.
+Each rule is SQL text over one clean facility row (plus the box of its claimed state), so
+a whole rule set is parsed in one call; nothing shuffles and nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from carecheck import rule_values as rv
-from carecheck.functions import geo
-from carecheck.functions.text import (
-    FLAG_TYPE, contains_any, pattern_any, rule_list,
-)
+from carecheck.functions import text as tx
+from carecheck.functions.text import FLAG_TYPE, contains_any, pattern_any, quoted
 
 LISTS = ["specialties", "procedure", "equipment", "capability"]
+IN_COUNTRY = (
+    f"(latitude BETWEEN {rv.COUNTRY_MIN_LAT}D AND {rv.COUNTRY_MAX_LAT}D"
+    f" AND longitude BETWEEN {rv.COUNTRY_MIN_LON}D AND {rv.COUNTRY_MAX_LON}D)"
+)
+IN_BOX = "(latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon)"
 
 
-def _flag(rule: str, message: Column, evidence: Column, citation: Column | None = None) -> Column:
+def _flag(rule: str, message: str, evidence: str, citation: str | None = None) -> str:
     severity, column = rv.RULES[rule]
-    return F.struct(
-        F.lit(rule).alias("rule_id"),
-        F.lit(severity).alias("severity"),
-        message.alias("message"),
-        F.substring(F.coalesce(evidence, F.lit("")), 1, rv.EVIDENCE_CHARS).alias("evidence"),
-        (citation if citation is not None else F.lit(column)).alias("citation_column"),
+    return (
+        f"named_struct('rule_id', '{rule}', 'severity', '{severity}', 'message', {message},"
+        f" 'evidence', substring(coalesce({evidence}, ''), 1, {rv.EVIDENCE_CHARS}),"
+        f" 'citation_column', {quoted(citation or column)})"
     )
 
 
-def _text(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit("null"))
-
-
-def _first(arr: Column, n: int) -> Column:
-    return F.to_json(F.slice(arr, 1, n))
-
-
-def _say(**parts: Column) -> Column:
-    """``name=value`` pairs joined by blanks."""
-    pairs = [F.concat(F.lit(f"{name}="), value) for name, value in parts.items()]
-    return F.concat_ws(" ", *pairs)
+def _shown(value: str) -> str:
+    return f"coalesce(cast({value} AS string), 'null')"
 
 
 def with_rule_inputs(clean: DataFrame) -> DataFrame:
     """Add the normalised inputs the rules share, each computed once per row."""
-    doctors = F.when(F.col("number_doctors") != 0, F.col("number_doctors"))
-    months = F.when(F.col("recency_months") != 0, F.col("recency_months"))
-    lists = clean.select(
+    normal = clean.selectExpr(
         "*",
-        *[rule_list(F.col(c)).alias(f"_{c}") for c in LISTS],
-        F.lower(F.coalesce("facility_type", F.lit(""))).alias("_type"),
-        F.lower(F.coalesce("facility_type_raw", F.lit(""))).alias("_type_raw"),
-        F.coalesce("description", F.lit("")).alias("_description"),
-        F.lower(F.coalesce("description", F.lit(""))).alias("_folded"),
-        doctors.alias("_doctors"),
-        months.alias("_months"),
+        *[f"{tx.rule_list(c)} AS _{c}" for c in LISTS],
+        "lower(coalesce(facility_type, '')) AS _type",
+        "lower(coalesce(facility_type_raw, '')) AS _type_raw",
+        "coalesce(description, '') AS _description",
+        "lower(coalesce(description, '')) AS _folded",
+        "nullif(number_doctors, 0) AS _doctors",
+        "nullif(recency_months, 0) AS _months",
     )
-    return lists.select(
+    return normal.selectExpr(
         "*",
-        F.array_join(F.concat("_specialties", "_capability", "_procedure"), " ").alias("_claims"),
-        F.array_join("_equipment", " ").alias("_equipment_text"),
+        "array_join(concat(_specialties, _capability, _procedure), ' ') AS _claims",
+        "array_join(_equipment, ' ') AS _equipment_text",
     )
 
 
-def rule_r1() -> Column:
-    unstaffed = F.col("_doctors").isNull() & (F.coalesce("capacity", F.lit(0)) == 0)
-    fires = contains_any(F.col("_claims"), rv.ADVANCED_KEYWORDS) & (
-        (F.size("_equipment") == 0) | unstaffed
+def rule_r1() -> str:
+    fires = (
+        f"{contains_any('_claims', rv.ADVANCED_KEYWORDS)} AND"
+        " (size(_equipment) = 0 OR (_doctors IS NULL AND coalesce(capacity, 0) = 0))"
     )
-    evidence = _say(
-        specialties=_first(F.col("_specialties"), 3),
-        equipment=_first(F.col("_equipment"), 3),
-        doctors=_text(F.col("_doctors")),
-        capacity=_text(F.col("capacity")),
+    evidence = (
+        "concat('specialties=', to_json(slice(_specialties, 1, 3)), ' equipment=', to_json(slice(_equipment, 1, 3)),"
+        f" ' doctors=', {_shown('_doctors')}, ' capacity=', {_shown('capacity')})"
     )
-    return F.when(fires, _flag("R1", F.lit(rv.R1_MESSAGE), evidence))
+    return f"CASE WHEN {fires} THEN {_flag('R1', quoted(rv.R1_MESSAGE), evidence)} END"
 
 
-def rule_r2() -> Column:
+def rule_r2() -> str:
+    types = ", ".join(quoted(t) for t in rv.NON_HOSPITAL_TYPES)
     fires = (
-        F.col("_type").isin(rv.NON_HOSPITAL_TYPES)
-        & contains_any(F.col("_folded"), rv.EMERGENCY_LITERALS)
-        & F.col("_description").rlike(pattern_any(rv.EMERGENCY_PATTERNS))
+        f"_type IN ({types}) AND {contains_any('_folded', rv.EMERGENCY_LITERALS)}"
+        f" AND _description RLIKE {quoted(pattern_any(rv.EMERGENCY_PATTERNS))}"
     )
-    evidence = F.substring("_description", 1, rv.DESCRIPTION_EVIDENCE_CHARS)
-    return F.when(fires, _flag("R2", F.format_string(rv.R2_MESSAGE, F.col("_type")), evidence))
+    message = f"format_string({quoted(rv.R2_MESSAGE)}, _type)"
+    evidence = f"substring(_description, 1, {rv.DESCRIPTION_EVIDENCE_CHARS})"
+    return f"CASE WHEN {fires} THEN {_flag('R2', message, evidence)} END"
 
 
-def rule_r3() -> Column:
+def rule_r3() -> str:
     """Outside the country, else outside the box of the claimed state; no box, no flag."""
-    lat, lon = F.col("latitude"), F.col("longitude")
-    where = F.concat(F.lit("lat="), lat.cast("string"), F.lit(", lon="), lon.cast("string"))
-    abroad = _flag("R3", F.lit(rv.R3_COUNTRY_MESSAGE), where)
+    at = "concat('lat=', cast(latitude AS string), ', lon=', cast(longitude AS string))"
+    abroad = _flag("R3", quoted(rv.R3_COUNTRY_MESSAGE), at)
     elsewhere = _flag(
-        "R3",
-        F.format_string(rv.R3_STATE_MESSAGE, F.col("state")),
-        F.concat(where, F.lit(", state="), F.col("state")),
-        F.lit(rv.R3_STATE_CITATION),
+        "R3", f"format_string({quoted(rv.R3_STATE_MESSAGE)}, state)",
+        f"concat({at}, ', state=', state)", rv.R3_STATE_CITATION,
     )
-    return F.when(
-        lat.isNotNull() & lon.isNotNull(),
-        F.when(~geo.in_country(lat, lon), abroad).when(
-            F.col("min_lat").isNotNull() & ~geo.in_box(lat, lon), elsewhere
-        ),
+    return (
+        f"CASE WHEN latitude IS NULL OR longitude IS NULL THEN NULL WHEN NOT {IN_COUNTRY} THEN {abroad}"
+        f" WHEN min_lat IS NOT NULL AND NOT {IN_BOX} THEN {elsewhere} END"
     )
 
 
-def rule_r4() -> Column:
-    fires = (
-        (F.col("_type") == "hospital")
-        & (F.coalesce("capacity", F.lit(0)) == 0)
-        & F.col("_doctors").isNull()
-        & (F.size("_equipment") == 0)
+def rule_r4() -> str:
+    fires = "_type = 'hospital' AND coalesce(capacity, 0) = 0 AND _doctors IS NULL AND size(_equipment) = 0"
+    evidence = (
+        f"concat('capacity=', {_shown('capacity')}, ' doctors=', {_shown('_doctors')},"
+        " ' equipment=', to_json(_equipment))"
     )
-    evidence = _say(
-        capacity=_text(F.col("capacity")),
-        doctors=_text(F.col("_doctors")),
-        equipment=F.to_json("_equipment"),
-    )
-    return F.when(fires, _flag("R4", F.lit(rv.R4_MESSAGE), evidence))
+    return f"CASE WHEN {fires} THEN {_flag('R4', quoted(rv.R4_MESSAGE), evidence)} END"
 
 
-def rule_r5() -> Column:
-    fires = (F.col("_type") == "farmacy") | (F.col("_type_raw") == "farmacy")
-    shown = F.when(F.col("_type_raw") != "", F.col("_type_raw")).otherwise("farmacy")
-    evidence = F.concat(F.lit("facilityTypeId='"), shown, F.lit("'"))
-    return F.when(fires, _flag("R5", F.lit(rv.R5_MESSAGE), evidence))
+def rule_r5() -> str:
+    evidence = "concat('facilityTypeId=\\'', coalesce(nullif(_type_raw, ''), 'farmacy'), '\\'')"
+    return (
+        "CASE WHEN _type = 'farmacy' OR _type_raw = 'farmacy'"
+        f" THEN {_flag('R5', quoted(rv.R5_MESSAGE), evidence)} END"
+    )
 
 
-def rule_r6() -> Column:
+def rule_r6() -> str:
     """One scan decides; only hits look for the first pattern in list order."""
-    matches = [
-        F.nullif(F.regexp_extract("_description", pattern_any([p]), 0), F.lit(""))
-        for p in rv.AWARD_PATTERNS
-    ]
-    fires = contains_any(F.col("_folded"), rv.AWARD_LITERALS) & F.col("_description").rlike(
-        pattern_any(rv.AWARD_PATTERNS)
+    matches = ", ".join(
+        f"nullif(regexp_extract(_description, {quoted(pattern_any([p]))}, 0), '')" for p in rv.AWARD_PATTERNS
     )
-    return F.when(fires, _flag("R6", F.lit(rv.R6_MESSAGE), F.coalesce(*matches)))
+    fires = (
+        f"{contains_any('_folded', rv.AWARD_LITERALS)}"
+        f" AND _description RLIKE {quoted(pattern_any(rv.AWARD_PATTERNS))}"
+    )
+    return f"CASE WHEN {fires} THEN {_flag('R6', quoted(rv.R6_MESSAGE), f'coalesce({matches})')} END"
 
 
-def rule_r7() -> Column:
+def rule_r7() -> str:
     """Array of flags: one per specialty whose first unmet key finds no expected equipment.
 
-    A key met by the equipment does not end the search, so later keys still count.
+    A key met by the equipment does not end the search, so later keys still count. The
+    expected equipment of a specialty is worked out first, then turned into its flag.
     """
-    equipment = F.col("_equipment_text")
-    unmet = [(key, ", ".join(hints[:3]), ~contains_any(equipment, hints))
-             for key, hints in rv.SPECIALTY_HINTS]
-
-    def expected(sp: Column) -> Column:
-        found = F.when(F.lit(False), F.lit(""))
-        for key, hints, missing in unmet:
-            found = found.when(F.contains(sp, F.lit(key)) & missing, F.lit(hints))
-        return found
-
-    def flag(sp: Column) -> Column:
-        hints = expected(sp)
-        return F.when(
-            hints.isNotNull(),
-            _flag(
-                "R7",
-                F.format_string(rv.R7_MESSAGE, sp, hints),
-                _say(specialty=sp, equipment=_first(F.col("_equipment"), 5)),
-            ),
-        )
-
-    checked = F.filter("_specialties", lambda sp: ~sp.rlike(rv.PEDIATRIC_DENTAL_PATTERN))
-    return F.filter(F.transform(checked, flag), lambda f: f.isNotNull())
-
-
-def rule_r8() -> Column:
-    present = [F.coalesce(F.col(c), F.lit("")) != "" for c in rv.LINK_COLUMNS]
-    any_link = F.greatest(*[p.cast("int") for p in present]) == 1
-    fires = F.coalesce(F.col("_months") > rv.STALE_MONTHS, F.lit(False)) | ~any_link
-    evidence = _say(
-        recency_months=_text(F.col("_months")), socials_present=F.to_json(F.array(*present))
+    unmet = " ".join(
+        f"WHEN contains(sp, {quoted(key)}) AND NOT {contains_any('_equipment_text', hints)}"
+        f" THEN {quoted(', '.join(hints[:3]))}"
+        for key, hints in rv.SPECIALTY_HINTS
+    )
+    flag = _flag(
+        "R7", f"format_string({quoted(rv.R7_MESSAGE)}, x.sp, x.hints)",
+        "concat('specialty=', x.sp, ' equipment=', to_json(slice(_equipment, 1, 5)))",
     )
-    return F.when(fires, _flag("R8", F.lit(rv.R8_MESSAGE), evidence))
+    checked = f"filter(_specialties, sp -> NOT sp RLIKE {quoted(rv.PEDIATRIC_DENTAL_PATTERN)})"
+    hinted = f"transform({checked}, sp -> named_struct('sp', sp, 'hints', CASE {unmet} END))"
+    return f"transform(filter({hinted}, x -> x.hints IS NOT NULL), x -> {flag})"
+
+
+def rule_r8() -> str:
+    present = ", ".join(f"coalesce({c}, '') <> ''" for c in rv.LINK_COLUMNS)
+    fires = f"coalesce(_months > {rv.STALE_MONTHS}, false) OR NOT array_contains(array({present}), true)"
+    evidence = f"concat('recency_months=', {_shown('_months')}, ' socials_present=', to_json(array({present})))"
+    return f"CASE WHEN {fires} THEN {_flag('R8', quoted(rv.R8_MESSAGE), evidence)} END"
 
 
-def all_flags() -> Column:
+RULES = {
+    "R1": rule_r1, "R2": rule_r2, "R3": rule_r3, "R4": rule_r4,
+    "R5": rule_r5, "R6": rule_r6, "R7": rule_r7, "R8": rule_r8,
+}
+
+
+def rule_array(rule: str) -> str:
+    """Flags of one rule as an array, empty where it does not fire."""
+    made = RULES[rule]()
+    return made if rule == "R7" else f"array_compact(array({made}))"
+
+
+def all_flags() -> str:
     """All flags of a row in rule order; empty where none fires."""
-    head = F.array_compact(
-        F.array(rule_r1(), rule_r2(), rule_r3(), rule_r4(), rule_r5(), rule_r6())
-    )
-    tail = F.array_compact(F.array(rule_r8()))
-    return F.concat(head, rule_r7(), tail).cast(f"array<{FLAG_TYPE}>")
+    head = ", ".join(RULES[r]() for r in ("R1", "R2", "R3", "R4", "R5", "R6"))
+    made = f"concat(array_compact(array({head})), {rule_array('R7')}, {rule_array('R8')})"
+    return f"cast({made} AS array<{FLAG_TYPE}>)"
 
 
-def trust_score(flags: Column) -> Column:
+def trust_score(flags: str) -> str:
     """100 minus the points of every flag, never below 0."""
-    def points(f: Column) -> Column:
-        cost = F.when(F.lit(False), F.lit(0))
-        for severity, weight in rv.SEVERITY_POINTS.items():
-            cost = cost.when(f["severity"] == severity, F.lit(weight))
-        return cost.otherwise(F.lit(0))
-
-    left = F.aggregate(flags, F.lit(100), lambda acc, f: acc - points(f))
-    return F.greatest(F.lit(0), left)
+    points = " ".join(f"WHEN '{s}' THEN {p}" for s, p in rv.SEVERITY_POINTS.items())
+    return f"greatest(0, aggregate({flags}, 100, (left, f) -> left - CASE f.severity {points} ELSE 0 END))"

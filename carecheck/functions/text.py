@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from carecheck import rule_values as rv
 
+QUOTED_TOKEN = r"""['"]([^'"]+)['"]"""
 BLANKS = " \t\n\r\f\x0b"
 
 FLAG_TYPE = (
@@ -16,13 +15,21 @@ FLAG_TYPE = (
 )
 
 
-def strip(c: Column) -> Column:
+def quoted(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip(c: str) -> str:
     """Drop blanks of any kind at both ends (plain ``trim`` drops spaces only)."""
-    return F.btrim(c, F.lit(BLANKS))
+    return f"btrim({c}, ' \\t\\n\\r\\u000c\\u000b')"
+
+
+EMPTY_LIST = "cast(array() AS array<string>)"
 
 
 def empty_list() -> Column:
-    return F.array().cast("array<string>")
+    return F.expr(EMPTY_LIST)
 
 
 def pattern_any(patterns: list[str]) -> str:
@@ -30,80 +37,75 @@ def pattern_any(patterns: list[str]) -> str:
     return "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def contains_any(text: Column, needles: list[str]) -> Column:
+def contains_any(text: str, needles: list[str]) -> str:
     """Whether lower-case ``text`` holds one of the literal fragments; false for null."""
-    hits = reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
-    return F.coalesce(hits, F.lit(False))
+    hits = " OR ".join(f"contains({text}, {quoted(n)})" for n in needles)
+    return f"coalesce({hits}, false)"
 
 
-def any_element_contains(arr: Column, needles: list[str]) -> Column:
+def any_element_contains(arr: str, needles: list[str]) -> Column:
     """Whether an element of the array holds one of the literal fragments; false for null."""
-    hit = F.exists(arr, lambda x: contains_any(F.lower(x), needles))
-    return F.coalesce(hit, F.lit(False))
+    return F.expr(f"coalesce(exists({arr}, x -> {contains_any('lower(x)', needles)}), false)")
 
 
-def any_element_contains_column(arr: Column, needle: Column) -> Column:
+def any_element_contains_column(arr: str, needle: str) -> Column:
     """As ``any_element_contains`` for a fragment that comes from a column."""
-    return F.coalesce(F.exists(arr, lambda x: F.contains(F.lower(x), needle)), F.lit(False))
+    return F.expr(f"coalesce(exists({arr}, x -> contains(lower(x), {needle})), false)")
 
 
-def pad_pin(c: Column) -> Column:
+def pad_pin(c: str) -> str:
     """Repair a postal code: drop a trailing ``.0``, zero-fill to six; longer values stay whole."""
-    bare = F.regexp_replace(c, r"\.0$", "")
-    return F.when(F.length(bare) < 6, F.lpad(bare, 6, "0")).otherwise(bare)
+    bare = f"regexp_replace({c}, '\\\\.0$', '')"
+    return f"CASE WHEN length({bare}) < 6 THEN lpad({bare}, 6, '0') ELSE {bare} END"
 
 
-def number(c: Column) -> Column:
+def number(c: str) -> str:
     """Text to double; anything that is no number becomes null."""
-    value = c.try_cast("double")
-    return F.when(~F.isnan(value), value)
-
+    return f"nullif(try_cast({c} AS double), double('NaN'))"
 
-def whole_number(c: Column) -> Column:
-    """Double to int by truncation; out of range becomes null."""
-    return c.try_cast("int")
 
+def _split_loose(c: str) -> str:
+    return f"filter(transform(split({c}, '[,|]'), x -> {strip('x')}), x -> x <> '')"
 
-def _split_loose(c: Column) -> Column:
-    parts = F.split(c, r"[,|]")
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
 
-
-def json_list(c: Column) -> Column:
+def json_list(c: str) -> str:
     """JSON-array text to a string array; text that is no JSON array is split on ``,`` and ``|``."""
-    loose = F.when(
-        F.length(F.trim(c)) > 0, _split_loose(F.regexp_replace(c, r'[\[\]"]', ""))
-    ).otherwise(empty_list())
-    return F.coalesce(F.from_json(c, "array<string>"), loose)
+    bare = f"regexp_replace({c}, '[\\\\[\\\\]\"]', '')"
+    return (
+        f"coalesce(from_json({c}, 'array<string>'),"
+        f" CASE WHEN length(trim({c})) > 0 THEN {_split_loose(bare)} ELSE {EMPTY_LIST} END)"
+    )
 
 
-def lenient_list(c: Column) -> Column:
+def lenient_list(c: str) -> str:
     """Best-effort array: JSON array, else quoted tokens, else a bracketed list, else the text itself."""
     s = strip(c)
-    parsed = F.array_compact(F.from_json(s, "array<string>"))
-    quoted = F.regexp_extract_all(s, F.lit(r"""['"]([^'"]+)['"]"""), F.lit(1))
-    inner = strip(F.substring(s, F.lit(2), F.length(s) - 2))
-    bracketed = F.startswith(s, F.lit("[")) & F.endswith(s, F.lit("]")) & (F.length(s) >= 2)
+    parsed = f"array_compact(from_json({s}, 'array<string>'))"
+    tokens = f"regexp_extract_all({s}, {quoted(QUOTED_TOKEN)}, 1)"
+    inner = strip(f"substring({s}, 2, length({s}) - 2)")
     return (
-        F.when(s.isNull() | (s == ""), empty_list())
-        .when(parsed.isNotNull(), parsed)
-        .when(F.size(quoted) > 0, quoted)
-        .when(bracketed, _split_loose(inner))
-        .otherwise(F.array(s))
+        f"CASE WHEN {s} IS NULL OR {s} = '' THEN {EMPTY_LIST} WHEN {parsed} IS NOT NULL THEN {parsed}"
+        f" WHEN size({tokens}) > 0 THEN {tokens}"
+        f" WHEN length({s}) >= 2 AND startswith({s}, '[') AND endswith({s}, ']') THEN {_split_loose(inner)}"
+        f" ELSE array({s}) END"
     )
 
 
-def rule_list(arr: Column) -> Column:
+def rule_list(arr: str) -> str:
     """Array as the rules read it: no null or empty elements, stripped, lower case."""
-    kept = F.filter(arr, lambda x: x.isNotNull() & (x != ""))
-    return F.coalesce(F.transform(kept, lambda x: F.lower(strip(x))), empty_list())
+    kept = f"filter({arr}, x -> x IS NOT NULL AND x <> '')"
+    return f"coalesce(transform({kept}, x -> lower({strip('x')})), {EMPTY_LIST})"
+
+
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def flags_from_json(c: Column) -> Column:
     """JSON text to an array of flags: objects only, absent fields become empty text."""
     names = ["rule_id", "severity", "message", "evidence", "citation_column"]
     items = F.filter(
-        F.from_json(strip(c), "array<string>"), lambda x: F.startswith(x, F.lit("{"))
+        F.from_json(stripped(c), "array<string>"), lambda x: F.startswith(x, F.lit("{"))
     )
 
     def flag(x: Column) -> Column:
@@ -113,56 +115,36 @@ def flags_from_json(c: Column) -> Column:
     return F.coalesce(F.transform(items, flag), F.array().cast(f"array<{FLAG_TYPE}>"))
 
 
-def facility_text() -> Column:
+def facility_text() -> str:
     """The nine labelled parts of a facility joined into one searchable text."""
-    def plain(label: str, col: str) -> Column:
-        return F.concat(F.lit(f"{label}: "), F.coalesce(F.col(col), F.lit("")))
-
-    def listed(col: str) -> Column:
-        return F.concat(F.lit(f"{col}: "), F.coalesce(F.array_join(col, ", "), F.lit("")))
-
-    return F.concat_ws(
-        " | ",
-        plain("name", "name"),
-        plain("type", "facility_type"),
-        plain("state", "state"),
-        plain("city", "city"),
-        listed("specialties"),
-        listed("procedure"),
-        listed("equipment"),
-        listed("capability"),
-        plain("description", "description"),
-    )
+    plain = {"name": "name", "type": "facility_type", "state": "state", "city": "city"}
+    lists = ["specialties", "procedure", "equipment", "capability"]
+    parts = [f"concat('{label}: ', coalesce({c}, ''))" for label, c in plain.items()]
+    parts += [f"concat('{c}: ', coalesce(array_join({c}, ', '), ''))" for c in lists]
+    parts.append("concat('description: ', coalesce(description, ''))")
+    return f"concat_ws(' | ', {', '.join(parts)})"
 
 
 def urgency(c: Column) -> Column:
     return F.when(F.contains(F.lower(c), F.lit("emergency")), "high").otherwise("routine")
 
 
-def specialty_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
-
-
-def specialty_keywords(c: Column) -> Column:
+def specialty_keywords(c: str) -> Column:
     """Fragments that count as a match for a specialty; an unknown one stands for itself."""
-    key = specialty_key(c)
-    known = F.when(F.lit(False), empty_list())
-    for name, words in rv.RANK_KEYWORDS.items():
-        known = known.when(key == name, F.array(*[F.lit(w) for w in words]))
-    return known.otherwise(F.array(F.lower(c)))
+    known = " ".join(
+        f"WHEN '{name}' THEN array({', '.join(quoted(w) for w in words)})"
+        for name, words in rv.RANK_KEYWORDS.items()
+    )
+    return F.expr(f"CASE regexp_replace(lower({c}), '[^a-z0-9]+', '') {known} ELSE array(lower({c})) END")
 
 
-def preset(query: Column) -> Column:
+def preset(query: str) -> Column:
     """Quick-start question to (specialty, lat, lon); any other text gets the default."""
-    def row(specialty: str, lat: float, lon: float) -> Column:
-        return F.struct(
-            F.lit(specialty).alias("specialty"), F.lit(lat).alias("lat"), F.lit(lon).alias("lon")
-        )
+    def row(specialty: str, lat: float, lon: float) -> str:
+        return f"named_struct('specialty', '{specialty}', 'lat', {lat}D, 'lon', {lon}D)"
 
-    found = F.when(F.lit(False), row(*rv.DEFAULT_PRESET))
-    for text, specialty, lat, lon in rv.QUERY_PRESETS:
-        found = found.when(query == text, row(specialty, lat, lon))
-    return found.otherwise(row(*rv.DEFAULT_PRESET))
+    found = " ".join(f"WHEN {quoted(text)} THEN {row(*rest)}" for text, *rest in rv.QUERY_PRESETS)
+    return F.expr(f"CASE {query} {found} ELSE {row(*rv.DEFAULT_PRESET)} END")
 
 
 def flatten_parts(parts: Column) -> Column:
@@ -179,7 +161,7 @@ def message_role(role: Column, kind: Column) -> Column:
 
 def needles(claim: Column) -> Column:
     """Words of a claim longer than three characters, lower case."""
-    return F.filter(F.split(strip(F.lower(claim)), r"\s+"), lambda w: F.length(w) > 3)
+    return F.filter(F.split(stripped(F.lower(claim)), r"\s+"), lambda w: F.length(w) > 3)
 
 
 def terms(text: Column) -> Column:
@@ -189,9 +171,9 @@ def terms(text: Column) -> Column:
 
 def sentence_claims(text: Column) -> Column:
     """Sentences of more than 20 and fewer than 400 characters."""
-    sentences = F.split(strip(text), r"(?<=[.!?])\s+")
+    sentences = F.split(stripped(text), r"(?<=[.!?])\s+")
     kept = F.filter(sentences, lambda s: (F.length(s) > 20) & (F.length(s) < 400))
-    return F.coalesce(F.transform(kept, strip), empty_list())
+    return F.coalesce(F.transform(kept, stripped), empty_list())
 
 
 def cited_ids(text: Column) -> Column:

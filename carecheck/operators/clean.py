@@ -18,14 +18,12 @@ def is_pin_column(name: str) -> bool:
 
 def bronze(raw: DataFrame) -> DataFrame:
     """Repair postal codes and coerce the numeric columns; every other column stays text."""
-    def repaired(c: str) -> Column:
+    def repaired(c: str) -> str:
         if is_pin_column(c):
-            return tx.pad_pin(F.col(c)).alias(c)
-        if c in NUMERIC:
-            return tx.number(F.col(c)).alias(c)
-        return F.col(c)
+            return f"{tx.pad_pin(f'`{c}`')} AS `{c}`"
+        return f"{tx.number(c)} AS {c}" if c in NUMERIC else f"`{c}`"
 
-    return raw.select(*[repaired(c) for c in raw.columns])
+    return raw.selectExpr(*[repaired(c) for c in raw.columns])
 
 
 def resolve_state(df: DataFrame, boxes: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -56,24 +54,23 @@ def recency_months(as_of: str, ts: Column) -> Column:
 
 def clean(raw: DataFrame, boxes: DataFrame, aliases: DataFrame, as_of: str) -> DataFrame:
     """The clean facility table. ``as_of`` fixes the day that page age is measured from."""
-    kind = F.lower("facilityTypeId")
-    typed = bronze(raw).select(
-        F.col("facility_id").cast("string").alias("facility_id"),
+    typed = bronze(raw).selectExpr(
+        "cast(facility_id AS string) AS facility_id",
         "name",
-        kind.alias("facility_type_raw"),
-        F.when(kind == "farmacy", "pharmacy").otherwise(kind).alias("facility_type"),
-        F.col("address_stateOrRegion").alias("state_raw"),
-        F.col("address_city").alias("city"),
-        F.col("address_postalCode").alias("pin"),
+        "lower(facilityTypeId) AS facility_type_raw",
+        "CASE WHEN lower(facilityTypeId) = 'farmacy' THEN 'pharmacy' ELSE lower(facilityTypeId) END AS facility_type",
+        "address_stateOrRegion AS state_raw",
+        "address_city AS city",
+        "address_postalCode AS pin",
         "latitude",
         "longitude",
         "description",
-        tx.whole_number(F.col("capacity")).alias("capacity"),
-        tx.whole_number(F.col("numberDoctors")).alias("number_doctors"),
-        tx.whole_number(F.col("yearEstablished")).alias("year_established"),
+        "try_cast(capacity AS int) AS capacity",
+        "try_cast(numberDoctors AS int) AS number_doctors",
+        "try_cast(yearEstablished AS int) AS year_established",
         *schemas.LINKS,
-        F.col("recency_of_page_update").try_cast("timestamp").alias("recency_ts"),
-        *[tx.json_list(F.col(c)).alias(c) for c in LISTS],
+        "try_cast(recency_of_page_update AS timestamp) AS recency_ts",
+        *[f"{tx.json_list(c)} AS {c}" for c in LISTS],
     )
     resolved = resolve_state(typed, boxes, aliases)
     aged = resolved.withColumn("recency_months", recency_months(as_of, F.col("recency_ts")))
@@ -86,16 +83,12 @@ def claims_long(df: DataFrame) -> DataFrame:
         "specialty": "specialties", "procedure": "procedure",
         "equipment": "equipment", "capability": "capability",
     }
-    lists = F.array(
-        *[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("items")) for kind, c in kinds.items()]
-    )
+    lists = ", ".join(f"named_struct('kind', '{kind}', 'items', {c})" for kind, c in kinds.items())
     return (
-        df.select("facility_id", F.explode(lists).alias("list"))
-        .select(
-            "facility_id", F.col("list.kind").alias("claim_type"), F.explode("list.items").alias("item")
-        )
-        .select("facility_id", "claim_type", F.lower(F.trim("item")).alias("claim_value"))
-        .where(F.length("claim_value") > 0)
+        df.selectExpr("facility_id", f"explode(array({lists})) AS list")
+        .selectExpr("facility_id", "list.kind AS claim_type", "explode(list.items) AS item")
+        .selectExpr("facility_id", "claim_type", "lower(trim(item)) AS claim_value")
+        .where("length(claim_value) > 0")
     )
 
 
@@ -113,6 +106,6 @@ def claim_evidence(claims: DataFrame, clean_df: DataFrame) -> DataFrame:
 def search_text(df: DataFrame) -> DataFrame:
     """One searchable text per facility with its display columns."""
     return df.select(
-        "facility_id", tx.facility_text().alias("facility_text"),
+        "facility_id", F.expr(tx.facility_text()).alias("facility_text"),
         "name", "facility_type", "state", "city", "description",
     )

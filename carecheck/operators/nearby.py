@@ -8,8 +8,6 @@ large part of the table costs one distance per request, not one per facility.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,29 +90,35 @@ def sites_of(facilities: DataFrame) -> DataFrame:
     )
 
 
-Distance = Callable[[Column, Column, Column, Column], Column]
-
-
 def sites_in_reach(
-    requests: DataFrame, facilities: DataFrame, distance: Distance = geo.ellipsoid_km
+    requests: DataFrame, facilities: DataFrame, metric: geo.Metric = geo.ELLIPSOID
 ) -> DataFrame:
     """Request columns × site columns + ``distance_km`` for every site within ``radius_km``.
 
     A crowded cell is salted: its sites are spread over ``SALTS`` groups, requests visit all.
     """
-    salted_requests = covering_cells(requests).withColumn(
+    def prepared(df: DataFrame, lat: str, lon: str, side: str) -> DataFrame:
+        return df.withColumns({
+            f"_b{side}": metric.latitude(F.col(lat)), f"_l{side}": F.radians(lon),
+        })
+
+    salted_requests = covering_cells(prepared(requests, "lat", "lon", "1")).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    salted_sites = site_cells(sites_of(facilities)).withColumn(
+    sites = prepared(sites_of(facilities), "site_lat", "site_lon", "2")
+    salted_sites = site_cells(sites).withColumn(
         "_salt", F.pmod(F.xxhash64(*SITE), F.lit(SALTS)).cast("int")
     )
-    km = distance(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon"))
-    return (
+    close = F.abs(F.col("lat") - F.col("site_lat")) * KM_PER_DEGREE <= F.col("radius_km")
+    angle = geo.central_angle(F.col("_b1"), F.col("_l1"), F.col("_b2"), F.col("_l2"))
+    measured = (
         salted_requests.join(salted_sites, ["level", "row", "column", "_salt"])
-        .withColumn("distance_km", km)
-        .where(F.col("distance_km") <= F.col("radius_km"))
-        .withColumn("distance_km", F.round("distance_km", 6))
-        .drop("level", "row", "column", "_salt")
+        .where(close)
+        .withColumn("_angle", angle)
+        .withColumn("distance_km", metric.km(F.col("_b1"), F.col("_b2"), F.col("_angle")))
+    )
+    return geo.within(measured, "distance_km", "radius_km").select(
+        *requests.columns, *SITE, F.round("distance_km", 6).alias("distance_km")
     )
 
 
@@ -144,9 +148,7 @@ def radius_search(requests: DataFrame, facilities: DataFrame, extra: list[str] |
     )
     hits = sites_in_reach(asked, facilities)
     wants = hits.groupBy(*SITE, "needle").agg(F.max("limit").alias("_most"))
-    matches = (F.col("needle") == "") | tx.any_element_contains_column(
-        F.col("specialties"), F.col("needle")
-    )
+    matches = (F.col("needle") == "") | tx.any_element_contains_column("specialties", "needle")
     offered = _at_sites(
         facilities.select(*SHOWN, "latitude", "longitude", *(extra or [])), wants, matches
     )
@@ -182,13 +184,13 @@ def radius_json(requests: DataFrame, found: DataFrame) -> DataFrame:
 
 def full_scan_radius(request: dict, facilities: DataFrame) -> DataFrame:
     """One request against every facility, without cells: the form to check the others by."""
-    km = geo.ellipsoid_km(
-        F.lit(request["lat"]), F.lit(request["lon"]), F.col("latitude"), F.col("longitude")
+    km = geo.distance_km(
+        geo.ELLIPSOID, F.lit(request["lat"]), F.lit(request["lon"]), F.col("latitude"), F.col("longitude")
     )
     needle = (request.get("specialty") or "").strip().lower()
     rows = facilities.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     if needle:
-        rows = rows.where(tx.any_element_contains(F.col("specialties"), [needle]))
+        rows = rows.where(tx.any_element_contains("specialties", [needle]))
     return (
         rows.select("facility_id", km.alias("distance_km"))
         .where(F.col("distance_km") <= request["radius_km"])
@@ -207,19 +209,14 @@ def in_ring(facilities: DataFrame, requests: DataFrame) -> DataFrame:
     return facilities.join(sites.distinct(), ["latitude", "longitude"], "left_semi")
 
 
-def provider_match(keywords: Column) -> Column:
+def provider_match(keywords: str) -> Column:
     """1.0 for a match in specialties, else 0.7 in capability, else 0.5 in equipment, else 0."""
-    def any_in(items: str) -> Column:
-        hit = F.exists(
-            F.col(items), lambda s: F.exists(keywords, lambda w: F.contains(F.lower(s), w))
-        )
-        return F.coalesce(hit, F.lit(False))
+    def any_in(items: str) -> str:
+        return f"coalesce(exists({items}, s -> exists({keywords}, w -> contains(lower(s), w))), false)"
 
-    return (
-        F.when(any_in("specialties"), F.lit(1.0))
-        .when(any_in("capability"), F.lit(0.7))
-        .when(any_in("equipment"), F.lit(0.5))
-        .otherwise(F.lit(0.0))
+    return F.expr(
+        f"CASE WHEN {any_in('specialties')} THEN 1.0D WHEN {any_in('capability')} THEN 0.7D"
+        f" WHEN {any_in('equipment')} THEN 0.5D ELSE 0.0D END"
     )
 
 
@@ -229,20 +226,20 @@ def rank_providers(questions: DataFrame, facilities: DataFrame, k: int = 5) -> D
     A question becomes an anchor (specialty and place). Questions sharing an anchor are
     answered once: facilities are ranked per distinct anchor, then handed back.
     """
-    anchored = questions.select("query_id", tx.preset(F.col("query")).alias("anchor")).select(
+    anchored = questions.select("query_id", tx.preset("query").alias("anchor")).select(
         "query_id", "anchor.*"
     )
     key = ["specialty", "lat", "lon"]
     anchors = anchored.select(*key).distinct().withColumn("radius_km", F.lit(rv.RANK_REACH_KM))
-    hits = sites_in_reach(anchors, facilities, geo.haversine_km).withColumn(
-        "keywords", tx.specialty_keywords(F.col("specialty"))
+    hits = sites_in_reach(anchors, facilities, geo.SPHERE).withColumn(
+        "keywords", tx.specialty_keywords("specialty")
     )
     columns = [
         "facility_id", "name", "facility_type", "trust_score", "specialties", "capability",
         "equipment", "latitude", "longitude",
     ]
     offered = _at_sites(facilities.select(*columns), hits, F.lit(True)).withColumn(
-        "spec_match", provider_match(F.col("keywords"))
+        "spec_match", provider_match("keywords")
     ).where(F.col("spec_match") > 0)
     trust = stats.trust01(F.col("trust_score"))
     bonus = F.when(F.lower("facility_type") == "hospital", rv.RANK_HOSPITAL).otherwise(0.0)

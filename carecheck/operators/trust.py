@@ -19,20 +19,21 @@ FLAG_FIELDS = ["rule_id", "severity", "message", "evidence", "citation_column"]
 def flagged(clean: DataFrame, boxes: DataFrame) -> DataFrame:
     """Clean rows plus ``flags`` and ``trust_score``; also runs on a stream of clean rows."""
     with_box = clean.join(boxes, "state", "left")
-    scored = rules.with_rule_inputs(with_box).withColumn("flags", rules.all_flags())
-    return scored.select(
-        *[F.col(c) for c in clean.columns], "flags", rules.trust_score(F.col("flags")).alias("trust_score")
+    kept = [f"`{c}`" for c in clean.columns]
+    return (
+        rules.with_rule_inputs(with_box)
+        .selectExpr(*kept, f"{rules.all_flags()} AS flags")
+        .selectExpr("*", f"{rules.trust_score('flags')} AS trust_score")
     )
 
 
 def single_rule(clean: DataFrame, boxes: DataFrame, rule: str) -> DataFrame:
     """Flags of one rule only, long form."""
     inputs = rules.with_rule_inputs(clean.join(boxes, "state", "left"))
-    made = getattr(rules, f"rule_{rule.lower()}")()
-    if rule != "R7":
-        made = F.array_compact(F.array(made))
-    rows = inputs.select("facility_id", F.explode_outer(made).alias("flag"))
-    return rows.select("facility_id", "flag.*").where(F.col("rule_id").isNotNull())
+    flags = f"explode_outer({rules.rule_array(rule)}) AS flag"
+    return inputs.selectExpr("facility_id", flags).select("facility_id", "flag.*").where(
+        F.col("rule_id").isNotNull()
+    )
 
 
 def trust_table(flagged_df: DataFrame) -> DataFrame:

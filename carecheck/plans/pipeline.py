@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +33,16 @@ COMMENTS = {
 }
 
 
-@dataclass(frozen=True)
+@dataclass
 class Pipeline:
     """The tables of one run, each lazy until read."""
 
     clean: DataFrame
-    flagged: DataFrame
+    boxes: DataFrame
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        return trust.flagged(self.clean, self.boxes)
 
     @property
     def claims(self) -> DataFrame:
@@ -45,7 +50,7 @@ class Pipeline:
 
     @property
     def text(self) -> DataFrame:
-        return with_comments(cl.search_text(self.clean), COMMENTS)
+        return cl.search_text(self.clean)
 
     @property
     def trust(self) -> DataFrame:
@@ -55,15 +60,14 @@ class Pipeline:
     def contradictions(self) -> DataFrame:
         return trust.contradictions(self.flagged)
 
-    @property
+    @cached_property
     def gold(self) -> DataFrame:
-        return with_comments(trust.gold(self.flagged), COMMENTS)
+        return trust.gold(self.flagged)
 
 
 def build(spark: SparkSession, raw: DataFrame, as_of: str = AS_OF) -> Pipeline:
     boxes, aliases = lookups.state_boxes(spark), lookups.state_aliases(spark)
-    clean = cl.clean(raw, boxes, aliases, as_of)
-    return Pipeline(clean=clean, flagged=trust.flagged(clean, boxes))
+    return Pipeline(clean=cl.clean(raw, boxes, aliases, as_of), boxes=boxes)
 
 
 def store(run: Pipeline, folder: str) -> Pipeline:
@@ -74,7 +78,8 @@ def store(run: Pipeline, folder: str) -> Pipeline:
     spark = run.clean.sparkSession
     write_table(run.flagged, f"{folder}/flagged")
     flagged = spark.read.parquet(f"{folder}/flagged")
-    stored = Pipeline(clean=flagged.select(*run.clean.columns), flagged=flagged)
+    stored = Pipeline(clean=flagged.select(*run.clean.columns), boxes=run.boxes)
+    stored.flagged = flagged
     for name in ("claims", "text", "trust", "contradictions", "gold"):
-        write_table(getattr(stored, name), f"{folder}/{name}")
+        write_table(with_comments(getattr(stored, name), COMMENTS), f"{folder}/{name}")
     return stored

@@ -21,7 +21,7 @@ def _rows(alias: str = "n") -> Column:
 
 
 def _offers(keywords: list[str], *lists: str) -> Column:
-    hits = [tx.any_element_contains(F.col(c), keywords) for c in lists]
+    hits = [tx.any_element_contains(c, keywords) for c in lists]
     return reduce(lambda a, b: a | b, hits)
 
 
@@ -74,7 +74,7 @@ def zero_coverage_cities(gold: DataFrame, state: str, fragment: str) -> DataFram
 
     One pass: a city is covered if any of its facilities, in whatever state, offers it.
     """
-    offers = tx.any_element_contains(F.col("specialties"), [fragment])
+    offers = tx.any_element_contains("specialties", [fragment])
     return (
         gold.where(F.col("city").isNotNull())
         .groupBy("city")
@@ -88,7 +88,7 @@ def zero_coverage_cities(gold: DataFrame, state: str, fragment: str) -> DataFram
 def zero_coverage_by_anti_join(gold: DataFrame, state: str, fragment: str) -> DataFrame:
     """The same report as an anti-join against the covered cities."""
     covered = (
-        gold.where(tx.any_element_contains(F.col("specialties"), [fragment]))
+        gold.where(tx.any_element_contains("specialties", [fragment]))
         .select("city").where(F.col("city").isNotNull()).distinct()
     )
     cities = (
@@ -251,9 +251,9 @@ def fully_staffed(gold: DataFrame) -> DataFrame:
 
 def claims_with_evidence(gold: DataFrame, specialty: str, evidence: list[str]) -> DataFrame:
     """Facilities claiming a specialty, with whether their equipment backs it."""
-    return gold.where(tx.any_element_contains(F.col("specialties"), [specialty])).select(
+    return gold.where(tx.any_element_contains("specialties", [specialty])).select(
         "facility_id", "city", "state",
-        tx.any_element_contains(F.col("equipment"), evidence).alias("has_evidence"),
+        tx.any_element_contains("equipment", evidence).alias("has_evidence"),
     )
 
 
@@ -266,7 +266,7 @@ def unsupported_capability(gold: DataFrame, claims: list[str], fragments: list[s
 
 def specialty_per_million(gold: DataFrame, population: DataFrame, fragment: str) -> DataFrame:
     """States ranked by facilities per million inhabitants; states with none are listed too."""
-    offers = tx.any_element_contains(F.col("specialties"), [fragment])
+    offers = tx.any_element_contains("specialties", [fragment])
     per_state = gold.groupBy("state").agg(F.count_if(offers).alias("n_specialty"))
     people = F.col("population").cast("double")
     rated = population.join(per_state, "state", "left").select(
@@ -293,7 +293,7 @@ def worst_districts(
 
     Facilities are counted per place first, so only one row per city meets the districts.
     """
-    offers = tx.any_element_contains(F.col("specialties"), [fragment])
+    offers = tx.any_element_contains("specialties", [fragment])
     per_place = (
         gold.where(F.col("city").isNotNull())
         .groupBy(F.lower("city").alias("place"), "state")

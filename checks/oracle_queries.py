@@ -283,7 +283,7 @@ O["ghost_hospitals"] = sql(f"SELECT {_flag_columns} FROM flags WHERE rule_id='R4
 _rates = f"""
 SELECT p.state, p.population, count(g.facility_id) AS n_specialty,
   round(count(g.facility_id)/cast(p.population as double)*1000000, 4) AS per_million
-FROM population p LEFT JOIN (SELECT * FROM gold WHERE {_onco}) g ON g.state = p.state GROUP BY ALL
+FROM population p LEFT JOIN (SELECT * FROM gold WHERE {_onco}) g ON g.state = p.state GROUP BY p.state, p.population
 """
 O["per_million"] = sql(f"SELECT *, rank() OVER (ORDER BY per_million DESC) AS rank FROM ({_rates})")
 O["below_one_per_five_million"] = sql(f"SELECT * FROM ({_rates}) WHERE n_specialty*5000000 < population")
@@ -340,12 +340,12 @@ for _name, _km in (
     ("ellipsoid_pairs", lambert("r.lat", "r.lon", "s.latitude", "s.longitude")),
 ):
     O[_name] = sql(f"""
-SELECT query_id, latitude AS site_lat, longitude AS site_lon, round(km, 4) AS distance_km
+SELECT query_id, latitude AS site_lat, longitude AS site_lon, round(km, 6) AS distance_km
 FROM (SELECT r.query_id, r.radius_km, s.latitude, s.longitude, {_km} AS km FROM radius_requests r CROSS JOIN {_sites} s)
 WHERE km <= radius_km
 """)
 O["radius_search"] = sql("""
-SELECT query_id, rank, facility_id, state, city, trust_score, round(km, 4) AS distance_km FROM radius_hits
+SELECT query_id, rank, facility_id, state, city, trust_score, round(km, 6) AS distance_km FROM radius_hits
 """)
 O["radius_json"] = sql("""
 SELECT r.query_id, r.lat, r.lon, r.radius_km, lower(r.specialty) AS specialty,
@@ -353,7 +353,7 @@ SELECT r.query_id, r.lat, r.lon, r.radius_km, lower(r.specialty) AS specialty,
 FROM radius_requests r LEFT JOIN radius_hits h ON h.query_id = r.query_id GROUP BY ALL
 """)
 O["nearest_equipped"] = sql("""
-SELECT query_id, facility_id, round(km, 4) AS distance_km FROM radius_scan
+SELECT query_id, facility_id, round(km, 6) AS distance_km FROM radius_scan
 WHERE km <= 100 AND len(equipment) > 0 AND len(list_filter(specialties, lambda x: contains(lower(x), 'cardio'))) > 0
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(km, 6), facility_id) = 1
 """)
@@ -371,7 +371,7 @@ def _kw_hit(c: str) -> str:
 
 
 O["provider_rank"] = sql(f"""
-SELECT query_id, rank, facility_id, trust, tier, spec_match, round(km, 4) AS distance_km, round(score, 4) AS score FROM (
+SELECT query_id, rank, facility_id, trust, tier, spec_match, round(km, 6) AS distance_km, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, facility_id) AS rank FROM (
     SELECT *, round(cast(0.45 as double)*trust + cast(0.35 as double)*spec_match
         + cast(case when facility_type = 'hospital' then 0.05 else 0 end as double)
@@ -421,9 +421,9 @@ def _vector(k: int) -> str:
 
 
 O["bm25_topk"] = (
-    f"SELECT query_id, doc_id, round(score, 4) AS score, rank FROM ({_bm25('documents', 'doc_id', 'text', 10)})"
+    f"SELECT query_id, doc_id, score, rank FROM ({_bm25('documents', 'doc_id', 'text', 10)})"
 )
-O["vector_topk"] = f"SELECT query_id, doc_id, round(similarity, 4) AS similarity, rank FROM ({_vector(10)})"
+O["vector_topk"] = f"SELECT query_id, doc_id, similarity, rank FROM ({_vector(10)})"
 O["hybrid_topk"] = f"""
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
   SELECT query_id, doc_id, round(sum(1::double/(60+rank)), 8) AS score FROM (
@@ -432,7 +432,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
 QUALIFY rank <= 10
 """
 O["facility_search"] = sql(f"""
-SELECT f.doc_id AS facility_id, f.query_id, round(f.score, 4) AS score, f.rank, c.name, c.city, c.state, c.facility_type
+SELECT f.doc_id AS facility_id, f.query_id, f.score, f.rank, c.name, c.city, c.state, c.facility_type
 FROM ({_bm25(f"(SELECT facility_id, {_text} AS facility_text FROM clean)", 'facility_id', 'facility_text', 10)}) f
 JOIN clean c ON c.facility_id = f.doc_id
 """)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ class Run:
     def raw(self) -> DataFrame:
         return customer_facilities(self.spark, self.folder)
 
-    @property
+    @cached_property
     def tables(self) -> pipeline.Pipeline:
         return pipeline.build(self.spark, self.raw)
 
@@ -130,13 +130,13 @@ def _(r: Run) -> DataFrame:
 
 @query("rule_lists")
 def _(r: Run) -> DataFrame:
-    lists = r.clean.select("facility_id", *[tx.rule_list(F.col(c)).alias(c) for c in LISTS])
+    lists = r.clean.select("facility_id", *[F.expr(tx.rule_list(c)).alias(c) for c in LISTS])
     return as_json(lists, *LISTS)
 
 
 @query("lenient_array")
 def _(r: Run) -> DataFrame:
-    parsed = r.request(inputs.MESSY_LISTS).select("p_partkey", tx.lenient_list(F.col("messy")).alias("items"))
+    parsed = r.request(inputs.MESSY_LISTS).select("p_partkey", F.expr(tx.lenient_list("messy")).alias("items"))
     return as_json(parsed, "items")
 
 
@@ -185,11 +185,11 @@ def _(r: Run) -> DataFrame:
 
 @query("specialty_keywords")
 def _(r: Run) -> DataFrame:
-    words = r.request(inputs.QUESTIONS).select("query_id", tx.preset(F.col("query")).alias("preset"), "query")
+    words = r.request(inputs.QUESTIONS).select("query_id", tx.preset("query").alias("preset"), "query")
     chosen = words.select("query_id", "query", "preset.*").withColumn(
-        "keywords", F.array_join(tx.specialty_keywords(F.col("specialty")), "|")
+        "keywords", F.array_join(tx.specialty_keywords("specialty"), "|")
     )
-    own = F.array_join(tx.specialty_keywords(F.col("query")), "|")
+    own = F.array_join(tx.specialty_keywords("query"), "|")
     return chosen.withColumn("own_keywords", own).withColumn("urgency", tx.urgency(F.col("query")))
 
 
@@ -376,14 +376,14 @@ def _(r: Run) -> DataFrame:
 
 @query("haversine_pairs")
 def _(r: Run) -> DataFrame:
-    pairs = nearby.sites_in_reach(r.request(inputs.RADIUS_REQUESTS), r.clean, geo.haversine_km)
-    return pairs.select("query_id", "site_lat", "site_lon", F.round("distance_km", 4).alias("distance_km"))
+    pairs = nearby.sites_in_reach(r.request(inputs.RADIUS_REQUESTS), r.clean, geo.SPHERE)
+    return pairs.select("query_id", "site_lat", "site_lon", "distance_km")
 
 
 @query("ellipsoid_pairs")
 def _(r: Run) -> DataFrame:
     pairs = nearby.sites_in_reach(r.request(inputs.RADIUS_REQUESTS), r.clean)
-    return pairs.select("query_id", "site_lat", "site_lon", F.round("distance_km", 4).alias("distance_km"))
+    return pairs.select("query_id", "site_lat", "site_lon", "distance_km")
 
 
 @query("radius_search")
@@ -391,7 +391,7 @@ def _(r: Run) -> DataFrame:
     found = nearby.radius_search(r.request(inputs.RADIUS_REQUESTS), r.gold)
     return found.select(
         "query_id", "rank", "facility_id", "state", "city", "trust_score",
-        F.round("distance_km", 4).alias("distance_km"),
+        "distance_km",
     )
 
 
@@ -420,13 +420,13 @@ def _(r: Run) -> DataFrame:
         F.lit(1).alias("limit"),
     )
     found = nearby.radius_search(requests, equipped)
-    return found.select("query_id", "facility_id", F.round("distance_km", 4).alias("distance_km"))
+    return found.select("query_id", "facility_id", "distance_km")
 
 
 @query("radius_trust_check")
 def _(r: Run) -> DataFrame:
     """Facilities within 50 km that claim intensive care, each with its trust report."""
-    icu = r.gold.where(tx.any_element_contains(F.col("capability"), ["icu"]))
+    icu = r.gold.where(tx.any_element_contains("capability", ["icu"]))
     requests = r.request(inputs.RADIUS_REQUESTS).withColumn("radius_km", F.lit(50.0)).withColumn(
         "specialty", F.lit("")
     )
@@ -441,7 +441,7 @@ def _(r: Run) -> DataFrame:
     ranked = nearby.rank_providers(r.request(inputs.QUESTIONS), r.gold)
     return ranked.select(
         "query_id", "rank", "facility_id", "trust", "tier", "spec_match",
-        F.round("distance_km", 4).alias("distance_km"), F.round("score", 4).alias("score"),
+        "distance_km", "score",
     )
 
 
@@ -450,7 +450,7 @@ def _(r: Run) -> DataFrame:
 @query("bm25_topk")
 def _(r: Run) -> DataFrame:
     found = search.bm25_top_k(r.request(inputs.SEARCH_REQUESTS), r.table("documents"), "doc_id", "text")
-    return found.withColumn("score", F.round("score", 4))
+    return found
 
 
 def _corpus(r: Run) -> DataFrame:
@@ -460,7 +460,7 @@ def _corpus(r: Run) -> DataFrame:
 @query("vector_topk")
 def _(r: Run) -> DataFrame:
     found = search.vector_top_k(r.request(inputs.VECTOR_REQUESTS), _corpus(r))
-    return found.withColumn("similarity", F.round("similarity", 4))
+    return found
 
 
 @query("hybrid_topk")
@@ -475,7 +475,7 @@ def _(r: Run) -> DataFrame:
 def _(r: Run) -> DataFrame:
     text = r.tables.text
     found = search.bm25_top_k(r.request(inputs.SEARCH_REQUESTS), text, "facility_id", "facility_text")
-    return search.show_facilities(found, text).drop("description").withColumn("score", F.round("score", 4))
+    return search.show_facilities(found, text).drop("description")
 
 
 @query("field_extract")
@@ -665,7 +665,7 @@ def _(r: Run) -> DataFrame:
 @query("column_comments")
 def _(r: Run) -> DataFrame:
     """Gold columns that carry a comment, with how often each is filled."""
-    gold = r.gold
+    gold = tables.with_comments(r.gold, pipeline.COMMENTS)
     comments = tables.column_comments(gold)
     counted = gold.agg(*[F.count(c).alias(c) for c in comments])
     names = F.create_map(*[F.lit(x) for pair in comments.items() for x in pair])
