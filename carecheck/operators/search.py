@@ -15,7 +15,7 @@ from carecheck.operators.topk import top_k
 
 K1, B = 1.2, 0.75
 RRF = 60
-SALTS = 16
+CHUNK_DOCS, BLOCK_QUERIES = 1024, 256
 
 
 # --- keyword half ---------------------------------------------------------------------
@@ -56,34 +56,79 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.col("query")))).alias("term"))
 
 
-def bm25_scores(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column) -> DataFrame:
-    """(query_id, doc_id, score) for every document sharing a term with a query.
+def weighted_terms(queries: DataFrame, posts: DataFrame, n_docs: Column) -> DataFrame:
+    """(query_id, k, term, idf) for the query terms that occur in the corpus."""
+    # counting over ``tf`` keeps the plan below equal to the postings', so Spark computes it once
+    frequency = posts.groupBy("term").agg(F.count("tf").cast("double").alias("df"))
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return (
+        query_terms(queries).join(queries.select("query_id", "k"), "query_id")
+        .join(frequency, "term").select("query_id", "k", "term", idf.alias("idf"))
+    )
+
 
-    A frequent term is salted: its postings are spread over ``SALTS`` groups and the few
-    query rows are repeated for each.
+def _score_chunk(key: tuple, posts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """Best documents of one chunk for every query of one block."""
+    out = []
+    if len(posts) and len(asked):
+        ids, doc = np.unique(posts["doc_id"].to_numpy(), return_inverse=True)
+        queries, query = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+        part, idf = posts["part"].to_numpy(), asked["idf"].to_numpy()
+        k = dict(zip(asked["query_id"], asked["k"]))
+        scores = np.zeros((len(queries), len(ids)))
+        holders = posts.groupby("term", sort=False).indices
+        for term, rows in asked.groupby("term", sort=True).indices.items():
+            if term in holders:
+                at = holders[term]
+                scores[np.ix_(query[rows], doc[at])] += np.outer(idf[rows], part[at])
+        scores = np.round(scores, 6)
+        ranked = np.argsort(-scores, axis=1, kind="stable")
+        for i, query_id in enumerate(queries):
+            best = ranked[i, :k[query_id]]
+            best = best[scores[i, best] > 0]
+            out.append(pd.DataFrame(
+                {"query_id": query_id, "k": k[query_id], "doc_id": ids[best], "score": scores[i, best]}
+            ))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
+        {"query_id": [], "k": [], "doc_id": [], "score": []})
+
+
+def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column) -> DataFrame:
+    """The ``k`` best documents of each query from the postings of its terms.
+
+    Documents are cut into chunks and queries into blocks of bounded size. A chunk meets
+    every block and returns its best k per query, so the (query, document) pairs that a
+    frequent term makes never leave the task; a hot term is spread over all chunks.
     """
-    frequency = posts.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    spread = posts.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    asked = query_terms(queries).join(frequency, "term").withColumn(
-        "idf", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    n_chunks = F.ceil(n_docs / CHUNK_DOCS).cast("int")
+    n_blocks = queries.agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int")).scalar()
     tf = F.col("tf").cast("double")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean_length)
-    part = F.col("idf") * tf * (K1 + 1) / (tf + norm)
-    return (
-        spread.join(asked, ["term", "_salt"])
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
+    asked = weighted_terms(queries, posts, n_docs)
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    left = posts.select(
+        "doc_id", "term", (tf * (K1 + 1) / (tf + norm)).alias("part"),
+        F.pmod(F.xxhash64("doc_id"), n_chunks).cast("int").alias("chunk"), every(n_blocks).alias("block"),
+    )
+    right = asked.select(
+        "*", every(n_chunks).alias("chunk"),
+        F.pmod(F.xxhash64("query_id"), n_blocks).cast("int").alias("block"),
     )
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (posts, "doc_id"))}
+    best = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(
+        _score_chunk, f"query_id {types['query_id']}, k int, doc_id {types['doc_id']}, score double"
+    )
+    order = [F.desc("score"), F.col("doc_id")]
+    return top_k(best, ["query_id"], order, F.col("k"), ["doc_id"]).drop("k")
 
 
 def bm25_top_k(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The ``k`` best documents of each query (query_id, query, k)."""
     posts = postings(docs, key, text, only=query_terms(queries))
-    scores = bm25_scores(queries, posts, *corpus_stats(docs, key, text))
-    limited = scores.join(queries.select("query_id", "k"), "query_id")
-    best = [F.desc("score"), F.col("doc_id")]
-    return top_k(limited, ["query_id"], best, F.col("k"), ["doc_id"]).drop("k")
+    return bm25_rank(queries, posts, *corpus_stats(docs, key, text))
 
 
 # --- vector half ----------------------------------------------------------------------

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carecheck.sources.tables import widen
+
 RAW_EXPRESSIONS = {
     "facility_id": "concat('F', lpad(cast(k as string),6,'0'))",
     "name": "name",
@@ -36,18 +38,13 @@ RAW_EXPRESSIONS = {
 }
 
 
-def _spread(keys: DataFrame, column: str) -> DataFrame:
-    """The benchmark files hold one row group each; spread the keys so that all cores work."""
-    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism, column)
-
-
 def _raw(base: DataFrame) -> DataFrame:
     return base.selectExpr(*[f"{sql} AS {name}" for name, sql in RAW_EXPRESSIONS.items()])
 
 
 def customer_facilities(spark: SparkSession, folder: str) -> DataFrame:
     """One raw facility per customer, described by the document of the same key."""
-    customer = _spread(
+    customer = widen(
         spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_name"), "c_custkey"
     )
     documents = spark.read.parquet(f"{folder}/documents.parquet")
@@ -60,7 +57,7 @@ def customer_facilities(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_facilities(spark: SparkSession, folder: str) -> DataFrame:
     """One raw facility per order, for bench-size runs; documents are reused in turn."""
-    orders = _spread(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey"), "o_orderkey")
+    orders = widen(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey"), "o_orderkey")
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     last = documents.agg({"doc_id": "max"}).first()[0]
     return _raw(

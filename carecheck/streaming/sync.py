@@ -71,10 +71,7 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame) -> DataFr
     mean_length = keys.agg(F.avg("length")).scalar()
     wanted = search.query_terms(queries).select("term").distinct()
     posts = live_postings(spark, folder).join(wanted, "term", "left_semi")
-    scores = search.bm25_scores(queries, posts, n_docs, mean_length)
-    limited = scores.join(queries.select("query_id", "k"), "query_id")
-    best = [F.desc("score"), F.col("doc_id")]
-    return search.top_k(limited, ["query_id"], best, F.col("k"), ["doc_id"]).drop("k")
+    return search.bm25_rank(queries, posts, n_docs, mean_length)
 
 
 def flag_stream(raw: DataFrame, boxes: DataFrame, aliases: DataFrame, as_of: str) -> DataFrame:

@@ -34,13 +34,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 class Run:
     """Tables and pipeline of one (session, folder)."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, stored: pipeline.Pipeline | None = None):
         self.spark, self.folder = spark, folder
+        if stored is not None:
+            self.tables = stored
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return tables.read_table(self.spark, self.folder, name)
 
+    @property
+    def documents(self) -> DataFrame:
+        return tables.widen(self.table("documents"), "doc_id")
+
     def request(self, statement: str) -> DataFrame:
         """One of the shared input statements over this folder's tables."""
         names = {t: self.table(t) for t in TABLES if t in statement}
@@ -77,10 +83,12 @@ class Run:
 
 
 QUERIES: dict[str, Query] = {}
+BUILDERS: dict[str, Callable[[Run], DataFrame]] = {}
 
 
 def query(name: str) -> Callable[[Callable[[Run], DataFrame]], Callable[[Run], DataFrame]]:
     def register(build: Callable[[Run], DataFrame]) -> Callable[[Run], DataFrame]:
+        BUILDERS[name] = build
         QUERIES[name] = lambda spark, folder: build(Run(spark, folder))
         return build
 
@@ -449,7 +457,7 @@ def _(r: Run) -> DataFrame:
 
 @query("bm25_topk")
 def _(r: Run) -> DataFrame:
-    found = search.bm25_top_k(r.request(inputs.SEARCH_REQUESTS), r.table("documents"), "doc_id", "text")
+    found = search.bm25_top_k(r.request(inputs.SEARCH_REQUESTS), r.documents, "doc_id", "text")
     return found
 
 
@@ -466,7 +474,7 @@ def _(r: Run) -> DataFrame:
 @query("hybrid_topk")
 def _(r: Run) -> DataFrame:
     return search.hybrid_top_k(
-        r.request(inputs.SEARCH_REQUESTS), r.table("documents"), "doc_id", "text",
+        r.request(inputs.SEARCH_REQUESTS), r.documents, "doc_id", "text",
         r.request(inputs.VECTOR_REQUESTS), _corpus(r),
     )
 
@@ -488,13 +496,13 @@ def _(r: Run) -> DataFrame:
 
 @query("page_extract")
 def _(r: Run) -> DataFrame:
-    made = extract.extract_json(r.table("pages").select("page_id", "html"), "html")
+    made = extract.extract_json(tables.widen(r.table("pages"), "page_id").select("page_id", "html"), "html")
     return made.select("page_id", "fields")
 
 
 @query("document_extract")
 def _(r: Run) -> DataFrame:
-    made = extract.extract_json(r.table("documents").select("doc_id", "text"), "text")
+    made = extract.extract_json(r.documents.select("doc_id", "text"), "text")
     return made.select("doc_id", "fields")
 
 
@@ -536,7 +544,7 @@ def _(r: Run) -> DataFrame:
 
 @query("sentence_claims")
 def _(r: Run) -> DataFrame:
-    return r.table("documents").select("doc_id", F.to_json(tx.sentence_claims(F.col("text"))).alias("claims"))
+    return r.documents.select("doc_id", F.to_json(tx.sentence_claims(F.col("text"))).alias("claims"))
 
 
 @query("verify_answers")
@@ -595,7 +603,7 @@ def _(r: Run) -> DataFrame:
 def _(r: Run) -> DataFrame:
     """Index all documents, then take in new versions of the labelled ones."""
     folder = r.scratch()
-    documents = r.table("documents").select("doc_id", F.lit(1).alias("version"), "text")
+    documents = r.documents.select("doc_id", F.lit(1).alias("version"), "text")
     documents.write.mode("append").parquet(f"{folder}/feed")
     changes = r.spark.readStream.schema(documents.schema).parquet(f"{folder}/feed")
     sync.sync_index(changes, f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
