@@ -159,9 +159,21 @@ def message_role(role: Column, kind: Column) -> Column:
     return F.coalesce(named, F.when(kind == "message", "assistant").otherwise("user"))
 
 
-def needles(claim: Column) -> Column:
+def needles(claim: str) -> str:
     """Words of a claim longer than three characters, lower case."""
-    return F.filter(F.split(stripped(F.lower(claim)), r"\s+"), lambda w: F.length(w) > 3)
+    return f"filter(split({strip(f'lower({claim})')}, '\\\\s+'), w -> length(w) > 3)"
+
+
+def supporting_sources(claim: str) -> str:
+    """Which of the six sources of a facility row back a claim, in report order."""
+    def found(text: str) -> str:
+        return f"coalesce(exists({needles(claim)}, n -> contains({text}, n)), false)"
+
+    tests = {c: found(f"lower(array_join({c}, ' '))") for c in rv.CLAIM_SOURCES[:4]}
+    tests["description"] = found("lower(description)")
+    tests["capacity_or_doctors"] = "coalesce(capacity, 0) <> 0 OR coalesce(number_doctors, 0) <> 0"
+    cases = ", ".join(f"CASE WHEN {tests[s]} THEN '{s}' END" for s in rv.CLAIM_SOURCES)
+    return f"array_compact(array({cases}))"
 
 
 def terms(text: Column) -> Column:

@@ -10,16 +10,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from carecheck import rule_values as rv
 from carecheck.functions import geo, stats
 from carecheck.functions import text as tx
 from carecheck.operators.topk import top_k
+from carecheck.session import cut_lineage
 
 # Grid levels: level z cuts 360 degrees into 2**z cells.
 LEVELS = [1, 4, 6, 8, 10, 12]
 KM_PER_DEGREE = 110.0  # below the true length everywhere, so covers are never too small
 SALTS = 16
+FIRST_PASS = 1 / 8  # exact power of two, so a radius survives the round trip
+EDGE_KM = 0.00001  # distances are rounded, so a hit on the edge may tie with one beyond it
 SITE = ["site_lat", "site_lon"]
 
 
@@ -139,13 +143,31 @@ def radius_search(requests: DataFrame, facilities: DataFrame, extra: list[str] |
     """The nearest ``limit`` facilities of each request within its radius.
 
     ``requests``: query_id, lat, lon, radius_km, specialty (fragment, empty for any), limit.
-    Of one site a request can need no more than its ``limit`` lowest ids per fragment, so
-    that many are picked per site and fragment before sites and requests meet again.
+    A first pass looks within a fraction of each radius. A request that finds its ``limit``
+    there is settled, since nothing further out can be nearer; only the others, which have
+    few matches nearby, search their whole circle.
     """
     asked = requests.select(
         "query_id", "lat", "lon", "radius_km", "limit",
         F.lower(F.trim(F.coalesce("specialty", F.lit("")))).alias("needle"),
     )
+    close = _nearest(asked.withColumn("radius_km", F.col("radius_km") * FIRST_PASS), facilities, extra)
+    own = Window.partitionBy("query_id")
+    full = (F.count(F.lit(1)).over(own) == F.col("limit")) & (
+        F.max("distance_km").over(own) < F.col("radius_km") - EDGE_KM
+    )
+    settled = cut_lineage(
+        close.withColumn("_full", full).where("_full")
+        .withColumn("radius_km", F.col("radius_km") / FIRST_PASS).drop("_full")
+    )
+    rest = asked.join(settled.select("query_id").distinct(), "query_id", "left_anti")
+    return settled.unionByName(_nearest(rest, facilities, extra))
+
+
+def _nearest(asked: DataFrame, facilities: DataFrame, extra: list[str] | None) -> DataFrame:
+    """One pass. Of one site a request can need no more than its ``limit`` lowest ids per
+    fragment, so that many are picked per site and fragment before sites and requests meet again.
+    """
     hits = sites_in_reach(asked, facilities)
     wants = hits.groupBy(*SITE, "needle").agg(F.max("limit").alias("_most"))
     matches = (F.col("needle") == "") | tx.any_element_contains_column("specialties", "needle")

@@ -12,7 +12,6 @@ FACTS = [
     "facility_id", "specialties", "capability", "equipment", "procedure", "description",
     "capacity", "number_doctors",
 ]
-PAIR_IDS, PAIR_CLAIMS, SCORED_IDS, SHOWN = 5, 3, 3, 3
 
 
 def trust_report(requests: DataFrame, gold: DataFrame) -> DataFrame:
@@ -31,37 +30,15 @@ def trust_report(requests: DataFrame, gold: DataFrame) -> DataFrame:
     return requests.join(answered, "facility_id").select("request_id", "facility_id", "json")
 
 
-def _mentions(needles: Column, text: Column) -> Column:
-    found = F.exists(needles, lambda n: F.contains(text, n))
-    return F.coalesce(found, F.lit(False))
-
-
-def source_hits(claim: Column) -> dict[str, Column]:
-    """For each of the six sources, whether it backs the claim; all false without facility."""
-    needles = tx.needles(claim)
-
-    def listed(c: str) -> Column:
-        return _mentions(needles, F.lower(F.array_join(c, " ")))
-
-    filled = (F.coalesce("capacity", F.lit(0)) != 0) | (F.coalesce("number_doctors", F.lit(0)) != 0)
-    hits = {c: listed(c) for c in rv.CLAIM_SOURCES[:4]}
-    hits["description"] = _mentions(needles, F.lower("description"))
-    hits["capacity_or_doctors"] = filled
-    return hits
-
-
-def supporting_sources(claim: Column) -> Column:
-    hits = source_hits(claim)
-    return F.array_compact(F.array(*[F.when(hits[s], F.lit(s)) for s in rv.CLAIM_SOURCES]))
-
-
 def cross_source(requests: DataFrame, clean: DataFrame) -> DataFrame:
     """Whether at least two of six sources back each claim (request_id, facility_id, claim)."""
     facts = clean.select(*FACTS).withColumn("known", F.lit(True))
     joined = requests.join(facts, "facility_id", "left")
     known = F.coalesce("known", F.lit(False))
-    supporting = F.when(known, supporting_sources(F.col("claim"))).otherwise(tx.empty_list())
-    return joined.select("request_id", "facility_id", "claim", supporting.alias("supporting"), known.alias("known")).select(
+    supporting = F.when(known, F.expr(tx.supporting_sources("claim"))).otherwise(tx.empty_list())
+    return joined.select(
+        "request_id", "facility_id", "claim", supporting.alias("supporting"), known.alias("known")
+    ).select(
         "request_id", "facility_id", "claim",
         (F.size("supporting") >= 2).alias("agree"),
         F.col("supporting").alias("sources_supporting"),
@@ -87,14 +64,6 @@ def with_citations_and_claims(answers: DataFrame) -> DataFrame:
     )
 
 
-REFINE_HEAD = "VERIFIER_REFINE: "
-REFINE_TAIL = (
-    "\nReturn an updated answer that either (a) removes the unsupported claims, "
-    "(b) attaches the contradiction flags as 'Truth-gap flags', or (c) downgrades confidence."
-)
-CAP_TAIL = "\n\nConfidence: low (verifier iteration cap reached)."
-
-
 def verify_answers(answers: DataFrame, gold: DataFrame) -> DataFrame:
     """Accept or send back each answer.
 
@@ -106,13 +75,13 @@ def verify_answers(answers: DataFrame, gold: DataFrame) -> DataFrame:
     parsed = with_citations_and_claims(answers)
     cited = parsed.select(
         "answer_id",
-        F.slice("claims", 1, PAIR_CLAIMS).alias("claims"),
-        F.posexplode(F.slice("ids", 1, PAIR_IDS)).alias("id_pos", "facility_id"),
+        F.slice("claims", 1, rv.PAIR_CLAIMS).alias("claims"),
+        F.posexplode(F.slice("ids", 1, rv.PAIR_IDS)).alias("id_pos", "facility_id"),
     )
     facts = gold.select(*FACTS, "flags")
     joined = cited.join(facts, "facility_id", "left")
-    doubted = F.filter("claims", lambda c: F.size(supporting_sources(c)) < 2)
     # without a facility no source can back a claim, so every claim is doubted
+    doubted = F.expr(f"filter(claims, c -> size({tx.supporting_sources('c')}) < 2)")
     high = F.filter(F.coalesce("flags", F.expr("array()").cast(facts.schema["flags"].dataType)),
                     lambda f: f["severity"] == "HIGH")
     checked = joined.select(
@@ -121,7 +90,7 @@ def verify_answers(answers: DataFrame, gold: DataFrame) -> DataFrame:
             doubted, lambda c: F.concat(F.col("facility_id"), F.lit(": "), F.substring(c, 1, 60))
         ).alias("doubts"),
         F.when(
-            F.col("id_pos") < SCORED_IDS,
+            F.col("id_pos") < rv.SCORED_IDS,
             F.transform(high, lambda f: F.concat(F.col("facility_id"), F.lit("/"), f["rule_id"])),
         ).otherwise(tx.empty_list()).alias("highs"),
     )
@@ -150,7 +119,7 @@ def _decide(full: DataFrame) -> DataFrame:
             F.size(items) > 0,
             F.concat(
                 F.size(items).cast("string"), F.lit(f" {label}: "),
-                F.array_join(F.slice(items, 1, SHOWN), "; "),
+                F.array_join(F.slice(items, 1, rv.REASONS_SHOWN), "; "),
             ),
         )
 
@@ -164,8 +133,8 @@ def _decide(full: DataFrame) -> DataFrame:
         F.when(capped, "low").when(refine, None).when(F.size("ids") > 0, "high").otherwise("medium")
     )
     message = (
-        F.when(capped, F.concat(F.coalesce("text", F.lit("")), F.lit(CAP_TAIL)))
-        .when(refine, F.concat(F.lit(REFINE_HEAD), reason, F.lit(REFINE_TAIL)))
+        F.when(capped, F.concat(F.coalesce("text", F.lit("")), F.lit(rv.CAP_TAIL)))
+        .when(refine, F.concat(F.lit(rv.REFINE_HEAD), reason, F.lit(rv.REFINE_TAIL)))
         .otherwise(F.coalesce("text", F.lit("")))
     )
     none = F.lit(0)

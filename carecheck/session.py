@@ -22,14 +22,18 @@ def build_session(app: str = "carecheck", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    made = tempfile.mkdtemp(prefix="carecheck-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _made:
+        _made[application] = tempfile.mkdtemp(prefix="carecheck-checkpoint-")
+    return _made[application]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

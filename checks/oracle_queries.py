@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from carecheck import rule_values as rv
-from carecheck.operators.extract import LABEL_PATTERNS
-from carecheck.operators.verify import CAP_TAIL, REFINE_HEAD, REFINE_TAIL
+from carecheck.functions.patterns import LABEL_PATTERNS
 from carecheck.plans.pipeline import COMMENTS
 from carecheck.plans.reports import REMEDIES
 from checks import inputs
@@ -496,12 +495,13 @@ SELECT request_id, facility_id, len(s) >= 2 AS agree, array_to_string(s, '|') AS
   case when known then 6 else 0 end AS sources_total, case when not known then 'facility not found' end AS reason
 FROM ({_cross})
 """)
-O["cross_source_json"] = sql(f"""
+_cross_json = f"""
 SELECT request_id, '{{"facility_id":"' || facility_id || '","claim":' || {js('claim')} || ',"agree":'
   || case when len(s) >= 2 then 'true' else 'false' end || case when known then '' else ',"reason":"facility not found"' end
   || ',"sources_supporting":' || {js('s')} || ',"sources_total":' || case when known then '6' else '0' end || '}}' AS json
 FROM ({_cross})
-""")
+"""
+O["cross_source_json"] = sql(_cross_json)
 O["trust_report"] = sql("""
 SELECT r.request_id, r.facility_id, case when g.facility_id is null
   then '{"facility_id":"' || r.facility_id || '","error":"not found"}'
@@ -546,7 +546,7 @@ SELECT answer_id, iter, case when iter > 8 then 'capped' when nd + nh > 0 then '
   case when iter > 8 then 'low' when nd + nh > 0 then null when len(ids) > 0 then 'high' else 'medium' end AS confidence,
   cast(case when iter > 8 then 0 else nd end as int) AS n_disagreements, cast(case when iter > 8 then 0 else nh end as int) AS n_high_flags,
   case when iter <= 8 and nd + nh > 0 then why end AS reason,
-  case when iter > 8 then text || {q(CAP_TAIL)} when nd + nh > 0 then {q(REFINE_HEAD)} || why || {q(REFINE_TAIL)} else text end AS message
+  case when iter > 8 then text || {q(rv.CAP_TAIL)} when nd + nh > 0 then {q(rv.REFINE_HEAD)} || why || {q(rv.REFINE_TAIL)} else text end AS message
 FROM judged
 """)
 O["answer_checks"] = sql(r"""
@@ -599,9 +599,25 @@ _km = HAV.format(lat1="latitude", lon1="longitude", lat2="25.59::double", lon2="
 O["temp_functions"] = sql(f"""
 SELECT facility_id, pin, case when coalesce(capacity, 0) >= 70 then 'High' when coalesce(capacity, 0) >= 45 then 'Moderate' else 'Low' end AS tier,
   round({_km}, 4) AS km,
-  array_to_string(list_filter(regexp_split_to_array(trim(lower(description)), '\\s+'), lambda w: length(w) > 3), '|') AS needles
+  array_to_string({_needles('description')}, '|') AS needles
 FROM clean
 """)
+_not_found = '\'{"facility_id":"\' || r.facility_id || \'","error":"not found"}\''
+O["sql_tools"] = sql(f"""
+SELECT r.request_id, case when g.facility_id is null then {_not_found}
+    else '{{"facility_id":"' || g.facility_id || '","trust_score":' || g.trust_score || ',"flags":' || g.flags_json || '}}' end AS score,
+  x.json AS cross_source, p.fields
+FROM claim_requests r LEFT JOIN gold g ON g.facility_id = r.facility_id
+JOIN ({_cross_json}) x ON x.request_id = r.request_id
+JOIN ({_extract('claim_requests', 'request_id', 'claim')}) p ON p.request_id = r.request_id
+""")
+O["sql_radius"] = sql(f"""
+SELECT 'cardio' AS specialty, cast(row_number() OVER (ORDER BY round(km, 6), facility_id) - 1 as int) AS pos, facility_id,
+  round(km, 6) AS distance_km
+FROM (SELECT facility_id, {lambert('25.59::double', '85.13::double', 'latitude', 'longitude')} AS km FROM gold
+  WHERE latitude is not null and longitude is not null and {any_contains('specialties', ['cardio'])})
+WHERE km <= 50 QUALIFY pos < 20
+""")
 O["write_roundtrip"] = O["trust_scores"]
 _gold_columns = [c for c in COMMENTS if c not in ("recency_months",)]
 O["column_comments"] = sql(" UNION ALL ".join(

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from carecheck import lookup_values as lv
 from carecheck import rule_values as rv
-from carecheck.operators.extract import LABEL_PATTERNS
-from carecheck.plans.reports import REMEDIES
 from checks import inputs
 
 BLANKS = "chr(32)||chr(9)||chr(10)||chr(13)||chr(12)||chr(11)"

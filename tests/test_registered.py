@@ -14,6 +14,7 @@ SOME = [
     "typo_by_state", "zero_coverage_cities", "audit_kpis", "desert_oncology", "per_million", "worst_districts",
     "radius_search", "provider_rank", "bm25_topk", "vector_topk", "cross_source_json", "verify_answers",
     "answer_checks", "metric_delta", "temp_functions", "point_in_state", "field_extract", "citations",
+    "sql_tools", "sql_radius", "index_incremental",
 ]
 NAMES = sorted(entry.queries()) if os.environ.get("CHECK_ALL") else SOME
 

@@ -68,7 +68,7 @@ def test_confidence_line(spark, text, good):
 
 
 def test_needles(spark):
-    assert one(spark, " The  Cardiac\tsurgery unit ", tx.needles(F.col("c"))) == ["cardiac", "surgery", "unit"]
+    assert one(spark, " The  Cardiac\tsurgery unit ", tx.needles("c")) == ["cardiac", "surgery", "unit"]
 
 
 def test_presets_and_keywords(spark):
