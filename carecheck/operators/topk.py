@@ -22,4 +22,4 @@ def top_k(
     inner = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
     outer = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     kept = df.withColumn("_part", part).withColumn("_in_part", inner).where(F.col("_in_part") <= k)
-    return kept.drop("_part", "_in_part").withColumn(rank, outer).where(F.col(rank) <= k)
+    return kept.drop("_part", "_in_part").withColumn(rank, outer.cast("bigint")).where(F.col(rank) <= k)

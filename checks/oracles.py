@@ -97,7 +97,7 @@ CTES["boxes(state, min_lat, max_lat, min_lon, max_lon)"] = values(lv.STATE_BOXES
 CTES["aliases(alias, state, kind)"] = values(
     [(a, s, "alias") for a, s in lv.STATE_ALIASES] + [(a, s, "city") for a, s in lv.CITY_STATES]
 )
-CTES["population(state, population)"] = values(lv.STATE_POPULATION)
+CTES["population(state, population)"] = f"SELECT col0, cast(col1 as bigint) FROM ({values(lv.STATE_POPULATION)})"
 CTES["districts(district, state)"] = values(lv.PRIORITY_DISTRICTS)
 CTES["hints(key_pos, key, hints)"] = values(
     [(i, k, h) for i, (k, h) in enumerate(rv.SPECIALTY_HINTS)]
@@ -236,7 +236,20 @@ QUALIFY rank <= "limit"
 """
 
 
+def bigint_counts(statement: str) -> str:
+    """``count_if`` returns HUGEINT; every call is cast to the BIGINT that Spark gives."""
+    call, done, at = "count_if(", "", 0
+    while (start := statement.find(call, at)) >= 0:
+        end, depth = start + len(call), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(statement[end], 0)
+            end += 1
+        done += statement[at:start] + f"cast({statement[start:end]} as bigint)"
+        at = end
+    return done + statement[at:]
+
+
 def sql(body: str) -> str:
     """A statement with the shared tables it may use in front; unused ones cost nothing."""
     ctes = ",\n".join(f"{name} AS ({text})" for name, text in CTES.items())
-    return f"WITH {ctes}\n{body}"
+    return bigint_counts(f"WITH {ctes}\n{body}")
