@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from carecheck import rule_values as rv
 from carecheck.functions import text as tx
-from carecheck.functions.text import FLAG_TYPE, contains_any, pattern_any, quoted
+from carecheck.functions.text import FLAG_TYPE, contains_any, pattern_any, pattern_lower, quoted
 
 LISTS = ["specialties", "procedure", "equipment", "capability"]
 IN_COUNTRY = (
@@ -33,6 +33,20 @@ def _shown(value: str) -> str:
     return f"coalesce(cast({value} AS string), 'null')"
 
 
+def _award() -> str:
+    """What the first award pattern in list order matches; null where none does.
+
+    The lower-case text decides (case-blind matching is far slower); a hit is then read
+    from the text as written.
+    """
+    tries = ", ".join(
+        f"CASE WHEN {contains_any('_folded', needs)} AND _folded RLIKE {quoted(pattern_lower(p))}"
+        f" THEN nullif(regexp_extract(_description, {quoted(pattern_any([p]))}, 0), '') END"
+        for p, needs in zip(rv.AWARD_PATTERNS, rv.AWARD_NEEDS)
+    )
+    return f"coalesce({tries})"
+
+
 def with_rule_inputs(clean: DataFrame) -> DataFrame:
     """Add the normalised inputs the rules share, each computed once per row."""
     normal = clean.selectExpr(
@@ -47,6 +61,7 @@ def with_rule_inputs(clean: DataFrame) -> DataFrame:
     )
     return normal.selectExpr(
         "*",
+        f"{_award()} AS _award",
         "array_join(concat(_specialties, _capability, _procedure), ' ') AS _claims",
         "array_join(_equipment, ' ') AS _equipment_text",
     )
@@ -66,10 +81,11 @@ def rule_r1() -> str:
 
 def rule_r2() -> str:
     types = ", ".join(quoted(t) for t in rv.NON_HOSPITAL_TYPES)
-    fires = (
-        f"_type IN ({types}) AND {contains_any('_folded', rv.EMERGENCY_LITERALS)}"
-        f" AND _description RLIKE {quoted(pattern_any(rv.EMERGENCY_PATTERNS))}"
+    worded = " OR ".join(
+        f"({contains_any('_folded', needs)} AND _folded RLIKE {quoted(pattern_lower(p))})"
+        for p, needs in zip(rv.EMERGENCY_PATTERNS, rv.EMERGENCY_NEEDS)
     )
+    fires = f"_type IN ({types}) AND ({worded})"
     message = f"format_string({quoted(rv.R2_MESSAGE)}, _type)"
     evidence = f"substring(_description, 1, {rv.DESCRIPTION_EVIDENCE_CHARS})"
     return f"CASE WHEN {fires} THEN {_flag('R2', message, evidence)} END"
@@ -107,15 +123,7 @@ def rule_r5() -> str:
 
 
 def rule_r6() -> str:
-    """One scan decides; only hits look for the first pattern in list order."""
-    matches = ", ".join(
-        f"nullif(regexp_extract(_description, {quoted(pattern_any([p]))}, 0), '')" for p in rv.AWARD_PATTERNS
-    )
-    fires = (
-        f"{contains_any('_folded', rv.AWARD_LITERALS)}"
-        f" AND _description RLIKE {quoted(pattern_any(rv.AWARD_PATTERNS))}"
-    )
-    return f"CASE WHEN {fires} THEN {_flag('R6', quoted(rv.R6_MESSAGE), f'coalesce({matches})')} END"
+    return f"CASE WHEN _award IS NOT NULL THEN {_flag('R6', quoted(rv.R6_MESSAGE), '_award')} END"
 
 
 def rule_r7() -> str:

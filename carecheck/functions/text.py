@@ -37,6 +37,11 @@ def pattern_any(patterns: list[str]) -> str:
     return "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def pattern_lower(pattern: str) -> str:
+    """A lower-case pattern for lower-case text; classes such as ``\\s`` cover all of Unicode."""
+    return "(?U)" + pattern
+
+
 def contains_any(text: str, needles: list[str]) -> str:
     """Whether lower-case ``text`` holds one of the literal fragments; false for null."""
     hits = " OR ".join(f"contains({text}, {quoted(n)})" for n in needles)
