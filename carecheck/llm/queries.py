@@ -7,12 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carecheck.llm import byte_bpe, ring, rule_ledger
+from carecheck.llm import byte_bpe, html_extract, packing, quality, ring, rule_ledger
 from carecheck.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.classify(docs, docs, read(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -26,5 +35,11 @@ def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_byte_bpe, op6_rule_ledger, op8_ring_sharding)}
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_packing, op4_quality, op5_byte_bpe, op6_rule_ledger, op8_ring_sharding, op10_html_extract,
+)}
 ORACLES: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE_SQL}
