@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carecheck.llm import byte_bpe, html_extract, packing, quality, ring, rule_ledger
+from carecheck.llm import byte_bpe, html_extract, kd_search, packing, quality, ring, rule_ledger, suffix_dedup
 from carecheck.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -31,6 +35,11 @@ def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return kd_search.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(read(spark, sf_dir, "documents"))
 
@@ -40,6 +49,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_packing, op4_quality, op5_byte_bpe, op6_rule_ledger, op8_ring_sharding, op10_html_extract,
+    op1_suffix_dedup, op2_packing, op4_quality, op5_byte_bpe, op6_rule_ledger, op7_kd_search, op8_ring_sharding, 
+    op10_html_extract,
 )}
-ORACLES: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE_SQL, "op7_kd_search": kd_search.ORACLE_SQL}
