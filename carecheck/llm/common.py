@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,3 +109,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after = np.r_[inside[1:], False]
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as differences, byte planes apart, compressed."""
+    return pack_planes(np.diff(values, prepend=np.uint64(0)).astype("<u8"))
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack_planes(blob, "<u8"), dtype=np.uint64)
+
+
+def pack_planes(values: np.ndarray) -> bytes:
+    """An array with its bytes sorted by place, compressed."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_planes(blob: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carecheck.llm import byte_bpe, html_extract, kd_search, packing, quality, ring, rule_ledger, suffix_dedup
+from carecheck.llm import byte_bpe, html_extract, kd_search, near_dedup, packing, quality, ring, rule_ledger, suffix_dedup
 from carecheck.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.with_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.classify(docs, docs, read(spark, sf_dir, "labels"))
@@ -49,7 +53,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_packing, op4_quality, op5_byte_bpe, op6_rule_ledger, op7_kd_search, op8_ring_sharding, 
+    op1_suffix_dedup, op2_packing, op3_near_dedup, op4_quality, op5_byte_bpe, op6_rule_ledger, op7_kd_search, op8_ring_sharding, 
     op10_html_extract,
 )}
 ORACLES: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE_SQL, "op7_kd_search": kd_search.ORACLE_SQL}
