@@ -2,7 +2,7 @@
 
 Every byte covered by a ``length``-byte string that also starts in a document with a smaller id is removed.
 
-The suffixes are dealt out so that equal strings meet: a string goes with its anchor, the 16-byte gram of least hash
+The suffixes are dealt out so that equal strings meet: a string goes with its anchor, the 24-byte gram of least hash
 in it, and neighbouring strings with one anchor travel as one piece. Documents are dealt over chunks once, and all passes
 read that deal:
 
@@ -31,14 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecheck.llm.common import BYTE_VALUES, mix, slices, span_hashes, utf8
+from carecheck.llm.common import BYTE_VALUES, mix, pack_sorted, slices, span_hashes, unpack_sorted, utf8
 
 LENGTH = 50
-GRAM = 16
-SLICE_BYTES = 2 << 20  # text that is cut into pieces at once
+GRAM = 24
+SLICE_BYTES = 1 << 20  # text that is cut into pieces at once
 CHUNK_BYTES = 8 << 20  # text of a chunk, on average
 ANCHOR_BYTES = 32 << 20  # text whose anchors share a bucket
-BUCKET_BYTES = 8 << 20  # text whose pieces share a bucket
+BUCKET_BYTES = 2 << 20  # text whose pieces share a bucket
 LAST = (1 << 63) - 1  # stands for a null id
 DOC, KEY, CHUNK = "__dedup_doc", "__dedup_text_key", "__dedup_chunk"  # columns that chunks carry beside the rows' own
 
@@ -125,12 +125,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     n, none = len(data), np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        grams, span, base = BYTE_VALUES[data], 1, np.uint64(0x2545F4914F6CDD1D)
-        while span < GRAM:
-            grams = grams[:-span] * base + grams[span:]
-            span, base = 2 * span, base * base
-        grams = mix(grams)
+    every = np.arange(n - GRAM + 1)
+    grams = span_hashes(BYTE_VALUES[data], every, every + GRAM)
+    del every
     at = np.arange(len(grams), dtype=np.uint64)
     grams = (grams & ~np.uint64(63)) | (at & np.uint64(63))  # the low bits tell the position
     least = _sliding_min(grams, length - GRAM + 1)
@@ -223,7 +220,7 @@ def chunk_anchors(buckets: int, length: int, text_column: str):
                 order = np.argsort(bucket, kind="stable")  # ascending values within a bucket
                 values, bucket = values[order], bucket[order]
                 ends = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-                out = [(int(bucket[x]), _pack_sorted(values[x:y])) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                out = [(int(bucket[x]), pack_sorted(values[x:y])) for x, y in zip(ends[:-1], ends[1:], strict=True)]
         home = chunk.column(CHUNK)[0].as_py() if chunk.num_rows else 0
         return pa.table({
             "bucket": pa.array([x for x, _ in out], pa.int32()), "chunk": pa.array([home] * len(out), pa.int32()),
@@ -232,20 +229,9 @@ def chunk_anchors(buckets: int, length: int, text_column: str):
     return run
 
 
-def _pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending 64-bit values as differences, byte planes apart, compressed."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _unpack_sorted(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64)
-
-
 def shared_anchors(table: pa.Table) -> pa.Table:
     """For applyInArrow over a bucket of anchors: rows (chunk, blob) of those that two ids or two chunks have."""
-    parts = [_unpack_sorted(b) for b in table.column("blob").to_pylist()]
+    parts = [unpack_sorted(b) for b in table.column("blob").to_pylist()]
     values = np.concatenate(parts)
     chunk = np.repeat(table.column("chunk").to_numpy(), [len(p) for p in parts])
     order = np.argsort(values >> np.uint64(1), kind="stable")
@@ -260,16 +246,17 @@ def shared_anchors(table: pa.Table) -> pa.Table:
     ends = np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)] if len(chunk) else np.zeros(1, np.int64)
     return pa.table({
         "chunk": pa.array(chunk[ends[:-1]], pa.int32()),
-        "blob": pa.array([_pack_sorted(anchor[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+        "blob": pa.array([pack_sorted(anchor[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
 
 def chunk_pieces(buckets: int, length: int, text_column: str):
     """For a cogroup of chunks with their shared anchors: rows (bucket, blob) of pieces, and ranges settled in the chunk."""
 
     def run(chunk: pa.Table, wanted: pa.Table) -> pa.Table:
-        anchors = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_unpack_sorted, wanted.column("blob").to_pylist())]))
+        anchors = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(unpack_sorted, wanted.column("blob").to_pylist())]))
         seen: dict[int, int] = {}  # repeated pieces of this chunk: the smallest id that was passed on
         out: list[pa.RecordBatch] = []
+        kept: list[list[np.ndarray]] = []
         for docs, texts, data, offsets in _text_slices(chunk, DOC, text_column) if len(anchors) else ():
             row, start, end, anchor = pieces(data, offsets, length)
             hit = np.flatnonzero(anchors[np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)] == anchor)
@@ -295,17 +282,23 @@ def chunk_pieces(buckets: int, length: int, text_column: str):
                     _PIECE_NAMES))
             left = ~settled
             row, start, end, anchor = row[left], start[left], end[left], anchor[left]
+            inside, _ = gather(data, start, end - start)
+            kept.append([docs[row], texts[row], start - offsets[row], (end - start).astype(np.uint8), anchor, inside])
+        if kept:
+            doc, text, start, size, anchor, data = (np.concatenate(x) for x in zip(*kept, strict=True))
+            del kept
+            at = np.r_[0, np.cumsum(size, dtype=np.int64)]
             bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((start, bucket))
-            row, start, end, anchor, bucket = row[order], start[order], end[order], anchor[order], bucket[order]
-            ends = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.r_[np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]), len(order)] if len(order) else np.zeros(1, np.int64)
             blobs = []
             for x, y in zip(ends[:-1], ends[1:], strict=True):
-                inside, _ = gather(data, start[x:y], end[x:y] - start[x:y])
-                blobs.append(_to_blob([docs[row[x:y]], texts[row[x:y]], start[x:y] - offsets[row[x:y]], end[x:y] - start[x:y], anchor[x:y], inside]))
+                own = order[x:y]
+                inside, _ = gather(data, at[own], size[own].astype(np.int64))
+                blobs.append(_to_blob([doc[own], text[own], start[own], size[own], anchor[own], inside]))
             none = pa.nulls(len(blobs), pa.int64())
             out.append(pa.RecordBatch.from_arrays(
-                [pa.array(bucket[ends[:-1]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none.cast(pa.int32()), none.cast(pa.int32())],
+                [pa.array(bucket[order[ends[:-1]]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none.cast(pa.int32()), none.cast(pa.int32())],
                 _PIECE_NAMES))
         return pa.Table.from_batches(out, _PIECE_SCHEMA)
 
