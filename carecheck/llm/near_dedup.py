@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from carecheck.llm.common import (
     BYTE_VALUES, GOLDEN, lower_ascii, mix, pack_planes, pack_sorted, slices, span_hashes, stored, unpack_planes,
@@ -322,3 +323,15 @@ def with_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     joined = keyed.join(found, (F.col(DOC) == F.col("doc")) & (F.col(KEY) == F.col("text_key")), "left")
     own = F.coalesce(F.nullif(F.col("class_id"), F.lit(LAST)), F.col(id_column).cast("bigint"))
     return joined.select(*[keyed[c] for c in docs.columns], own.alias("class_id"))
+
+
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each class, the one with the smallest id; of rows with one id the first in the order of their texts' hashes."""
+    found = classes(docs, id_column, text_column)
+    gone = found.filter("doc != class_id").select("doc", "text_key").distinct()
+    keyed = docs.withColumns({DOC: F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)), KEY: F.xxhash64(text_column)})
+    kept = keyed.join(gone, (F.col(DOC) == F.col("doc")) & (F.col(KEY) == F.col("text_key")), "left_anti")
+    if not docs.groupBy(id_column).count().filter("count > 1").isEmpty():
+        # repeated ids: one row each, chosen without moving the texts of the others
+        kept = kept.withColumn("__near_row", F.row_number().over(Window.partitionBy(DOC).orderBy(KEY))).filter("__near_row = 1")
+    return kept.select(*docs.columns)

@@ -144,6 +144,19 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, id
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, score double, predicted int")
 
 
+def keep(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score ``threshold`` or more; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_column):
+            rows, hashed, values = features(*utf8(part.column(text_column)))
+            sums = np.bincount(rows, shared.value[hashed] * values, part.num_rows) + shared.value[-1]
+            yield part.filter(pa.array(logistic(sums) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Scores of ``docs`` by weights from ``all_docs`` and the labels outside the held-out fold (crc32 of the id mod 5 is 0)."""
     weights = train(all_docs, labels.filter(crc_of_id(id_column) % 5 != 0), id_column=id_column)

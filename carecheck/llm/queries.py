@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carecheck.llm import byte_bpe, html_extract, kd_search, near_dedup, packing, quality, ring, rule_ledger, suffix_dedup
+from carecheck.llm import byte_bpe, html_extract, kd_search, near_dedup, packing, pitman_yor, quality, ring, rule_ledger, suffix_dedup
 from carecheck.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,12 +48,16 @@ def op8_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(read(spark, sf_dir, "documents"))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(read(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_packing, op3_near_dedup, op4_quality, op5_byte_bpe, op6_rule_ledger, op7_kd_search, op8_ring_sharding, 
-    op10_html_extract,
+    op1_suffix_dedup, op2_packing, op3_near_dedup, op4_quality, op5_byte_bpe, op6_rule_ledger, op7_kd_search,
+    op8_ring_sharding, op9_pitman_yor, op10_html_extract,
 )}
 ORACLES: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE_SQL, "op7_kd_search": kd_search.ORACLE_SQL}

@@ -86,9 +86,9 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             i -> i >= 0))"""))).drop("_placed")
     covered = F.expr("""
         aggregate(transform(_found, (i, k) -> least(3, coalesce(get(_found, k + 1) - i, 3))), 0L, (a, x) -> a + x)""")
-    return found.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_again"), covered), F.lit(0)).cast("bigint")).select(
-        id_column, *MEASURES
-    )
+    repeated = F.coalesce(F.when(F.col("_again"), covered), F.lit(0)).cast("bigint").alias("n_repeat_words")
+    # the generator keeps later filters on measurements from being rewritten into their expressions
+    return found.select(id_column, F.inline(F.array(F.struct(*[repeated if m == "n_repeat_words" else F.col(m) for m in MEASURES]))))
 
 
 def ledger(measured: DataFrame) -> DataFrame:
@@ -136,6 +136,12 @@ def judge(docs: DataFrame, version: str = "v2", id_column: str = "doc_id", text_
     return apply_policy(ledger(measure(docs, id_column, text_column)), version)
 
 
+def keep(docs: DataFrame, version: str = "v2", text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, that a policy keeps; no shuffle."""
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_column).alias("_text"))
+    return judge(whole, version, "_row", "_text").filter("kept").select("_row.*")
+
+
 ORACLE_SQL = r"""
 WITH t AS (
     SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents

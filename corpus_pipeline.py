@@ -1,28 +1,64 @@
-"""Corpus pipeline over ``documents`` (stages follow as their operators land)."""
+"""Corpus pipeline over ``documents``: quality classifier, quality rules, near-dedup, suffix-array dedup, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+``run`` writes each stage's rows as Parquet to the shared folder and reads them again for the next one.
+
+Stages keep every row they do not decide against. The classifier and the rules judge each row by itself; of rows with
+one id near-dedup keeps one. Null and empty texts fail the rules and go; an empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carecheck.llm import rule_ledger
-from carecheck.llm.common import stored
+from carecheck.llm import near_dedup, packing, quality, rule_ledger, suffix_dedup
+from carecheck.llm.common import crc_of_id, read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as good; it learns from the labelled documents outside the held-out fold."""
+    labels = read(spark, sf_dir, "labels").filter(crc_of_id() % 5 != 0)
+    return quality.keep(docs, quality.train(docs, labels))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    verdicts = rule_ledger.judge(docs).filter("kept").select("doc_id")
-    return docs.join(verdicts.distinct(), "doc_id", "left_semi")
+    return rule_ledger.keep(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, the one with the smallest id."""
+    return near_dedup.keep_first(docs)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that documents with smaller ids have; ``n_chars`` follows the text."""
+    out = suffix_dedup.clean_texts(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
     return docs
