@@ -37,7 +37,7 @@ from carecheck.llm.common import (
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 27, 5
-GROUP = 600  # members of a group that one task compares
+GROUP = 1200  # members of a group that one task compares
 ANCHORS = 8  # members that the blocks of a group share
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20  # text whose shingles share a bucket
