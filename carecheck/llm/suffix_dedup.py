@@ -35,6 +35,7 @@ from carecheck.llm.common import BYTE_VALUES, mix, pack_sorted, slices, span_has
 
 LENGTH = 50
 GRAM = 24
+ANCHOR_SHIFT = 16  # anchors are named by 48 bits; a shared name costs work, not truth
 SLICE_BYTES = 1 << 20  # text that is cut into pieces at once
 CHUNK_BYTES = 8 << 20  # text of a chunk, on average
 ANCHOR_BYTES = 32 << 20  # text whose anchors share a bucket
@@ -142,7 +143,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     end = valid.copy()
     end[:-1] &= ~valid[1:] | (place[1:] != place[:-1])
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + length
-    return np.searchsorted(offsets, starts, side="right") - 1, starts, ends, least[starts] >> np.uint64(6)
+    return np.searchsorted(offsets, starts, side="right") - 1, starts, ends, least[starts] >> np.uint64(ANCHOR_SHIFT)
 
 
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,21 +163,30 @@ def merge_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[cut], ends[np.r_[cut[1:], True]]
 
 
-_FIELDS = [("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("size", "u1"), ("anchor", "<u8"), ("bytes", "u1")]
+_FIELDS = ["<i8", "<i8", "<u4", "<i4", "u1", "<u8", "u1"]  # ids and text keys of rows; row, start, size, anchor of pieces; bytes
 
 
-def _to_blob(arrays: list[np.ndarray]) -> bytes:
+def _to_blob(doc, text, start, size, anchor, data) -> bytes:
+    """Pieces as one compressed string; a row's id and text key stand there once."""
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])] if len(doc) else np.zeros(0, bool)
+    arrays = [doc[new], text[new], np.cumsum(new) - 1, start, size, anchor, data]
+    arrays = [a.astype(k) for a, k in zip(arrays, _FIELDS, strict=True)]
     head = np.array([len(a) for a in arrays], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.astype(k).tobytes() for a, (_, k) in zip(arrays, _FIELDS, strict=True)))
+    planes = [a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def _from_blob(blob: bytes) -> list[np.ndarray]:
+    """(doc, text, start, size, anchor, data) of pieces."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 8 * len(_FIELDS), []
-    for n, (_, kind) in zip(np.frombuffer(raw, "<i8", len(_FIELDS)), _FIELDS, strict=True):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += out[-1].nbytes
-    return out
+    for n, kind in zip(np.frombuffer(raw, "<i8", len(_FIELDS)), _FIELDS, strict=True):
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * size
+    doc, text, row, *rest = out
+    return [doc[row], text[row], *rest]
 
 
 RANGES = "doc bigint, text_key bigint, start int, end int"
@@ -295,7 +305,7 @@ def chunk_pieces(buckets: int, length: int, text_column: str):
             for x, y in zip(ends[:-1], ends[1:], strict=True):
                 own = order[x:y]
                 inside, _ = gather(data, at[own], size[own].astype(np.int64))
-                blobs.append(_to_blob([doc[own], text[own], start[own], size[own], anchor[own], inside]))
+                blobs.append(_to_blob(doc[own], text[own], start[own], size[own], anchor[own], inside))
             none = pa.nulls(len(blobs), pa.int64())
             out.append(pa.RecordBatch.from_arrays(
                 [pa.array(bucket[order[ends[:-1]]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none.cast(pa.int32()), none.cast(pa.int32())],
