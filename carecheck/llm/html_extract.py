@@ -38,6 +38,7 @@ BLOCKS = set(
     "td tfoot th thead title tr ul option select".split()
 )
 SECTIONS = set("article main nav aside header footer form section div table ul ol dialog menu".split())
+LANDMARKS = set("article main nav aside header footer form".split())
 CLOSES_SIBLING = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -83,7 +84,7 @@ def _open(name: str, rest: str, parent: _Element) -> _Element:
     if name == "header" and not parent.content:
         noise = True
     content = parent.content or name in MARKS_CONTENT or role in MARKS_CONTENT
-    section = f"{name}.{kind}" if kind else name if name in SECTIONS else parent.section
+    section = f"{name}.{kind}" if kind else name if name in LANDMARKS else parent.section
     return _Element(name, noise, content, section)
 
 

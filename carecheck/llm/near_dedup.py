@@ -316,22 +316,27 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return left.select("doc", "text_key", "bag").distinct().join(named_bags, "bag").select("doc", "text_key", "class_id")
 
 
-def with_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows with ``class_id``: the smallest id of the row's class, its own id if it has no near copy."""
-    found = classes(docs, id_column, text_column)
+def _keyed(docs: DataFrame, found: DataFrame, id_column: str, text_column: str, how: str) -> DataFrame:
+    """The rows joined with what was found for their id and text; names made here do not clash with the rows' own."""
+    found = found.toDF(*[f"__near_found_{c}" for c in found.columns])
     keyed = docs.withColumns({DOC: F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)), KEY: F.xxhash64(text_column)})
-    joined = keyed.join(found, (F.col(DOC) == F.col("doc")) & (F.col(KEY) == F.col("text_key")), "left")
-    own = F.coalesce(F.nullif(F.col("class_id"), F.lit(LAST)), F.col(id_column).cast("bigint"))
-    return joined.select(*[keyed[c] for c in docs.columns], own.alias("class_id"))
+    return keyed.join(found, (F.col(DOC) == F.col("__near_found_doc")) & (F.col(KEY) == F.col("__near_found_text_key")), how)
+
+
+def with_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", name: str = "class_id") -> DataFrame:
+    """The rows with ``class_id``: the smallest id of the row's class, its own id if it has no near copy.
+
+    A column of that name is replaced.
+    """
+    joined = _keyed(docs, classes(docs, id_column, text_column), id_column, text_column, "left")
+    own = F.coalesce(F.nullif(F.col("__near_found_class_id"), F.lit(LAST)), F.col(id_column).cast("bigint"))
+    return joined.select(*[c for c in docs.columns if c != name], own.alias(name))
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each class, the one with the smallest id; of rows with one id the first in the order of their texts' hashes."""
-    found = classes(docs, id_column, text_column)
-    gone = found.filter("doc != class_id").select("doc", "text_key").distinct()
-    keyed = docs.withColumns({DOC: F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)), KEY: F.xxhash64(text_column)})
-    kept = keyed.join(gone, (F.col(DOC) == F.col("doc")) & (F.col(KEY) == F.col("text_key")), "left_anti")
+    gone = classes(docs, id_column, text_column).filter("doc != class_id").select("doc", "text_key").distinct()
+    kept = _keyed(docs, gone, id_column, text_column, "left_anti")
     if not docs.groupBy(id_column).count().filter("count > 1").isEmpty():
-        # repeated ids: one row each, chosen without moving the texts of the others
         kept = kept.withColumn("__near_row", F.row_number().over(Window.partitionBy(DOC).orderBy(KEY))).filter("__near_row = 1")
     return kept.select(*docs.columns)

@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -135,6 +134,11 @@ class _Rows:
             offset += n
         self.next += 1
 
+    def batch(self, types: list, names: list[str]) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) or [[]] * len(types)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
     def leftover(self, packer: Packer) -> None:
         for _, pieces in packer.open:
             for doc_id, start, ids, doc_tokens in pieces:
@@ -159,42 +163,35 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, windows
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(TaskContext.get().partitionId(), 0)
         packer, encode = Packer(size, windows, rows.window), _tokenizer(shared.value).encode
-        id_type = pa.int64()
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows.rows, strict=True)) or [[]] * 9
-            rows.rows = []
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, [id_type, *TYPES], strict=True)], [id_column, *COLUMNS])
-
+        types = None
         for batch in batches:
-            id_type = batch.column(0).type
+            types = [batch.column(0).type, *TYPES]
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = encode(text or "") + end
                     packer.add(doc_id, 0, ids, len(ids) // 4)
                 if len(rows.rows) > 5000:
-                    yield out()
+                    yield rows.batch(types, [id_column, *COLUMNS])
         rows.leftover(packer)
-        yield out()
+        if rows.rows:
+            yield rows.batch(types, [id_column, *COLUMNS])
 
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, part bigint, ids binary"
 
     def merger(level: int, last: bool):
-        def merge(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values([id_column, "start", "part"], kind="stable")
-            rows = _Rows(int(group["part"].iloc[0]) // MERGE, level)
+        def merge(group: pa.Table) -> pa.Table:
+            group = group.sort_by([(id_column, "ascending"), ("start", "ascending"), ("part", "ascending")])
+            rows = _Rows(group.column("part")[0].as_py() // MERGE, level)
             packer = Packer(size, windows, rows.window)
-            for doc_id, start, ids, doc_tokens in zip(group[id_column], group["start"], group["ids"], group["doc_tokens"], strict=True):
-                packer.add(None if pd.isna(doc_id) else doc_id, start, bytes(ids), doc_tokens)
+            for piece in zip(*[group.column(c).to_pylist() for c in (id_column, "start", "ids", "doc_tokens")], strict=True):
+                packer.add(*piece)
             if last:
                 packer.close()
             else:
                 rows.leftover(packer)
-            frame = pd.DataFrame(rows.rows, columns=[id_column, *COLUMNS])
-            return frame.astype({c: "Int64" for c in COLUMNS[:-1]})
+            return pa.Table.from_batches([rows.batch([group.schema.field(id_column).type, *TYPES], [id_column, *COLUMNS])])
 
         return merge
 
@@ -204,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, windows
     parts = (left.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         last = parts <= MERGE
-        merged = left.groupBy(F.floor(F.col("part") / MERGE).alias("_group")).applyInPandas(merger(level, last), schema)
+        merged = left.groupBy(F.floor(F.col("part") / MERGE)).applyInArrow(merger(level, last), schema)
         if last:
             done.append(merged)
             break
