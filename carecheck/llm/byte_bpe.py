@@ -22,7 +22,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-CACHE = 700_000  # entries a Python worker keeps; more are computed anew
+CACHE = 300_000  # entries a Python worker keeps; more are computed anew
 
 
 def byte_characters() -> list[str]:

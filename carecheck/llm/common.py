@@ -35,7 +35,7 @@ def crc_of_id(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut at rows so that a slice holds about ``size`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         at = 0

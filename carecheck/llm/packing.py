@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from carecheck.llm.byte_bpe import byte_characters
 from carecheck.llm.common import stored
 
-WORDS = 900_000  # words whose ids a Python worker keeps
+WORDS = 300_000  # words whose ids a Python worker keeps
 MERGE = 64  # partitions whose leftovers one task merges
 # Printable ASCII and Latin letters up to U+017F, all of them composed, with a lower case of one character (not U+0130).
 PLAIN_WORD = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
