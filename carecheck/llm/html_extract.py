@@ -53,6 +53,7 @@ NOISE_WORDS = set(
     "recommended widget pagination pager toolbar tags toc".split()
 )
 NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+NOISE_WORD, NOISE_TAG = -0.02, -0.2  # what is dropped by name costs little, so it does not part a region that goes on behind it
 MARKS_CONTENT = {"article", "main"}
 
 
@@ -159,11 +160,11 @@ def extract(page: str, weights: dict[str, float]) -> str:
     begin, region, runs = 0, (0, 0), []
     for kind, signature, words, element, text in tokens(page):
         if kind == "w":
-            score = -4.0 if element.noise else weights.get(signature, 1.0)
+            score = NOISE_WORD if element.noise else weights.get(signature, 1.0)
             total += score * words
             runs.append((text if score > 0 and not element.noise else None, words))
         else:
-            total += weights.get(signature, -1.0)
+            total += NOISE_TAG if element.noise else weights.get(signature, -1.0)
             runs.append(("\n" if kind == "|" and words else " " if kind == "|" else "", 0))
         if total > best:
             best, region = total, (begin, len(runs))
