@@ -24,7 +24,7 @@ def _flag(rule: str, message: str, evidence: str, citation: str | None = None) -
     severity, column = rv.RULES[rule]
     return (
         f"named_struct('rule_id', '{rule}', 'severity', '{severity}', 'message', {message},"
-        f" 'evidence', substring(coalesce({evidence}, ''), 1, {rv.EVIDENCE_CHARS}),"
+        f" 'evidence', coalesce({evidence}, ''),"
         f" 'citation_column', {quoted(citation or column)})"
     )
 
@@ -73,7 +73,7 @@ def rule_r1() -> str:
         " (size(_equipment) = 0 OR (_doctors IS NULL AND coalesce(capacity, 0) = 0))"
     )
     evidence = (
-        "concat('specialties=', to_json(slice(_specialties, 1, 3)), ' equipment=', to_json(slice(_equipment, 1, 3)),"
+        "concat('specialties=', to_json(_specialties), ' equipment=', to_json(_equipment),"
         f" ' doctors=', {_shown('_doctors')}, ' capacity=', {_shown('capacity')})"
     )
     return f"CASE WHEN {fires} THEN {_flag('R1', quoted(rv.R1_MESSAGE), evidence)} END"
@@ -87,8 +87,7 @@ def rule_r2() -> str:
     )
     fires = f"_type IN ({types}) AND ({worded})"
     message = f"format_string({quoted(rv.R2_MESSAGE)}, _type)"
-    evidence = f"substring(_description, 1, {rv.DESCRIPTION_EVIDENCE_CHARS})"
-    return f"CASE WHEN {fires} THEN {_flag('R2', message, evidence)} END"
+    return f"CASE WHEN {fires} THEN {_flag('R2', message, '_description')} END"
 
 
 def rule_r3() -> str:
@@ -139,7 +138,7 @@ def rule_r7() -> str:
     )
     flag = _flag(
         "R7", f"format_string({quoted(rv.R7_MESSAGE)}, x.sp, x.hints)",
-        "concat('specialty=', x.sp, ' equipment=', to_json(slice(_equipment, 1, 5)))",
+        "concat('specialty=', x.sp, ' equipment=', to_json(_equipment))",
     )
     checked = f"filter(_specialties, sp -> NOT sp RLIKE {quoted(rv.PEDIATRIC_DENTAL_PATTERN)})"
     hinted = f"transform({checked}, sp -> named_struct('sp', sp, 'hints', CASE {unmet} END))"

@@ -111,7 +111,8 @@ def _tools(gold: str) -> dict[str, str]:
         " 'state', state, 'city', city, 'latitude', latitude, 'longitude', longitude,"
         " 'trust_score', trust_score, 'distance_km', distance_km, 'specialties', specialties)"
     )
-    results = f"(SELECT array_sort(collect_list({row})) FROM ({last}))"
+    shown = row.replace("'pos', pos, ", "")
+    results = f"(SELECT transform(array_sort(collect_list(struct(pos, {shown} AS hit))), x -> x.hit) FROM ({last}))"
     return {
         "score_claim_consistency(fid STRING) RETURNS STRING": (
             f"coalesce((SELECT max(to_json({score})) FROM {gold} g WHERE g.facility_id = fid),"

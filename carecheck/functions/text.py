@@ -186,10 +186,10 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def sentence_claims(text: Column) -> Column:
-    """Sentences of more than 20 and fewer than 400 characters."""
+def sentence_claims(text: Column, over: int = 20, under: int | None = 400) -> Column:
+    """Sentences of more than ``over`` and fewer than ``under`` characters (None: of any length)."""
     sentences = F.split(stripped(text), r"(?<=[.!?])\s+")
-    kept = F.filter(sentences, lambda s: (F.length(s) > 20) & (F.length(s) < 400))
+    kept = F.filter(sentences, lambda s: (F.length(s) > over) & (F.lit(True) if under is None else F.length(s) < under))
     return F.coalesce(F.transform(kept, stripped), empty_list())
 
 

@@ -27,8 +27,8 @@ def concat_frames(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def normalise_golden(df: DataFrame, order_by: list[str], n: int = 25) -> DataFrame:
-    """The first n rows as (question, expected_facts); rows without a question are dropped.
+def normalise_golden(df: DataFrame, order_by: list[str] | None = None, n: int | None = None) -> DataFrame:
+    """All rows, or the first n that have a question in the given order, as (question, expected_facts).
 
     The question is taken from the first of the known columns that exists; a struct
     column holds it in its field ``question``.
@@ -44,7 +44,7 @@ def normalise_golden(df: DataFrame, order_by: list[str], n: int = 25) -> DataFra
         if df.schema["expected_facts"].dataType.typeName() != "array":
             given = F.when(given.isNotNull(), F.array(given.cast("string")))
         facts = F.coalesce(given, facts)
-    head = df.orderBy(*order_by).limit(n)
-    return head.select(question.alias("question"), facts.alias("expected_facts")).where(
-        F.col("question").isNotNull()
-    )
+    asked = df.where(question.isNotNull())
+    if n is not None:
+        asked = asked.orderBy(*(order_by or [])).limit(n)
+    return asked.select(question.alias("question"), facts.alias("expected_facts"))

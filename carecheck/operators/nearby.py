@@ -274,4 +274,5 @@ def rank_providers(questions: DataFrame, facilities: DataFrame, k: int = 5) -> D
     best = top_k(
         scored, key, [F.desc("score"), F.col("facility_id")], F.lit(k), ["facility_id"]
     )
-    return anchored.join(best, key)
+    # k rows for each of the fixed presets, so questions need not be gathered by anchor
+    return anchored.join(F.broadcast(best), key)

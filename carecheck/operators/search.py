@@ -96,8 +96,8 @@ def _score_chunk(key: tuple, posts: pd.DataFrame, asked: pd.DataFrame) -> pd.Dat
 def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column) -> DataFrame:
     """The ``k`` best documents of each query from the postings of its terms.
 
-    Documents are cut into chunks and queries into blocks of bounded size. A chunk meets
-    every block and returns its best k per query, so the (query, document) pairs that a
+    Documents are cut into chunks and queries into blocks of bounded size. A chunk meets the
+    blocks that ask for one of its terms and returns its best k per query, so the (query, document) pairs that a
     frequent term makes never leave the task; a hot term is spread over all chunks.
     """
     n_chunks = F.ceil(n_docs / CHUNK_DOCS).cast("int")
@@ -106,19 +106,16 @@ def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length:
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean_length)
     asked = weighted_terms(queries, posts, n_docs)
 
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    left = posts.select(
+    held = posts.select(
         "doc_id", "term", (tf * (K1 + 1) / (tf + norm)).alias("part"),
-        F.pmod(F.xxhash64("doc_id"), n_chunks).cast("int").alias("chunk"), every(n_blocks).alias("block"),
-    )
-    right = asked.select(
-        "*", every(n_chunks).alias("chunk"),
-        F.pmod(F.xxhash64("query_id"), n_blocks).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id"), n_chunks).cast("int").alias("chunk"),
     )
+    wanted = asked.select("*", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int").alias("block"))
+    # postings go to the blocks that ask for their term, terms to the chunks that hold them
+    left = held.join(wanted.select("term", F.col("block").alias("to_block")).distinct(), "term")
+    right = wanted.join(held.select("term", F.col("chunk").alias("to_chunk")).distinct(), "term")
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (posts, "doc_id"))}
-    best = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(
+    best = left.groupBy("chunk", "to_block").cogroup(right.groupBy("to_chunk", "block")).applyInPandas(
         _score_chunk, f"query_id {types['query_id']}, k int, doc_id {types['doc_id']}, score double"
     )
     order = [F.desc("score"), F.col("doc_id")]
@@ -147,6 +144,13 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
 
 
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.where(
+        "vector IS NOT NULL AND size(vector) > 0"
+        " AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
+    )
+
+
 def _cells(corpus: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Corpus vectors with the nearest pivot (cell) and the angle to it."""
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,9 +222,17 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     size; a query visits only the cells that bounds on the angle cannot rule out. Chunks
     return their best k per query, never all pairs. The driver reads ``PIVOTS`` vectors,
     one row per cell and a count.
+
+    Vectors that are null, empty or hold a null or a non-finite component take no part, on
+    either side; without any vector left there are no rows.
     """
+    corpus, queries = _usable(corpus), _usable(queries)
+    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((corpus, "doc_id"), (queries, "query_id")))
     picked = corpus.select("doc_id", "vector").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    pivots = _unit(pd.Series([np.array(r.vector) for r in picked.limit(PIVOTS).collect()]))
+    chosen = picked.limit(PIVOTS).collect()
+    if not chosen:
+        return corpus.sparkSession.createDataFrame([], f"query_id {query_type}, doc_id {id_type}, similarity double, rank int")
+    pivots = _unit(pd.Series([np.array(r.vector) for r in chosen]))
     placed = _cells(corpus.select("doc_id", "vector"), pivots)
     stats = placed.groupBy("cell").agg(
         F.min("angle").alias("near"), F.max("angle").alias("far"), F.count(F.lit(1)).alias("n")
@@ -247,8 +259,6 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame) -> DataFrame:
         )
     )
     keys = ["cell", "chunk", "block"]
-    id_type = corpus.schema["doc_id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
     best = spread.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(
         _chunk_best, f"query_id {query_type}, k int, doc_id {id_type}, similarity double"
     )
@@ -277,10 +287,10 @@ def hybrid_top_k(
     queries: DataFrame, docs: DataFrame, key: str, text: str,
     query_vectors: DataFrame, corpus: DataFrame, depth: int = 50,
 ) -> DataFrame:
-    """Keyword and vector lists of ``depth`` documents each, fused per query."""
-    deep = queries.withColumn("k", F.lit(depth))
+    """Keyword and vector lists of ``depth`` documents each, or a query's own k where that is larger, fused per query."""
+    deep = queries.withColumn("k", F.greatest(F.col("k"), F.lit(depth)))
     keyword = bm25_top_k(deep, docs, key, text)
-    vector = vector_top_k(query_vectors.select("query_id", "vector", F.lit(depth).alias("k")), corpus)
+    vector = vector_top_k(query_vectors.withColumn("k", F.greatest(F.col("k"), F.lit(depth))), corpus)
     return fuse(keyword, vector, queries)
 
 

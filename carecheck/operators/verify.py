@@ -64,19 +64,27 @@ def with_citations_and_claims(answers: DataFrame) -> DataFrame:
     )
 
 
-def verify_answers(answers: DataFrame, gold: DataFrame) -> DataFrame:
+def verify_answers(
+    answers: DataFrame, gold: DataFrame,
+    ids: int | None = None, claims: int | None = None, scored: int | None = None,
+) -> DataFrame:
     """Accept or send back each answer.
 
-    The first five cited facilities are held against the first three claims, and the HIGH
-    flags of the first three facilities are listed. Any disagreement or flag means
-    ``refine``; beyond the pass limit the answer goes out with low confidence. One row per
-    cited facility meets the gold table; the claims stay in an array on that row.
+    All cited facilities are held against all claims, and the HIGH flags of all of them are
+    listed; ``ids``, ``claims`` and ``scored`` limit that to the first ones where asked for.
+    Any disagreement or flag means ``refine``; beyond the pass limit the answer goes out with
+    low confidence, its counts kept. ``disagreements`` and ``high_flags`` hold every finding in
+    full, ``reason`` is a short text. One row per cited facility meets the gold table; the
+    claims stay in an array on that row.
     """
+    def first(items: str, n: int | None) -> Column:
+        return F.col(items) if n is None else F.slice(items, 1, n)
+
     parsed = with_citations_and_claims(answers)
     cited = parsed.select(
         "answer_id",
-        F.slice("claims", 1, rv.PAIR_CLAIMS).alias("claims"),
-        F.posexplode(F.slice("ids", 1, rv.PAIR_IDS)).alias("id_pos", "facility_id"),
+        first("claims", claims).alias("claims"),
+        F.posexplode(first("ids", ids)).alias("id_pos", "facility_id"),
     )
     facts = gold.select(*FACTS, "flags")
     joined = cited.join(facts, "facility_id", "left")
@@ -87,14 +95,14 @@ def verify_answers(answers: DataFrame, gold: DataFrame) -> DataFrame:
     checked = joined.select(
         "answer_id", "id_pos",
         F.transform(
-            doubted, lambda c: F.concat(F.col("facility_id"), F.lit(": "), F.substring(c, 1, 60))
+            doubted, lambda c: F.concat(F.col("facility_id"), F.lit(": "), c)
         ).alias("doubts"),
         F.when(
-            F.col("id_pos") < rv.SCORED_IDS,
+            F.lit(True) if scored is None else F.col("id_pos") < scored,
             F.transform(high, lambda f: F.concat(F.col("facility_id"), F.lit("/"), f["rule_id"])),
         ).otherwise(tx.empty_list()).alias("highs"),
     )
-    # at most five rows per answer
+    # as many rows per answer as its text has citations
     per_answer = checked.groupBy("answer_id").agg(
         F.array_sort(F.collect_list(F.struct("id_pos", "doubts", "highs"))).alias("rows")
     ).select(
@@ -115,12 +123,10 @@ def _decide(full: DataFrame) -> DataFrame:
     refine = ~capped & ((F.size("doubts") > 0) | (F.size("highs") > 0))
 
     def part(items: str, label: str) -> Column:
+        shown = F.transform(F.slice(items, 1, rv.REASONS_SHOWN), lambda x: F.substring(x, 1, rv.REASON_CHARS))
         return F.when(
             F.size(items) > 0,
-            F.concat(
-                F.size(items).cast("string"), F.lit(f" {label}: "),
-                F.array_join(F.slice(items, 1, rv.REASONS_SHOWN), "; "),
-            ),
+            F.concat(F.size(items).cast("string"), F.lit(f" {label}: "), F.array_join(shown, "; ")),
         )
 
     reason = F.concat_ws(
@@ -137,11 +143,10 @@ def _decide(full: DataFrame) -> DataFrame:
         .when(refine, F.concat(F.lit(rv.REFINE_HEAD), reason, F.lit(rv.REFINE_TAIL)))
         .otherwise(F.coalesce("text", F.lit("")))
     )
-    none = F.lit(0)
     return full.select(
         "answer_id", "iter", decision.alias("decision"), confidence.alias("confidence"),
-        F.when(capped, none).otherwise(F.size("doubts")).alias("n_disagreements"),
-        F.when(capped, none).otherwise(F.size("highs")).alias("n_high_flags"),
+        F.size("doubts").alias("n_disagreements"), F.size("highs").alias("n_high_flags"),
+        F.col("doubts").alias("disagreements"), F.col("highs").alias("high_flags"),
         F.when(refine, reason).alias("reason"), message.alias("message"),
     )
 
@@ -158,11 +163,11 @@ def check_answers(answers: DataFrame) -> DataFrame:
 
 
 def citations(gold: DataFrame) -> DataFrame:
-    """Row-level citations: the first five capabilities, then the first five flags."""
+    """Row-level citations: all capabilities, then all flags."""
     backed = F.size("equipment") > 0
 
     def from_capability(c: Column) -> Column:
-        head = F.substring(F.lower(c), 1, 24)
+        head = F.substring(F.lower(c), 1, rv.CLAIM_MATCH_CHARS)
         failed = F.exists(
             "flags",
             lambda f: (F.coalesce(f["message"], F.lit("")) != "")
@@ -173,7 +178,7 @@ def citations(gold: DataFrame) -> DataFrame:
             F.lit("capability").alias("source_field"),
             F.when(backed, 0.95).otherwise(0.65).alias("extraction_confidence"),
             F.when(failed, "failed").otherwise("passed").alias("validator_status"),
-            F.slice("equipment", 1, 2).alias("supporting_evidence"),
+            F.col("equipment").alias("supporting_evidence"),
         )
 
     def filled(c: Column) -> Column:
@@ -190,8 +195,8 @@ def citations(gold: DataFrame) -> DataFrame:
         )
 
     cited = F.concat(
-        F.transform(F.slice("capability", 1, 5), from_capability),
-        F.transform(F.slice("flags", 1, 5), from_flag),
+        F.transform("capability", from_capability),
+        F.transform("flags", from_flag),
     )
     return (
         gold.select("facility_id", F.posexplode_outer(cited).alias("pos", "citation"))

@@ -444,24 +444,23 @@ def rule_examples(contradictions: DataFrame, rule: str, n: int | None = 5) -> Da
     return rows if n is None else rows.limit(n)
 
 
-def facility_cards(gold: DataFrame, n: int = 3000) -> DataFrame:
-    """The located facilities of highest trust, with score, tier and trust breakdown."""
-    top = (
-        gold.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-        .orderBy(F.desc("trust_score"), "facility_id")
-        .limit(n)
-    )
+def facility_cards(gold: DataFrame, n: int | None = None) -> DataFrame:
+    """Located facilities with score, tier and trust breakdown; all, or the ``n`` of highest trust."""
+    top = gold.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    if n is not None:
+        top = top.orderBy(F.desc("trust_score"), "facility_id").limit(n)
+
+    def shown(column: str, instead: str) -> Column:
+        return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(instead)).alias(column)
+
     score = stats.trust01(F.col("trust_score"))
     parts = stats.trust_components(
         F.col("capability"), F.col("equipment"), F.col("flags"), [F.col(c) for c in rv.FILL_COLUMNS]
     )
     return top.select(
         "facility_id",
-        F.coalesce("name", F.lit("—")).alias("name"),
-        F.coalesce("city", F.lit("—")).alias("city"),
-        F.coalesce("state", F.lit("—")).alias("state"),
-        F.coalesce("pin", F.lit("")).alias("pin"),
-        F.coalesce("facility_type", F.lit("facility")).alias("facility_type"),
+        shown("name", "—"), shown("city", "—"), shown("state", "—"), shown("pin", ""),
+        shown("facility_type", "facility"),
         "latitude", "longitude", "specialties", "capability", "equipment", "flags",
         score.alias("trust"), stats.trust_tier(score).alias("tier"),
         *[c.alias(name) for name, c in parts.items()],

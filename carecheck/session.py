@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,18 +25,33 @@ def build_session(app: str = "carecheck", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-_made: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared checkpoint folder. Where none is named, local mode has one of its own; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    application = spark.sparkContext.applicationId
-    if application not in _made:
-        _made[application] = tempfile.mkdtemp(prefix="carecheck-checkpoint-")
-    return _made[application]
+    context = spark.sparkContext
+    if context.master == "local" or context.master.startswith("local["):
+        return f"/tmp/checkpoints/{context.applicationId}"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new name under the shared folder; Spark makes it when it writes there."""
+    return f"{shared_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_carecheck_shipped", None) != context.applicationId:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp()) / "carecheck.zip"  # read on the driver, which hands it to the workers
+        with zipfile.ZipFile(archive, "w") as package:
+            for source in sorted(root.rglob("*.py")):
+                package.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._carecheck_shipped = context.applicationId
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

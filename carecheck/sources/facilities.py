@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carecheck.sources.tables import widen
 
 RAW_EXPRESSIONS = {
     "facility_id": "concat('F', lpad(cast(k as string),6,'0'))",
@@ -44,9 +43,7 @@ def _raw(base: DataFrame) -> DataFrame:
 
 def customer_facilities(spark: SparkSession, folder: str) -> DataFrame:
     """One raw facility per customer, described by the document of the same key."""
-    customer = widen(
-        spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_name"), "c_custkey"
-    )
+    customer = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_name")
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     return _raw(
         customer.join(documents, customer.c_custkey == documents.doc_id, "left").selectExpr(
@@ -57,7 +54,7 @@ def customer_facilities(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_facilities(spark: SparkSession, folder: str) -> DataFrame:
     """One raw facility per order, for bench-size runs; documents are reused in turn."""
-    orders = widen(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey"), "o_orderkey")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey")
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     last = documents.agg({"doc_id": "max"}).first()[0]
     return _raw(

@@ -15,19 +15,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def widen(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over all cores where a source arrives in fewer pieces than there are cores.
-
-    Meant ahead of heavy work per row. A large source has plenty of splits and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with every column as text; quoted fields may span lines."""
+def read_raw_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with every column as text; ``multi_line`` for quoted fields that span lines, at one task per file."""
     return spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"'
+        path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"'
     )
 
 

@@ -1,12 +1,16 @@
 """Incremental work on streams: the search index and the rules.
 
-The index is a folder of batches. A batch holds the postings and the keys of the
-documents that changed in it; what a reader sees is, per document, the batch that
-changed it last. Writing a batch again replaces it, so a replay after a failure is harmless.
+The index is a folder of batches. A batch holds the postings and the keys of the documents that
+changed in it, and a commit row that is written last; readers see committed batches only. What a
+reader sees is, per document, its largest version (the later batch where versions are equal); a
+version that is marked as deleted hides the document. Writing a batch again replaces it, and
+batches carry the id of their stream, so neither a replay nor a new stream overwrites other work.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,54 +18,82 @@ from pyspark.sql.streaming import StreamingQuery
 from carecheck.operators import clean as cl
 from carecheck.operators import search, trust
 
+TERM_BUCKETS = 8  # folders of a batch's postings; a search reads those of its terms
+
 
 def latest_changes(changes: DataFrame) -> DataFrame:
-    """The newest row per document of (doc_id, version, text)."""
-    return changes.groupBy("doc_id").agg(
-        F.max_by("text", "version").alias("text"), F.max("version").alias("version")
-    )
+    """The newest row per document of (doc_id, version, text) and, if given, ``deleted``."""
+    deleted = F.coalesce("deleted", F.lit(False)) if "deleted" in changes.columns else F.lit(False)
+    return changes.withColumn("deleted", deleted).groupBy("doc_id").agg(
+        F.max_by(F.struct("text", "deleted"), "version").alias("row"), F.max("version").alias("version")
+    ).select("doc_id", "version", F.coalesce("row.text", F.lit("")).alias("text"), "row.deleted")
+
+
+def _term_bucket():
+    return F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _write(keys: DataFrame, posts: DataFrame, batch: str, number: int, folder: str) -> None:
+    keys.write.mode("overwrite").parquet(f"{folder}/keys/batch={batch}")
+    posts.withColumn("term_bucket", _term_bucket()).write.mode("overwrite").partitionBy("term_bucket").parquet(
+        f"{folder}/postings/batch={batch}")
+    commit = keys.sparkSession.createDataFrame([(number,)], "number bigint")
+    commit.coalesce(1).write.mode("overwrite").parquet(f"{folder}/commits/batch={batch}")
 
 
-def index_batch(changes: DataFrame, batch_id: int, folder: str) -> None:
+def index_batch(changes: DataFrame, batch_id: int, folder: str, stream: str = "batch") -> None:
     newest = latest_changes(changes).persist()
     try:
-        search.tokenized(newest, "doc_id", "text").select("doc_id", "length").write.mode(
-            "overwrite").parquet(f"{folder}/keys/batch={batch_id}")
-        search.postings(newest, "doc_id", "text").write.mode(
-            "overwrite").parquet(f"{folder}/postings/batch={batch_id}")
+        sized = search.tokenized(newest, "doc_id", "text").select("doc_id", "length")
+        keys = newest.select("doc_id", "version", "deleted").join(sized, "doc_id")
+        posts = search.postings(newest.where("NOT deleted"), "doc_id", "text")
+        _write(keys, posts, f"{stream}-{batch_id:010d}", batch_id, folder)
     finally:
         newest.unpersist()
 
 
 def sync_index(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Take in all changes that have arrived since the last run, then stop."""
+
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        # the query's id is kept in its checkpoint: the same for a replay, another for a new stream
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        index_batch(batch, batch_id, folder, stream)
+
     return (
-        changes.writeStream.foreachBatch(lambda df, batch_id: index_batch(df, batch_id, folder))
+        changes.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def live_keys(spark: SparkSession, folder: str) -> DataFrame:
-    keys = spark.read.parquet(f"{folder}/keys")
+def _last_keys(spark: SparkSession, folder: str) -> DataFrame:
+    commits = spark.read.parquet(f"{folder}/commits")
+    keys = spark.read.parquet(f"{folder}/keys").join(commits, "batch")
     return keys.groupBy("doc_id").agg(
-        F.max("batch").alias("batch"), F.max_by("length", "batch").alias("length")
-    )
+        F.max_by(F.struct("batch", "length", "deleted", "version"), F.struct("version", "number", "batch")).alias("row")
+    ).select("doc_id", "row.*")
+
+
+def live_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, batch, length, version) of the documents that are not deleted."""
+    return _last_keys(spark, folder).where("NOT deleted").drop("deleted")
 
 
-def live_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """Postings of the last batch that changed each document; older ones are out of date."""
-    return spark.read.parquet(f"{folder}/postings").join(
-        live_keys(spark, folder).select("doc_id", "batch"), ["doc_id", "batch"], "left_semi"
-    ).drop("batch")
+def live_postings(spark: SparkSession, folder: str, terms: DataFrame | None = None) -> DataFrame:
+    """Postings of the version that counts of each document; ``terms`` (column ``term``) keeps some terms only."""
+    posts = spark.read.parquet(f"{folder}/postings")
+    if terms is not None:
+        posts = posts.join(terms.select("term", _term_bucket().alias("term_bucket")).distinct(), ["term_bucket", "term"], "left_semi")
+    return posts.join(live_keys(spark, folder).select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop(
+        "batch", "term_bucket")
 
 
 def compact_index(spark: SparkSession, folder: str, target: str) -> None:
-    """Write the live rows as the single batch 0 of a new folder."""
-    live_keys(spark, folder).select("doc_id", "length").write.mode("overwrite").parquet(
-        f"{target}/keys/batch=0")
-    live_postings(spark, folder).write.mode("overwrite").parquet(f"{target}/postings/batch=0")
+    """Write what counts as one batch of a new folder; deletions stay, so that an older version cannot come back."""
+    keys = _last_keys(spark, folder).select("doc_id", "version", "deleted", "length")
+    _write(keys, live_postings(spark, folder), f"compact-{uuid.uuid4().hex}", -1, target)
 
 
 def search_index(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
@@ -69,8 +101,7 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame) -> DataFr
     keys = live_keys(spark, folder)
     n_docs = keys.agg(F.count(F.lit(1)).cast("double")).scalar()
     mean_length = keys.agg(F.avg("length")).scalar()
-    wanted = search.query_terms(queries).select("term").distinct()
-    posts = live_postings(spark, folder).join(wanted, "term", "left_semi")
+    posts = live_postings(spark, folder, search.query_terms(queries))
     return search.bm25_rank(queries, posts, n_docs, mean_length)
 
 

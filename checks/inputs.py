@@ -55,6 +55,11 @@ SELECT item_id AS query_id, embedding AS vector, cast(10 as int) AS k
 FROM benchmark JOIN embeddings ON vec_id = item_id
 """
 
+# Every eighth request asks for more than the usual depth of the fused lists.
+DEEP_K = "cast(case when item_id%8=0 then 60 else 10 end as int)"
+DEEP_SEARCH_REQUESTS = SEARCH_REQUESTS.replace("cast(10 as int)", DEEP_K)
+DEEP_VECTOR_REQUESTS = VECTOR_REQUESTS.replace("cast(10 as int)", DEEP_K)
+
 _PRESET_CASES = " ".join(
     f"when {i} then '{text}'" for i, (text, *_) in enumerate(rv.QUERY_PRESETS)
 )

@@ -264,6 +264,7 @@ O["compound_high"] = sql("""
 SELECT facility_id, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM flags
 WHERE severity = 'HIGH' GROUP BY facility_id HAVING count(DISTINCT rule_id) > 2
 """)
+O["compound_high_asked"] = O["compound_high"].replace("> 2", "> 3")
 O["zero_match_audit"] = sql("""
 SELECT r.rule_id, r.severity, count(f.facility_id) AS n_flags, count(DISTINCT f.facility_id) AS n_facilities
 FROM rules r LEFT JOIN flags f ON f.rule_id = r.rule_id GROUP BY ALL
@@ -307,8 +308,9 @@ _fill = " + ".join(
     f"(case when coalesce(cast({c} as varchar), '') <> '' then 1 else 0 end)" for c in rv.FILL_COLUMNS
 )
 O["facility_cards"] = sql(f"""
-SELECT facility_id, coalesce(name, '—') AS name, coalesce(city, '—') AS city, coalesce(state, '—') AS state,
-  coalesce(pin, '') AS pin, coalesce(facility_type, 'facility') AS facility_type, latitude, longitude,
+SELECT facility_id, coalesce(nullif(name, ''), '—') AS name, coalesce(nullif(city, ''), '—') AS city,
+  coalesce(nullif(state, ''), '—') AS state, coalesce(pin, '') AS pin,
+  coalesce(nullif(facility_type, ''), 'facility') AS facility_type, latitude, longitude,
   {js('specialties')} AS specialties, {js('capability')} AS capability, {js('equipment')} AS equipment,
   round(trust_score/cast(100 as double), 2) AS trust,
   case when trust_score >= 70 then 'High' when trust_score >= 45 then 'Moderate' else 'Low' end AS tier,
@@ -317,20 +319,20 @@ SELECT facility_id, coalesce(name, '—') AS name, coalesce(city, '—') AS city
   round(greatest(cast(0 as double), 1 - cast(0.18 as double)*n_flags), 2) AS contradiction_penalty,
   round(greatest(cast(0.30 as double), cast(0.95 as double) - cast(0.20 as double)*n_high), 2) AS location_coherence,
   round(({_fill})/cast(11 as double), 2) AS structured_fillrate
-FROM gold WHERE latitude is not null and longitude is not null ORDER BY trust_score DESC, facility_id LIMIT 3000
+FROM gold WHERE latitude is not null and longitude is not null
 """)
 O["citations"] = sql(f"""
 SELECT facility_id, cast(i as int) AS pos, cap AS claim, 'capability' AS source_field,
   cast(case when len(equipment) > 0 then 0.95 else 0.65 end as double) AS extraction_confidence,
   case when len(list_filter(messages, lambda m: contains(lower(m), substring(lower(cap), 1, 24)))) > 0 then 'failed' else 'passed' end AS validator_status,
-  {js('equipment[1:2]')} AS supporting_evidence
-FROM (SELECT *, unnest(capability[1:5]) AS cap, unnest(range(least(len(capability), 5))) AS i FROM gold)
+  {js('equipment')} AS supporting_evidence
+FROM (SELECT *, unnest(capability) AS cap, unnest(range(len(capability))) AS i FROM gold)
 UNION ALL
 SELECT facility_id, cast(n_cap + rn - 1 as int), message, citation_column, cast(1 as double), 'failed',
   case when evidence = '' then '[]' else {js('[evidence]')} end
-FROM (SELECT f.*, least(len(c.capability), 5) AS n_cap,
+FROM (SELECT f.*, len(c.capability) AS n_cap,
     row_number() OVER (PARTITION BY f.facility_id ORDER BY rule_id, pos) AS rn
-  FROM flags f JOIN clean c USING (facility_id)) WHERE rn <= 5
+  FROM flags f JOIN clean c USING (facility_id))
 """)
 
 _sites = "(SELECT DISTINCT latitude, longitude FROM clean WHERE latitude is not null and longitude is not null)"
@@ -426,9 +428,10 @@ O["vector_topk"] = f"SELECT query_id, doc_id, similarity, rank FROM ({_vector(10
 O["hybrid_topk"] = f"""
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
   SELECT query_id, doc_id, round(sum(1::double/(60+rank)), 8) AS score FROM (
-    SELECT query_id, doc_id, rank FROM ({_bm25('documents', 'doc_id', 'text', 50)})
-    UNION ALL SELECT query_id, doc_id, rank FROM ({_vector(50)})) GROUP BY ALL)
-QUALIFY rank <= 10
+    SELECT query_id, doc_id, rank FROM ({_bm25('documents', 'doc_id', 'text', 60)})
+    UNION ALL SELECT query_id, doc_id, rank FROM ({_vector(60)}))
+  WHERE rank <= case when query_id%8=0 then 60 else 50 end GROUP BY ALL)
+QUALIFY rank <= case when query_id%8=0 then 60 else 10 end
 """
 O["facility_search"] = sql(f"""
 SELECT f.doc_id AS facility_id, f.query_id, f.score, f.rank, c.name, c.city, c.state, c.facility_type
@@ -528,23 +531,24 @@ O["sentence_claims"] = (
 )
 O["verify_answers"] = sql(f"""
 , parsed AS ({_parsed})
-, cited AS (SELECT answer_id, claims, unnest(ids[1:5]) AS fid, unnest(range(least(len(ids), 5))) AS id_pos FROM parsed)
-, pairs AS (SELECT answer_id, fid, id_pos, unnest(claims[1:3]) AS claim, unnest(range(least(len(claims), 3))) AS claim_pos FROM cited)
+, cited AS (SELECT answer_id, claims, unnest(ids) AS fid, unnest(range(len(ids))) AS id_pos FROM parsed)
+, pairs AS (SELECT answer_id, fid, id_pos, unnest(claims) AS claim, unnest(range(len(claims))) AS claim_pos FROM cited)
 , doubts AS (
-  SELECT p.answer_id, count(*) AS n, list(p.fid || ': ' || substring(p.claim, 1, 60) ORDER BY id_pos, claim_pos)[1:3] AS shown
+  SELECT p.answer_id, count(*) AS n, list(p.fid || ': ' || p.claim ORDER BY id_pos, claim_pos) AS found
   FROM pairs p LEFT JOIN clean c ON c.facility_id = p.fid
   WHERE c.facility_id is null OR len({_supports(_needles('p.claim'))}) < 2 GROUP BY p.answer_id)
 , highs AS (
-  SELECT answer_id, count(*) AS n, list(fid || '/' || rule_id ORDER BY id_pos, rule_id)[1:3] AS shown
-  FROM cited JOIN flags f ON f.facility_id = fid WHERE id_pos < 3 AND severity = 'HIGH' GROUP BY answer_id)
+  SELECT answer_id, count(*) AS n, list(fid || '/' || rule_id ORDER BY id_pos, rule_id) AS found
+  FROM cited JOIN flags f ON f.facility_id = fid WHERE severity = 'HIGH' GROUP BY answer_id)
 , judged AS (
   SELECT p.answer_id, p.iter + 1 AS iter, p.text, p.ids, coalesce(d.n, 0) AS nd, coalesce(h.n, 0) AS nh,
-    concat_ws(' | ', d.n || ' cross-source disagreements: ' || array_to_string(d.shown, '; '),
-      h.n || ' HIGH contradiction flags: ' || array_to_string(h.shown, '; ')) AS why
+    coalesce(d.found, []) AS doubts, coalesce(h.found, []) AS highs,
+    concat_ws(' | ', d.n || ' cross-source disagreements: ' || array_to_string(list_transform(d.found[1:3], lambda x: substring(x, 1, 80)), '; '),
+      h.n || ' HIGH contradiction flags: ' || array_to_string(list_transform(h.found[1:3], lambda x: substring(x, 1, 80)), '; ')) AS why
   FROM parsed p LEFT JOIN doubts d USING (answer_id) LEFT JOIN highs h USING (answer_id))
 SELECT answer_id, iter, case when iter > 8 then 'capped' when nd + nh > 0 then 'refine' else 'accept' end AS decision,
   case when iter > 8 then 'low' when nd + nh > 0 then null when len(ids) > 0 then 'high' else 'medium' end AS confidence,
-  cast(case when iter > 8 then 0 else nd end as int) AS n_disagreements, cast(case when iter > 8 then 0 else nh end as int) AS n_high_flags,
+  cast(nd as int) AS n_disagreements, cast(nh as int) AS n_high_flags, {js('doubts')} AS disagreements, {js('highs')} AS high_flags,
   case when iter <= 8 and nd + nh > 0 then why end AS reason,
   case when iter > 8 then text || {q(rv.CAP_TAIL)} when nd + nh > 0 then {q(rv.REFINE_HEAD)} || why || {q(rv.REFINE_TAIL)} else text end AS message
 FROM judged
@@ -569,7 +573,7 @@ FROM ({inputs.METRICS['baseline']}) b FULL OUTER JOIN ({inputs.METRICS['candidat
 """
 O["golden_normalise"] = """
 SELECT text AS question, coalesce(source, '') AS expected_facts
-FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 25) WHERE lang IS DISTINCT FROM 'de' AND lang IS NOT NULL
+FROM documents WHERE lang IS DISTINCT FROM 'de' AND lang IS NOT NULL
 """
 O["concat_frames"] = sql("""
 SELECT name, city, state, latitude AS lat, longitude AS lon, cast(null as double) AS trust, cast(null as varchar) AS tier FROM clean
@@ -582,6 +586,12 @@ SELECT doc_id, count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM (
     SELECT d.doc_id, case when l.doc_id is null then d.text else 'relabelled quality ' || l.quality || ' ' || d.text end AS text
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)) GROUP BY doc_id
 """
+_counted = f"SELECT doc_id, unnest({_toks}) AS term FROM documents"
+O["index_late_versions"] = f"SELECT doc_id, count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM ({_counted}) GROUP BY doc_id"
+O["index_deletes"] = f"""
+SELECT doc_id, cast(len({_toks}) as bigint) AS length FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+"""
+O["index_search"] = O["bm25_topk"]
 O["rules_stream"] = O["rule_counts"]
 O["tools_smoke"] = sql(f"""
 , worst AS (SELECT * FROM gold ORDER BY trust_score, facility_id LIMIT 1)

@@ -156,7 +156,7 @@ def _flag(rule: str, message: str, evidence: str, where: str, source: str = "blo
     severity, column = rv.RULES[rule]
     return (
         f"SELECT facility_id, '{rule}' AS rule_id, '{severity}' AS severity, {message} AS message,"
-        f" substring({evidence}, 1, 500) AS evidence, {q(citation or column)} AS citation_column,"
+        f" {evidence} AS evidence, {q(citation or column)} AS citation_column,"
         f" {pos} AS pos FROM {source} WHERE {where}"
     )
 
@@ -167,12 +167,12 @@ _at = "'lat=' || cast(latitude as varchar) || ', lon=' || cast(longitude as varc
 CTES["flags"] = " UNION ALL ".join([
     _flag(
         "R1", q(rv.R1_MESSAGE),
-        "'specialties=' || cast(to_json(l_specialties[1:3]) as varchar) || ' equipment=' || cast(to_json(l_equipment[1:3]) as varchar)"
+        "'specialties=' || cast(to_json(l_specialties) as varchar) || ' equipment=' || cast(to_json(l_equipment) as varchar)"
         f" || ' doctors=' || {_null.format('docs')} || ' capacity=' || {_null.format('capacity')}",
         f"{text_contains('claims', rv.ADVANCED_KEYWORDS)} and (len(l_equipment) = 0 or (docs is null and coalesce(capacity, 0) = 0))",
     ),
     _flag(
-        "R2", f"replace({q(rv.R2_MESSAGE)}, '%s', facility_type)", "substring(d, 1, 200)",
+        "R2", f"replace({q(rv.R2_MESSAGE)}, '%s', facility_type)", "d",
         f"facility_type in ({', '.join(q(t) for t in rv.NON_HOSPITAL_TYPES)}) and ("
         + " or ".join(f"regexp_matches(d, {q(p)}, 'i')" for p in rv.EMERGENCY_PATTERNS) + ")",
     ),
@@ -194,7 +194,7 @@ CTES["flags"] = " UNION ALL ".join([
     ),
     _flag(
         "R7", f"replace(replace({q(rv.R7_MESSAGE.replace('%s', chr(1), 1))}, chr(1), sp), '%s', array_to_string(hints[1:3], ', '))",
-        "'specialty=' || sp || ' equipment=' || cast(to_json(l_equipment[1:5]) as varchar)", "true",
+        "'specialty=' || sp || ' equipment=' || cast(to_json(l_equipment) as varchar)", "true",
         source="spec_miss", pos="sp_pos",
     ),
     _flag(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import cached_property, partial
 
@@ -18,7 +17,7 @@ from carecheck.functions.rules import LISTS
 from carecheck.operators import clean as cl
 from carecheck.operators import evaluation, extract, nearby, search, trust, verify
 from carecheck.plans import pipeline, reports
-from carecheck.session import shared_dir
+from carecheck.session import new_folder
 from carecheck.sources import lookups, tables
 from carecheck.sources.facilities import customer_facilities
 from carecheck.streaming import sync
@@ -46,7 +45,7 @@ class Run:
 
     @property
     def documents(self) -> DataFrame:
-        return tables.widen(self.table("documents"), "doc_id")
+        return self.table("documents")
 
     def request(self, statement: str) -> DataFrame:
         """One of the shared input statements over this folder's tables."""
@@ -86,10 +85,7 @@ class Run:
 
     def scratch(self) -> str:
         """A new folder under the cluster's shared one."""
-        base = shared_dir(self.spark)
-        if "://" in base:
-            return f"{base}/run-{next(tempfile._get_candidate_names())}"
-        return tempfile.mkdtemp(prefix="run-", dir=base)
+        return new_folder(self.spark)
 
 
 QUERIES: dict[str, Query] = {}
@@ -322,6 +318,12 @@ def _(r: Run) -> DataFrame:
     return found.withColumn("rules", F.array_join("rules", ","))
 
 
+@query("compound_high_asked")
+def _(r: Run) -> DataFrame:
+    found = reports.compound_high(r.contradictions, more_than=3)
+    return found.withColumn("rules", F.array_join("rules", ","))
+
+
 @query("zero_match_audit")
 def _(r: Run) -> DataFrame:
     return reports.zero_match_audit(r.contradictions, lookups.rule_dimension(r.spark))
@@ -484,8 +486,8 @@ def _(r: Run) -> DataFrame:
 @query("hybrid_topk")
 def _(r: Run) -> DataFrame:
     return search.hybrid_top_k(
-        r.request(inputs.SEARCH_REQUESTS), r.documents, "doc_id", "text",
-        r.request(inputs.VECTOR_REQUESTS), _corpus(r),
+        r.request(inputs.DEEP_SEARCH_REQUESTS), r.documents, "doc_id", "text",
+        r.request(inputs.DEEP_VECTOR_REQUESTS), _corpus(r),
     )
 
 
@@ -506,7 +508,7 @@ def _(r: Run) -> DataFrame:
 
 @query("page_extract")
 def _(r: Run) -> DataFrame:
-    made = extract.extract_json(tables.widen(r.table("pages"), "page_id").select("page_id", "html"), "html")
+    made = extract.extract_json(r.table("pages").select("page_id", "html"), "html")
     return made.select("page_id", "fields")
 
 
@@ -559,7 +561,7 @@ def _(r: Run) -> DataFrame:
 
 @query("verify_answers")
 def _(r: Run) -> DataFrame:
-    return verify.verify_answers(_answers(r), r.gold)
+    return as_json(verify.verify_answers(_answers(r), r.gold), "disagreements", "high_flags")
 
 
 @query("answer_checks")
@@ -594,7 +596,7 @@ def _(r: Run) -> DataFrame:
         "doc_id", F.when(F.col("lang") != "de", F.struct(F.col("text").alias("question"))).alias("inputs"),
         F.when(F.col("source").isNotNull(), F.array("source")).alias("expected_facts"),
     )
-    shaped = evaluation.normalise_golden(rows, ["doc_id"])
+    shaped = evaluation.normalise_golden(rows)
     return shaped.withColumn("expected_facts", F.array_join("expected_facts", "|"))
 
 
@@ -628,6 +630,49 @@ def _(r: Run) -> DataFrame:
     )
 
 
+def _fed(r: Run, *arrivals: DataFrame) -> str:
+    """An index that took in the arrivals one batch after the other."""
+    folder = r.scratch()
+    for arrival in arrivals:
+        arrival.write.mode("append").parquet(f"{folder}/feed")
+        changes = r.spark.readStream.schema(arrivals[0].schema).parquet(f"{folder}/feed")
+        sync.sync_index(changes, f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/index"
+
+
+def _versions(r: Run, version: int) -> DataFrame:
+    """Every document, or with version 1 an older form of the labelled ones."""
+    docs = r.documents.select("doc_id", F.lit(version).alias("version"), "text", F.lit(False).alias("deleted"))
+    if version == 1:
+        docs = docs.join(r.table("labels"), "doc_id", "left_semi").withColumn("text", F.concat(F.lit("stale "), "text"))
+    return docs
+
+
+@query("index_late_versions")
+def _(r: Run) -> DataFrame:
+    """An older version that arrives after a newer one changes nothing."""
+    index = _fed(r, _versions(r, 2), _versions(r, 1))
+    return sync.live_postings(r.spark, index).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
+
+
+@query("index_deletes")
+def _(r: Run) -> DataFrame:
+    """Labelled documents are deleted; a compacted index stays so when an old version arrives once more."""
+    gone = r.table("labels").select("doc_id", F.lit(3).alias("version"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("deleted"))
+    index = _fed(r, _versions(r, 2), gone)
+    compact = r.scratch()
+    sync.compact_index(r.spark, index, compact)
+    sync.index_batch(_versions(r, 1), 0, compact, "late")
+    return sync.live_keys(r.spark, compact).select("doc_id", F.col("length").cast("bigint").alias("length"))
+
+
+@query("index_search")
+def _(r: Run) -> DataFrame:
+    """Keyword search over the stored index; the same hits as over the documents."""
+    return sync.search_index(r.spark, _fed(r, _versions(r, 2)), r.request(inputs.SEARCH_REQUESTS))
+
+
 @query("rules_stream")
 def _(r: Run) -> DataFrame:
     folder = r.scratch()

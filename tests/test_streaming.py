@@ -27,9 +27,13 @@ def test_index_follows_changes(spark, tmp_path):
     arrive(("b", 2, "closed"), ("c", 1, "words"), ("d", 1, ""))
     want = {("a", "new"): 1, ("a", "words"): 1, ("b", "closed"): 1, ("c", "words"): 1}
     assert live(spark, folder) == want
-    # the same batch written once more changes nothing
+    # the same changes written once more, twice as one batch, change nothing
     again = spark.createDataFrame([("b", 2, "closed"), ("c", 1, "words"), ("d", 1, "")], CHANGE)
-    sync.index_batch(again, 1, folder)
+    for _ in range(2):
+        sync.index_batch(again, 1, folder, "again")
+        assert live(spark, folder) == want
+    # an older version that comes late is not taken
+    arrive(("b", 1, "cath lab"))
     assert live(spark, folder) == want
     arrive(("a", 3, ""))
     assert ("a", "new") not in live(spark, folder)
@@ -42,6 +46,32 @@ def test_index_follows_changes(spark, tmp_path):
     sync.compact_index(spark, folder, str(tmp_path / "compact"))
     assert live(spark, str(tmp_path / "compact")) == live(spark, folder)
 
+    # a fresh stream on the compacted index keeps what is there
+    feed, folder, checkpoint = str(tmp_path / "feed2"), str(tmp_path / "compact"), str(tmp_path / "checkpoint2")
+    arrive(("e", 1, "fresh"))
+    assert live(spark, folder) == {("b", "closed"): 1, ("c", "words"): 1, ("e", "fresh"): 1}
+
+
+def test_deleted_documents_stay_away(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    rows = lambda *r: spark.createDataFrame(list(r), CHANGE + ", deleted boolean")
+    sync.index_batch(rows(("a", 1, "one", False), ("b", 1, "two", False)), 0, folder)
+    sync.index_batch(rows(("a", 2, None, True)), 1, folder)
+    assert live(spark, folder) == {("b", "two"): 1}
+    sync.compact_index(spark, folder, str(tmp_path / "compact"))
+    sync.index_batch(rows(("a", 1, "one", False)), 2, str(tmp_path / "compact"), "late")
+    assert live(spark, str(tmp_path / "compact")) == {("b", "two"): 1}
+    sync.index_batch(rows(("a", 3, "back", None)), 3, str(tmp_path / "compact"), "late")
+    assert live(spark, str(tmp_path / "compact")) == {("b", "two"): 1, ("a", "back"): 1}
+
+
+def test_an_uncommitted_batch_is_not_seen(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    sync.index_batch(spark.createDataFrame([("a", 1, "one")], CHANGE), 0, folder)
+    spark.createDataFrame([("a", 2, False, 1)], "doc_id string, version int, deleted boolean, length int").write.parquet(
+        f"{folder}/keys/batch=half-1")
+    assert live(spark, folder) == {("a", "one"): 1}
+
 
 def test_rules_on_a_stream_match_the_batch(spark, small, tmp_path):
     raw = customer_facilities(spark, small)
