@@ -151,6 +151,15 @@ def _decide(full: DataFrame) -> DataFrame:
     )
 
 
+def drafts(messages: DataFrame) -> DataFrame:
+    """The last assistant message of each conversation (conv_id, turn, role, content), as an answer to verify."""
+    return (
+        messages.where(F.col("role") == "assistant").groupBy(F.col("conv_id").alias("answer_id"))
+        .agg(F.max_by("content", "turn").alias("text"))
+        .withColumn("iter", F.lit(0))
+    )
+
+
 def check_answers(answers: DataFrame) -> DataFrame:
     """Form checks of answers (answer_id, question, text)."""
     text = F.col("text")

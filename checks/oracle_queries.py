@@ -165,6 +165,8 @@ AND NOT EXISTS (SELECT 1 FROM gold o WHERE o.city = g.city AND {_onco.replace('s
 """)
 O["zero_coverage_cities"] = _zero
 O["zero_coverage_anti_join"] = _zero
+O["zero_coverage_pharmacies"] = _zero.replace("FROM gold", "FROM (SELECT * FROM gold WHERE facility_type = 'pharmacy')")
+O["zero_coverage_pharmacies_anti_join"] = O["zero_coverage_pharmacies"]
 O["lowest_trust"] = sql("""
 SELECT facility_id, name, state, city, trust_score FROM gold WHERE facility_type = 'hospital'
 ORDER BY trust_score, facility_id LIMIT 25
@@ -561,11 +563,29 @@ SELECT answer_id, len(regexp_extract_all(text, '\[([A-Za-z0-9][\w\-]{4,})\]', 1)
     or regexp_matches(text, '(0 (rows|matches|facilities)|zero (rows|matches|facilities)|fired zero times)', 'i') end AS reports_known_bug
 FROM answers
 """)
-O["transcript_flatten"] = f"""
+_messages = f"""
 SELECT conv_id, turn, case when role <> '' then role when kind = 'message' then 'assistant' else 'user' end AS role,
   replace(text, chr(10), '') AS content FROM ({inputs.TRANSCRIPTS})
 """
 
+O["transcript_flatten"] = _messages
+_drafts = f"""(SELECT conv_id AS answer_id, max_by(content, turn) AS text, 0 AS iter, '' AS allowed
+FROM ({_messages}) WHERE role = 'assistant' GROUP BY conv_id)"""
+O["transcript_verdicts"] = O["verify_answers"].replace("FROM answers", f"FROM {_drafts}")
+O["raw_csv"] = "SELECT cast(c_custkey as varchar) AS c_custkey, c_name, c_mktsegment FROM customer"
+O["golden_read"] = "SELECT text AS question, cast(item_id as varchar) AS expected_facts FROM benchmark"
+O["boxes_json"] = """
+SELECT s_name AS state, cast(s_suppkey as double) AS min_lat, cast(s_suppkey + 2 as double) AS max_lat,
+  cast(-s_suppkey as double) AS min_lon, cast(3 - s_suppkey as double) AS max_lon FROM supplier
+"""
+O["aliases_json"] = """
+SELECT case when c_custkey % 3 = 0 then lower(c_name) else 'of ' || lower(c_name) end AS alias, n_name AS state,
+  case when c_custkey % 3 = 0 then 'city' else 'alias' end AS kind
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+"""
+O["table_comment"] = "SELECT n_nationkey, n_name FROM nation"
+O["ring_covers_radius"] = sql("SELECT count(DISTINCT facility_id) AS n_found, 0::bigint AS n_missed FROM radius_hits")
+
 O["metric_delta"] = f"""
 SELECT coalesce(b.metric, c.metric) AS metric, round(b.value, 6) AS baseline, round(c.value, 6) AS candidate,
   round(coalesce(c.value, 0) - coalesce(b.value, 0), 6) AS delta

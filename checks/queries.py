@@ -7,7 +7,6 @@ from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carecheck import rule_values as rv
 from carecheck import schemas
@@ -119,6 +118,50 @@ def _(r: Run) -> DataFrame:
     return tables.with_facility_id(tables.clean_headers(untidy), order_by="row_key")
 
 
+@query("raw_csv")
+def _(r: Run) -> DataFrame:
+    """Raw text written and read back; every column is text."""
+    folder = r.scratch()
+    r.table("customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(folder)
+    return tables.clean_headers(tables.read_raw_csv(r.spark, folder))
+
+
+@query("golden_read")
+def _(r: Run) -> DataFrame:
+    folder = r.scratch()
+    r.table("benchmark").select(
+        F.col("text").alias("question"), F.array(F.col("item_id").cast("string")).alias("expected_facts")
+    ).write.json(folder)
+    return tables.read_golden(r.spark, folder).select("question", F.array_join("expected_facts", "|").alias("expected_facts"))
+
+
+@query("boxes_json")
+def _(r: Run) -> DataFrame:
+    folder, key = r.scratch(), F.col("s_suppkey").cast("double")
+    box = F.struct(key.alias("min_lat"), (key + 2).alias("max_lat"), (-key).alias("min_lon"), (3 - key).alias("max_lon"))
+    r.table("supplier").select(F.to_json(F.create_map("s_name", box))).write.text(folder)
+    return lookups.boxes_from_json(r.spark.read.text(folder))
+
+
+@query("aliases_json")
+def _(r: Run) -> DataFrame:
+    """Alias documents, one per customer; every third one has cities."""
+    folder = r.scratch()
+    named = r.table("customer").join(r.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    aliases = F.to_json(F.create_map(F.concat(F.lit("Of "), "c_name"), "n_name"))
+    cities = F.to_json(F.struct(F.create_map("c_name", "n_name").alias("_city_to_state")))
+    named.select(F.when(F.col("c_custkey") % 3 == 0, cities).otherwise(aliases)).write.text(folder)
+    return lookups.aliases_from_json(r.spark.read.text(folder))
+
+
+@query("table_comment")
+def _(r: Run) -> DataFrame:
+    """A table made from a query, its rows read back by name."""
+    name = "carecheck_" + r.scratch().rsplit("-", 1)[1]
+    made = tables.create_table_as(r.table("nation").select("n_nationkey", "n_name"), name, "Nations, as they're named")
+    return made.select("n_nationkey", "n_name")
+
+
 @query("pin_repair")
 def _(r: Run) -> DataFrame:
     return cl.bronze(r.raw).select("facility_id", "address_postalCode")
@@ -277,6 +320,11 @@ _gold_report("typo_by_state", reports.typo_by_state)
 _gold_report("typo_examples", reports.typo_examples)
 _gold_report("zero_coverage_cities", lambda g: reports.zero_coverage_cities(g, "Bihar", "oncolog"))
 _gold_report("zero_coverage_anti_join", lambda g: reports.zero_coverage_by_anti_join(g, "Bihar", "oncolog"))
+# among pharmacies alone some cities are covered and some are not
+_gold_report("zero_coverage_pharmacies", lambda g: reports.zero_coverage_cities(
+    g.where("facility_type = 'pharmacy'"), "Bihar", "oncolog"))
+_gold_report("zero_coverage_pharmacies_anti_join", lambda g: reports.zero_coverage_by_anti_join(
+    g.where("facility_type = 'pharmacy'"), "Bihar", "oncolog"))
 _gold_report("lowest_trust", reports.lowest_trust)
 _gold_report("overview_kpis", reports.overview)
 _gold_report("audit_list", reports.audit_list)
@@ -415,6 +463,16 @@ def _(r: Run) -> DataFrame:
     )
 
 
+@query("ring_covers_radius")
+def _(r: Run) -> DataFrame:
+    """The coarse cell filter keeps every facility that an exact search finds."""
+    requests = r.request(inputs.RADIUS_REQUESTS)
+    found = nearby.radius_search(requests, r.stored_gold).select("facility_id").distinct()
+    ring = nearby.in_ring(r.stored_gold, requests).select("facility_id").distinct().withColumn("kept", F.lit(1))
+    return found.join(ring, "facility_id", "left").agg(
+        F.count("*").alias("n_found"), F.count_if(F.col("kept").isNull()).alias("n_missed"))
+
+
 @query("radius_json")
 def _(r: Run) -> DataFrame:
     requests = r.request(inputs.RADIUS_REQUESTS)
@@ -569,8 +627,7 @@ def _(r: Run) -> DataFrame:
     return verify.check_answers(_answers(r))
 
 
-@query("transcript_flatten")
-def _(r: Run) -> DataFrame:
+def _messages(r: Run) -> DataFrame:
     turns = r.request(inputs.TRANSCRIPTS)
     part = lambda line: F.struct(F.when(line != "", line).alias("text"))
     parts = F.transform(F.split("text", "\n"), part)
@@ -580,6 +637,17 @@ def _(r: Run) -> DataFrame:
     )
 
 
+@query("transcript_flatten")
+def _(r: Run) -> DataFrame:
+    return _messages(r)
+
+
+@query("transcript_verdicts")
+def _(r: Run) -> DataFrame:
+    """The last assistant message of each conversation, verified."""
+    return as_json(verify.verify_answers(verify.drafts(_messages(r)), r.gold), "disagreements", "high_flags")
+
+
 # --- evaluation -----------------------------------------------------------------------
 
 @query("metric_delta")
