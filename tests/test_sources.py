@@ -13,7 +13,7 @@ from carecheck.sources.facilities import customer_facilities
 
 def test_csv_stays_text(spark, tmp_path):
     (tmp_path / "in.csv").write_text('id, Pin Code ,note\n1,001234,"two\nlines, ""quoted"""\n2,,x\n')
-    df = tables.clean_headers(tables.read_raw_csv(spark, str(tmp_path / "in.csv")))
+    df = tables.clean_headers(tables.read_raw_csv(spark, str(tmp_path / "in.csv"), multi_line=True))
     assert df.columns == ["id", "Pin_Code", "note"]
     assert {f.dataType.simpleString() for f in df.schema} == {"string"}
     rows = tables.with_facility_id(df).orderBy("facility_id").collect()

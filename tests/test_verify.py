@@ -62,10 +62,12 @@ def test_verify_answers(spark, gold):
     assert out[7].decision == "accept" and out[7].message == ""
 
 
-def test_only_five_ids_and_three_claims_are_paired(spark, gold):
+def test_all_ids_and_claims_are_paired_unless_limits_are_given(spark, gold):
     text = " ".join(f"[XX{i:04d}]" for i in range(9)) + " Nothing here can be backed by data. " * 6
     answers = spark.createDataFrame([(1, text, 0)], "answer_id long, text string, iter int")
-    assert verify.verify_answers(answers, gold).first().n_disagreements == 15
+    found = verify.verify_answers(answers, gold).first()
+    assert found.n_disagreements == len(found.disagreements) == 54
+    assert verify.verify_answers(answers, gold, ids=5, claims=3).first().n_disagreements == 15
 
 
 def test_citations(gold):
