@@ -10,18 +10,20 @@ the connected components of links, named by their smallest id. An empty text is
 2. A text whose shared shingles weigh less than 0.8 of it can have no link and is done: its similarity to any other is at most
    that share. The others are written with their weights; equal bags become one representative each.
 3. Representatives are sampled BANDS * ROWS times; those that agree in all ROWS samples of a band meet in a group.
-   Groups with the same members are checked once. A group over GROUP members is divided by the other bands.
+   Groups with the same members are checked once.
 4. Within a group all similarities are computed exactly from the weights, and a spanning forest of the links goes on.
-   A group that is still too large is cut in blocks which all hold its first members, so that it stays linked through them.
+   Groups over GROUP members are cut in blocks first, which all hold the group's first members.
 5. Components come from repeated joins to smaller neighbours, each round a written table.
+6. Members of such a group that are still outside its largest component meet all other members of it, block against block,
+   so no pair that agrees in a band stays unchecked unless it is in one component anyway.
 
-A pair of similarity 0.8 misses all bands with a chance of 2e-5. A null text counts as empty; a null id is no smallest id
+A pair of similarity 0.8 misses all bands with a chance of 2e-5, in large groups too. A null text counts as empty; a null id is no smallest id
 unless its class has no other; rows with one id and text are one; an empty table gives no rows. Only id and text are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from carecheck.llm.common import (
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 27, 5
-GROUP = 1200  # members of a group that one task compares
+GROUP = 1200  # members of a group that one task compares, or of a block
 ANCHORS = 8  # members that the blocks of a group share
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20  # text whose shingles share a bucket
@@ -207,8 +209,8 @@ def sample_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- checking groups ----------------------------------------------------------------------------
 
-def similarities(hashed: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member the weighted Jaccard similarities to all members, from postings of shared shingles."""
+def similarities(hashed: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: int) -> Callable[[int], np.ndarray]:
+    """A function from a member to its weighted Jaccard similarities to all members, from postings of shared shingles."""
     total = np.bincount(owner, weight, n)
     order = np.argsort(hashed, kind="stable")
     hashed, weight, owner = hashed[order], weight[order], owner[order]
@@ -217,54 +219,104 @@ def similarities(hashed: np.ndarray, weight: np.ndarray, owner: np.ndarray, n: i
     term = np.repeat(np.arange(len(cut)), ends - cut)
     by_owner = np.argsort(owner, kind="stable")
     bounds = np.searchsorted(owner[by_owner], np.arange(n + 1))
-    for k in range(n):
+
+    def of(k: int) -> np.ndarray:
         mine = by_owner[bounds[k]:bounds[k + 1]]
         begin, size = cut[term[mine]], (ends - cut)[term[mine]]
         posting = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         minima = np.bincount(owner[posting], np.minimum(np.repeat(weight[mine], size), weight[posting]), n)
-        yield k, minima / np.maximum(total[k] + total - minima, 1e-300)
+        return minima / np.maximum(total[k] + total - minima, 1e-300)
+
+    return of
 
 
 def check_group(table: pa.Table) -> pa.Table:
-    """For applyInArrow over a group (rep, hashes, weights): a spanning forest (a, b) of its links, a < b."""
-    rep = table.column("rep").to_numpy()
-    order = np.argsort(rep, kind="stable")
-    rep = rep[order]
-    packed, packed_weights = table.column("hashes").to_pylist(), table.column("weights").to_pylist()
-    hashed = [unpack_sorted(packed[k]) for k in order]
-    weights = [unpack_planes(packed_weights[k], "<f8") for k in order]
+    """For applyInArrow over a group (rep, label, visits, hashes, weights): a spanning forest (a, b) of its links, a < b.
+
+    Members of one label count as linked. Where some visit the others, links of a visitor and another are wanted only.
+    """
+    rep, visits = table.column("rep").to_numpy(), table.column("visits").to_numpy(zero_copy_only=False)
+    hashed = [unpack_sorted(b) for b in table.column("hashes").to_pylist()]
+    weights = [unpack_planes(b, "<f8") for b in table.column("weights").to_pylist()]
     n = len(rep)
-    root = np.arange(n)
+    root = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
     edges = []
-    owner = np.repeat(np.arange(n), [len(h) for h in hashed])
-    for k, similar in similarities(np.concatenate(hashed), np.concatenate(weights), owner, n):
-        for other in np.flatnonzero(similar[k + 1:] >= SIMILARITY - 1e-9) + k + 1:
+    similar = similarities(np.concatenate(hashed), np.concatenate(weights), np.repeat(np.arange(n), [len(h) for h in hashed]), n)
+    done = np.zeros(n, bool)
+    while True:
+        # two members that are not linked yet are not both in the largest component
+        left = [~done & (root != np.bincount(root).argmax())]
+        if visits.any():
+            left += [~done & visits, ~done & ~visits]
+        left = min(left, key=np.count_nonzero)
+        if not left.any():
+            break
+        k = int(left.argmax())
+        done[k] = True
+        for other in np.flatnonzero((similar(k) >= SIMILARITY - 1e-9) & (root != root[k])):
             if root[k] != root[other]:
                 root[root == root[other]] = root[k]
-                edges.append((int(rep[k]), int(rep[other])))
+                edges.append((int(min(rep[k], rep[other])), int(max(rep[k], rep[other]))))
     return pa.table([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
-def _groups(reps: DataFrame) -> DataFrame:
-    """(members): distinct lists of representatives that meet, GROUP members at most (plus the shared ones of a cut group)."""
-    met = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    sized = lambda rows: rows.join(rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["band", "key"])
-    first = stored(sized(met))
+def _check(members: DataFrame, sampled: DataFrame, *by: str) -> DataFrame:
+    """(a, b): the links in the groups named by ``by``, of members (*by, rep, label, visits)."""
+    return members.join(sampled.select("rep", "hashes", "weights"), "rep").groupBy(*by).applyInArrow(check_group, "a bigint, b bigint")
+
+
+def _homes(met: DataFrame) -> DataFrame:
+    """(rep, home, block): members of large groups (band, key, rep), each in the first of its groups, cut in blocks of about GROUP."""
+    homes = met.groupBy("rep").agg(F.min(F.struct("band", "key")).alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
+    return homes.join(sizes, "home").select("rep", "home", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
+
+
+def _groups(met: DataFrame, homes: DataFrame) -> DataFrame:
+    """(members): distinct lists of representatives that meet; of large groups the blocks of ``homes``, which share some members."""
     members = F.sort_array(F.collect_list("rep")).alias("members")
-    small = first.filter(F.col("n") <= GROUP).groupBy("band", "key").agg(members).select("members")
-    # larger groups: members that agree in a second band as well
-    again = first.filter(F.col("n") > GROUP).join(reps.select("rep", "bands"), "rep").select(
-        "rep", F.col("band").alias("one"), F.col("key").alias("one_key"), F.posexplode("bands").alias("two", "two_key")
-    ).filter("one < two").select("rep", F.expr("100 * one + two").alias("band"), F.xxhash64("one_key", "two_key").alias("key"))
-    second = stored(sized(again))
-    divided = second.filter(F.col("n") <= GROUP).groupBy("band", "key").agg(members).select("members")
-    # what still is too large: blocks that share the group's first members
-    large = second.filter(F.col("n") > GROUP).withColumn("blocks", F.ceil(F.col("n") / GROUP))
-    blocks = large.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).groupBy("band", "key", "block").agg(members)
-    shared = blocks.groupBy("band", "key").agg(F.array_sort(F.flatten(F.collect_list(F.slice("members", 1, ANCHORS)))).alias("firsts"))
-    cut = blocks.join(shared, ["band", "key"]).select(
-        F.array_sort(F.array_union("members", F.slice("firsts", 1, ANCHORS))).alias("members"))
-    return small.unionByName(divided).unionByName(cut).distinct()
+    small = met.filter(F.col("n") <= GROUP).groupBy("band", "key").agg(members).select("members")
+    blocks = homes.groupBy("home", "block").agg(members)
+    shared = blocks.groupBy("home").agg(F.array_sort(F.flatten(F.collect_list(F.slice("members", 1, ANCHORS)))).alias("firsts"))
+    cut = blocks.join(shared, "home").select(F.array_sort(F.array_union("members", F.slice("firsts", 1, ANCHORS))).alias("members"))
+    return small.unionByName(cut).distinct()
+
+
+def _visits(large: DataFrame, homes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(home, block, chunk, rep, label, visits): the pairs of large groups that ``joined`` (node, root) does not link.
+
+    In every large group, the members outside its most frequent component visit the blocks of all members. Visitors of a
+    block come in chunks of about GROUP, each of which meets the whole block.
+    """
+    labelled = stored(large.select("band", "key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select(
+        "band", "key", "rep", F.coalesce("root", "rep").alias("label")))
+    mixed = labelled.groupBy("band", "key", "label").count().groupBy("band", "key").agg(
+        F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = stored(labelled.join(mixed, ["band", "key"]).select("band", "key", "rep", (F.col("label") != F.col("main")).alias("apart")))
+    blocks = mixed.join(homes, "rep").select("band", "key", "home", "block").distinct()
+    visits = stored(mixed.filter("apart").join(blocks, ["band", "key"]).select("rep", "home", "block").distinct())
+    chunks = visits.groupBy("home", "block").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
+    visitors = visits.join(chunks, ["home", "block"]).select(
+        "home", "block", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), "rep", F.lit(True).alias("visits"))
+    hosts = homes.join(chunks, ["home", "block"]).select(
+        "home", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "rep", F.lit(False).alias("visits"))
+    labels = labelled.select("rep", "label").distinct()
+    return visitors.unionByName(hosts).join(labels, "rep")
+
+
+def linked(sampled: DataFrame) -> DataFrame:
+    """(node, root): the components of all links between representatives that meet in a band."""
+    met = sampled.select("rep", F.posexplode("bands").alias("band", "key"))
+    met = stored(met.join(met.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["band", "key"]))
+    large = met.filter(F.col("n") > GROUP)
+    homes = stored(_homes(large))
+    groups = _groups(met, homes).withColumn("group", F.xxhash64("members")).select("group", F.explode("members").alias("rep"))
+    joined = components(_check(groups.withColumns({"label": F.col("rep"), "visits": F.lit(False)}), sampled, "group"))
+    if homes.isEmpty():
+        return joined
+    joined = stored(joined)
+    more = _check(_visits(large, homes, joined), sampled, "home", "block", "chunk")
+    return components(joined.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -306,9 +358,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     reps = stored(named.join(whole, "bag").select("bag", "rep", "x.hashes", "x.weights"))
     sampled = stored(reps.filter(F.col("bag") != 0).select(F.col("bag").alias("rep"), "hashes", "weights").mapInArrow(
         sample_bands, "rep bigint, hashes binary, weights binary, bands array<bigint>"))
-    groups = _groups(sampled).withColumn("group", F.xxhash64("members")).select("group", F.explode("members").alias("rep"))
-    links = groups.join(sampled.select("rep", "hashes", "weights"), "rep").groupBy("group").applyInArrow(check_group, "a bigint, b bigint")
-    joined = components(links)
+    joined = linked(sampled)
     of_bag = reps.select("bag", "rep").join(joined, F.col("bag") == F.col("node"), "left").select(
         "bag", "rep", F.coalesce("root", "bag").alias("root"))
     least = of_bag.groupBy("root").agg(F.min("rep").alias("class_id"))

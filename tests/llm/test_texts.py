@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as tok
 import pytest
 import tiktoken
@@ -151,6 +152,27 @@ def test_near_dedup(docs, rows, monkeypatch, group):
     assert sorted(got, key=repr) == sorted(near_classes(rows), key=repr)
 
 
+def test_near_dedup_links_across_blocks_of_a_large_group(spark, monkeypatch):
+    """Pairs of near copies of one template that all meet in all bands: the links are the pairs' own."""
+
+    def all_meet(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[0] * 27] * b.num_rows, pa.list_(pa.int64()))], ["rep", "hashes", "weights", "bands"])
+
+    monkeypatch.setattr(near_dedup, "sample_bands", all_meet)
+    monkeypatch.setattr(near_dedup, "GROUP", 3)
+    monkeypatch.setattr(near_dedup, "ANCHORS", 1)
+    template = " ".join(f"word{k}" for k in range(60))
+    rows = [
+        (2 * k + j, template + " " + " ".join(f"own{k}x{x}" for x in range(28)) + f" last{j}")
+        for k in range(20) for j in range(2)
+    ]
+    want = near_classes(rows)
+    assert len({c for _, _, c in want}) == 20
+    got = near_dedup.with_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["class_id"]) for r in got) == sorted(want)
+
+
 def test_near_dedup_keeps_one_of_each_class(docs, rows):
     got = near_dedup.keep_first(docs)
     assert got.columns == docs.columns
