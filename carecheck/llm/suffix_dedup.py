@@ -8,7 +8,8 @@ read that deal:
 
 1. every chunk sends the hashes of its anchors to buckets, which return those that several documents have;
 2. every chunk sends its pieces at such anchors to buckets. Pieces that several of its documents hold are settled in
-   the chunk but for the smallest id, so that a passage which a third of all rows share leaves each chunk once;
+   the chunk but for the smallest id, so that a passage which a third of all rows share leaves each chunk once. Pieces of
+   an anchor with more than HOT_PIECES of them go as single windows, dealt by the windows' own bytes and settled alike;
 3. the ranges that the buckets found meet the texts again.
 
 Within a bucket, the distinct pieces are sorted by a difference cover modulo 3: triples at two thirds of the positions are sorted and named, the names are sorted recursively
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecheck.llm.common import BYTE_VALUES, mix, pack_sorted, slices, span_hashes, unpack_sorted, utf8
+from carecheck.llm.common import BYTE_VALUES, mix, pack_planes, pack_sorted, slices, span_hashes, unpack_planes, unpack_sorted, utf8
 
 LENGTH = 50
 GRAM = 24
@@ -40,6 +41,7 @@ SLICE_BYTES = 1 << 20  # text that is cut into pieces at once
 CHUNK_BYTES = 8 << 20  # text of a chunk, on average
 ANCHOR_BYTES = 32 << 20  # text whose anchors share a bucket
 BUCKET_BYTES = 2 << 20  # text whose pieces share a bucket
+HOT_PIECES = 4096  # pieces of an anchor that one bucket takes
 LAST = (1 << 63) - 1  # stands for a null id
 DOC, KEY, CHUNK = "__dedup_doc", "__dedup_text_key", "__dedup_chunk"  # columns that chunks carry beside the rows' own
 
@@ -208,8 +210,8 @@ def _text_slices(chunk: pa.Table, docs: str, text: str) -> Iterator[tuple]:
 
 
 def chunk_anchors(buckets: int, length: int, text_column: str):
-    """For applyInArrow over a chunk: rows (bucket, chunk, blob) of its anchors' hashes; the lowest bit tells that two
-    ids of the chunk have the anchor."""
+    """For applyInArrow over a chunk: rows (bucket, chunk, blob, counts) of its anchors' hashes and numbers of pieces; the
+    lowest bit of a hash tells that two ids of the chunk have the anchor."""
 
     def run(chunk: pa.Table) -> pa.Table:
         docs, anchors = [], []
@@ -226,37 +228,68 @@ def chunk_anchors(buckets: int, length: int, text_column: str):
             if len(cut):
                 many = np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut)
                 values = (anchor[cut] << np.uint64(1)) | many.astype(np.uint64)
+                counts = np.minimum(np.diff(np.r_[cut, len(anchor)]), 0xFFFF).astype("<u2")
                 bucket = (mix(anchor[cut]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")  # ascending values within a bucket
-                values, bucket = values[order], bucket[order]
+                values, counts, bucket = values[order], counts[order], bucket[order]
                 ends = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-                out = [(int(bucket[x]), pack_sorted(values[x:y])) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                out = [(int(bucket[x]), pack_sorted(values[x:y]), pack_planes(counts[x:y])) for x, y in zip(ends[:-1], ends[1:], strict=True)]
         home = chunk.column(CHUNK)[0].as_py() if chunk.num_rows else 0
         return pa.table({
-            "bucket": pa.array([x for x, _ in out], pa.int32()), "chunk": pa.array([home] * len(out), pa.int32()),
-            "blob": pa.array([x for _, x in out], pa.binary())})
+            "bucket": pa.array([x[0] for x in out], pa.int32()), "chunk": pa.array([home] * len(out), pa.int32()),
+            "blob": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
 
     return run
 
 
-def shared_anchors(table: pa.Table) -> pa.Table:
-    """For applyInArrow over a bucket of anchors: rows (chunk, blob) of those that two ids or two chunks have."""
-    parts = [unpack_sorted(b) for b in table.column("blob").to_pylist()]
-    values = np.concatenate(parts)
-    chunk = np.repeat(table.column("chunk").to_numpy(), [len(p) for p in parts])
-    order = np.argsort(values >> np.uint64(1), kind="stable")
-    values, chunk = values[order], chunk[order]
-    anchor = values >> np.uint64(1)
-    cut = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    group = np.diff(np.r_[cut, len(anchor)])
-    kept = np.repeat((group > 1) | (np.maximum.reduceat(values & np.uint64(1), cut) > 0), group)
-    anchor, chunk = anchor[kept], chunk[kept]
-    order = np.argsort(chunk, kind="stable")
-    anchor, chunk = anchor[order], chunk[order]
-    ends = np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)] if len(chunk) else np.zeros(1, np.int64)
-    return pa.table({
-        "chunk": pa.array(chunk[ends[:-1]], pa.int32()),
-        "blob": pa.array([pack_sorted(anchor[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+def shared_anchors(limit: int):
+    """For applyInArrow over a bucket of anchors: rows (chunk, blob) of those that two ids or two chunks have; the lowest
+    bit tells that an anchor has more than ``limit`` pieces."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack_sorted(b) for b in table.column("blob").to_pylist()]
+        values = np.concatenate(parts)
+        counts = np.concatenate([unpack_planes(b, "<u2") for b in table.column("counts").to_pylist()])
+        chunk = np.repeat(table.column("chunk").to_numpy(), [len(p) for p in parts])
+        order = np.argsort(values >> np.uint64(1), kind="stable")
+        values, counts, chunk = values[order], counts[order], chunk[order]
+        anchor = values >> np.uint64(1)
+        cut = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        group = np.diff(np.r_[cut, len(anchor)])
+        kept = np.repeat((group > 1) | (np.maximum.reduceat(values & np.uint64(1), cut) > 0), group)
+        hot = np.repeat(np.add.reduceat(counts.astype(np.int64), cut) > limit, group)
+        named, chunk = ((anchor << np.uint64(1)) | hot.astype(np.uint64))[kept], chunk[kept]
+        order = np.argsort(chunk, kind="stable")
+        named, chunk = named[order], chunk[order]
+        ends = np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)] if len(chunk) else np.zeros(1, np.int64)
+        return pa.table({
+            "chunk": pa.array(chunk[ends[:-1]], pa.int32()),
+            "blob": pa.array([pack_sorted(named[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+    return run
+
+
+def split_windows(doc, text, start, size, data, at, length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The windows of pieces, which stand in ``data`` from ``at`` on: (doc, text, start, size, name, at) of one id for
+    each content, the smallest, and the merged ranges (doc, text, start, end) of the other ids' windows."""
+    n = size.astype(np.int64) - length + 1
+    piece = np.repeat(np.arange(len(n)), n)
+    shift = np.arange(len(piece)) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
+    inside, offsets = gather(data, at, size.astype(np.int64))
+    local = offsets[piece] + shift
+    name = span_hashes(BYTE_VALUES[inside], local, local + length)
+    doc, text, start, at = doc[piece], text[piece], start[piece].astype(np.int64) + shift, at[piece] + shift
+    order = np.lexsort((doc, name))
+    first = np.r_[True, name[order][1:] != name[order][:-1]]
+    settled = np.zeros(len(order), bool)
+    settled[order] = doc[order] > doc[order][first][np.cumsum(first) - 1]
+    by_row = np.lexsort((start, text, doc))
+    sent, gone = by_row[~settled[by_row]], by_row[settled[by_row]]
+    d, t, s = doc[gone], text[gone], start[gone]
+    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + length)]) if len(d) else np.zeros(0, np.int64)
+    last = np.r_[cut[1:], len(d)].astype(np.int64)[:len(cut)] - 1
+    return ([doc[sent], text[sent], start[sent], np.full(len(sent), length, np.uint8), name[sent] >> np.uint64(ANCHOR_SHIFT), at[sent]],
+            [d[cut], t[cut], s[cut], s[last] + length])
 
 
 def chunk_pieces(buckets: int, length: int, text_column: str):
@@ -264,6 +297,7 @@ def chunk_pieces(buckets: int, length: int, text_column: str):
 
     def run(chunk: pa.Table, wanted: pa.Table) -> pa.Table:
         anchors = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(unpack_sorted, wanted.column("blob").to_pylist())]))
+        anchors, hot_anchors = anchors >> np.uint64(1), (anchors & np.uint64(1)).astype(bool)
         seen: dict[int, int] = {}  # repeated pieces of this chunk: the smallest id that was passed on
         out: list[pa.RecordBatch] = []
         kept: list[list[np.ndarray]] = []
@@ -297,7 +331,14 @@ def chunk_pieces(buckets: int, length: int, text_column: str):
         if kept:
             doc, text, start, size, anchor, data = (np.concatenate(x) for x in zip(*kept, strict=True))
             del kept
-            at = np.r_[0, np.cumsum(size, dtype=np.int64)]
+            at = np.r_[0, np.cumsum(size, dtype=np.int64)][:-1]
+            hot = hot_anchors[np.searchsorted(anchors, anchor)]
+            if hot.any():
+                windows, gone = split_windows(doc[hot], text[hot], start[hot], size[hot], data, at[hot], length)
+                doc, text, start, size, anchor, at = (
+                    np.r_[x[~hot], y] for x, y in zip([doc, text, start, size, anchor, at], windows, strict=True))
+                n = len(gone[0])
+                out.append(pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *_range_columns(*gone)], _PIECE_NAMES))
             bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.r_[np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]), len(order)] if len(order) else np.zeros(1, np.int64)
@@ -387,8 +428,8 @@ def _apply(docs: DataFrame, finish, schema, length: int, id_column: str, text_co
     number = lambda size: max(1, -(-total // size))
     chunked = _chunked(docs, number(CHUNK_BYTES), id_column, text_column)  # one shuffle of the texts, read by all passes
     anchors = chunked.groupBy(CHUNK).applyInArrow(
-        chunk_anchors(number(ANCHOR_BYTES), length, text_column), "bucket int, chunk int, blob binary")
-    shared = anchors.groupBy("bucket").applyInArrow(shared_anchors, "chunk int, blob binary")
+        chunk_anchors(number(ANCHOR_BYTES), length, text_column), "bucket int, chunk int, blob binary, counts binary")
+    shared = anchors.groupBy("bucket").applyInArrow(shared_anchors(HOT_PIECES), "chunk int, blob binary")
     cut = chunked.groupBy(CHUNK).cogroup(shared.groupBy("chunk")).applyInArrow(
         chunk_pieces(number(BUCKET_BYTES), length, text_column), "bucket int, blob binary, " + RANGES)
     found = cut.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(settle_bucket(length), RANGES)

@@ -58,6 +58,28 @@ def test_suffix_dedup(docs, rows):
     assert sorted(map(plain, suffix_dedup.report(docs).collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("limit", [0, 2])
+def test_suffix_dedup_of_hot_anchors(docs, monkeypatch, limit):
+    want = sorted(map(plain, suffix_dedup.report(docs).collect()), key=repr)
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", limit)
+    assert sorted(map(plain, suffix_dedup.report(docs).collect()), key=repr) == want
+
+
+def test_suffix_dedup_deals_a_hot_anchor_over_buckets():
+    """A phrase of 40 bytes that all texts have, each between other bytes."""
+    rng = np.random.default_rng(2)
+    letters = lambda: "".join(map(chr, rng.integers(97, 123, 40)))
+    phrase, n = letters(), 5000
+    texts = [letters() + phrase + letters() for _ in range(n)]
+    chunk = pa.table({
+        suffix_dedup.DOC: pa.array(range(n), pa.int64()), suffix_dedup.KEY: pa.array(range(n), pa.int64()),
+        suffix_dedup.CHUNK: pa.array([0] * n, pa.int32()), "text": texts})
+    shared = suffix_dedup.shared_anchors(suffix_dedup.HOT_PIECES)(suffix_dedup.chunk_anchors(1, 50, "text")(chunk))
+    cut = suffix_dedup.chunk_pieces(16, 50, "text")(chunk, shared).to_pylist()
+    sizes = [len(suffix_dedup._from_blob(r["blob"])[0]) for r in cut if r["blob"] is not None]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+
+
 def test_clean_texts_keeps_columns_and_characters(docs, rows):
     got = suffix_dedup.clean_texts(docs)
     assert got.schema == docs.schema
