@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from carecheck.llm import byte_bpe, html_extract, kd_search, near_dedup, packing, pitman_yor, quality, ring, rule_ledger, suffix_dedup
+from carecheck.llm import (
+    byte_bpe, html_extract, kd_search, near_dedup, packing, periodic_runs, pitman_yor, quality, ring, rule_ledger, suffix_dedup, word_table,
+)
 from carecheck.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +58,16 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(read(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs(read(spark, sf_dir, "documents"), rewrite=periodic_runs.repeated_tail)
+
+
+def op13_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_packing, op3_near_dedup, op4_quality, op5_byte_bpe, op6_rule_ledger, op7_kd_search,
-    op8_ring_sharding, op9_pitman_yor, op10_html_extract,
+    op8_ring_sharding, op9_pitman_yor, op10_html_extract, op12_periodic_runs, op13_word_table_bpe,
 )}
 ORACLES: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE_SQL, "op7_kd_search": kd_search.ORACLE_SQL}
