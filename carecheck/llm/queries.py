@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from carecheck.llm import (
-    byte_bpe, html_extract, kd_search, near_dedup, packing, periodic_runs, pitman_yor, quality, ring, rule_ledger, suffix_dedup, word_table,
+    byte_bpe, html_extract, kd_search, near_dedup, packing, periodic_runs, pitman_yor, quality, ring, rmq_search, rule_ledger, suffix_dedup,
+    word_table,
 )
 from carecheck.llm.common import read
 
@@ -58,6 +59,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(read(spark, sf_dir, "pages"))
 
 
+def op11_rmq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rmq_search.top_k(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs(read(spark, sf_dir, "documents"), rewrite=periodic_runs.repeated_tail)
 
@@ -68,6 +73,6 @@ def op13_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_suffix_dedup, op2_packing, op3_near_dedup, op4_quality, op5_byte_bpe, op6_rule_ledger, op7_kd_search,
-    op8_ring_sharding, op9_pitman_yor, op10_html_extract, op12_periodic_runs, op13_word_table_bpe,
+    op8_ring_sharding, op9_pitman_yor, op10_html_extract, op11_rmq_search, op12_periodic_runs, op13_word_table_bpe,
 )}
-ORACLES: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE_SQL, "op7_kd_search": kd_search.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op6_rule_ledger": rule_ledger.ORACLE_SQL, "op7_kd_search": kd_search.ORACLE_SQL, "op11_rmq_search": rmq_search.ORACLE_SQL}
