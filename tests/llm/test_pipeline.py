@@ -8,12 +8,12 @@ import corpus_pipeline
 from carecheck.llm import near_dedup, queries
 from check import rows_of
 
-TABLES = ["documents", "embeddings"]
+TABLES = ["documents", "embeddings", "benchmark"]
 
 
 def test_every_operator_is_registered():
     found = {n.split("_")[0] for n in entry.queries()}
-    assert {f"op{k}" for k in range(1, 11)} <= found and "pipeline" in found
+    assert {f"op{k}" for k in range(1, 14)} <= found and "pipeline" in found
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
