@@ -32,7 +32,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carecheck.llm.common import BYTE_VALUES, mix, pack_planes, pack_sorted, slices, span_hashes, unpack_planes, unpack_sorted, utf8
+from carecheck.llm.common import (
+    BYTE_VALUES, GOLDEN, mix, pack_planes, pack_sorted, powers, slices, span_hashes, unpack_planes, unpack_sorted, utf8,
+)
 
 LENGTH = 50
 GRAM = 24
@@ -41,6 +43,7 @@ SLICE_BYTES = 1 << 20  # text that is cut into pieces at once
 CHUNK_BYTES = 8 << 20  # text of a chunk, on average
 ANCHOR_BYTES = 32 << 20  # text whose anchors share a bucket
 BUCKET_BYTES = 2 << 20  # text whose pieces share a bucket
+RANGES_AT_ONCE = 1 << 20  # settled ranges in one row
 HOT_PIECES = 4096  # pieces of an anchor that one bucket takes
 LAST = (1 << 63) - 1  # stands for a null id
 DOC, KEY, CHUNK = "__dedup_doc", "__dedup_text_key", "__dedup_chunk"  # columns that chunks carry beside the rows' own
@@ -128,9 +131,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     n, none = len(data), np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.astype(np.uint64)
-    every = np.arange(n - GRAM + 1)
-    grams = span_hashes(BYTE_VALUES[data], every, every + GRAM)
-    del every
+    grams = gram_hashes(BYTE_VALUES[data], GRAM)
     at = np.arange(len(grams), dtype=np.uint64)
     grams = (grams & ~np.uint64(63)) | (at & np.uint64(63))  # the low bits tell the position
     least = _sliding_min(grams, length - GRAM + 1)
@@ -148,6 +149,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     return np.searchsorted(offsets, starts, side="right") - 1, starts, ends, least[starts] >> np.uint64(ANCHOR_SHIFT)
 
 
+def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
+    """``span_hashes`` of every span of one size."""
+    up, down = powers(len(values) + 1)
+    n = len(values) - size + 1
+    with np.errstate(over="ignore"):
+        sums = np.r_[np.uint64(0), np.cumsum(values * up[:len(values)], dtype=np.uint64)]
+        return mix((sums[size:] - sums[:n]) * down[:n] + np.uint64(size * GOLDEN % (1 << 64)))
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The spans of an array one after the other, and their offsets there."""
     offsets = np.r_[0, np.cumsum(lengths)]
@@ -171,32 +181,39 @@ _FIELDS = ["<i8", "<i8", "<u4", "<i4", "u1", "<u8", "u1"]  # ids and text keys o
 def _to_blob(doc, text, start, size, anchor, data) -> bytes:
     """Pieces as one compressed string; a row's id and text key stand there once."""
     new = np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])] if len(doc) else np.zeros(0, bool)
-    arrays = [doc[new], text[new], np.cumsum(new) - 1, start, size, anchor, data]
-    arrays = [a.astype(k) for a, k in zip(arrays, _FIELDS, strict=True)]
+    return _pack([doc[new], text[new], np.cumsum(new) - 1, start, size, anchor, data], _FIELDS)
+
+
+def _from_blob(blob: bytes) -> list[np.ndarray]:
+    """(doc, text, start, size, anchor, data) of pieces."""
+    doc, text, row, *rest = _unpack(blob, _FIELDS)
+    return [doc[row], text[row], *rest]
+
+
+def _pack(arrays: list[np.ndarray], kinds: list[str]) -> bytes:
+    """Arrays as one compressed string, each with its bytes sorted by place."""
+    arrays = [a.astype(k) for a, k in zip(arrays, kinds, strict=True)]
     head = np.array([len(a) for a in arrays], "<i8").tobytes()
     planes = [a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
-def _from_blob(blob: bytes) -> list[np.ndarray]:
-    """(doc, text, start, size, anchor, data) of pieces."""
+def _unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    at, out = 8 * len(_FIELDS), []
-    for n, kind in zip(np.frombuffer(raw, "<i8", len(_FIELDS)), _FIELDS, strict=True):
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, "<i8", len(kinds)), kinds, strict=True):
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
         out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += n * size
-    doc, text, row, *rest = out
-    return [doc[row], text[row], *rest]
+    return out
 
 
 RANGES = "doc bigint, text_key bigint, start int, end int"
 _RANGE_NAMES = ["doc", "text_key", "start", "end"]
 
 
-_PIECE_NAMES = ["bucket", "blob", *_RANGE_NAMES]
-_PIECE_SCHEMA = pa.schema(list(zip(_PIECE_NAMES, [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)))
+_RANGE_FIELDS = ["<i8", "<i8", "<i4", "<i4"]
 
 
 def _range_columns(doc, text, start, end) -> list[pa.Array]:
@@ -293,13 +310,14 @@ def split_windows(doc, text, start, size, data, at, length: int) -> tuple[list[n
 
 
 def chunk_pieces(buckets: int, length: int, text_column: str):
-    """For a cogroup of chunks with their shared anchors: rows (bucket, blob) of pieces, and ranges settled in the chunk."""
+    """For a cogroup of chunks with their shared anchors: rows (bucket, blob) of pieces, and the ranges settled in the
+    chunk in a bucket of its own, past the others."""
 
     def run(chunk: pa.Table, wanted: pa.Table) -> pa.Table:
         anchors = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(unpack_sorted, wanted.column("blob").to_pylist())]))
         anchors, hot_anchors = anchors >> np.uint64(1), (anchors & np.uint64(1)).astype(bool)
         seen: dict[int, int] = {}  # repeated pieces of this chunk: the smallest id that was passed on
-        out: list[pa.RecordBatch] = []
+        done: list[tuple[np.ndarray, ...]] = []  # ranges settled here
         kept: list[list[np.ndarray]] = []
         for docs, texts, data, offsets in _text_slices(chunk, DOC, text_column) if len(anchors) else ():
             row, start, end, anchor = pieces(data, offsets, length)
@@ -321,13 +339,12 @@ def chunk_pieces(buckets: int, length: int, text_column: str):
                 s, e = merge_ranges(s + r, e + r)  # rows stand one apart, so ranges of two rows never touch
                 r = np.searchsorted(offsets + np.arange(len(offsets)), s, side="right") - 1
                 s, e = s - r, e - r
-                out.append(pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary()), *_range_columns(docs[r], texts[r], s - offsets[r], e - offsets[r])],
-                    _PIECE_NAMES))
+                done.append((docs[r], texts[r], s - offsets[r], e - offsets[r]))
             left = ~settled
             row, start, end, anchor = row[left], start[left], end[left], anchor[left]
             inside, _ = gather(data, start, end - start)
             kept.append([docs[row], texts[row], start - offsets[row], (end - start).astype(np.uint8), anchor, inside])
+        numbers, blobs = [], []
         if kept:
             doc, text, start, size, anchor, data = (np.concatenate(x) for x in zip(*kept, strict=True))
             del kept
@@ -337,8 +354,7 @@ def chunk_pieces(buckets: int, length: int, text_column: str):
                 windows, gone = split_windows(doc[hot], text[hot], start[hot], size[hot], data, at[hot], length)
                 doc, text, start, size, anchor, at = (
                     np.r_[x[~hot], y] for x, y in zip([doc, text, start, size, anchor, at], windows, strict=True))
-                n = len(gone[0])
-                out.append(pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *_range_columns(*gone)], _PIECE_NAMES))
+                done.append(tuple(gone))
             bucket = (mix(anchor) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.r_[np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]), len(order)] if len(order) else np.zeros(1, np.int64)
@@ -347,19 +363,25 @@ def chunk_pieces(buckets: int, length: int, text_column: str):
                 own = order[x:y]
                 inside, _ = gather(data, at[own], size[own].astype(np.int64))
                 blobs.append(_to_blob(doc[own], text[own], start[own], size[own], anchor[own], inside))
-            none = pa.nulls(len(blobs), pa.int64())
-            out.append(pa.RecordBatch.from_arrays(
-                [pa.array(bucket[order[ends[:-1]]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none.cast(pa.int32()), none.cast(pa.int32())],
-                _PIECE_NAMES))
-        return pa.Table.from_batches(out, _PIECE_SCHEMA)
+            numbers = bucket[order[ends[:-1]]].tolist()
+        if done:
+            ranges = [np.concatenate(x) for x in zip(*done, strict=True)]
+            home = chunk.column(CHUNK)[0].as_py()
+            for x in range(0, len(ranges[0]), RANGES_AT_ONCE):
+                numbers.append(buckets + home)
+                blobs.append(_pack([r[x:x + RANGES_AT_ONCE] for r in ranges], _RANGE_FIELDS))
+        return pa.table({"bucket": pa.array(numbers, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def settle_bucket(length: int):
-    """For applyInArrow over one bucket: the ranges to remove from the bucket's pieces."""
+def settle_bucket(buckets: int, length: int):
+    """For applyInArrow over one bucket: the ranges to remove from the bucket's pieces, or those that a chunk settled."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() >= buckets:
+            settled = [_unpack(b, _RANGE_FIELDS) for b in table.column("blob").to_pylist()]
+            return pa.Table.from_arrays(_range_columns(*(np.concatenate(x) for x in zip(*settled, strict=True))), _RANGE_NAMES)
         parts = [_from_blob(b) for b in table.column("blob").to_pylist()]
         doc, text, start, size, anchor, data = (np.concatenate(x) for x in zip(*parts, strict=True))
         size = size.astype(np.int64)
@@ -431,9 +453,8 @@ def _apply(docs: DataFrame, finish, schema, length: int, id_column: str, text_co
         chunk_anchors(number(ANCHOR_BYTES), length, text_column), "bucket int, chunk int, blob binary, counts binary")
     shared = anchors.groupBy("bucket").applyInArrow(shared_anchors(HOT_PIECES), "chunk int, blob binary")
     cut = chunked.groupBy(CHUNK).cogroup(shared.groupBy("chunk")).applyInArrow(
-        chunk_pieces(number(BUCKET_BYTES), length, text_column), "bucket int, blob binary, " + RANGES)
-    found = cut.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(settle_bucket(length), RANGES)
-    ranges = cut.filter("bucket IS NULL").select(*_RANGE_NAMES).unionByName(found)
+        chunk_pieces(number(BUCKET_BYTES), length, text_column), "bucket int, blob binary")
+    ranges = cut.groupBy("bucket").applyInArrow(settle_bucket(number(BUCKET_BYTES), length), RANGES)
     ranges = ranges.withColumn("chunk", F.pmod(F.xxhash64("doc", "text_key"), F.lit(number(CHUNK_BYTES))).cast("int"))
     return chunked.groupBy(CHUNK).cogroup(ranges.groupBy("chunk")).applyInArrow(finish, schema)
 
