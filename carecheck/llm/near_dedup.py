@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from carecheck.llm.common import (
     BYTE_VALUES, GOLDEN, lower_ascii, mix, pack_planes, pack_sorted, slices, span_hashes, stored, unpack_planes,
@@ -341,8 +340,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc, text_key, class_id) of the rows that have a copy or a link; ``doc`` is the id or LAST for null."""
+def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: bool = False) -> DataFrame:
+    """(doc, text_key, class_id) of the rows that have a copy or a link; ``doc`` is the id or LAST for null.
+
+    With ``rows`` a class is named by its first row (doc, text_key), not by the row's id alone.
+    """
     stats = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_column)).alias("bytes")).first()
     number = lambda size: max(1, -(-(stats["bytes"] or 0) // size))
     chunked = docs.select(
@@ -353,7 +355,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     df = counts.groupBy("bucket").applyInArrow(add_counts, "chunk int, hashes binary, counts binary")
     left = stored(chunked.groupBy(CHUNK).cogroup(df.groupBy("chunk")).applyInArrow(
         candidates(stats["n"], "text"), "doc bigint, text_key bigint, bag bigint, hashes binary, weights binary"))
-    named = left.groupBy("bag").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
+    row = F.struct("doc", "text_key") if rows else F.col("doc")
+    named = left.groupBy("bag").agg(F.min(row).alias("rep"), F.count("*").alias("n"))
     whole = left.filter("hashes IS NOT NULL").groupBy("bag").agg(F.first(F.struct("hashes", "weights")).alias("x"))
     reps = stored(named.join(whole, "bag").select("bag", "rep", "x.hashes", "x.weights"))
     sampled = stored(reps.filter(F.col("bag") != 0).select(F.col("bag").alias("rep"), "hashes", "weights").mapInArrow(
@@ -384,9 +387,13 @@ def with_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each class, the one with the smallest id; of rows with one id the first in the order of their texts' hashes."""
-    gone = classes(docs, id_column, text_column).filter("doc != class_id").select("doc", "text_key").distinct()
-    kept = _keyed(docs, gone, id_column, text_column, "left_anti")
+    """One row of each class, the first by id and then by the text's hash; a row repeated with id and text stays once.
+
+    Rows are told apart by id and text: rows that share an id, or have none, stay unless their texts are near copies.
+    """
+    found = classes(docs, id_column, text_column, rows=True)
+    gone = found.filter((F.col("doc") != F.col("class_id.doc")) | (F.col("text_key") != F.col("class_id.text_key")))
+    kept = _keyed(docs, gone.select("doc", "text_key").distinct(), id_column, text_column, "left_anti")
     if not docs.groupBy(id_column).count().filter("count > 1").isEmpty():
-        kept = kept.withColumn("__near_row", F.row_number().over(Window.partitionBy(DOC).orderBy(KEY))).filter("__near_row = 1")
+        kept = kept.dropDuplicates([DOC, KEY])
     return kept.select(*docs.columns)

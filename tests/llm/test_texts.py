@@ -106,6 +106,26 @@ def test_suffix_order_is_the_suffix_array():
             assert heads == sorted(heads)
 
 
+def test_every_chunk_is_cut_once(spark, docs, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 40_000)
+    made = suffix_dedup.chunk_pieces
+
+    def counted(*args):
+        run = made(*args)
+
+        def cut(chunk, wanted):
+            calls.add(1)
+            return run(chunk, wanted)
+
+        return cut
+
+    monkeypatch.setattr(suffix_dedup, "chunk_pieces", counted)
+    assert suffix_dedup.report(docs).collect()
+    total = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert 1 < calls.value <= -(-total // 40_000)
+
+
 # --- 2 ------------------------------------------------------------------------------------
 
 def test_packing(docs, rows):
@@ -202,6 +222,18 @@ def test_near_dedup_keeps_one_of_each_class(docs, rows):
     assert sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == sorted(want)
 
 
+def test_near_dedup_tells_rows_apart_by_id_and_text(spark):
+    """Rows without an id, or of one id, stay while their texts differ; copies and repeated rows go."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    texts = [" ".join(words[k:] + words[:k]) + f" own{k}" for k in range(7)]
+    probe = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:]]
+    more = [(7, texts[5]), (9, texts[6]), (None, texts[0]), (8, texts[1])]
+    rows = lambda x: spark.createDataFrame(x, "doc_id bigint, text string")
+    assert sorted(map(plain, near_dedup.keep_first(rows(probe)).collect()), key=repr) == sorted(probe, key=repr)
+    want = [(8, t) if t == texts[1] else (i, t) for i, t in probe]
+    assert sorted(map(plain, near_dedup.keep_first(rows(probe + more)).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200), (150, 200), (150, 300), (7, 400)]
     got = dict(map(plain, near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
