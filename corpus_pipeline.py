@@ -3,8 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
 ``run`` writes each stage's rows as Parquet to the shared folder and reads them again for the next one.
 
-Stages keep every row they do not decide against. The classifier and the rules judge each row by itself; of rows with
-one id near-dedup keeps one. Null and empty texts fail the rules and go; an empty table passes through all stages.
+Stages keep every row they do not decide against. The classifier and the rules judge each row by itself; near-dedup tells
+rows apart by id and text. Null and empty texts fail the rules and go; an empty table passes through all stages.
 """
 
 from __future__ import annotations
