@@ -55,12 +55,13 @@ def cross_source_json(checked: DataFrame) -> DataFrame:
     return checked.select("request_id", F.to_json(document).alias("json"))
 
 
-def with_citations_and_claims(answers: DataFrame) -> DataFrame:
+def with_citations_and_claims(answers: DataFrame, under: int | None = None) -> DataFrame:
+    """Answers with the ids they cite and the claims they make; ``under`` leaves out sentences of so many characters."""
     allowed = F.col("allowed_facility_ids") if "allowed_facility_ids" in answers.columns else tx.empty_list()
     return answers.select(
         "answer_id", "text", "iter",
         tx.allowed_ids(tx.cited_ids(F.col("text")), allowed).alias("ids"),
-        tx.sentence_claims(F.col("text")).alias("claims"),
+        tx.sentence_claims(F.col("text"), under=under).alias("claims"),
     )
 
 
@@ -172,15 +173,14 @@ def check_answers(answers: DataFrame) -> DataFrame:
 
 
 def citations(gold: DataFrame) -> DataFrame:
-    """Row-level citations: all capabilities, then all flags."""
+    """Row-level citations: all capabilities, then all flags. A capability fails if a flag's message names it in full."""
     backed = F.size("equipment") > 0
 
     def from_capability(c: Column) -> Column:
-        head = F.substring(F.lower(c), 1, rv.CLAIM_MATCH_CHARS)
         failed = F.exists(
             "flags",
             lambda f: (F.coalesce(f["message"], F.lit("")) != "")
-            & F.contains(F.lower(f["message"]), head),
+            & F.contains(F.lower(f["message"]), F.lower(c)),
         )
         return F.struct(
             c.alias("claim"),

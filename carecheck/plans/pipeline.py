@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from carecheck.operators import clean as cl
 from carecheck.operators import trust
 from carecheck.sources import lookups
+from carecheck.session import spread
 from carecheck.sources.tables import with_comments, write_table
 
 AS_OF = "2026-01-01"
@@ -73,10 +74,12 @@ def build(spark: SparkSession, raw: DataFrame, as_of: str = AS_OF) -> Pipeline:
 def store(run: Pipeline, folder: str) -> Pipeline:
     """Write the tables and return a run that reads them back.
 
-    The flags are computed once, into the flagged table; the others derive from it.
+    The flags are computed once, into the flagged table; the others derive from it. Rows are dealt by their id over
+    files of bounded size before anything is computed on their texts, whatever the files of the source.
     """
     spark = run.clean.sparkSession
-    write_table(run.flagged, f"{folder}/flagged")
+    dealt = Pipeline(clean=spread(run.clean, "facility_id"), boxes=run.boxes)
+    write_table(dealt.flagged, f"{folder}/flagged")
     flagged = spark.read.parquet(f"{folder}/flagged")
     stored = Pipeline(clean=flagged.select(*run.clean.columns), boxes=run.boxes)
     stored.flagged = flagged

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from carecheck.session import spread
+
 
 RAW_EXPRESSIONS = {
     "facility_id": "concat('F', lpad(cast(k as string),6,'0'))",
@@ -43,7 +45,7 @@ def _raw(base: DataFrame) -> DataFrame:
 
 def customer_facilities(spark: SparkSession, folder: str) -> DataFrame:
     """One raw facility per customer, described by the document of the same key."""
-    customer = spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_name")
+    customer = spread(spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey", "c_name"), "c_custkey")
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     return _raw(
         customer.join(documents, customer.c_custkey == documents.doc_id, "left").selectExpr(
@@ -54,7 +56,7 @@ def customer_facilities(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_facilities(spark: SparkSession, folder: str) -> DataFrame:
     """One raw facility per order, for bench-size runs; documents are reused in turn."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey")
+    orders = spread(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey"), "o_orderkey")
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     last = documents.agg({"doc_id": "max"}).first()[0]
     return _raw(

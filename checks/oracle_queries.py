@@ -242,7 +242,7 @@ O["desert_worst"] = sql(f"SELECT * FROM {_view} ORDER BY deficit_score DESC, sta
 O["desert_summary"] = sql(f"""
 SELECT count(*) AS n_cities, cast(coalesce(sum(n_facilities), 0) as bigint) AS total_facilities,
   cast(coalesce(sum(n_specialty), 0) as bigint) AS total_specialty,
-  {pct('sum(n_specialty)', 'sum(n_facilities)', 1)} AS coverage_pct,
+  {pct('coalesce(sum(n_specialty), 0)', 'coalesce(sum(n_facilities), 0)', 1)} AS coverage_pct,
   (SELECT district FROM {_view} ORDER BY deficit_score DESC, state, district LIMIT 1) AS worst_district,
   max(deficit_score) AS worst_deficit FROM {_view}
 """)
@@ -326,7 +326,7 @@ FROM gold WHERE latitude is not null and longitude is not null
 O["citations"] = sql(f"""
 SELECT facility_id, cast(i as int) AS pos, cap AS claim, 'capability' AS source_field,
   cast(case when len(equipment) > 0 then 0.95 else 0.65 end as double) AS extraction_confidence,
-  case when len(list_filter(messages, lambda m: contains(lower(m), substring(lower(cap), 1, 24)))) > 0 then 'failed' else 'passed' end AS validator_status,
+  case when len(list_filter(messages, lambda m: contains(lower(m), lower(cap)))) > 0 then 'failed' else 'passed' end AS validator_status,
   {js('equipment')} AS supporting_evidence
 FROM (SELECT *, unnest(capability) AS cap, unnest(range(len(capability))) AS i FROM gold)
 UNION ALL
@@ -515,10 +515,10 @@ FROM claim_requests r LEFT JOIN gold g ON g.facility_id = r.facility_id
 """)
 
 
-def _sentences(x: str) -> str:
+def _sentences(x: str, under: str = "") -> str:
     marked = f"regexp_replace({strip(x)}, '([.!?])\\s+', '\\1' || chr(1), 'g')"
     return (
-        f"list_filter(string_split({marked}, chr(1)), lambda s: length(s) > 20 and length(s) < 400)"
+        f"list_filter(string_split({marked}, chr(1)), lambda s: length(s) > 20{under})"
     )
 
 
@@ -529,7 +529,7 @@ SELECT *, case when allowed = '' then {_ids} else list_filter({_ids}, lambda i:
 """
 O["citation_ids"] = sql(f"SELECT answer_id, array_to_string(ids, ',') AS ids FROM ({_parsed})")
 O["sentence_claims"] = (
-    f"SELECT doc_id, {js(f'list_transform({_sentences(chr(116)+chr(101)+chr(120)+chr(116))}, lambda s: {strip(chr(115))})')} AS claims FROM documents"
+    f"SELECT doc_id, {js(f"list_transform({_sentences('text', ' and length(s) < 400')}, lambda s: {strip('s')})")} AS claims FROM documents"
 )
 O["verify_answers"] = sql(f"""
 , parsed AS ({_parsed})
