@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 
 from carecheck.functions import text as tx
 from carecheck.operators.topk import top_k
+from carecheck.session import cut_lineage
 
 K1, B = 1.2, 0.75
-RRF = 60
 CHUNK_DOCS, BLOCK_QUERIES = 1024, 256
 
 
@@ -67,21 +68,26 @@ def weighted_terms(queries: DataFrame, posts: DataFrame, n_docs: Column) -> Data
     )
 
 
+def _chunk_scores(posts: pd.DataFrame, asked: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, document ids, scores) of a chunk's documents for the queries of a block, ids ascending."""
+    ids, doc = np.unique(posts["doc_id"].to_numpy(), return_inverse=True)
+    queries, query = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+    part, idf = posts["part"].to_numpy(), asked["idf"].to_numpy()
+    scores = np.zeros((len(queries), len(ids)))
+    holders = posts.groupby("term", sort=False).indices
+    for term, rows in asked.groupby("term", sort=True).indices.items():
+        if term in holders:
+            at = holders[term]
+            scores[np.ix_(query[rows], doc[at])] += np.outer(idf[rows], part[at])
+    return queries, ids, np.round(scores, 6)
+
+
 def _score_chunk(key: tuple, posts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Best documents of one chunk for every query of one block."""
     out = []
     if len(posts) and len(asked):
-        ids, doc = np.unique(posts["doc_id"].to_numpy(), return_inverse=True)
-        queries, query = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
-        part, idf = posts["part"].to_numpy(), asked["idf"].to_numpy()
         k = dict(zip(asked["query_id"], asked["k"]))
-        scores = np.zeros((len(queries), len(ids)))
-        holders = posts.groupby("term", sort=False).indices
-        for term, rows in asked.groupby("term", sort=True).indices.items():
-            if term in holders:
-                at = holders[term]
-                scores[np.ix_(query[rows], doc[at])] += np.outer(idf[rows], part[at])
-        scores = np.round(scores, 6)
+        queries, ids, scores = _chunk_scores(posts, asked)
         ranked = np.argsort(-scores, axis=1, kind="stable")
         for i, query_id in enumerate(queries):
             best = ranked[i, :k[query_id]]
@@ -93,13 +99,8 @@ def _score_chunk(key: tuple, posts: pd.DataFrame, asked: pd.DataFrame) -> pd.Dat
         {"query_id": [], "k": [], "doc_id": [], "score": []})
 
 
-def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column) -> DataFrame:
-    """The ``k`` best documents of each query from the postings of its terms.
-
-    Documents are cut into chunks and queries into blocks of bounded size. A chunk meets the
-    blocks that ask for one of its terms and returns its best k per query, so the (query, document) pairs that a
-    frequent term makes never leave the task; a hot term is spread over all chunks.
-    """
+def _meeting(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column) -> tuple[DataFrame, DataFrame]:
+    """Postings by (chunk, to_block) and weighted query terms by (to_chunk, block), for those that have to meet."""
     n_chunks = F.ceil(n_docs / CHUNK_DOCS).cast("int")
     n_blocks = queries.agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int")).scalar()
     tf = F.col("tf").cast("double")
@@ -114,6 +115,17 @@ def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length:
     # postings go to the blocks that ask for their term, terms to the chunks that hold them
     left = held.join(wanted.select("term", F.col("block").alias("to_block")).distinct(), "term")
     right = wanted.join(held.select("term", F.col("chunk").alias("to_chunk")).distinct(), "term")
+    return left, right
+
+
+def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column) -> DataFrame:
+    """The ``k`` best documents of each query from the postings of its terms.
+
+    Documents are cut into chunks and queries into blocks of bounded size. A chunk meets the
+    blocks that ask for one of its terms and returns its best k per query, so the (query, document) pairs that a
+    frequent term makes never leave the task; a hot term is spread over all chunks.
+    """
+    left, right = _meeting(queries, posts, n_docs, mean_length)
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (posts, "doc_id"))}
     best = left.groupBy("chunk", "to_block").cogroup(right.groupBy("to_chunk", "block")).applyInPandas(
         _score_chunk, f"query_id {types['query_id']}, k int, doc_id {types['doc_id']}, score double"
@@ -122,6 +134,59 @@ def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length:
     return top_k(best, ["query_id"], order, F.col("k"), ["doc_id"]).drop("k")
 
 
+def count_before(ids: np.ndarray, scores: np.ndarray, probe_ids: np.ndarray, probe_scores: np.ndarray) -> np.ndarray:
+    """How many of the documents (ids ascending) stand before each probe: higher scores, or equal ones and smaller ids."""
+    order = np.argsort(scores, kind="stable")
+    ascending = scores[order]
+    above = len(scores) - np.searchsorted(ascending, probe_scores, side="right")
+    for i, (lo, hi) in enumerate(zip(np.searchsorted(ascending, probe_scores), np.searchsorted(ascending, probe_scores, side="right"))):
+        if hi > lo:
+            above[i] += np.searchsorted(ids[order[lo:hi]], probe_ids[i])
+    return above
+
+
+def probe_lists(probes: DataFrame, score: str) -> DataFrame:
+    """(query_id, probe_ids, probe_scores): a query's probes in two arrays."""
+    return probes.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", score)).alias("p")).select(
+        "query_id", F.col("p.doc_id").alias("probe_ids"), F.col(f"p.{score}").alias("probe_scores"))
+
+
+def _count_chunk(key: tuple, posts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """How many documents of one chunk stand before each probe of each query of one block."""
+    out = []
+    if len(posts) and len(asked):
+        probes = asked[asked["probe_ids"].notna()].set_index("query_id")
+        queries, ids, scores = _chunk_scores(posts, asked[asked["term"].notna()])
+        for i, query_id in enumerate(queries):
+            probe = probes.loc[query_id]
+            own = scores[i] > 0
+            out.append(pd.DataFrame({"query_id": query_id, "doc_id": probe["probe_ids"], "n": count_before(
+                ids[own], scores[i][own], np.asarray(probe["probe_ids"]), np.asarray(probe["probe_scores"], "float64"))}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "doc_id": [], "n": []})
+
+
+def bm25_ranks(probes: DataFrame, queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column) -> DataFrame:
+    """(query_id, doc_id, rank) of given documents (query_id, doc_id) in their queries' full lists; documents outside have no row.
+
+    A document's rank is one more than the number of those before it, which the chunks count; no list is formed.
+    """
+    queries = queries.join(probes.select("query_id").distinct(), "query_id", "left_semi")
+    left, right = _meeting(queries, posts, n_docs, mean_length)
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean_length)
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    scored = (
+        probes.join(posts, "doc_id").join(weighted_terms(queries, posts, n_docs).drop("k"), ["query_id", "term"])
+        .groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * part), 6).alias("score"))
+    )
+    lists = probe_lists(scored, "score")
+    visits = right.select("query_id", "to_chunk", "block").distinct().join(lists, "query_id")
+    right = right.join(lists.select("query_id"), "query_id", "left_semi").unionByName(visits, allowMissingColumns=True)
+    types = {c: probes.schema[c].dataType.simpleString() for c in ("query_id", "doc_id")}
+    counted = left.groupBy("chunk", "to_block").cogroup(right.groupBy("to_chunk", "block")).applyInPandas(
+        _count_chunk, f"query_id {types['query_id']}, doc_id {types['doc_id']}, n bigint")
+    return counted.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).alias("rank"))
+
+
 def bm25_top_k(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The ``k`` best documents of each query (query_id, query, k)."""
     posts = postings(docs, key, text, only=query_terms(queries))
@@ -215,84 +280,138 @@ def _chunk_best(key: tuple, docs: pd.DataFrame, queries: pd.DataFrame) -> pd.Dat
     return pd.concat(out, ignore_index=True)
 
 
-def vector_top_k(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Exact cosine top-k: (query_id, vector, k) against (doc_id, vector).
+@dataclass
+class Placement:
+    """Corpus vectors in cells around pivots, written once, and what is known of every cell."""
 
-    The corpus is cut into cells around pivot vectors and cells into chunks of bounded
-    size; a query visits only the cells that bounds on the angle cannot rule out. Chunks
-    return their best k per query, never all pairs. The driver reads ``PIVOTS`` vectors,
-    one row per cell and a count.
+    placed: DataFrame
+    pivots: np.ndarray
+    stats: pd.DataFrame
 
-    Vectors that are null, empty or hold a null or a non-finite component take no part, on
-    either side; without any vector left there are no rows.
-    """
-    corpus, queries = _usable(corpus), _usable(queries)
-    id_type, query_type = (df.schema[c].dataType.simpleString() for df, c in ((corpus, "doc_id"), (queries, "query_id")))
-    picked = corpus.select("doc_id", "vector").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = picked.limit(PIVOTS).collect()
+    @property
+    def chunks(self) -> dict[int, int]:
+        """Chunks of each cell, so that none holds more than about ``CHUNK_VECTORS``."""
+        return {int(c): int(-(-n // CHUNK_VECTORS)) for c, n in zip(self.stats["cell"], self.stats["n"])}
+
+
+def place(corpus: DataFrame) -> Placement | None:
+    """The usable vectors of (doc_id, vector) in cells; None where there are none. Starts jobs."""
+    corpus = _usable(corpus).select("doc_id", "vector")
+    chosen = corpus.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(PIVOTS).collect()
     if not chosen:
-        return corpus.sparkSession.createDataFrame([], f"query_id {query_type}, doc_id {id_type}, similarity double, rank int")
+        return None
     pivots = _unit(pd.Series([np.array(r.vector) for r in chosen]))
-    placed = _cells(corpus.select("doc_id", "vector"), pivots)
+    placed = cut_lineage(_cells(corpus, pivots))
     stats = placed.groupBy("cell").agg(
         F.min("angle").alias("near"), F.max("angle").alias("far"), F.count(F.lit(1)).alias("n")
     ).toPandas()
-    n_queries = queries.count()
-    chunks = {int(c): int(-(-n // CHUNK_VECTORS)) for c, n in zip(stats["cell"], stats["n"])}
+    return Placement(placed, pivots, stats)
+
+
+_VISIT = ["cell", "chunk", "block"]
+
+
+def _spread(placement: Placement, visits: DataFrame, n_queries: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors and visiting queries (with ``cells``) by cell, chunk of the cell and block of queries."""
     blocks = max(1, -(-n_queries // CHUNK_QUERIES))
-    per_cell = F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair])
+    per_cell = F.create_map(*[F.lit(x) for pair in placement.chunks.items() for x in pair])
 
     def up_to(n: Column) -> Column:
         return F.sequence(F.lit(0), n - 1)
 
-    spread = placed.select(
+    spread = placement.placed.select(
         "doc_id", "vector", "cell",
         F.pmod(F.xxhash64("doc_id"), per_cell[F.col("cell")]).cast("int").alias("chunk"),
         F.explode(up_to(F.lit(blocks))).alias("block"),
     )
-    visits = (
-        _visits(queries.select("query_id", "vector", "k"), pivots, stats)
-        .select("query_id", "vector", "k", F.explode("cells").alias("cell"))
-        .select(
-            "*", F.explode(up_to(per_cell[F.col("cell")])).alias("chunk"),
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
-        )
+    visits = visits.withColumn("cell", F.explode("cells")).drop("cells").select(
+        "*", F.explode(up_to(per_cell[F.col("cell")])).alias("chunk"),
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"),
     )
-    keys = ["cell", "chunk", "block"]
-    best = spread.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(
+    return spread, visits
+
+
+def vector_top_k(queries: DataFrame, corpus: DataFrame | Placement | None) -> DataFrame:
+    """Exact cosine top-k: (query_id, vector, k) against (doc_id, vector), or their placement. Starts jobs.
+
+    The corpus is cut into cells around pivot vectors and cells into chunks of bounded
+    size; a query visits only the cells that bounds on the angle cannot rule out. Chunks
+    return their best k per query, never all pairs. The driver reads ``PIVOTS`` vectors,
+    one row per cell and a count.
+
+    Vectors that are null, empty or hold a null or a non-finite component take no part, on
+    either side; without any vector left there are no rows.
+    """
+    id_type = (corpus.schema if isinstance(corpus, DataFrame) else corpus.placed.schema)["doc_id"].dataType.simpleString()
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    placement = place(corpus) if isinstance(corpus, DataFrame) else corpus
+    queries = _usable(queries)
+    if placement is None:
+        return queries.sparkSession.createDataFrame([], f"query_id {query_type}, doc_id {id_type}, similarity double, rank int")
+    visits = _visits(queries.select("query_id", "vector", "k"), placement.pivots, placement.stats)
+    spread, visits = _spread(placement, visits, queries.count())
+    best = spread.groupBy(*_VISIT).cogroup(visits.groupBy(*_VISIT)).applyInPandas(
         _chunk_best, f"query_id {query_type}, k int, doc_id {id_type}, similarity double"
     )
     order = [F.desc("similarity"), F.col("doc_id")]
     return top_k(best, ["query_id"], order, F.col("k"), ["doc_id"]).drop("k")
 
 
-# --- fusion ---------------------------------------------------------------------------
+def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Probes with their similarity, as the search rounds it."""
+    for batch in batches:
+        if len(batch):
+            cosine = (_unit(batch["vector"]) * _unit(batch["doc_vector"])).sum(axis=1)
+            yield batch[["query_id", "doc_id"]].assign(similarity=np.round(cosine, 6) + 0.0)
 
-def fuse(keyword: DataFrame, vector: DataFrame, queries: DataFrame) -> DataFrame:
-    """Reciprocal-rank fusion of two ranked lists per query, best ``k`` kept."""
-    def votes(ranked: DataFrame) -> DataFrame:
-        return ranked.select("query_id", "doc_id", (F.lit(1.0) / (F.col("rank") + RRF)).alias("vote"))
 
-    fused = (
-        votes(keyword).unionByName(votes(vector))
-        .groupBy("query_id", "doc_id")
-        .agg(F.round(F.sum("vote"), 8).alias("score"))
-        .join(queries.select("query_id", "k"), "query_id")
-    )
-    best = [F.desc("score"), F.col("doc_id")]
-    return top_k(fused, ["query_id"], best, F.col("k"), ["doc_id"]).drop("k")
+def _count_vectors(key: tuple, docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """How many vectors of one chunk stand before each probe of the visiting queries."""
+    out = []
+    if len(docs) and len(queries):
+        docs = docs.sort_values("doc_id").reset_index(drop=True)
+        unit, ids = _unit(docs["vector"]), docs["doc_id"].to_numpy()
+        for start in range(0, len(queries), 512):
+            block = queries.iloc[start:start + 512]
+            similarity = np.round(_unit(block["vector"]) @ unit.T, 6) + 0.0
+            for own, query_id, probe_ids, scores in zip(similarity, block["query_id"], block["probe_ids"], block["probe_scores"]):
+                out.append(pd.DataFrame({"query_id": query_id, "doc_id": probe_ids, "n": count_before(
+                    ids, own, np.asarray(probe_ids), np.asarray(scores, "float64"))}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "doc_id": [], "n": []})
+
+
+def vector_ranks(probes: DataFrame, queries: DataFrame, placement: Placement) -> DataFrame:
+    """(query_id, doc_id, rank) of given documents (query_id, doc_id) among all vectors; those without a vector have no row.
+
+    Only cells that may hold a vector nearer than a query's farthest probe are visited, to count.
+    """
+    types = {c: probes.schema[c].dataType.simpleString() for c in ("query_id", "doc_id")}
+    vectors = placement.placed.select("doc_id", F.col("vector").alias("doc_vector"))
+    asked = _usable(queries).select("query_id", "vector")
+    scored = cut_lineage(probes.join(vectors, "doc_id").join(asked, "query_id").select(
+        "query_id", "doc_id", "vector", "doc_vector").mapInPandas(
+        _similar, f"query_id {types['query_id']}, doc_id {types['doc_id']}, similarity double"))
+    cell, near, far = (placement.stats[c].to_numpy() for c in ("cell", "near", "far"))
+    pivots = placement.pivots[cell]
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                angle = _angles(_unit(batch["vector"]), pivots)
+                low = np.maximum(np.maximum(near - angle, angle - far), 0.0)
+                bound = np.arccos(np.clip([min(s) for s in batch["probe_scores"]], -1.0, 1.0))
+                wanted = low <= bound[:, None] + 1e-3  # similarities are rounded
+                yield batch.assign(cells=[cell[w].tolist() for w in wanted])
 
+    listed = asked.join(probe_lists(scored, "similarity"), "query_id")
+    schema = T.StructType(listed.schema.fields + [T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    spread, visits = _spread(placement, listed.mapInPandas(visit, schema), listed.count())
+    counted = spread.groupBy(*_VISIT).cogroup(visits.groupBy(*_VISIT)).applyInPandas(
+        _count_vectors, f"query_id {types['query_id']}, doc_id {types['doc_id']}, n bigint")
+    return counted.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).alias("rank"))
 
-def hybrid_top_k(
-    queries: DataFrame, docs: DataFrame, key: str, text: str,
-    query_vectors: DataFrame, corpus: DataFrame, depth: int = 50,
-) -> DataFrame:
-    """Keyword and vector lists of ``depth`` documents each, or a query's own k where that is larger, fused per query."""
-    deep = queries.withColumn("k", F.greatest(F.col("k"), F.lit(depth)))
-    keyword = bm25_top_k(deep, docs, key, text)
-    vector = vector_top_k(query_vectors.withColumn("k", F.greatest(F.col("k"), F.lit(depth))), corpus)
-    return fuse(keyword, vector, queries)
 
+# --- display --------------------------------------------------------------------------
 
 def show_facilities(hits: DataFrame, facilities: DataFrame) -> DataFrame:
     """Ranked hits with the display columns of the facilities found."""

@@ -430,9 +430,9 @@ O["vector_topk"] = f"SELECT query_id, doc_id, similarity, rank FROM ({_vector(10
 O["hybrid_topk"] = f"""
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
   SELECT query_id, doc_id, round(sum(1::double/(60+rank)), 8) AS score FROM (
-    SELECT query_id, doc_id, rank FROM ({_bm25('documents', 'doc_id', 'text', 60)})
-    UNION ALL SELECT query_id, doc_id, rank FROM ({_vector(60)}))
-  WHERE rank <= case when query_id%8=0 then 60 else 50 end GROUP BY ALL)
+    SELECT query_id, doc_id, rank FROM ({_bm25('documents', 'doc_id', 'text', 1 << 40)})
+    UNION ALL SELECT query_id, doc_id, rank FROM ({_vector(1 << 40)}))
+  GROUP BY ALL)
 QUALIFY rank <= case when query_id%8=0 then 60 else 10 end
 """
 O["facility_search"] = sql(f"""

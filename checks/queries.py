@@ -14,7 +14,7 @@ from carecheck.functions import geo, sql_functions, stats
 from carecheck.functions import text as tx
 from carecheck.functions.rules import LISTS
 from carecheck.operators import clean as cl
-from carecheck.operators import evaluation, extract, nearby, search, trust, verify
+from carecheck.operators import evaluation, extract, fusion, nearby, search, trust, verify
 from carecheck.plans import pipeline, reports
 from carecheck.session import new_folder
 from carecheck.sources import lookups, tables
@@ -543,7 +543,7 @@ def _(r: Run) -> DataFrame:
 
 @query("hybrid_topk")
 def _(r: Run) -> DataFrame:
-    return search.hybrid_top_k(
+    return fusion.hybrid_top_k(
         r.request(inputs.DEEP_SEARCH_REQUESTS), r.documents, "doc_id", "text",
         r.request(inputs.DEEP_VECTOR_REQUESTS), _corpus(r),
     )

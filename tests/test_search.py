@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from carecheck.operators import search
+from carecheck.operators import fusion, search
 
 
 def plain_bm25(docs, queries):
@@ -78,10 +78,63 @@ def test_queries_skip_cells_that_cannot_matter(spark):
     assert search._visits(qdf, pivots, stats).first().cells == [0]
 
 
-def test_fusion(spark):
-    keyword = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id int, doc_id int, rank int")
-    vector = spark.createDataFrame([(1, 12, 1), (1, 13, 2), (2, 9, 1)], "query_id int, doc_id int, rank int")
-    queries = spark.createDataFrame([(1, 3), (2, 3)], "query_id int, k int")
-    rows = search.fuse(keyword, vector, queries).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.doc_id) for r in rows] == [(1, 12), (1, 10), (1, 11), (2, 9)]
-    assert rows[0].score == round(1 / 63 + 1 / 61, 8)
+def plain_fusion(keyword, vector, k):
+    """Reciprocal ranks over whole lists of ids."""
+    scores = Counter()
+    for ranked in (keyword, vector):
+        for rank, i in enumerate(ranked, 1):
+            scores[i] += 1 / (60 + rank)
+    return sorted(((-round(s, 8), i) for i, s in scores.items()))[:k]
+
+
+def hybrid_case(spark, words, vectors, queries):
+    """The operator's lists and the plain ones; ``words``: texts by id, ``vectors``: vectors by id, queries: id -> (text, vector, k)."""
+    ddf = spark.createDataFrame(list(words.items()), "doc_id long, text string")
+    cdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "doc_id long, vector array<double>")
+    qdf = spark.createDataFrame([(q, t, k) for q, (t, _, k) in queries.items()], "query_id long, query string, k int")
+    vdf = spark.createDataFrame([(q, [float(x) for x in v], k) for q, (_, v, k) in queries.items() if v is not None],
+                                "query_id long, vector array<double>, k int")
+    got = {}
+    for r in fusion.hybrid_top_k(qdf, ddf, "doc_id", "text", vdf, cdf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    want = {}
+    ranked = plain_bm25(words, {q: (t, 10**6) for q, (t, _, _) in queries.items()})
+    for q, (_, v, k) in queries.items():
+        near = []
+        if v is not None and vectors:
+            unit = search._unit(pd.Series(list(map(np.array, vectors.values()))))
+            cosine = np.round(unit @ search._unit(pd.Series([np.array(v)]))[0], 6) + 0.0
+            near = [i for _, i in sorted(zip(-cosine, vectors))]
+        best = plain_fusion([i for _, i in ranked[q]], near, k)
+        if best:
+            want[q] = best
+    assert {q: [i for _, i in rows] for q, rows in got.items()} == {q: [i for _, i in rows] for q, rows in want.items()}
+    assert all(abs(a - b) < 2e-8 for q in want for (a, _), (b, _) in zip(got[q], want[q]))  # halves may round either way
+    return got
+
+
+def test_a_document_deep_in_both_lists_wins(spark):
+    """Documents 0 to 59 lead the keyword list, 60 to 119 the vector list, and document 500 is the 51st of both."""
+    words = {i: "drum " * (70 - i) + "pad " * i for i in range(60) if i < 50}
+    words |= {500: "drum " * 20 + "pad " * 50} | {i: "drum " + "pad " * 69 for i in range(50, 60)} | {i: "pad " * 70 for i in range(60, 200)}
+    angle = {i: 0.001 * (i - 59) for i in range(60, 110)} | {500: 0.0505} | {i: 0.001 * (i - 57) for i in range(110, 200)} | {i: 2 + 0.001 * i for i in range(60)}
+    angle |= {i: 1 + 0.0005 * (i - 1000) for i in range(1000, 2000)}  # so that the keyword list's leaders are far down the other list
+    vectors = {i: (math.cos(a), math.sin(a)) for i, a in angle.items()}
+    got = hybrid_case(spark, words, vectors, {1: ("drum", (1, 0), 1), 2: ("drum", (1, 0), 3)})
+    assert got[1] == [(-round(2 / 111, 8), 500)]
+
+
+def test_fusion_counts_ranks_over_whole_lists(spark, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK_DOCS", 64)
+    monkeypatch.setattr(search, "CHUNK_VECTORS", 50)
+    rng = np.random.default_rng(11)
+    words = {i: " ".join(rng.choice(["sun", "sea", "sky", "sand"], 1 + i % 9)) if i % 3 else "rock" for i in range(600)}
+    vectors = {i: rng.normal(size=6) for i in range(100, 700)}
+    vectors |= {i: vectors[120] for i in range(300, 400)}  # copies
+    queries = {1: ("sun sky", rng.normal(size=6), 10), 2: ("sea", rng.normal(size=6), 1), 3: ("nothing", rng.normal(size=6), 4),
+               4: ("sand sun", None, 5), 5: ("rock", vectors[120], 200), 6: ("sky", rng.normal(size=6), 900)}
+    assert set(hybrid_case(spark, words, vectors, queries)) == {1, 2, 3, 4, 5, 6}
+
+
+def test_fusion_without_vectors(spark):
+    assert set(hybrid_case(spark, {1: "a b", 2: "a", 3: "c"}, {}, {1: ("a", (1, 0), 2), 2: ("zz", (1, 0), 2)})) == {1}
