@@ -427,6 +427,7 @@ O["bm25_topk"] = (
     f"SELECT query_id, doc_id, score, rank FROM ({_bm25('documents', 'doc_id', 'text', 10)})"
 )
 O["vector_topk"] = f"SELECT query_id, doc_id, similarity, rank FROM ({_vector(10)})"
+O["vector_index_exact"] = O["vector_topk"]
 O["hybrid_topk"] = f"""
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
   SELECT query_id, doc_id, round(sum(1::double/(60+rank)), 8) AS score FROM (

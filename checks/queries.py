@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property, partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carecheck import rule_values as rv
@@ -19,7 +19,7 @@ from carecheck.plans import pipeline, reports
 from carecheck.session import new_folder
 from carecheck.sources import lookups, tables
 from carecheck.sources.facilities import customer_facilities
-from carecheck.streaming import sync
+from carecheck.streaming import sync, vector_index
 from checks import inputs
 
 TABLES = [
@@ -741,6 +741,43 @@ def _(r: Run) -> DataFrame:
     return sync.search_index(r.spark, _fed(r, _versions(r, 2)), r.request(inputs.SEARCH_REQUESTS))
 
 
+def _vector_versions(r: Run, version: int) -> DataFrame:
+    """Every embedding, each fourth in an older, reversed form; with version 2 those as they are."""
+    rows = r.table("embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.lit(version).alias("version"), F.col("embedding").alias("vector"), F.lit(False).alias("deleted"))
+    old = F.col("doc_id") % 4 == 0
+    return rows.where(old) if version > 1 else rows.withColumn("vector", F.when(old, F.reverse("vector")).otherwise(F.col("vector")))
+
+
+def _vector_index(r: Run) -> str:
+    """An index that took in all vectors, some in an old form, then the new form of those."""
+    folder = r.scratch()
+    for version in (1, 2):
+        arrival = _vector_versions(r, version)
+        arrival.write.mode("append").parquet(f"{folder}/feed")
+        changes = r.spark.readStream.schema(arrival.schema).parquet(f"{folder}/feed")
+        vector_index.sync_vectors(changes, f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/index"
+
+
+@query("vector_index_topk")
+def _(r: Run) -> DataFrame:
+    """Approximate search over the stored index, with each query's recall against the exact answer (0.9 or more overall)."""
+    queries = r.request(inputs.VECTOR_REQUESTS)
+    found = vector_index.search_vectors(queries, _vector_index(r))
+    exact = search.vector_top_k(queries, _corpus(r)).select("query_id", "doc_id", F.lit(1).alias("_exact"))
+    per_query = Window.partitionBy("query_id")  # k rows
+    return found.join(exact, ["query_id", "doc_id"], "left").withColumn(
+        "recall", F.count("_exact").over(per_query) / F.count(F.lit(1)).over(per_query)).drop("_exact")
+
+
+@query("vector_index_exact")
+def _(r: Run) -> DataFrame:
+    """The same with every list visited and all of its codes re-ranked: the exact answer."""
+    queries = r.request(inputs.VECTOR_REQUESTS)
+    return vector_index.search_vectors(queries, _vector_index(r), probes=1.0, rerank=1 << 20)
+
+
 @query("rules_stream")
 def _(r: Run) -> DataFrame:
     folder = r.scratch()
