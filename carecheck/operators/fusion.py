@@ -42,7 +42,7 @@ def hybrid_top_k(
 
     posts = search.postings(docs, key, text, only=search.query_terms(queries))
     stats = search.corpus_stats(docs, key, text)
-    keyword = search.bm25_rank(deep(queries), posts, *stats).select("query_id", "doc_id", F.col("rank").alias("keyword_rank"))
+    keyword = search.bm25_rank(deep(queries), posts, *stats, floors=docs.count() > search.FLOOR_DOCS).select("query_id", "doc_id", F.col("rank").alias("keyword_rank"))
     placement = search.place(corpus)
     vector = search.vector_top_k(deep(query_vectors), placement or corpus)
     lists = cut_lineage(keyword.join(

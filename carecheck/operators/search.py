@@ -17,6 +17,8 @@ from carecheck.session import cut_lineage
 
 K1, B = 1.2, 0.75
 CHUNK_DOCS, BLOCK_QUERIES = 1024, 256
+BLOCK_DOCS = 64  # documents of a chunk that share one highest part per term
+FLOOR_CHUNKS, FLOOR_DOCS = 16, 64 * CHUNK_DOCS  # one chunk of so many gives the first k-th scores, from so many documents on
 
 
 # --- keyword half ---------------------------------------------------------------------
@@ -68,33 +70,82 @@ def weighted_terms(queries: DataFrame, posts: DataFrame, n_docs: Column) -> Data
     )
 
 
-def _chunk_scores(posts: pd.DataFrame, asked: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, document ids, scores) of a chunk's documents for the queries of a block, ids ascending."""
-    ids, doc = np.unique(posts["doc_id"].to_numpy(), return_inverse=True)
-    queries, query = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
-    part, idf = posts["part"].to_numpy(), asked["idf"].to_numpy()
-    scores = np.zeros((len(queries), len(ids)))
-    holders = posts.groupby("term", sort=False).indices
-    for term, rows in asked.groupby("term", sort=True).indices.items():
-        if term in holders:
-            at = holders[term]
-            scores[np.ix_(query[rows], doc[at])] += np.outer(idf[rows], part[at])
-    return queries, ids, np.round(scores, 6)
+class Blocks:
+    """A chunk's postings by term and document, in blocks of documents, with the highest part of every term and block."""
+
+    def __init__(self, posts: pd.DataFrame):
+        self.ids, doc = np.unique(posts["doc_id"].to_numpy(), return_inverse=True)
+        self.terms, term = np.unique(posts["term"].to_numpy(), return_inverse=True)
+        order = np.lexsort((doc, term))
+        self.doc, self.part = doc[order], posts["part"].to_numpy()[order]
+        self.width = -(-len(self.ids) // BLOCK_DOCS)
+        cell = term[order] * self.width + self.doc // BLOCK_DOCS
+        self.at = np.searchsorted(cell, np.arange(len(self.terms) * self.width + 1))
+        cut = np.flatnonzero(np.diff(cell, prepend=-1))
+        high = np.zeros(len(self.at) - 1)
+        high[cell[cut]] = np.maximum.reduceat(self.part, cut)
+        self.high = high.reshape(len(self.terms), self.width)
+        self.scored = 0  # postings that were added up
+
+    def asked(self, queries: np.ndarray, asked: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, term, idf) of the asked terms that the chunk holds, by query and term."""
+        term = np.minimum(np.searchsorted(self.terms, asked["term"].to_numpy()), len(self.terms) - 1)
+        held = self.terms[term] == asked["term"].to_numpy()
+        query, term, idf = np.searchsorted(queries, asked["query_id"].to_numpy())[held], term[held], asked["idf"].to_numpy()[held]
+        order = np.lexsort((term, query))
+        return query[order], term[order], idf[order]
+
+    def bounds(self, n: int, query: np.ndarray, term: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """What a document of a block can score at most, by query and block."""
+        out = np.zeros((n, self.width))
+        np.add.at(out, query, idf[:, None] * self.high[term])
+        return out
+
+    def add(self, scores: np.ndarray, wanted: np.ndarray, query: np.ndarray, term: np.ndarray, idf: np.ndarray) -> None:
+        """Add the parts of the wanted (query, block) pairs to ``scores`` (query, document)."""
+        row, block = np.nonzero(wanted[query])
+        cell = term[row] * self.width + block
+        many = self.at[cell + 1] - self.at[cell]
+        posting = np.repeat(self.at[cell] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        row = np.repeat(row, many)
+        place = query[row] * scores.shape[1] + self.doc[posting]
+        scores += np.bincount(place, idf[row] * self.part[posting], scores.size).reshape(scores.shape)
+        self.scored += len(posting)
+
+
+ROUNDING = 1e-6  # scores are rounded to six digits
+
+
+def _best_of_chunk(blocks: Blocks, queries: np.ndarray, asked: pd.DataFrame, k: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Scores (query, document), 0 where a document cannot be among the ``k`` best of its query and reach its floor.
+
+    The block of highest bound is scored first; then only those whose bound reaches the k-th score found there.
+    """
+    rows = blocks.asked(queries, asked)
+    bound = blocks.bounds(len(queries), *rows)
+    scores = np.zeros((len(queries), len(blocks.ids)))
+    first = (bound == bound.max(axis=1, keepdims=True)) & (bound.cumsum(axis=1) > 0)
+    first &= first.cumsum(axis=1) == 1
+    blocks.add(scores, first & (bound >= floor[:, None] - ROUNDING), *rows)
+    for i, depth in enumerate(k):
+        if depth <= scores.shape[1]:
+            floor[i] = max(floor[i], np.partition(scores[i], -depth)[-depth])
+    blocks.add(scores, ~first & (bound > 0) & (bound >= floor[:, None] - ROUNDING), *rows)
+    return np.round(scores, 6)
 
 
 def _score_chunk(key: tuple, posts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Best documents of one chunk for every query of one block."""
     out = []
     if len(posts) and len(asked):
-        k = dict(zip(asked["query_id"], asked["k"]))
-        queries, ids, scores = _chunk_scores(posts, asked)
-        ranked = np.argsort(-scores, axis=1, kind="stable")
+        per_query = asked.groupby("query_id").agg(k=("k", "first"), floor=("floor", "first"))
+        queries, k, floor = per_query.index.to_numpy(), per_query["k"].to_numpy(), per_query["floor"].to_numpy().copy()
+        blocks = Blocks(posts)
+        scores = _best_of_chunk(blocks, queries, asked, k, floor.copy())
         for i, query_id in enumerate(queries):
-            best = ranked[i, :k[query_id]]
-            best = best[scores[i, best] > 0]
-            out.append(pd.DataFrame(
-                {"query_id": query_id, "k": k[query_id], "doc_id": ids[best], "score": scores[i, best]}
-            ))
+            some = np.flatnonzero((scores[i] > 0) & (scores[i] >= floor[i]))
+            best = some[np.argsort(-scores[i, some], kind="stable")[:k[i]]]
+            out.append(pd.DataFrame({"query_id": query_id, "k": k[i], "doc_id": blocks.ids[best], "score": scores[i, best]}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
         {"query_id": [], "k": [], "doc_id": [], "score": []})
 
@@ -118,20 +169,30 @@ def _meeting(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length:
     return left, right
 
 
-def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column) -> DataFrame:
+def bm25_rank(queries: DataFrame, posts: DataFrame, n_docs: Column, mean_length: Column, floors: bool = False) -> DataFrame:
     """The ``k`` best documents of each query from the postings of its terms.
 
     Documents are cut into chunks and queries into blocks of bounded size. A chunk meets the
     blocks that ask for one of its terms and returns its best k per query, so the (query, document) pairs that a
-    frequent term makes never leave the task; a hot term is spread over all chunks.
+    frequent term makes never leave the task; a hot term is spread over all chunks. Within a chunk, blocks of documents
+    whose highest parts cannot reach a query's k-th score are skipped. With ``floors`` a first pass over some of the chunks
+    gives every query a score that its k-th best document has at least, and what is below it is never scored or sent on.
     """
     left, right = _meeting(queries, posts, n_docs, mean_length)
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (posts, "doc_id"))}
-    best = left.groupBy("chunk", "to_block").cogroup(right.groupBy("to_chunk", "block")).applyInPandas(
-        _score_chunk, f"query_id {types['query_id']}, k int, doc_id {types['doc_id']}, score double"
-    )
-    order = [F.desc("score"), F.col("doc_id")]
-    return top_k(best, ["query_id"], order, F.col("k"), ["doc_id"]).drop("k")
+
+    def ranked(left: DataFrame, right: DataFrame) -> DataFrame:
+        best = left.groupBy("chunk", "to_block").cogroup(right.groupBy("to_chunk", "block")).applyInPandas(
+            _score_chunk, f"query_id {types['query_id']}, k int, doc_id {types['doc_id']}, score double"
+        )
+        return top_k(best, ["query_id"], [F.desc("score"), F.col("doc_id")], F.col("k"), ["doc_id"])
+
+    right = right.withColumn("floor", F.lit(0.0))
+    if floors:
+        some = ranked(left.where(F.col("chunk") % FLOOR_CHUNKS == 0), right.where(F.col("to_chunk") % FLOOR_CHUNKS == 0))
+        least = some.where("rank = k").select("query_id", F.col("score").alias("least"))
+        right = right.join(least, "query_id", "left").withColumn("floor", F.coalesce("least", F.lit(0.0))).drop("least")
+    return ranked(left, right).drop("k")
 
 
 def count_before(ids: np.ndarray, scores: np.ndarray, probe_ids: np.ndarray, probe_scores: np.ndarray) -> np.ndarray:
@@ -156,12 +217,17 @@ def _count_chunk(key: tuple, posts: pd.DataFrame, asked: pd.DataFrame) -> pd.Dat
     out = []
     if len(posts) and len(asked):
         probes = asked[asked["probe_ids"].notna()].set_index("query_id")
-        queries, ids, scores = _chunk_scores(posts, asked[asked["term"].notna()])
-        for i, query_id in enumerate(queries):
-            probe = probes.loc[query_id]
-            own = scores[i] > 0
-            out.append(pd.DataFrame({"query_id": query_id, "doc_id": probe["probe_ids"], "n": count_before(
-                ids[own], scores[i][own], np.asarray(probe["probe_ids"]), np.asarray(probe["probe_scores"], "float64"))}))
+        blocks, queries = Blocks(posts), np.unique(probes.index.to_numpy())
+        rows = blocks.asked(queries, asked[asked["term"].notna()])
+        least = np.array([min(probes.at[q, "probe_scores"]) for q in queries])
+        scores = np.zeros((len(queries), len(blocks.ids)))
+        bound = blocks.bounds(len(queries), *rows)
+        blocks.add(scores, (bound > 0) & (bound >= least[:, None] - ROUNDING), *rows)
+        for own, query_id in zip(np.round(scores, 6), queries):
+            some = own > 0
+            out.append(pd.DataFrame({"query_id": query_id, "doc_id": probes.at[query_id, "probe_ids"], "n": count_before(
+                blocks.ids[some], own[some], np.asarray(probes.at[query_id, "probe_ids"]),
+                np.asarray(probes.at[query_id, "probe_scores"], "float64"))}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "doc_id": [], "n": []})
 
 
@@ -188,9 +254,9 @@ def bm25_ranks(probes: DataFrame, queries: DataFrame, posts: DataFrame, n_docs:
 
 
 def bm25_top_k(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The ``k`` best documents of each query (query_id, query, k)."""
+    """The ``k`` best documents of each query (query_id, query, k). Counts the documents, a job of its own."""
     posts = postings(docs, key, text, only=query_terms(queries))
-    return bm25_rank(queries, posts, *corpus_stats(docs, key, text))
+    return bm25_rank(queries, posts, *corpus_stats(docs, key, text), floors=docs.count() > FLOOR_DOCS)
 
 
 # --- vector half ----------------------------------------------------------------------

@@ -102,7 +102,7 @@ def search_index(spark: SparkSession, folder: str, queries: DataFrame) -> DataFr
     n_docs = keys.agg(F.count(F.lit(1)).cast("double")).scalar()
     mean_length = keys.agg(F.avg("length")).scalar()
     posts = live_postings(spark, folder, search.query_terms(queries))
-    return search.bm25_rank(queries, posts, n_docs, mean_length)
+    return search.bm25_rank(queries, posts, n_docs, mean_length, floors=keys.count() > search.FLOOR_DOCS)
 
 
 def flag_stream(raw: DataFrame, boxes: DataFrame, aliases: DataFrame, as_of: str) -> DataFrame:

@@ -37,7 +37,7 @@ ROUNDS = 8  # of k-means
 CHUNK = 8192  # codes of a list that one task scans
 # Share of the lists that a query visits (four at least) and candidates per asked row that are re-ranked. Vectors without
 # clusters need so many lists for a recall of 0.9; for clustered ones a few per cent do.
-PROBES, RERANK = 0.6, 8
+PROBES, RERANK = 0.7, 8
 
 
 def kmeans(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:

@@ -41,6 +41,40 @@ def test_bm25_against_plain_scores(spark):
     assert {q: [i for _, i in rows] for q, rows in got.items()} == {q: [i for _, i in rows] for q, rows in want.items()}
 
 
+def test_bm25_with_floors_over_many_chunks(spark, monkeypatch):
+    """More chunks than the first pass reads: the same rows, ties and hot terms included."""
+    monkeypatch.setattr(search, "CHUNK_DOCS", 16)
+    monkeypatch.setattr(search, "FLOOR_CHUNKS", 4)
+    monkeypatch.setattr(search, "FLOOR_DOCS", 100)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 4)
+    rng = np.random.default_rng(3)
+    docs = {i: " ".join(rng.choice(["the", "sun", "sea", "sky", "sand"], 1 + i % 7)) for i in range(400)}
+    docs |= {i: "sun sea" for i in range(400, 520)}  # copies
+    queries = {1: ("the sun", 5), 2: ("sea sky sand", 40), 3: ("sun sea", 130), 4: ("zzz", 3)}
+    ddf = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    qdf = spark.createDataFrame([(q, t, k) for q, (t, k) in queries.items()], "query_id long, query string, k int")
+    got = {}
+    for r in search.bm25_top_k(qdf, ddf, "doc_id", "text").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == {q: [i for _, i in rows] for q, rows in plain_bm25(docs, queries).items() if rows}
+
+
+def test_most_postings_are_skipped():
+    """A chunk of 4096 documents, a tenth of them rich in the asked terms: exact best, few postings scored."""
+    rng = np.random.default_rng(4)
+    rows = [(d, t, (2.0 if d < 400 else 0.3) * rng.random()) for d in range(4096) for t in rng.choice(list("abcdefgh"), 4, replace=False)]
+    posts = pd.DataFrame(rows, columns=["doc_id", "term", "part"])
+    asked = pd.DataFrame([(q, t, 1.0 + q) for q in range(5) for t in "abcdefgh"[q:q + 3]], columns=["query_id", "term", "idf"])
+    blocks, queries = search.Blocks(posts), np.arange(5)
+    scores = search._best_of_chunk(blocks, queries, asked, np.full(5, 10), np.zeros(5))
+    whole = posts.merge(asked, "inner", "term")
+    assert blocks.scored < 0.3 * len(whole)
+    whole = whole.assign(s=whole["part"] * whole["idf"]).groupby(["query_id", "doc_id"])["s"].sum().round(6)
+    for q in queries:
+        want = sorted((-s, d) for d, s in whole[q].items())[:10]
+        assert sorted((-s, d) for d, s in enumerate(scores[q]))[:10] == want
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_vector_search_is_exact(spark, hot, monkeypatch):
     monkeypatch.setattr(search, "CHUNK_VECTORS", 50)
