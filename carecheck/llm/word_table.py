@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 
 from carecheck.llm.common import BYTE_VALUES, pack_planes, slices, span_hashes, unpack_planes, utf8
 
-CHUNK_BYTES = 24 << 20  # of text in a chunk
+CHUNK_BYTES = 16 << 20  # of text in a chunk
 BUCKET_BYTES = 32 << 20  # of text per bucket of words
 CHUNK = "__words_chunk"
 ROWS = pa.ipc.IpcWriteOptions(compression="zstd")
