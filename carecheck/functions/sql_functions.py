@@ -145,6 +145,25 @@ def register(spark: SparkSession) -> list[str]:
     return _create(spark, FUNCTIONS)
 
 
+def register_request_views(spark: SparkSession, gold: str, places: str, claims: str) -> list[str]:
+    """The tools that read gold, answered for whole tables of requests, as views to join by their id.
+
+    ``places`` (query_id, lat, lon, radius_km, specialty, limit) and ``claims`` (request_id, facility_id, claim) name views
+    or tables. Scalar functions meet every request with every facility; the views go by grid cells and by ids.
+    """
+    from carecheck.operators import nearby, verify  # these use this module's expressions
+
+    facilities, places, claims = (spark.table(x) for x in (gold, places, claims))
+    views = {
+        "geo_radius_results": nearby.radius_json(places, nearby.radius_search(places, facilities)),
+        "score_claim_consistency_results": verify.trust_report(claims, facilities),
+        "cross_source_disagree_results": verify.cross_source_json(verify.cross_source(claims, facilities)),
+    }
+    for name, view in views.items():
+        view.createOrReplaceTempView(name)
+    return list(views)
+
+
 def register_tools(spark: SparkSession, gold: str) -> list[str]:
     """The four tools over a gold table or view, with the helpers they use."""
     return register(spark) + _create(spark, _claim_report()) + _create(spark, _tools(gold))

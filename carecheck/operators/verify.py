@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carecheck import rule_values as rv
 from carecheck.functions import text as tx
+from carecheck.operators.requests import join_facts
 
 FACTS = [
     "facility_id", "specialties", "capability", "equipment", "procedure", "description",
@@ -17,7 +18,7 @@ FACTS = [
 def trust_report(requests: DataFrame, gold: DataFrame) -> DataFrame:
     """Score and flags of each requested facility as JSON; an unknown id says so.
 
-    ``requests`` holds (request_id, facility_id). Ids are read once however often they are asked for.
+    ``requests`` holds (request_id, facility_id). Ids are read once however often they are asked for, and no id is one task.
     """
     known = gold.select("facility_id", "trust_score", "flags").withColumn("known", F.lit(True))
     report = F.when(
@@ -27,13 +28,15 @@ def trust_report(requests: DataFrame, gold: DataFrame) -> DataFrame:
         requests.select("facility_id").distinct().join(known, "facility_id", "left")
         .select("facility_id", report.alias("json"))
     )
-    return requests.join(answered, "facility_id").select("request_id", "facility_id", "json")
+    unknown = F.to_json(F.struct("facility_id", F.lit("not found").alias("error")))  # of a request without an id
+    return join_facts(requests.select("request_id", "facility_id"), answered).select(
+        "request_id", "facility_id", F.coalesce("json", unknown).alias("json"))
 
 
 def cross_source(requests: DataFrame, clean: DataFrame) -> DataFrame:
     """Whether at least two of six sources back each claim (request_id, facility_id, claim)."""
     facts = clean.select(*FACTS).withColumn("known", F.lit(True))
-    joined = requests.join(facts, "facility_id", "left")
+    joined = join_facts(requests.select("request_id", "facility_id", "claim"), facts)
     known = F.coalesce("known", F.lit(False))
     supporting = F.when(known, F.expr(tx.supporting_sources("claim"))).otherwise(tx.empty_list())
     return joined.select(

@@ -355,6 +355,7 @@ SELECT r.query_id, r.lat, r.lon, r.radius_km, lower(r.specialty) AS specialty,
   coalesce(string_agg(h.facility_id, ',' ORDER BY h.rank), '') AS ids, cast(count(h.facility_id) as int) AS n_results
 FROM radius_requests r LEFT JOIN radius_hits h ON h.query_id = r.query_id GROUP BY ALL
 """)
+O["sql_radius_requests"] = f"SELECT query_id, lat, lon, specialty, ids FROM ({O['radius_json']})"
 O["nearest_equipped"] = sql("""
 SELECT query_id, facility_id, round(km, 6) AS distance_km FROM radius_scan
 WHERE km <= 100 AND len(equipment) > 0 AND len(list_filter(specialties, lambda x: contains(lower(x), 'cardio'))) > 0
@@ -427,6 +428,20 @@ O["bm25_topk"] = (
     f"SELECT query_id, doc_id, score, rank FROM ({_bm25('documents', 'doc_id', 'text', 10)})"
 )
 O["vector_topk"] = f"SELECT query_id, doc_id, similarity, rank FROM ({_vector(10)})"
+_versions = """
+WITH old AS (SELECT doc_id, text, source FROM documents),
+new AS (SELECT doc_id, case when quality = 0 then 'revised ' || text else text end AS text, source
+  FROM old LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0
+  UNION ALL SELECT item_id + 1000000000, text, null FROM benchmark)
+"""
+O["feed_applied"] = _versions + "SELECT * FROM new"
+O["feed_from_versions"] = _versions + """
+SELECT *, cast(2 as bigint) AS version FROM (
+  SELECT n.*, 'insert' AS change FROM new n ANTI JOIN old USING (doc_id)
+  UNION ALL SELECT o.*, 'delete' FROM old o ANTI JOIN new USING (doc_id)
+  UNION ALL SELECT o.*, 'update_before' FROM old o JOIN new n USING (doc_id) WHERE (o.text, o.source) IS DISTINCT FROM (n.text, n.source)
+  UNION ALL SELECT n.*, 'update_after' FROM old o JOIN new n USING (doc_id) WHERE (o.text, o.source) IS DISTINCT FROM (n.text, n.source))
+"""
 O["vector_index_exact"] = O["vector_topk"]
 O["hybrid_topk"] = f"""
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
@@ -642,6 +657,7 @@ FROM claim_requests r LEFT JOIN gold g ON g.facility_id = r.facility_id
 JOIN ({_cross_json}) x ON x.request_id = r.request_id
 JOIN ({_extract('claim_requests', 'request_id', 'claim')}) p ON p.request_id = r.request_id
 """)
+O["sql_claim_requests"] = f"SELECT request_id, score, cross_source FROM ({O['sql_tools']})"
 O["sql_radius"] = sql(f"""
 SELECT 'cardio' AS specialty, cast(row_number() OVER (ORDER BY round(km, 6), facility_id) - 1 as int) AS pos, facility_id,
   round(km, 6) AS distance_km

@@ -19,7 +19,7 @@ from carecheck.plans import pipeline, reports
 from carecheck.session import new_folder
 from carecheck.sources import lookups, tables
 from carecheck.sources.facilities import customer_facilities
-from carecheck.streaming import sync, vector_index
+from carecheck.streaming import changes, sync, vector_index
 from checks import inputs
 
 TABLES = [
@@ -848,6 +848,54 @@ def _(r: Run) -> DataFrame:
     )
 
 
+@query("sql_radius_requests")
+def _(r: Run) -> DataFrame:
+    """Radius search, score and cross-source check called from SQL for whole tables of requests."""
+    r.stored_gold.createOrReplaceTempView("gold_facilities")
+    r.request(inputs.RADIUS_REQUESTS).createOrReplaceTempView("radius_requests")
+    r.request(inputs.CLAIM_REQUESTS).createOrReplaceTempView("claim_requests")
+    sql_functions.register_request_views(r.spark, "gold_facilities", "radius_requests", "claim_requests")
+    hits = "struct<specialty:string,results:array<struct<facility_id:string>>>"
+    return r.spark.sql(
+        f"SELECT r.query_id, r.lat, r.lon, j.specialty, array_join(transform(j.results, x -> x.facility_id), ',') AS ids"
+        f" FROM radius_requests r JOIN (SELECT query_id, from_json(json, '{hits}') AS j FROM geo_radius_results) USING (query_id)"
+    )
+
+
+@query("sql_claim_requests")
+def _(r: Run) -> DataFrame:
+    r.stored_gold.createOrReplaceTempView("gold_facilities")
+    r.request(inputs.RADIUS_REQUESTS).createOrReplaceTempView("radius_requests")
+    r.request(inputs.CLAIM_REQUESTS).createOrReplaceTempView("claim_requests")
+    sql_functions.register_request_views(r.spark, "gold_facilities", "radius_requests", "claim_requests")
+    return r.spark.sql(
+        "SELECT request_id, s.json AS score, c.json AS cross_source FROM claim_requests r"
+        " JOIN score_claim_consistency_results s USING (request_id) JOIN cross_source_disagree_results c USING (request_id)"
+    )
+
+
+def _table_versions(r: Run) -> tuple[DataFrame, DataFrame]:
+    """Documents, and a later version: poor ones rewritten, toxic ones gone, the benchmark's texts new."""
+    old = r.documents.select("doc_id", "text", "source")
+    labelled = old.join(r.table("labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
+    new = labelled.where("coalesce(toxic, 0) = 0").select(
+        "doc_id", F.when(F.col("quality") == 0, F.concat(F.lit("revised "), "text")).otherwise(F.col("text")).alias("text"), "source")
+    items = r.table("benchmark").select((F.col("item_id") + 10**9).alias("doc_id"), "text", F.lit(None).cast("string").alias("source"))
+    return old, new.unionByName(items)
+
+
+@query("feed_from_versions")
+def _(r: Run) -> DataFrame:
+    return changes.feed_from_versions(*_table_versions(r), "doc_id", 2)
+
+
+@query("feed_applied")
+def _(r: Run) -> DataFrame:
+    """The old version with the feed applied: the new version."""
+    old, new = _table_versions(r)
+    return changes.apply_feed(old, changes.feed_from_versions(old, new, "doc_id", 2), "doc_id")
+
+
 @query("write_roundtrip")
 def _(r: Run) -> DataFrame:
     stored = pipeline.store(r.tables, r.scratch())
