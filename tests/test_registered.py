@@ -7,7 +7,8 @@ import __spark_entry__ as entry
 from check import rows_of
 from checks.queries import QUERIES, TABLES
 
-NAMES = sorted(QUERIES)
+APPROXIMATE = {"vector_index_topk"}  # held to a recall instead
+NAMES = sorted(set(QUERIES) - APPROXIMATE)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,14 @@ def duck(small):
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - APPROXIMATE <= set(entry.oracle_sql()) <= set(entry.queries())
+    assert not APPROXIMATE & set(entry.oracle_sql())
+
+
+def test_recall_of_approximate_queries(spark, small):
+    for name in APPROXIMATE:
+        rows = entry.queries()[name](spark, small).collect()
+        assert sum(r["recall"] for r in rows) / len(rows) >= 0.9
 
 
 @pytest.mark.parametrize("name", NAMES)
