@@ -40,9 +40,11 @@ def hybrid_top_k(
     def deep(asked: DataFrame) -> DataFrame:
         return asked.withColumn("k", fusion_depth(F.col("k")).cast("int"))
 
-    posts = search.postings(docs, key, text, only=search.query_terms(queries))
-    stats = search.corpus_stats(docs, key, text)
-    keyword = search.bm25_rank(deep(queries), posts, *stats, floors=docs.count() > search.FLOOR_DOCS).select("query_id", "doc_id", F.col("rank").alias("keyword_rank"))
+    # postings and totals serve both the lists and the counting, so they are made once
+    posts = cut_lineage(search.postings(docs, key, text, only=search.query_terms(queries)))
+    total = search.tokenized(docs, key, text).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    stats = F.lit(float(max(total["n"], 1))), F.lit(total["mean"] or 0.0)
+    keyword = search.bm25_rank(deep(queries), posts, *stats, floors=total["n"] > search.FLOOR_DOCS).select("query_id", "doc_id", F.col("rank").alias("keyword_rank"))
     placement = search.place(corpus)
     vector = search.vector_top_k(deep(query_vectors), placement or corpus)
     lists = cut_lineage(keyword.join(
