@@ -4,7 +4,8 @@ A page is a sequence of tags and runs of words. Words score by the element they
 name; the weights are log odds counted on labelled pages, those that mark their main text themselves (an
 ``article`` or ``main`` element). Words score positive where labelled pages hold content or nothing is known, tags
 always negative. A linear scan finds the contiguous region of the largest sum. Text of the region that stands in menus, page headers,
-footers, sidebars, notices, adverts, forms, comments or the like, or scores negative itself, is dropped.
+footers, sidebars, notices, adverts, forms or comments, or scores negative itself, is dropped: these kinds are told by
+their elements, roles, or class names and ids that name nothing else.
 
 A null or empty page has empty text; pages are read whole, broken markup is read on (an unknown end tag is skipped,
 an open comment, script or quote ends with the page); repeated rows are extracted each; an empty table gives no rows; only
@@ -46,11 +47,15 @@ CLOSES_SIBLING = {
 }
 NOISE_TAGS = set("nav aside footer form head title dialog menu button select option label input fieldset search".split())
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
+# Names of the kinds that go, and words that may stand beside them: ``comment-list`` goes, ``comment-theory`` stays.
 NOISE_WORDS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation "
-    "breadcrumb breadcrumbs sidebar aside footer header masthead comment comments disqus reply replies cookie cookies consent gdpr notice "
-    "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related "
-    "recommended widget pagination pager toolbar tags toc".split()
+    "menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead banner footer sidebar aside notice notices "
+    "alert cookie cookies consent gdpr popup modal ad ads advert adverts advertisement advertisements advertising sponsored "
+    "form comment comments reply replies disqus".split()
+)
+BESIDE_NOISE = set(
+    "area bar block body bottom box container content footer global group header inner item items left link links list main page panel "
+    "reader right section site slot text thread title top unit user wrap wrapper".split()
 )
 NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 NOISE_WORD, NOISE_TAG = -0.02, -0.2  # what is dropped by name costs little, so it does not part a region that goes on behind it
@@ -64,6 +69,25 @@ class _Element:
         self.name, self.noise, self.content, self.section = name, noise, content, section
 
 
+def _names_noise(name: str, in_content: bool) -> bool:
+    """Whether a class name or id is a kind that goes, alone or beside words of layout; content has headers of its own."""
+    parts = {p.lower() for p in NAME_PART.findall(name)}
+    return bool(parts & (NOISE_WORDS - {"header"} if in_content else NOISE_WORDS)) and parts <= NOISE_WORDS | BESIDE_NOISE
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous region [begin, end) of the largest positive sum, the first to reach it; (0, 0) if there is none."""
+    best = total = 0.0
+    begin, region = 0, (0, 0)
+    for k, x in enumerate(scores):
+        total += x
+        if total > best:
+            best, region = total, (begin, k + 1)
+        elif total < 0:
+            total, begin = 0.0, k + 1
+    return region
+
+
 def _open(name: str, rest: str, parent: _Element) -> _Element:
     """The element a start tag opens: whether it is noise or marked content, and its nearest section's kind."""
     kind, noise, role = "", parent.noise or name in NOISE_TAGS, ""
@@ -73,10 +97,7 @@ def _open(name: str, rest: str, parent: _Element) -> _Element:
             key = m[1].lower()
             if key in ("class", "id") and value and name not in ("html", "body"):
                 kind = kind or value.split()[0].lower() if value.split() else kind
-                if name not in MARKS_CONTENT and any(
-                    p.lower() in NOISE_WORDS and not (parent.content and p.lower() == "header") for p in NAME_PART.findall(value)
-                ):
-                    noise = True
+                noise = noise or name not in MARKS_CONTENT and any(_names_noise(x, parent.content) for x in value.split())
             elif key == "role":
                 role = value.lower()
             elif key in ("hidden", "aria-hidden") and value.lower() != "false":
@@ -156,22 +177,18 @@ def label_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
 
 def extract(page: str, weights: dict[str, float]) -> str:
     """Blocks of the page's best region, white space made single, joined by blank lines."""
-    best = total = 0.0
-    begin, region, runs = 0, (0, 0), []
+    scores, runs = [], []
     for kind, signature, words, element, text in tokens(page):
         if kind == "w":
             score = NOISE_WORD if element.noise else weights.get(signature, 1.0)
-            total += score * words
+            scores.append(score * words)
             runs.append((text if score > 0 and not element.noise else None, words))
         else:
-            total += NOISE_TAG if element.noise else weights.get(signature, -1.0)
+            scores.append(NOISE_TAG if element.noise else weights.get(signature, -1.0))
             runs.append(("\n" if kind == "|" and words else " " if kind == "|" else "", 0))
-        if total > best:
-            best, region = total, (begin, len(runs))
-        elif total < 0:
-            total, begin = 0.0, len(runs)
+    begin, end = best_region(scores)
     blocks: list[list[str]] = [[]]
-    for text, words in runs[region[0]:region[1]]:
+    for text, words in runs[begin:end]:
         if not words and text == "\n":
             blocks.append([])
         elif text is not None:

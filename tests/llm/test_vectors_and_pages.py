@@ -74,3 +74,19 @@ def test_pages(spark):
 
 def test_unlabelled_pages_keep_their_words():
     assert html_extract.extract("<div><p>Some words of a page</p><p>and some more</p></div>", {}) == "Some words of a page\n\nand some more"
+
+
+def test_only_the_named_kinds_go():
+    kept = ["share-price", "related-work", "social-history", "alert-fatigue", "commentary", "header-files", "tags", "adoption"]
+    gone = ["ad", "adBox", "comment-list", "reader-comments", "cookie-notice", "site_footer", "page sidebar", "nav-links"]
+    page = "<main><h1>Words of a title here</h1>" + "".join(
+        f'<p class="{x}">kept {x} kept</p><div id="{y}"><p>gone {y} gone</p></div>' for x, y in zip(kept, gone, strict=True)) + "</main>"
+    assert html_extract.extract(page, {}) == "\n\n".join(["Words of a title here", *(f"kept {x} kept" for x in kept)])
+
+
+def test_best_region_agrees_with_all_regions():
+    rng = np.random.default_rng(8)
+    for n in [0, 1, 2, *rng.integers(3, 60, 200)]:
+        scores = [float(x) for x in rng.integers(-6, 6, n)]
+        begin, end = html_extract.best_region(scores)
+        assert sum(scores[begin:end]) == max([0.0, *(sum(scores[a:b]) for a in range(n) for b in range(a + 1, n + 1))])
