@@ -1,28 +1,30 @@
 """Language-model scores from a hierarchical Pitman-Yor model of words.
 
-Every word is a customer of the restaurant of its context, the word before it; contexts share CONTEXTS restaurants by hash, and all
-of those share the root restaurant, whose own base is uniform over the known words and one for all unknown. A
-table of a context's restaurant is a customer of the root. Seating is sampled: in every Gibbs round each (context,
-word) gets its tables anew by the Chinese-restaurant process, given the root's probabilities and table totals of the
-round before. Probabilities are averaged over the last rounds' seatings.
-
-How it runs: occurrences (document, context, word) are dealt to buckets by word once and written to the shared folder; all
-counts of a word meet there, so its seating and its share of the root need nothing else but numbers of fixed size: the
-tables of each restaurant and the root's totals, which every round adds up. Words that make up a two-thousandth of all
-tokens or more, 2,000 at most, are dealt by word and context instead; their root probabilities travel with those numbers. Buckets return
-each document's part of the score, and parts are added. Seeds are fixed, so a repeated task repeats its seating.
-
-A null or empty text is its end token. A null id counts as not held out. Copies of a row with one id get the same
+Every word is a customer of the restaurant of its context, the word before it (or the start of the text); every context
+has a restaurant of its own, and all share the root restaurant as their parent, whose own base is uniform over the known words and
+one for all unknown. A table of a context's restaurant is a customer of the root. Seating is sampled: in every Gibbs
+round each (context, word) gets its tables anew by the Chinese-restaurant process, given the root's probabilities and table
+totals of the round before. Probabilities are averaged over the last rounds' seatings.
+
+How it runs: texts become chunks of word codes, written to the shared folder once. A chunk sends its distinct (context,
+word) pairs with training counts to buckets by word; all counts of a word meet there, so its seating and its share of the root
+need only the totals of its contexts, which the buckets exchange after every round by context, and a few numbers of fixed size
+through the driver. Words that make up a two-thousandth of all tokens or more, 2,000 at most, are dealt by word and
+context instead; their root probabilities travel with those numbers. Buckets return a probability per pair to the chunks
+that sent it, and a chunk adds up its texts. Seeds are fixed, so a repeated task repeats its seating.
+
+A null or empty text is its end token. A null id counts as not held out; ids are of any type. Repeated rows get the same
 scores. Without training rows every probability is that of the uniform base. An empty table gives no rows. Only id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +33,19 @@ from carecheck.llm.common import (
     unpack_sorted, utf8, word_spans,
 )
 
-CONTEXTS = 2048
 ROUNDS, AVERAGED = 3, 2  # Gibbs rounds, and the last of them that are averaged
 STRENGTH = (1.0, 1.0)  # of the root and of the contexts' restaurants
 HOT_SHARE = 2000
-BUCKET_BYTES = 12 << 20  # text whose tokens share a bucket
-CHUNK_BYTES = 16 << 20  # text whose documents' parts are added together
-SLICE_BYTES = 2 << 20
+CHUNK_BYTES = 16 << 20  # text that sends its pairs together
+BUCKET_BYTES = 24 << 20  # text whose pairs share a bucket
+BUCKETS_A_PART = 16  # buckets for each part of the contexts' exchange
 START, END = np.uint64(1), np.uint64(2)
+CONTEXT_BITS = 48
+CONTEXT_MASK = np.uint64((1 << CONTEXT_BITS) - 1)
 
 
-def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word, context) of every token; a row's last token is its end."""
+def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token and the number of tokens per row; a row's last token is its end."""
     data = lower_ascii(data)
     starts, ends, first = word_spans(data, offsets)
     rows = len(offsets) - 1
@@ -53,9 +56,7 @@ def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     word[at_end] = END
     if len(starts):
         word[inner] = span_hashes(BYTE_VALUES[data], starts, ends)
-    before = np.r_[START, word[:-1]] if len(word) else word
-    before[first[:-1] + np.arange(rows)] = START
-    return np.repeat(np.arange(rows), np.diff(first) + 1), word, (mix(before) % np.uint64(CONTEXTS)).astype(np.uint16)
+    return word, np.diff(first) + 1
 
 
 def _cuts(*sorted_by: np.ndarray) -> np.ndarray:
@@ -70,85 +71,136 @@ def _cuts(*sorted_by: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _stored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+# --- chunks ---------------------------------------------------------------------------------
+
+CHUNKS = "chunk bigint, ids binary, words binary, codes binary, sizes binary"
+
+
+def chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (id, held_out, text): chunks of rows with their words as codes, numbered by task."""
+    number = TaskContext.get().partitionId() << 32
+    for part in slices(batches, "text", CHUNK_BYTES):
+        if part.num_rows:
+            word, sizes = occurrences(*utf8(part.column(2)))
+            words, codes = np.unique(word, return_inverse=True)
+            sink = pa.BufferOutputStream()
+            ids = part.select(["id", "held_out"])
+            with pa.ipc.new_stream(sink, ids.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(ids)
+            blobs = [sink.getvalue().to_pybytes(), pack_sorted(words), pack_planes(codes.astype("<u4")), pack_planes(sizes.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([b], pa.binary()) for b in blobs]], _names(CHUNKS))
+            number += 1
+
+
+class Chunk:
+    """A chunk's rows and its distinct (context, word) pairs in the order in which they are sent: by bucket, word, context."""
+
+    def __init__(self, row: dict, buckets: int, hot: np.ndarray):
+        self.number = row["chunk"]
+        self.ids = pa.ipc.open_stream(pa.py_buffer(row["ids"])).read_all()
+        words, self.sizes = unpack_sorted(row["words"]), unpack_planes(row["sizes"], "<u4").astype(np.int64)
+        codes, n = unpack_planes(row["codes"], "<u4").astype(np.int64), len(words)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        before = np.r_[n, codes[:-1]]
+        before[self.first] = n
+        codes *= n + 1
+        codes += before
+        pairs, inverse = np.unique(codes, return_inverse=True)
+        contexts = mix(np.r_[words, START]) >> np.uint64(64 - CONTEXT_BITS)
+        self.word, self.context = words[pairs // (n + 1)], contexts[pairs % (n + 1)]
+        place = mix(self.word)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, self.word), len(hot) - 1)] == self.word
+            place[is_hot] = mix(self.word[is_hot] ^ mix(self.context[is_hot] + np.uint64(1)))
+        self.bucket = (place % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((self.context, self.word, self.bucket))
+        self.word, self.context, self.bucket = self.word[order], self.context[order], self.bucket[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.pair = back[inverse]  # of every token
+
+    def per_row(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the rows' tokens of values per pair; every row has a token."""
+        return np.add.reduceat(values[self.pair], self.first)
+
+
 def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (text): (word, n) of a task's words with a part in HOT_SHARE of its slices' tokens; word 0 has all."""
+    """For mapInArrow over chunks: (word, n) of words with a part in HOT_SHARE of a chunk's tokens; word 0 has all."""
     found: dict[int, int] = {0: 0}
-    for part in slices(batches, "text", SLICE_BYTES):
-        _, word, _ = occurrences(*utf8(part.column(0)))
-        word.sort()
-        cut = _cuts(word)
-        n = np.diff(np.r_[cut, len(word)])
-        found[0] += len(word)
-        for k in np.flatnonzero(n * 2 * HOT_SHARE >= len(word)).tolist():
-            key = int(word[cut[k]].astype(np.int64))
+    for row in _stored_rows(batches):
+        n = np.bincount(unpack_planes(row["codes"], "<u4"))
+        word = unpack_sorted(row["words"])
+        found[0] += int(n.sum())
+        for k in np.flatnonzero(n * 2 * HOT_SHARE >= n.sum()).tolist():
+            key = int(word[k].astype(np.int64))
             found[key] = found.get(key, 0) + int(n[k])
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
 
-DEALT = "bucket int, words binary, sizes binary, contexts binary, rows binary, docs binary, trains binary"
-_DEALT = [(x.split()[0], pa.type_for_alias({"int": "int32", "bigint": "int64"}.get(x.split()[1], x.split()[1]))) for x in DEALT.split(", ")]
+SENT = "bucket int, chunk bigint, words binary, pairs binary, contexts binary, counts binary"
 
 
-def deal(buckets: int, hot: np.ndarray):
-    """For mapInArrow over (row_key, train, text): packed occurrences per bucket."""
+def send(buckets: int, hot: np.ndarray):
+    """For mapInArrow over chunks: their distinct pairs with training counts, one row per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE_BYTES):
-            row, word, context = occurrences(*utf8(part.column(2)))
-            keys, trains = part.column(0).to_numpy().astype("<i8"), part.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
-            place = mix(word)
-            if len(hot):
-                is_hot = hot[np.minimum(np.searchsorted(hot, word), len(hot) - 1)] == word
-                place = np.where(is_hot, mix(word ^ mix(context.astype(np.uint64) + np.uint64(1))), place)
-            bucket = (place % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
-            order = np.lexsort((row, context, word, bucket))
-            row, word, context, bucket = row[order], word[order], context[order], bucket[order]
-            ends = np.r_[_cuts(bucket), len(bucket)]
-            blobs = []
-            for x, y in zip(ends[:-1], ends[1:], strict=True):
-                cut = _cuts(word[x:y])
-                own, local = np.unique(row[x:y], return_inverse=True)
-                blobs.append((
-                    int(bucket[x]), pack_sorted(word[x:y][cut]), pack_planes(np.diff(np.r_[cut, y - x]).astype("<u4")),
-                    pack_planes(context[x:y].astype("<u2")), pack_planes(local.astype("<u4")), keys[own].tobytes(), trains[own].tobytes()))
-            columns = list(zip(*blobs, strict=True)) or [[]] * len(_DEALT)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _DEALT, strict=True)], [n for n, _ in _DEALT])
+        for row in _stored_rows(batches):
+            c = Chunk(row, buckets, hot)
+            train = np.repeat(~c.ids.column("held_out").to_numpy(), c.sizes)
+            counts = np.bincount(c.pair[train], minlength=len(c.word)).astype("<u4")
+            ends = np.r_[_cuts(c.bucket), len(c.bucket)]
+            rows = []
+            for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                cut = _cuts(c.word[x:y])
+                rows.append((int(c.bucket[x]), c.number, pack_sorted(c.word[x:y][cut]), pack_planes(np.diff(np.r_[cut, y - x]).astype("<u4")),
+                             pack_planes(np.diff(c.context[x:y], prepend=np.uint64(0)) & CONTEXT_MASK), pack_planes(counts[x:y])))
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], _names(SENT))
 
     return run
 
 
-STORED = "bucket int, words binary, pairs binary, contexts binary, counts binary, sizes binary, rows binary, docs binary"
+STORED = "bucket int, words binary, pairs binary, names binary, contexts binary, counts binary, chunks array<bigint>, places array<binary>"
 
 
 def merge_bucket(table: pa.Table) -> pa.Table:
-    """For applyInArrow over a bucket: its words, (word, context) pairs with training counts, and the documents of each pair."""
-    number = table.column("bucket")[0].as_py()
-    parts = table.select([n for n, _ in _DEALT[1:]]).to_pylist()
+    """For applyInArrow over a bucket: its pairs with training counts, its contexts, and the places of each chunk's pairs."""
+    rows = table.to_pylist()
     del table
-    keys = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in parts])
-    flags = np.concatenate([np.frombuffer(r["trains"], np.uint8) for r in parts])
-    names, at = np.unique(keys, return_index=True)
-    is_train = flags[at]
-    word = np.concatenate([np.repeat(unpack_sorted(r["words"]), unpack_planes(r["sizes"], "<u4")) for r in parts])
-    context = np.concatenate([unpack_planes(r["contexts"], "<u2") for r in parts])
-    index = np.concatenate([
-        np.searchsorted(names, np.frombuffer(r["docs"], "<i8")).astype(np.uint32)[unpack_planes(r["rows"], "<u4")] for r in parts])
-    del parts
+    word = np.concatenate([np.repeat(unpack_sorted(r["words"]), unpack_planes(r["pairs"], "<u4")) for r in rows])
+    context = np.concatenate([unpack_sorted(r["contexts"]) & CONTEXT_MASK for r in rows])
+    count = np.concatenate([unpack_planes(r["counts"], "<u4") for r in rows])
+    sent = [int(unpack_planes(r["pairs"], "<u4").sum()) for r in rows]
+    chunks, number = [r["chunk"] for r in rows], rows[0]["bucket"]
+    del rows
     order = np.lexsort((context, word))
-    word, context, index = word[order], context[order], index[order]
-    del order
-    train = is_train[index]
-    cut = _cuts(word, context)
-    by_word = _cuts(word[cut])
+    cut = _cuts(word[order], context[order])
+    place = np.empty(len(order), np.uint64)
+    place[order] = np.repeat(np.arange(len(cut), dtype=np.uint64), np.diff(np.r_[cut, len(order)]))
+    counts = np.add.reduceat(count[order].astype(np.int64), cut)
+    word, context = word[order[cut]], context[order[cut]]
+    by_word = _cuts(word)
+    names, local = np.unique(context, return_inverse=True)
     return pa.table({
         "bucket": pa.array([number], pa.int32()),
-        "words": pa.array([pack_sorted(word[cut[by_word]])], pa.binary()),
-        "pairs": pa.array([pack_planes(np.diff(np.r_[by_word, len(cut)]).astype("<u4"))], pa.binary()),
-        "contexts": pa.array([pack_planes(context[cut].astype("<u2"))], pa.binary()),
-        "counts": pa.array([pack_planes(np.add.reduceat(train.astype(np.int64), cut).astype("<u4"))], pa.binary()),
-        "sizes": pa.array([pack_planes(np.diff(np.r_[cut, len(word)]).astype("<u4"))], pa.binary()),
-        "rows": pa.array([pack_planes(index.astype("<u4"))], pa.binary()),
-        "docs": pa.array([pack_sorted(names.astype("<i8").view("<u8") ^ np.uint64(1 << 63))], pa.binary()),
+        "words": pa.array([pack_sorted(word[by_word])], pa.binary()),
+        "pairs": pa.array([pack_planes(np.diff(np.r_[by_word, len(word)]).astype("<u4"))], pa.binary()),
+        "names": pa.array([pack_sorted(names)], pa.binary()),
+        "contexts": pa.array([pack_planes(local.astype("<u4"))], pa.binary()),
+        "counts": pa.array([pack_planes(counts.astype("<i8"))], pa.binary()),
+        "chunks": pa.array([chunks], pa.list_(pa.int64())),
+        "places": pa.array([[pack_sorted(p) for p in np.split(place, np.cumsum(sent)[:-1])]], pa.list_(pa.binary())),
     })
 
 
@@ -156,9 +208,8 @@ def merge_bucket(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Round:
-    """Numbers of fixed size that a round leaves: tables per context, the root's totals, hot words' root probabilities."""
+    """Numbers of fixed size that a round leaves: the root's totals, hot words' root probabilities."""
 
-    tables: np.ndarray
     root_customers: float
     root_tables: float
     hot: np.ndarray
@@ -170,7 +221,6 @@ class Model:
     hot_counts: np.ndarray
     tokens: int
     words: int
-    customers: np.ndarray  # training tokens per context
     discounts: tuple[float, float]  # of the root and of the contexts
     rounds: list[Round] = field(default_factory=list)
 
@@ -199,155 +249,196 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng: np.rando
 
 
 class Bucket:
-    """One bucket's words and pairs, and the seatings of the rounds so far."""
+    """One bucket's words and pairs, and the seatings of the rounds so far.
+
+    ``totals``: of every context of the bucket its training tokens, its distinct words, then its tables after each round.
+    """
 
-    def __init__(self, row: dict, model: Model):
-        self.model, self.number = model, row["bucket"]
+    def __init__(self, row: dict, model: Model, totals: list[np.ndarray]):
+        self.model, self.number, self.totals = model, row["bucket"], totals
         self.word = unpack_sorted(row["words"])
         self.of = np.repeat(np.arange(len(self.word), dtype=np.int32), unpack_planes(row["pairs"], "<u4"))
-        self.context = unpack_planes(row["contexts"], "<u2")
-        self.count = unpack_planes(row["counts"], "<u4").astype(np.int32)
+        self.names, self.context = unpack_sorted(row["names"]), unpack_planes(row["contexts"], "<u4")
+        self.count = unpack_planes(row["counts"], "<i8")
         place = np.searchsorted(model.hot, self.word)
         self.is_hot = np.zeros(len(self.word), bool)
         if len(model.hot):
             self.is_hot = model.hot[np.minimum(place, len(model.hot) - 1)] == self.word
         self.hot_place = place[self.is_hot]
-        self.total = np.bincount(self.of, self.count, len(self.word)).astype(np.int64)
-        self.total[self.is_hot] = model.hot_counts[self.hot_place] if len(model.hot_counts) else 0
+        self.own_total = np.bincount(self.of, self.count, len(self.word)).astype(np.int64)
+        self.total = self.own_total.copy()
+        self.total[self.is_hot] = model.hot_counts[self.hot_place]
+
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, values, len(self.names)).astype("<i8")
 
     def seatings(self, rounds: int) -> Iterator[tuple]:
         """(tables of pairs, root customers and tables of words) of each round; needs the totals of the round before."""
         m = self.model
         root = (self.total + 1.0) / (m.tokens + m.words + 1.0)
-        tables_before, root_tables = m.rounds[0].tables, m.rounds[0].root_tables
         for k in range(1, rounds + 1):
             rng = np.random.default_rng([17, self.number, k])
-            tables = seat(self.count, (STRENGTH[1] + m.discounts[1] * tables_before[self.context]) * root[self.of], m.discounts[1], rng)
+            tables = seat(self.count, (STRENGTH[1] + m.discounts[1] * self.totals[k][self.context]) * root[self.of], m.discounts[1], rng)
             customers = np.bincount(self.of, tables, len(self.word))
-            own = seat(customers.astype(np.int64), np.full(len(self.word), (STRENGTH[0] + m.discounts[0] * root_tables) / (m.words + 1)), m.discounts[0], rng)
+            mass = (STRENGTH[0] + m.discounts[0] * m.rounds[k - 1].root_tables) / (m.words + 1)
+            own = seat(customers.astype(np.int64), np.full(len(self.word), mass), m.discounts[0], rng)
             yield tables, customers, own
             if k < len(m.rounds):
-                r = m.rounds[k]
-                root = m.root(customers, own, r)
-                root[self.is_hot] = r.hot[self.hot_place]
-                tables_before, root_tables = r.tables, r.root_tables
+                root = self.root(customers, own, m.rounds[k])
+
+    def root(self, customers: np.ndarray, own: np.ndarray, r: Round) -> np.ndarray:
+        root = self.model.root(customers, own, r)
+        root[self.is_hot] = r.hot[self.hot_place]
+        return root
 
     def probabilities(self) -> np.ndarray:
         """Of every pair, averaged over the last rounds."""
-        m, out = self.model, np.zeros(len(self.of))
-        d, strength = m.discounts[1], STRENGTH[1]
+        out = np.zeros(len(self.of))
+        d, strength = self.model.discounts[1], STRENGTH[1]
+        customers_of = self.totals[0][self.context]
         for k, (tables, customers, own) in enumerate(self.seatings(ROUNDS), 1):
             if k > ROUNDS - AVERAGED:
-                r = m.rounds[k]
-                root = m.root(customers, own, r)
-                root[self.is_hot] = r.hot[self.hot_place]
-                out += (self.count - d * tables + (strength + d * r.tables[self.context]) * root[self.of]) / (strength + m.customers[self.context])
+                root = self.root(customers, own, self.model.rounds[k])
+                out += (self.count - d * tables + (strength + d * self.totals[k + 1][self.context]) * root[self.of]) / (strength + customers_of)
         return out / AVERAGED
 
 
-def _stored_rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    for k in range(batch.num_rows):
-        yield batch.slice(k, 1).to_pylist()[0]
+# --- what buckets exchange --------------------------------------------------------------------
+
+LEFT = "bucket int, part int, names binary, totals binary, kind string, id bigint, value double"
 
 
-NUMBERS = "kind string, id bigint, value double"
+def _left(bucket: Bucket, parts: int, totals: list[np.ndarray], numbers: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """What a bucket leaves for the next round: totals of its contexts by part of the exchange, and numbers to add up."""
+    part = (bucket.names * np.uint64(parts) >> np.uint64(CONTEXT_BITS)) if parts < 1 << 16 else bucket.names % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    cut = _cuts(part[order])
+    groups = np.split(order, cut[1:]) if len(cut) else []
+    flat = [(k, int(i), float(x)) for k, (ids, values) in numbers.items() for i, x in zip(ids, values, strict=True) if x]
+    n, m = len(groups), len(flat)
+    column = lambda own, other, kind: pa.array([*own, *other], kind)
+    return pa.table({
+        "bucket": column([bucket.number] * n, [bucket.number] * m, pa.int32()),
+        "part": column([int(part[g[0]]) for g in groups], [None] * m, pa.int32()),
+        "names": column([pack_sorted(bucket.names[g]) for g in groups], [None] * m, pa.binary()),
+        "totals": column([pack_planes(np.concatenate([t[g] for t in totals])) for g in groups], [None] * m, pa.binary()),
+        "kind": column([None] * n, [k for k, _, _ in flat], pa.string()),
+        "id": column([None] * n, [i for _, i, _ in flat], pa.int64()),
+        "value": column([None] * n, [x for _, _, x in flat], pa.float64()),
+    })
 
 
-def _numbers(found: dict[str, dict | np.ndarray]) -> pa.RecordBatch:
-    kinds, ids, values = [], [], []
-    for kind, x in found.items():
-        items = x.items() if isinstance(x, dict) else enumerate(x.tolist())
-        for i, v in items:
-            if v:
-                kinds.append(kind)
-                ids.append(i)
-                values.append(float(v))
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(ids, pa.int64()), pa.array(values, pa.float64())], ["kind", "id", "value"])
+SUMS = "bucket int, round int, part int, totals binary"
 
 
-def first_numbers(hot: np.ndarray):
-    """For mapInArrow over stored buckets: counts per context and hot word, and counts of counts; of fixed size per task."""
-    model = Model(hot, np.zeros(len(hot), np.int64), 0, 0, np.zeros(CONTEXTS), (0.5, 0.5))
+def add_totals(number: int):
+    """For applyInArrow over a part of the exchange: the sums over all buckets, for each bucket its own contexts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {"customers": np.zeros(CONTEXTS), "tables": np.zeros(CONTEXTS), "hot": np.zeros(len(hot)), "pairs": np.zeros(3), "words": np.zeros(4)}
-        for batch in batches:
-            for row in _stored_rows(batch):
-                b = Bucket(row, model)
-                found["customers"] += np.bincount(b.context, b.count, CONTEXTS)
-                found["tables"] += np.bincount(b.context, b.count > 0, CONTEXTS)
-                total = np.bincount(b.of, b.count, len(b.word))
-                np.add.at(found["hot"], b.hot_place, total[b.is_hot])
-                found["pairs"] += [0, (b.count == 1).sum(), (b.count == 2).sum()]
-                total = total[~b.is_hot]
-                found["words"] += [(total > 0).sum(), (total == 1).sum(), (total == 2).sum(), total.sum()]
-        yield _numbers(found)
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["bucket", "part", "names", "totals"]).to_pylist()
+        names = [unpack_sorted(r["names"]) for r in rows]
+        sent = [unpack_planes(r["totals"], "<i8").reshape(-1, len(x)) for r, x in zip(rows, names, strict=True)]
+        distinct, index = np.unique(np.concatenate(names), return_inverse=True)
+        sums = [np.bincount(index, np.concatenate([t[k] for t in sent]), len(distinct)).astype("<i8") for k in range(len(sent[0]))]
+        own = np.split(index, np.cumsum([len(x) for x in names])[:-1])
+        return pa.table({
+            "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "round": pa.array([number] * len(rows), pa.int32()),
+            "part": pa.array([r["part"] for r in rows], pa.int32()),
+            "totals": pa.array([pack_planes(np.concatenate([s[i] for s in sums])) for i in own], pa.binary())})
 
     return run
 
 
-def round_numbers(shared):
-    """For mapInArrow over stored buckets: what the next round adds up."""
+def _totals(sums: pa.Table, row: dict, parts: int) -> list[np.ndarray]:
+    """A bucket's totals in the order of its contexts: two of the first count, then one per round."""
+    n = len(unpack_planes(row["names"], "<u8"))
+    names = unpack_sorted(row["names"])
+    part = (names * np.uint64(parts) >> np.uint64(CONTEXT_BITS)) if parts < 1 << 16 else names % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    sizes = np.diff(np.r_[_cuts(part[order]), n])
+    found: dict[int, list] = {}
+    for r in sorted(sums.to_pylist(), key=lambda r: (r["round"], r["part"])):
+        found.setdefault(r["round"], []).append(unpack_planes(r["totals"], "<i8"))
+    out = []
+    for k in sorted(found):
+        for column in zip(*(b.reshape(-1, size) for b, size in zip(found[k], sizes, strict=True)), strict=True):
+            values = np.empty(n)
+            values[order] = np.concatenate(column)
+            out.append(values)
+    return out
+
+
+def first_numbers(hot: np.ndarray, parts: int):
+    """For mapInArrow over stored buckets: counts and distinct words per context, counts per hot word, counts of counts."""
+    model = Model(hot, np.zeros(len(hot), np.int64), 0, 0, (0.5, 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        found = {"tables": np.zeros(CONTEXTS), "hot": np.zeros(len(model.hot)), "root": np.zeros(1)}
-        for batch in batches:
-            for row in _stored_rows(batch):
-                b = Bucket(row, model)
-                *_, (tables, customers, own) = b.seatings(len(model.rounds))
-                found["tables"] += np.bincount(b.context, tables, CONTEXTS)
-                np.add.at(found["hot"], b.hot_place, customers[b.is_hot])
-                found["root"] += own[~b.is_hot].sum()
-        yield _numbers(found)
+        for row in _stored_rows(batches):
+            b = Bucket(row, model, [])
+            total = b.own_total[~b.is_hot]
+            yield from _left(b, parts, [b.by_context(b.count), b.by_context(b.count > 0)], {
+                "hot": (b.hot_place, b.own_total[b.is_hot]),
+                "pairs": (np.arange(3), np.array([(b.count > 0).sum(), (b.count == 1).sum(), (b.count == 2).sum()])),
+                "words": (np.arange(4), np.array([(total > 0).sum(), (total == 1).sum(), (total == 2).sum(), total.sum()])),
+            }).to_batches()
 
     return run
 
 
-PARTS = "chunk int, row_keys binary, tokens binary, known binary, base binary, score binary"
+def round_numbers(shared, parts: int):
+    """For cogroup over a bucket and its totals: what the next round adds up."""
 
+    def run(bucket: pa.Table, sums: pa.Table) -> pa.Table:
+        model, row = shared.value, bucket.to_pylist()[0]
+        b = Bucket(row, model, _totals(sums, row, parts))
+        *_, (tables, customers, own) = b.seatings(len(model.rounds))
+        return _left(b, parts, [b.by_context(tables)], {
+            "hot": (b.hot_place, customers[b.is_hot]), "root": (np.arange(2), np.array([tables.sum(), own[~b.is_hot].sum()]))})
 
-def score_bucket(shared, chunks: int):
-    """For mapInArrow over stored buckets: per chunk of documents the parts of their scores."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for row in _stored_rows(batch):
-                b = Bucket(row, model)
-                sizes = unpack_planes(row["sizes"], "<u4")
-                doc = unpack_planes(row["rows"], "<u4")
-                keys = (unpack_sorted(row["docs"]) ^ np.uint64(1 << 63)).view(np.int64)
-                n = len(keys)
-                score = np.bincount(doc, np.repeat(np.log10(b.probabilities()), sizes), n)
-                base = np.log10((b.total + 1.0) / (model.tokens + model.words + 1.0))[b.of]
-                base = np.bincount(doc, np.repeat(base, sizes), n)
-                known = np.bincount(doc, np.repeat(b.total[b.of] > 0, sizes), n).astype("<u4")
-                tokens = np.bincount(doc, minlength=n).astype("<u4")
-                chunk = keys % chunks
-                order = np.argsort(chunk, kind="stable")
-                ends = np.r_[_cuts(chunk[order]), n]
-                rows = []
-                for x, y in zip(ends[:-1], ends[1:], strict=True):
-                    k = order[x:y]
-                    rows.append((int(chunk[k[0]]), pack_sorted(keys[k].view(np.uint64) ^ np.uint64(1 << 63)), pack_planes(tokens[k]),
-                                 pack_planes(known[k]), pack_planes(base[k]), pack_planes(score[k])))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], [x.split()[0] for x in PARTS.split(", ")])
+
+ANSWERS = "chunk bigint, bucket int, scores binary, counts binary"
+
+
+def score_bucket(shared, parts: int):
+    """For cogroup over a bucket and its totals: log10 probabilities of each chunk's pairs, training counts of its words."""
+
+    def run(bucket: pa.Table, sums: pa.Table) -> pa.Table:
+        row = bucket.to_pylist()[0]
+        b = Bucket(row, shared.value, _totals(sums, row, parts))
+        scores = np.log10(b.probabilities()).astype("<f4")
+        packed, counts = [], []
+        for blob in row["places"]:
+            place = unpack_sorted(blob).astype(np.int64)
+            of = b.of[place]
+            packed.append(pack_planes(scores[place]))
+            counts.append(pack_planes(b.total[of[_cuts(of)]].astype("<i8")))
+        return pa.table({
+            "chunk": pa.array(row["chunks"], pa.int64()), "bucket": pa.array([b.number] * len(packed), pa.int32()),
+            "scores": pa.array(packed, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     return run
 
 
-def add_parts(table: pa.Table) -> pa.Table:
-    """For applyInArrow over a chunk: (row_key, n_tokens, n_known, base_score, score)."""
-    get = lambda c, f: np.concatenate([f(b) for b in table.column(c).to_pylist()])
-    keys, index = np.unique(get("row_keys", unpack_sorted), return_inverse=True)
-    add = lambda c, kind: np.bincount(index, get(c, lambda b: unpack_planes(b, kind)), len(keys))
-    return pa.table({
-        "row_key": pa.array((keys ^ np.uint64(1 << 63)).view(np.int64)), "n_tokens": pa.array(add("tokens", "<u4").astype(np.int64)),
-        "n_known": pa.array(add("known", "<u4").astype(np.int64)),
-        "base_score": pa.array(add("base", "<f8")), "score": pa.array(add("score", "<f8"))})
+def add_up(shared, buckets: int):
+    """For cogroup over a chunk and the answers to it: its rows' numbers."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        model = shared.value
+        c = Chunk(chunk.to_pylist()[0], buckets, model.hot)
+        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        score = np.concatenate([unpack_planes(r["scores"], "<f4") for r in rows]).astype(float)
+        cut = _cuts(c.bucket, c.word)
+        count = np.repeat(np.concatenate([unpack_planes(r["counts"], "<i8") for r in rows]), np.diff(np.r_[cut, len(c.word)]))
+        base = np.log10((count + 1.0) / (model.tokens + model.words + 1.0))
+        return pa.table({
+            "id": c.ids.column("id"), "held_out": c.ids.column("held_out"), "n_tokens": pa.array(c.sizes, pa.int64()),
+            "n_known": pa.array(c.per_row((count > 0).astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array([model.tokens] * len(c.sizes), pa.int64()),
+            "base_score": pa.array(c.per_row(base), pa.float64()), "score": pa.array(c.per_row(score), pa.float64())})
+
+    return run
 
 
 # --- whole tables -----------------------------------------------------------------------------
@@ -371,52 +462,57 @@ def _discount(once: float, twice: float) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
 
 
-def fit(buckets: DataFrame, hot: np.ndarray) -> Model:
-    """Seating rounds over the stored buckets; the driver holds numbers of fixed size."""
+def fit(buckets: DataFrame, hot: np.ndarray, parts: int) -> tuple[Model, DataFrame]:
+    """Seating rounds over the stored buckets, and the totals that they leave; the driver holds numbers of fixed size."""
     spark = buckets.sparkSession
-    found = _collect(buckets.mapInArrow(first_numbers(hot), NUMBERS))
+    model_only = buckets.drop("chunks", "places")
+
+    def exchanged(left: DataFrame, number: int) -> tuple[dict, DataFrame]:
+        left = stored(left)
+        numbers = _collect(left.filter("kind IS NOT NULL"))
+        return numbers, stored(left.filter("part IS NOT NULL").groupBy("part").applyInArrow(add_totals(number), SUMS))
+
+    found, sums = exchanged(model_only.mapInArrow(first_numbers(hot, parts), LEFT), 0)
     hot_counts = _array(found, "hot", len(hot)).astype(np.int64)
     words, pairs = _array(found, "words", 4), _array(found, "pairs", 3)
     model = Model(
-        hot, hot_counts, int(words[3] + hot_counts.sum()), int(words[0] + (hot_counts > 0).sum()), _array(found, "customers", CONTEXTS),
+        hot, hot_counts, int(words[3] + hot_counts.sum()), int(words[0] + (hot_counts > 0).sum()),
         (_discount(words[1], words[2]), _discount(pairs[1], pairs[2])))
-    tables = _array(found, "tables", CONTEXTS)
-    model.rounds.append(Round(tables, tables.sum(), float(model.words), (hot_counts + 1.0) / (model.tokens + model.words + 1.0)))
+    model.rounds.append(Round(pairs[0], float(model.words), (hot_counts + 1.0) / (model.tokens + model.words + 1.0)))
     for k in range(1, ROUNDS + 1):
-        found = _collect(buckets.mapInArrow(round_numbers(spark.sparkContext.broadcast(model)), NUMBERS))
-        tables, hot_customers = _array(found, "tables", CONTEXTS), _array(found, "hot", len(hot))
-        before = model.rounds[-1]
-        hot_tables = seat(
-            hot_customers.astype(np.int64), np.full(len(hot), (STRENGTH[0] + model.discounts[0] * before.root_tables) / (model.words + 1)),
-            model.discounts[0], np.random.default_rng([17, -k % 2 ** 31, k]))
-        new = Round(tables, tables.sum(), float(_array(found, "root", 1)[0] + hot_tables.sum()), np.zeros(0))
+        shared = spark.sparkContext.broadcast(model)
+        left = model_only.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(round_numbers(shared, parts), LEFT)
+        found, new_sums = exchanged(left, k)
+        sums = sums.unionByName(new_sums)
+        root, hot_customers = _array(found, "root", 2), _array(found, "hot", len(hot))
+        mass = (STRENGTH[0] + model.discounts[0] * model.rounds[-1].root_tables) / (model.words + 1)
+        hot_tables = seat(hot_customers.astype(np.int64), np.full(len(hot), mass), model.discounts[0], np.random.default_rng([17, -k % 2 ** 31, k]))
+        new = Round(root[0], root[1] + hot_tables.sum(), np.zeros(0))
         new.hot = model.root(hot_customers, hot_tables, new)
-        model = Model(model.hot, model.hot_counts, model.tokens, model.words, model.customers, model.discounts, [*model.rounds, new])
-    return model
+        model = replace(model, rounds=[*model.rounds, new])
+    return model, sums
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
-    number = lambda size: max(1, -(-total // size))
-    rows = docs.select(
-        F.col(id_column).cast("bigint").alias("doc"), F.xxhash64(id_column, text_column).alias("row_key"),
-        F.coalesce(crc_of_id(id_column) % 7 != 2, F.lit(True)).alias("train"), F.col(text_column).alias("text"))
-    often = rows.select("text").mapInArrow(frequent, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    n_buckets = max(1, -(-total // BUCKET_BYTES))
+    parts = max(1, -(-n_buckets // BUCKETS_A_PART))
+    held_out = F.coalesce(crc_of_id(id_column) % 7 == 2, F.lit(False))
+    rows = docs.select(F.col(id_column).alias("id"), held_out.alias("held_out"), F.col(text_column).alias("text"))
+    chunks = stored(rows.mapInArrow(chunk_texts, CHUNKS))
+    often = chunks.select("words", "codes").mapInArrow(frequent, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     tokens = often.filter("word = 0").first()
     tokens = tokens["n"] if tokens else 0
     hot = often.filter((F.col("word") != 0) & (F.col("n") * HOT_SHARE >= tokens)).select("word").collect()  # HOT_SHARE at most
     hot = np.sort(np.array([r["word"] for r in hot], np.int64).view(np.uint64))
-    dealt = rows.select("row_key", "train", "text").mapInArrow(deal(number(BUCKET_BYTES), hot), DEALT)
-    buckets = stored(dealt.groupBy("bucket").applyInArrow(merge_bucket, STORED))
-    model = fit(buckets, hot)
-    parts = buckets.mapInArrow(score_bucket(spark.sparkContext.broadcast(model), number(CHUNK_BYTES)), PARTS)
-    sums = parts.groupBy("chunk").applyInArrow(add_parts, "row_key bigint, n_tokens bigint, n_known bigint, base_score double, score double")
-    # rows with one id and text have one key: their sums are shared out
-    copies = rows.groupBy("row_key").agg(F.count("*").alias("copies"))
-    share = lambda c: (F.col(c) / F.col("copies")).alias(c)
-    return rows.select("doc", "row_key").join(sums.join(copies, "row_key"), "row_key").select(
-        F.col("doc").cast(docs.schema[id_column].dataType).alias(id_column),
-        F.coalesce(crc_of_id("doc") % 7 == 2, F.lit(False)).alias("held_out"), share("n_tokens").cast("bigint").alias("n_tokens"),
-        share("n_known").cast("bigint").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), share("base_score"), share("score"))
+    sent = chunks.mapInArrow(send(n_buckets, hot), SENT)
+    buckets = stored(sent.groupBy("bucket").applyInArrow(merge_bucket, STORED))
+    model, sums = fit(buckets, hot, parts)
+    shared = spark.sparkContext.broadcast(model)
+    answers = buckets.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(score_bucket(shared, parts), ANSWERS)
+    kind = docs.schema[id_column].dataType.simpleString()
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        add_up(shared, n_buckets), f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    ).withColumnRenamed("id", id_column)

@@ -363,8 +363,8 @@ def test_probabilities_sum_to_one():
     tables = pitman_yor.seat(counts.ravel(), np.outer(np.ones(5), root).ravel(), d[1], rng).reshape(5, 30)
     own = pitman_yor.seat(tables.sum(0).astype(int), np.full(30, 1 / 31), d[0], rng)
     assert ((tables > 0) == (counts > 0)).all() and (tables <= counts).all() and (own <= tables.sum(0)).all()
-    model = pitman_yor.Model(np.zeros(0), np.zeros(0), int(counts.sum()), 30, counts.sum(1), d)
-    totals = pitman_yor.Round(tables.sum(1), tables.sum(), own.sum(), np.zeros(0))
+    model = pitman_yor.Model(np.zeros(0), np.zeros(0), int(counts.sum()), 30, d)
+    totals = pitman_yor.Round(tables.sum(), own.sum(), np.zeros(0))
     p = model.root(np.r_[tables.sum(0), 0], np.r_[own, 0], totals)
     assert abs(p.sum() - 1) < 1e-12
     for u in range(5):
