@@ -37,6 +37,7 @@ ROUNDS, AVERAGED = 3, 2  # Gibbs rounds, and the last of them that are averaged
 STRENGTH = (1.0, 1.0)  # of the root and of the contexts' restaurants
 HOT_SHARE = 2000
 CHUNK_BYTES = 16 << 20  # text that sends its pairs together
+SLICE_BYTES = 2 << 20  # text hashed at a time
 BUCKET_BYTES = 24 << 20  # text whose pairs share a bucket
 BUCKETS_A_PART = 16  # buckets for each part of the contexts' exchange
 START, END = np.uint64(1), np.uint64(2)
@@ -91,8 +92,10 @@ def chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for part in slices(batches, "text", CHUNK_BYTES):
         if part.num_rows:
-            word, sizes = occurrences(*utf8(part.column(2)))
-            words, codes = np.unique(word, return_inverse=True)
+            found = [occurrences(*utf8(piece.column(2))) for piece in slices([part], "text", SLICE_BYTES)]
+            words, codes = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+            sizes = np.concatenate([n for _, n in found])
+            del found
             sink = pa.BufferOutputStream()
             ids = part.select(["id", "held_out"])
             with pa.ipc.new_stream(sink, ids.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -171,7 +174,7 @@ def send(buckets: int, hot: np.ndarray):
     return run
 
 
-STORED = "bucket int, words binary, pairs binary, names binary, contexts binary, counts binary, chunks array<bigint>, places array<binary>"
+STORED = "bucket int, n_contexts int, words binary, pairs binary, names binary, contexts binary, counts binary, chunks array<bigint>, places array<binary>"
 
 
 def merge_bucket(table: pa.Table) -> pa.Table:
@@ -193,7 +196,7 @@ def merge_bucket(table: pa.Table) -> pa.Table:
     by_word = _cuts(word)
     names, local = np.unique(context, return_inverse=True)
     return pa.table({
-        "bucket": pa.array([number], pa.int32()),
+        "bucket": pa.array([number], pa.int32()), "n_contexts": pa.array([len(names)], pa.int32()),
         "words": pa.array([pack_sorted(word[by_word])], pa.binary()),
         "pairs": pa.array([pack_planes(np.diff(np.r_[by_word, len(word)]).astype("<u4"))], pa.binary()),
         "names": pa.array([pack_sorted(names)], pa.binary()),
@@ -256,9 +259,10 @@ class Bucket:
 
     def __init__(self, row: dict, model: Model, totals: list[np.ndarray]):
         self.model, self.number, self.totals = model, row["bucket"], totals
+        self.contexts = row["n_contexts"]
         self.word = unpack_sorted(row["words"])
         self.of = np.repeat(np.arange(len(self.word), dtype=np.int32), unpack_planes(row["pairs"], "<u4"))
-        self.names, self.context = unpack_sorted(row["names"]), unpack_planes(row["contexts"], "<u4")
+        self.context = unpack_planes(row["contexts"], "<u4")
         self.count = unpack_planes(row["counts"], "<i8")
         place = np.searchsorted(model.hot, self.word)
         self.is_hot = np.zeros(len(self.word), bool)
@@ -270,7 +274,7 @@ class Bucket:
         self.total[self.is_hot] = model.hot_counts[self.hot_place]
 
     def by_context(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, values, len(self.names)).astype("<i8")
+        return np.bincount(self.context, values, self.contexts).astype("<i8")
 
     def seatings(self, rounds: int) -> Iterator[tuple]:
         """(tables of pairs, root customers and tables of words) of each round; needs the totals of the round before."""
@@ -308,64 +312,66 @@ class Bucket:
 LEFT = "bucket int, part int, names binary, totals binary, kind string, id bigint, value double"
 
 
-def _left(bucket: Bucket, parts: int, totals: list[np.ndarray], numbers: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """What a bucket leaves for the next round: totals of its contexts by part of the exchange, and numbers to add up."""
-    part = (bucket.names * np.uint64(parts) >> np.uint64(CONTEXT_BITS)) if parts < 1 << 16 else bucket.names % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    cut = _cuts(part[order])
-    groups = np.split(order, cut[1:]) if len(cut) else []
+def _left(number: int, parts: int, names: dict[int, np.ndarray], totals: list[np.ndarray], numbers: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """What a bucket leaves for the next round: totals of its contexts by part of the exchange, and numbers to add up.
+
+    ``names``: per part the contexts, ascending; ``totals`` are in their order. Numbers go to parts of their own, a few buckets' to each.
+    """
     flat = [(k, int(i), float(x)) for k, (ids, values) in numbers.items() for i, x in zip(ids, values, strict=True) if x]
-    n, m = len(groups), len(flat)
-    column = lambda own, other, kind: pa.array([*own, *other], kind)
+    n, m = len(names), len(flat)
+    ends = np.cumsum([len(x) for x in names.values()])
+    split = list(zip(*(np.split(t, ends[:-1]) for t in totals), strict=True))
     return pa.table({
-        "bucket": column([bucket.number] * n, [bucket.number] * m, pa.int32()),
-        "part": column([int(part[g[0]]) for g in groups], [None] * m, pa.int32()),
-        "names": column([pack_sorted(bucket.names[g]) for g in groups], [None] * m, pa.binary()),
-        "totals": column([pack_planes(np.concatenate([t[g] for t in totals])) for g in groups], [None] * m, pa.binary()),
-        "kind": column([None] * n, [k for k, _, _ in flat], pa.string()),
-        "id": column([None] * n, [i for _, i, _ in flat], pa.int64()),
-        "value": column([None] * n, [x for _, _, x in flat], pa.float64()),
+        "bucket": pa.array([number] * (n + m), pa.int32()),
+        "part": pa.array([*names, *[parts + number % parts] * m], pa.int32()),
+        "names": pa.array([*map(pack_sorted, names.values()), *[None] * m], pa.binary()),
+        "totals": pa.array([*(pack_planes(np.concatenate(t)) for t in split), *[None] * m], pa.binary()),
+        "kind": pa.array([None] * n + [k for k, _, _ in flat], pa.string()),
+        "id": pa.array([None] * n + [i for _, i, _ in flat], pa.int64()),
+        "value": pa.array([None] * n + [x for _, _, x in flat], pa.float64()),
     })
 
 
-SUMS = "bucket int, round int, part int, totals binary"
+SUMS = "bucket int, round int, part int, names binary, totals binary, kind string, id bigint, value double"
 
 
 def add_totals(number: int):
-    """For applyInArrow over a part of the exchange: the sums over all buckets, for each bucket its own contexts."""
+    """For applyInArrow over a part of the exchange: the sums over all buckets, for each bucket its own contexts.
+
+    The first round's answer also numbers a part's contexts; these short names take the place of hashes in later rounds.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py() is not None:
+            sums = table.group_by(["kind", "id"]).aggregate([("value", "sum")])
+            none = lambda kind: pa.nulls(sums.num_rows, kind)
+            return pa.table({
+                "bucket": none(pa.int32()), "round": none(pa.int32()), "part": none(pa.int32()), "names": none(pa.binary()),
+                "totals": none(pa.binary()), "kind": sums.column("kind"), "id": sums.column("id"), "value": sums.column("value_sum")})
         rows = table.select(["bucket", "part", "names", "totals"]).to_pylist()
         names = [unpack_sorted(r["names"]) for r in rows]
         sent = [unpack_planes(r["totals"], "<i8").reshape(-1, len(x)) for r, x in zip(rows, names, strict=True)]
         distinct, index = np.unique(np.concatenate(names), return_inverse=True)
         sums = [np.bincount(index, np.concatenate([t[k] for t in sent]), len(distinct)).astype("<i8") for k in range(len(sent[0]))]
-        own = np.split(index, np.cumsum([len(x) for x in names])[:-1])
+        own, n = np.split(index, np.cumsum([len(x) for x in names])[:-1]), len(rows)
         return pa.table({
-            "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "round": pa.array([number] * len(rows), pa.int32()),
+            "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "round": pa.array([number] * n, pa.int32()),
             "part": pa.array([r["part"] for r in rows], pa.int32()),
-            "totals": pa.array([pack_planes(np.concatenate([s[i] for s in sums])) for i in own], pa.binary())})
+            "names": pa.array([None if number else pack_sorted(i.astype(np.uint64)) for i in own], pa.binary()),
+            "totals": pa.array([pack_planes(np.concatenate([s[i] for s in sums])) for i in own], pa.binary()),
+            "kind": pa.nulls(n, pa.string()), "id": pa.nulls(n, pa.int64()), "value": pa.nulls(n, pa.float64())})
 
     return run
 
 
-def _totals(sums: pa.Table, row: dict, parts: int) -> list[np.ndarray]:
-    """A bucket's totals in the order of its contexts: two of the first count, then one per round."""
-    n = len(unpack_planes(row["names"], "<u8"))
-    names = unpack_sorted(row["names"])
-    part = (names * np.uint64(parts) >> np.uint64(CONTEXT_BITS)) if parts < 1 << 16 else names % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    sizes = np.diff(np.r_[_cuts(part[order]), n])
+def _totals(sums: pa.Table) -> tuple[dict[int, np.ndarray], list[np.ndarray]]:
+    """A bucket's contexts by part of the exchange, and their totals: two of the first count, then one per round."""
+    rows = sorted(sums.select(["round", "part", "names", "totals"]).to_pylist(), key=lambda r: (r["round"], r["part"]))
+    names = {r["part"]: unpack_sorted(r["names"]) for r in rows if r["names"] is not None}
     found: dict[int, list] = {}
-    for r in sorted(sums.to_pylist(), key=lambda r: (r["round"], r["part"])):
-        found.setdefault(r["round"], []).append(unpack_planes(r["totals"], "<i8"))
-    out = []
-    for k in sorted(found):
-        for column in zip(*(b.reshape(-1, size) for b, size in zip(found[k], sizes, strict=True)), strict=True):
-            values = np.empty(n)
-            values[order] = np.concatenate(column)
-            out.append(values)
-    return out
+    for r in rows:
+        found.setdefault(r["round"], []).append(unpack_planes(r["totals"], "<i8").reshape(-1, len(names[r["part"]])))
+    return names, [column for k in sorted(found) for column in np.concatenate(found[k], axis=1).astype(float)]
 
 
 def first_numbers(hot: np.ndarray, parts: int):
@@ -375,8 +381,12 @@ def first_numbers(hot: np.ndarray, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _stored_rows(batches):
             b = Bucket(row, model, [])
+            names = unpack_sorted(row["names"])
+            part = (names >> np.uint64(CONTEXT_BITS - 32)) * np.uint64(parts) >> np.uint64(32)
+            cut = _cuts(part)
+            by_part = dict(zip(part[cut].tolist(), np.split(names, cut[1:]), strict=True))
             total = b.own_total[~b.is_hot]
-            yield from _left(b, parts, [b.by_context(b.count), b.by_context(b.count > 0)], {
+            yield from _left(b.number, parts, by_part, [b.by_context(b.count), b.by_context(b.count > 0)], {
                 "hot": (b.hot_place, b.own_total[b.is_hot]),
                 "pairs": (np.arange(3), np.array([(b.count > 0).sum(), (b.count == 1).sum(), (b.count == 2).sum()])),
                 "words": (np.arange(4), np.array([(total > 0).sum(), (total == 1).sum(), (total == 2).sum(), total.sum()])),
@@ -390,9 +400,10 @@ def round_numbers(shared, parts: int):
 
     def run(bucket: pa.Table, sums: pa.Table) -> pa.Table:
         model, row = shared.value, bucket.to_pylist()[0]
-        b = Bucket(row, model, _totals(sums, row, parts))
+        names, totals = _totals(sums)
+        b = Bucket(row, model, totals)
         *_, (tables, customers, own) = b.seatings(len(model.rounds))
-        return _left(b, parts, [b.by_context(tables)], {
+        return _left(b.number, parts, names, [b.by_context(tables)], {
             "hot": (b.hot_place, customers[b.is_hot]), "root": (np.arange(2), np.array([tables.sum(), own[~b.is_hot].sum()]))})
 
     return run
@@ -401,12 +412,12 @@ def round_numbers(shared, parts: int):
 ANSWERS = "chunk bigint, bucket int, scores binary, counts binary"
 
 
-def score_bucket(shared, parts: int):
+def score_bucket(shared):
     """For cogroup over a bucket and its totals: log10 probabilities of each chunk's pairs, training counts of its words."""
 
     def run(bucket: pa.Table, sums: pa.Table) -> pa.Table:
         row = bucket.to_pylist()[0]
-        b = Bucket(row, shared.value, _totals(sums, row, parts))
+        b = Bucket(row, shared.value, _totals(sums)[1])
         scores = np.log10(b.probabilities()).astype("<f4")
         packed, counts = [], []
         for blob in row["places"]:
@@ -465,14 +476,13 @@ def _discount(once: float, twice: float) -> float:
 def fit(buckets: DataFrame, hot: np.ndarray, parts: int) -> tuple[Model, DataFrame]:
     """Seating rounds over the stored buckets, and the totals that they leave; the driver holds numbers of fixed size."""
     spark = buckets.sparkSession
-    model_only = buckets.drop("chunks", "places")
+    model_only = buckets.drop("names", "chunks", "places")
 
     def exchanged(left: DataFrame, number: int) -> tuple[dict, DataFrame]:
-        left = stored(left)
-        numbers = _collect(left.filter("kind IS NOT NULL"))
-        return numbers, stored(left.filter("part IS NOT NULL").groupBy("part").applyInArrow(add_totals(number), SUMS))
+        sums = stored(left.groupBy("part").applyInArrow(add_totals(number), SUMS))
+        return _collect(sums.filter("kind IS NOT NULL")), sums.filter("part IS NOT NULL").select("bucket", "round", "part", "names", "totals")
 
-    found, sums = exchanged(model_only.mapInArrow(first_numbers(hot, parts), LEFT), 0)
+    found, sums = exchanged(buckets.drop("chunks", "places").mapInArrow(first_numbers(hot, parts), LEFT), 0)
     hot_counts = _array(found, "hot", len(hot)).astype(np.int64)
     words, pairs = _array(found, "words", 4), _array(found, "pairs", 3)
     model = Model(
@@ -511,7 +521,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     buckets = stored(sent.groupBy("bucket").applyInArrow(merge_bucket, STORED))
     model, sums = fit(buckets, hot, parts)
     shared = spark.sparkContext.broadcast(model)
-    answers = buckets.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(score_bucket(shared, parts), ANSWERS)
+    answers = buckets.drop("names").groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(score_bucket(shared), ANSWERS)
     kind = docs.schema[id_column].dataType.simpleString()
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         add_up(shared, n_buckets), f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
