@@ -36,9 +36,9 @@ from carecheck.llm.common import (
 ROUNDS, AVERAGED = 3, 2  # Gibbs rounds, and the last of them that are averaged
 STRENGTH = (1.0, 1.0)  # of the root and of the contexts' restaurants
 HOT_SHARE = 2000
-CHUNK_BYTES = 16 << 20  # text that sends its pairs together
+CHUNK_BYTES = 12 << 20  # text that sends its pairs together
 SLICE_BYTES = 2 << 20  # text hashed at a time
-BUCKET_BYTES = 24 << 20  # text whose pairs share a bucket
+BUCKET_BYTES = 16 << 20  # text whose pairs share a bucket
 BUCKETS_A_PART = 16  # buckets for each part of the contexts' exchange
 START, END = np.uint64(1), np.uint64(2)
 CONTEXT_BITS = 48
@@ -112,24 +112,32 @@ class Chunk:
         self.number = row["chunk"]
         self.ids = pa.ipc.open_stream(pa.py_buffer(row["ids"])).read_all()
         words, self.sizes = unpack_sorted(row["words"]), unpack_planes(row["sizes"], "<u4").astype(np.int64)
-        codes, n = unpack_planes(row["codes"], "<u4").astype(np.int64), len(words)
+        codes, n = unpack_planes(row["codes"], "<u4"), len(words)
         self.first = np.cumsum(self.sizes) - self.sizes
-        before = np.r_[n, codes[:-1]]
-        before[self.first] = n
-        codes *= n + 1
-        codes += before
-        pairs, inverse = np.unique(codes, return_inverse=True)
+        key = codes.astype(np.int64) * (n + 1)
+        key[1:] += codes[:-1]
+        key[self.first] = codes[self.first].astype(np.int64) * (n + 1) + n
+        del codes
+        order = np.argsort(key)
+        key = key[order]
+        starts = _cuts(key)
+        pairs, inverse = key[starts], np.empty(len(key), np.int32)
+        del key
+        inverse[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(order)]))
+        del order, starts
         contexts = mix(np.r_[words, START]) >> np.uint64(64 - CONTEXT_BITS)
         self.word, self.context = words[pairs // (n + 1)], contexts[pairs % (n + 1)]
+        del pairs, words, contexts
         place = mix(self.word)
         if len(hot):
             is_hot = hot[np.minimum(np.searchsorted(hot, self.word), len(hot) - 1)] == self.word
             place[is_hot] = mix(self.word[is_hot] ^ mix(self.context[is_hot] + np.uint64(1)))
         self.bucket = (place % np.uint64(buckets)).astype(np.int32)
+        del place
         order = np.lexsort((self.context, self.word, self.bucket))
         self.word, self.context, self.bucket = self.word[order], self.context[order], self.bucket[order]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
         self.pair = back[inverse]  # of every token
 
     def per_row(self, values: np.ndarray) -> np.ndarray:
@@ -188,11 +196,12 @@ def merge_bucket(table: pa.Table) -> pa.Table:
     chunks, number = [r["chunk"] for r in rows], rows[0]["bucket"]
     del rows
     order = np.lexsort((context, word))
-    cut = _cuts(word[order], context[order])
+    cut = _cuts(word[order], context[order])  # equal pairs of several chunks
     place = np.empty(len(order), np.uint64)
     place[order] = np.repeat(np.arange(len(cut), dtype=np.uint64), np.diff(np.r_[cut, len(order)]))
     counts = np.add.reduceat(count[order].astype(np.int64), cut)
     word, context = word[order[cut]], context[order[cut]]
+    del order, count
     by_word = _cuts(word)
     names, local = np.unique(context, return_inverse=True)
     return pa.table({
