@@ -372,6 +372,34 @@ def test_probabilities_sum_to_one():
         assert abs(((c - d[1] * t + (strength[1] + d[1] * t.sum()) * p) / (strength[1] + c.sum())).sum() - 1) < 1e-12
 
 
+def test_pitman_yor_over_many_buckets(docs, monkeypatch):
+    """Buckets and parts of the exchange change the seeds, not the counts."""
+    key = lambda r: (repr(r["doc_id"]), r["n_tokens"], round(r["base_score"], 6))
+    one = sorted(pitman_yor.score(docs).collect(), key=key)
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 8000)
+    monkeypatch.setattr(pitman_yor, "BUCKETS_A_PART", 3)
+    many = sorted(pitman_yor.score(docs).collect(), key=key)
+    assert [(*r[:5], round(r["base_score"], 6)) for r in one] == [(*r[:5], round(r["base_score"], 6)) for r in many]
+    assert all(abs(a["score"] - b["score"]) <= 0.1 * abs(a["score"]) + 0.2 for a, b in zip(one, many, strict=True))
+
+
+@pytest.mark.parametrize("customers", [2, 7, 31, 200])
+def test_seating_agrees_with_a_plain_one_in_expectation(customers):
+    mass, d, rng = 0.8, 0.6, np.random.default_rng(6)
+
+    def plain() -> int:
+        """Customers one by one: the next one opens a table with the chance of a new table against the seated ones."""
+        tables = 1
+        for j in range(1, customers):
+            tables += rng.random() < mass / (mass + j - d * tables)
+        return tables
+
+    one_by_one = [plain() for _ in range(1000)]
+    got = pitman_yor.seat(np.full(20000, customers), np.full(20000, mass), d, rng)
+    assert got.min() >= 1 and got.max() <= customers
+    assert abs(got.mean() - np.mean(one_by_one)) < 0.05 * np.mean(one_by_one)
+
+
 # --- all -----------------------------------------------------------------------------------
 
 def test_empty_tables(spark, docs):
