@@ -383,6 +383,13 @@ def test_pitman_yor_over_many_buckets(docs, monkeypatch):
     assert all(abs(a["score"] - b["score"]) <= 0.1 * abs(a["score"]) + 0.2 for a, b in zip(one, many, strict=True))
 
 
+def test_pitman_yor_takes_text_ids(spark):
+    rows = [("a", "one two one"), ("b", None), (None, "two"), ("b", None)]
+    got = pitman_yor.score(spark.createDataFrame(rows, "page string, body string"), "page", "body").collect()
+    assert sorted(((r["page"], r["n_tokens"]) for r in got), key=repr) == sorted([("a", 4), ("b", 1), (None, 2), ("b", 1)], key=repr)
+    assert all(r["held_out"] == (r["page"] is not None and zlib.crc32(r["page"].encode()) % 7 == 2) for r in got)
+
+
 @pytest.mark.parametrize("customers", [2, 7, 31, 200])
 def test_seating_agrees_with_a_plain_one_in_expectation(customers):
     mass, d, rng = 0.8, 0.6, np.random.default_rng(6)
