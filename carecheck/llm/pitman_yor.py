@@ -11,7 +11,8 @@ word) pairs with training counts to buckets by word; all counts of a word meet t
 need only the totals of its contexts, which the buckets exchange after every round by context, and a few numbers of fixed size
 through the driver. Words that make up a two-thousandth of all tokens or more, 2,000 at most, are dealt by word and
 context instead; their root probabilities travel with those numbers. Buckets return a probability per pair to the chunks
-that sent it, and a chunk adds up its texts. Seeds are fixed, so a repeated task repeats its seating.
+that sent it, and a chunk adds up its texts. Seeds are fixed, so a repeated task repeats its seating. Buckets are stored as a
+bucketed table in the shared folder, so that the rounds read them in place and only totals are shuffled.
 
 A null or empty text is its end token. A null id counts as not held out; ids are of any type. Repeated rows get the same
 scores. Without training rows every probability is that of the uniform base. An empty table gives no rows. Only id and text are read.
@@ -19,6 +20,7 @@ scores. Without training rows every probability is that of the uniform base. An
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -32,14 +34,16 @@ from carecheck.llm.common import (
     BYTE_VALUES, crc_of_id, lower_ascii, mix, pack_planes, pack_sorted, slices, span_hashes, stored, unpack_planes,
     unpack_sorted, utf8, word_spans,
 )
+from carecheck.session import shared_dir
 
 ROUNDS, AVERAGED = 3, 2  # Gibbs rounds, and the last of them that are averaged
 STRENGTH = (1.0, 1.0)  # of the root and of the contexts' restaurants
 HOT_SHARE = 2000
-CHUNK_BYTES = 12 << 20  # text that sends its pairs together
-SLICE_BYTES = 2 << 20  # text hashed at a time
-BUCKET_BYTES = 16 << 20  # text whose pairs share a bucket
+CHUNK_BYTES = 8 << 20  # text that sends its pairs together
+SLICE_BYTES = 1 << 20  # text hashed at a time
+BUCKET_BYTES = 8 << 20  # text whose pairs share a bucket
 BUCKETS_A_PART = 16  # buckets for each part of the contexts' exchange
+MOST_PARTITIONS = 50_000  # of the table of buckets
 START, END = np.uint64(1), np.uint64(2)
 CONTEXT_BITS = 48
 CONTEXT_MASK = np.uint64((1 << CONTEXT_BITS) - 1)
@@ -463,6 +467,15 @@ def add_up(shared, buckets: int):
 
 # --- whole tables -----------------------------------------------------------------------------
 
+def _stored_by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """The rows as a table in the shared folder that is bucketed by ``bucket``; its name leaves the catalog, its files stay."""
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    df.write.bucketBy(min(buckets, MOST_PARTITIONS), "bucket").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def _collect(rows: DataFrame) -> dict[str, dict[int, float]]:
     """Sums of the tasks' numbers: contexts + hot words + a few values."""
     out: dict[str, dict[int, float]] = {}
@@ -527,7 +540,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     hot = often.filter((F.col("word") != 0) & (F.col("n") * HOT_SHARE >= tokens)).select("word").collect()  # HOT_SHARE at most
     hot = np.sort(np.array([r["word"] for r in hot], np.int64).view(np.uint64))
     sent = chunks.mapInArrow(send(n_buckets, hot), SENT)
-    buckets = stored(sent.groupBy("bucket").applyInArrow(merge_bucket, STORED))
+    buckets = _stored_by_bucket(sent.groupBy("bucket").applyInArrow(merge_bucket, STORED), n_buckets)
     model, sums = fit(buckets, hot, parts)
     shared = spark.sparkContext.broadcast(model)
     answers = buckets.drop("names").groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(score_bucket(shared), ANSWERS)
