@@ -255,6 +255,42 @@ def test_quality_learns_and_never_sees_the_fold(spark, small):
     assert all(again[i] == r["score"] for i, r in first.items())
 
 
+@pytest.mark.parametrize("from_zero", [True, False])
+def test_ftrl_takes_the_same_steps_as_a_plain_one(from_zero):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["care", "ward", "Bed", "x1", "!!"], rng.integers(0, 12))) for _ in range(60)]
+    labels = np.array([int("care" in t) for t in texts])
+    start = np.zeros((1 << quality.BITS) + 1)
+    if not from_zero:
+        start[-1] = 0.25
+        start[np.unique(quality.features(*quality.utf8(pa.array(texts)))[1])[::2]] = -0.5
+    got = quality.ftrl(start, pa.array(texts), labels)
+
+    root_of = lambda n: (quality.BETA + math.sqrt(n)) / quality.ALPHA + quality.L2
+    weight = lambda z, n: 0.0 if abs(z) <= quality.L1 else -(z - math.copysign(quality.L1, z)) / root_of(n)
+    state = {}
+    for text, label in zip(texts, labels, strict=True):
+        _, hashed, values = quality.features(*quality.utf8(pa.array([text])))
+        x = collections.Counter()
+        for key, value in zip(hashed.tolist(), values.tolist(), strict=True):
+            x[key] += value
+        x[len(start) - 1] = 1.0
+        for key in x:
+            sign = int(start[key] > 0) - int(start[key] < 0)
+            state.setdefault(key, (-start[key] * root_of(1.0) - sign * quality.L1, 1.0))
+        w = {key: weight(*state[key]) for key in x}
+        off = 1 / (1 + math.exp(-sum(w[key] * x[key] for key in x))) - label
+        for key in x:
+            z, n = state[key]
+            g = off * x[key]
+            state[key] = (z + g - (math.sqrt(n + g * g) - math.sqrt(n)) / quality.ALPHA * w[key], n + g * g)
+    assert len(state) > 10
+    for key, (z, n) in state.items():
+        assert got[key] == pytest.approx(weight(z, n), abs=1e-9)
+    others = np.delete(np.arange(len(start)), list(state))
+    assert np.allclose(got[others], start[others])
+
+
 def test_quality_of_odd_rows(docs, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1), (999, 1)], "doc_id bigint, quality int")
     got = quality.classify(docs, docs, labels).collect()
@@ -323,6 +359,28 @@ def test_ring(docs, rows, cell):
     assert max(sizes) - min(sizes) <= 1
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_stretches_are_a_plain_clockwise_walk(seed):
+    rng = np.random.default_rng(seed)
+    shards, slack = int(rng.integers(1, 6)), float(rng.choice([0.0, 0.3]))
+    nodes = [*range(shards), *rng.integers(0, shards, rng.integers(0, 20)).tolist()]
+    rng.shuffle(nodes)
+    counts = {a: int(rng.choice([0, 1, 3, 40])) for a in range(len(nodes)) if rng.random() < 0.8}
+    most = ring.bounds(sum(counts.values()), shards, slack)
+    got = {}
+    for arc, first, end, shard, slot in ring.fill(nodes, counts, most):
+        got.update({(arc, r): (shard, slot + r - first) for r in range(first, end)})
+    want, used = {}, [0] * shards
+    for arc in range(len(nodes)):
+        for r in range(counts.get(arc, 0)):  # one row after the other, node by node
+            at = arc
+            while used[nodes[at]] == most[nodes[at]]:
+                at = (at + 1) % len(nodes)
+            want[arc, r] = (nodes[at], used[nodes[at]])
+            used[nodes[at]] += 1
+    assert got == want
+
+
 def test_ring_with_one_hot_key_and_with_slack(spark):
     hot = spark.range(0, 3000, 1, 4).selectExpr("if(id % 3 = 0, 5L, id) AS doc_id", "'t' AS text")
     sizes = [r["count"] for r in ring.assign(hot, shards=7, cell_rows=100).groupBy("shard").count().collect()]
