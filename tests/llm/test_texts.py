@@ -441,6 +441,19 @@ def test_pitman_yor_over_many_buckets(docs, monkeypatch):
     assert all(abs(a["score"] - b["score"]) <= 0.1 * abs(a["score"]) + 0.2 for a, b in zip(one, many, strict=True))
 
 
+def test_pitman_yor_reads_its_buckets_in_place(spark, docs, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 2_000)
+    made = []
+    keep = pitman_yor._stored_by_bucket
+    monkeypatch.setattr(pitman_yor, "_stored_by_bucket", lambda df, n: made.append((keep(df, n), n)) or made[-1][0])
+    assert pitman_yor.score(docs).count() == docs.count()
+    (buckets, n), = made
+    assert n > 1 and not [t for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+    again = buckets.groupBy("bucket").count()
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+    assert again.filter("count > 1").isEmpty()
+
+
 def test_pitman_yor_takes_text_ids(spark):
     rows = [("a", "one two one"), ("b", None), (None, "two"), ("b", None)]
     got = pitman_yor.score(spark.createDataFrame(rows, "page string, body string"), "page", "body").collect()
