@@ -100,6 +100,7 @@ def sites_in_reach(
     """Request columns × site columns + ``distance_km`` for every site within ``radius_km``.
 
     A crowded cell is salted: its sites are spread over ``SALTS`` groups, requests visit all.
+    Both sides are exploded, which Spark's size estimates leave out, so the join is never to be broadcast.
     """
     def prepared(df: DataFrame, lat: str, lon: str, side: str) -> DataFrame:
         return df.withColumns({
@@ -116,7 +117,7 @@ def sites_in_reach(
     close = F.abs(F.col("lat") - F.col("site_lat")) * KM_PER_DEGREE <= F.col("radius_km")
     angle = geo.central_angle(F.col("_b1"), F.col("_l1"), F.col("_b2"), F.col("_l2"))
     measured = (
-        salted_requests.join(salted_sites, ["level", "row", "column", "_salt"])
+        salted_requests.hint("merge").join(salted_sites, ["level", "row", "column", "_salt"])
         .where(close)
         .withColumn("_angle", angle)
         .withColumn("distance_km", metric.km(F.col("_b1"), F.col("_b2"), F.col("_angle")))
@@ -127,13 +128,16 @@ def sites_in_reach(
 
 
 def _at_sites(facilities: DataFrame, wants: DataFrame, keep: Column) -> DataFrame:
-    """Facilities joined to what is wanted at their site; a crowded site is salted."""
+    """Facilities joined to what is wanted at their site; a crowded site is salted.
+
+    Wants are exploded, which Spark's size estimates leave out, so the join is never to be broadcast.
+    """
     spread = facilities.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select(
         "*", F.col("latitude").alias("site_lat"), F.col("longitude").alias("site_lon"),
         F.pmod(F.xxhash64("facility_id"), F.lit(SALTS)).cast("int").alias("_salt"),
     )
     everywhere = wants.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(everywhere, [*SITE, "_salt"]).where(keep).drop("_salt")
+    return spread.join(everywhere.hint("merge"), [*SITE, "_salt"]).where(keep).drop("_salt")
 
 
 SHOWN = ["facility_id", "name", "facility_type", "state", "city", "trust_score", "specialties"]

@@ -105,3 +105,20 @@ def test_known_distances(spark):
     sphere, ellipsoid = (geo.distance_km(m, *cols) for m in (geo.SPHERE, geo.ELLIPSOID))
     first, same = df.select(sphere, ellipsoid).collect()
     assert abs(first[0] - 1148.1) < 1 and abs(first[1] - 1145.9) < 3 and tuple(same) == (0.0, 0.0)
+
+
+def test_exploded_sides_are_not_broadcast(spark, places):
+    """Cells and salts multiply rows beyond the size that Spark estimates, so small requests must not become a broadcast."""
+    def built(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        return plan.toString()
+
+    requests = spark.createDataFrame(REQUESTS, REQUEST)
+    pairs = nearby.sites_in_reach(requests, places)
+    assert pairs.count() > 0
+    assert "SortMergeJoin" in built(pairs) and "BroadcastHashJoin" not in built(pairs)
+    wants = pairs.select(*nearby.SITE).distinct()
+    offered = nearby._at_sites(places, wants, F.lit(True))
+    assert offered.count() > 0
+    joins = [line for line in built(offered).splitlines() if "Join" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
