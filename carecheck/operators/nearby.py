@@ -8,6 +8,8 @@ large part of the table costs one distance per request, not one per facility.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,7 @@ from carecheck.session import cut_lineage
 # Grid levels: level z cuts 360 degrees into 2**z cells.
 LEVELS = [1, 4, 6, 8, 10, 12]
 KM_PER_DEGREE = 110.0  # below the true length everywhere, so covers are never too small
+LEAST_EARTH_KM = 6300.0  # an angle of one radian is longer than this everywhere, so what it drops is out of reach
 SALTS = 16
 FIRST_PASS = 1 / 8  # exact power of two, so a radius survives the round trip
 EDGE_KM = 0.00001  # distances are rounded, so a hit on the edge may tie with one beyond it
@@ -97,28 +100,38 @@ def sites_of(facilities: DataFrame) -> DataFrame:
 def sites_in_reach(
     requests: DataFrame, facilities: DataFrame, metric: geo.Metric = geo.ELLIPSOID
 ) -> DataFrame:
-    """Request columns × site columns + ``distance_km`` for every site within ``radius_km``.
+    """Request columns × site columns + ``distance_km`` for every site within ``radius_km``."""
+    return _pairs(requests, sites_of(facilities), metric, [])
+
+
+def _pairs(requests: DataFrame, sites: DataFrame, metric: geo.Metric, equal: list[str]) -> DataFrame:
+    """Requests and sites within their radius that agree in the ``equal`` columns.
 
     A crowded cell is salted: its sites are spread over ``SALTS`` groups, requests visit all.
     Both sides are exploded, which Spark's size estimates leave out, so the join is never to be broadcast.
+    Unit vectors tell most of a cell's sites outside of the circle, so the distance is taken of few others.
     """
     def prepared(df: DataFrame, lat: str, lon: str, side: str) -> DataFrame:
+        b, l = metric.latitude(F.col(lat)), F.radians(lon)
         return df.withColumns({
-            f"_b{side}": metric.latitude(F.col(lat)), f"_l{side}": F.radians(lon),
+            f"_b{side}": b, f"_l{side}": l, f"_x{side}": F.cos(b) * F.cos(l),
+            f"_y{side}": F.cos(b) * F.sin(l), f"_z{side}": F.sin(b),
         })
 
-    salted_requests = covering_cells(prepared(requests, "lat", "lon", "1")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    sites = prepared(sites_of(facilities), "site_lat", "site_lon", "2")
-    salted_sites = site_cells(sites).withColumn(
+    # an angle that no distance within the radius exceeds, and slack for rounding
+    least = F.cos(F.least(F.col("radius_km") / LEAST_EARTH_KM, F.lit(math.pi))) - F.lit(1e-9)
+    salted_requests = covering_cells(
+        prepared(requests, "lat", "lon", "1").withColumn("_least", least)
+    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted_sites = site_cells(prepared(sites, "site_lat", "site_lon", "2")).withColumn(
         "_salt", F.pmod(F.xxhash64(*SITE), F.lit(SALTS)).cast("int")
     )
     close = F.abs(F.col("lat") - F.col("site_lat")) * KM_PER_DEGREE <= F.col("radius_km")
+    cosine = sum((F.col(f"_{c}1") * F.col(f"_{c}2") for c in "yz"), F.col("_x1") * F.col("_x2"))
     angle = geo.central_angle(F.col("_b1"), F.col("_l1"), F.col("_b2"), F.col("_l2"))
     measured = (
-        salted_requests.hint("merge").join(salted_sites, ["level", "row", "column", "_salt"])
-        .where(close)
+        salted_requests.hint("merge").join(salted_sites, ["level", "row", "column", "_salt", *equal])
+        .where(close & (cosine >= F.col("_least")))
         .withColumn("_angle", angle)
         .withColumn("distance_km", metric.km(F.col("_b1"), F.col("_b2"), F.col("_angle")))
     )
@@ -168,20 +181,36 @@ def radius_search(requests: DataFrame, facilities: DataFrame, extra: list[str] |
     return settled.unionByName(_nearest(rest, facilities, extra))
 
 
+def _nearest_sites(hits: DataFrame) -> DataFrame:
+    """The ``limit`` nearest of a request's sites, each of which has a match, and those at the distance of the last."""
+    part = F.pmod(F.xxhash64(*SITE), F.lit(SALTS))
+    for by in (["query_id", part], ["query_id"]):
+        before = F.rank().over(Window.partitionBy(*by).orderBy("distance_km"))
+        hits = hits.withColumn("_before", before).where(F.col("_before") <= F.col("limit")).drop("_before")
+    return hits
+
+
 def _nearest(asked: DataFrame, facilities: DataFrame, extra: list[str] | None) -> DataFrame:
-    """One pass. Of one site a request can need no more than its ``limit`` lowest ids per
-    fragment, so that many are picked per site and fragment before sites and requests meet again.
+    """One pass. Sites in the cells of a request's circle are held against its fragment first, so that distances are taken
+    of sites with a match alone. Of one site a request can need no more than its ``limit`` lowest ids per fragment, so that
+    many are picked per site and fragment before sites and requests meet.
     """
-    hits = sites_in_reach(asked, facilities)
-    wants = hits.groupBy(*SITE, "needle").agg(F.max("limit").alias("_most"))
+    cell = ["level", "row", "column"]
+    around = covering_cells(asked.select("lat", "lon", "radius_km", "needle", "limit"))
+    asked_cells = around.groupBy(*cell, "needle").agg(F.max("limit").alias("_most"))
+    wants = (
+        asked_cells.join(site_cells(sites_of(facilities)).hint("merge"), cell)
+        .groupBy(*SITE, "needle").agg(F.max("_most").alias("_most"))
+    )
     matches = (F.col("needle") == "") | tx.any_element_contains_column("specialties", "needle")
     offered = _at_sites(
         facilities.select(*SHOWN, "latitude", "longitude", *(extra or [])), wants, matches
     )
-    per_site = top_k(
+    per_site = cut_lineage(top_k(
         offered, [*SITE, "needle"], [F.col("facility_id")], F.col("_most"), ["facility_id"], "_at_site"
-    ).drop("_most", "_at_site")
-    found = hits.join(per_site, [*SITE, "needle"])
+    ).drop("_most"))
+    hits = _pairs(asked, per_site.where("_at_site = 1").select(*SITE, "needle"), geo.ELLIPSOID, ["needle"])
+    found = _nearest_sites(hits).join(per_site.drop("_at_site"), [*SITE, "needle"])
     nearest = [F.col("distance_km"), F.col("facility_id")]
     return top_k(found, ["query_id"], nearest, F.col("limit"), [*SITE, "facility_id"]).drop(*SITE)
 
