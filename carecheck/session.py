@@ -45,7 +45,7 @@ ROWS_PER_FILE = 40_000  # rows with texts that one task writes
 LEAST_ROWS = 1_000  # fewer are not worth a task
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, rows_per_part: int = ROWS_PER_FILE) -> DataFrame:
     """The rows dealt by the hash of a unique key over as many partitions as their number asks for, and as there are cores.
 
     Counts the rows, a job of its own. A source file of one row group is one task however large the cluster; what is
@@ -53,7 +53,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     rows = df.count()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, -(-rows // ROWS_PER_FILE), min(cores, -(-rows // LEAST_ROWS))), key)
+    return df.repartition(max(1, -(-rows // rows_per_part), min(cores, -(-rows // LEAST_ROWS))), key)
 
 
 def ship(spark: SparkSession) -> None:

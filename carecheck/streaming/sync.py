@@ -17,8 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from carecheck.operators import clean as cl
 from carecheck.operators import search, trust
+from carecheck.session import spread
 
 TERM_BUCKETS = 8  # folders of a batch's postings; a search reads those of its terms
+CHANGES_PER_TASK = 4_000  # a task holds the postings of so many documents, most of them distinct, in memory
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:
@@ -42,7 +44,8 @@ def _write(keys: DataFrame, posts: DataFrame, batch: str, number: int, folder: s
 
 
 def index_batch(changes: DataFrame, batch_id: int, folder: str, stream: str = "batch") -> None:
-    newest = latest_changes(changes).persist()
+    # picking versions sorts texts: where a task reads a file of one row group, it would sort the whole file
+    newest = latest_changes(spread(changes, "doc_id", CHANGES_PER_TASK)).persist()
     try:
         sized = search.tokenized(newest, "doc_id", "text").select("doc_id", "length")
         keys = newest.select("doc_id", "version", "deleted").join(sized, "doc_id")

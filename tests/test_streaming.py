@@ -85,3 +85,16 @@ def test_rules_on_a_stream_match_the_batch(spark, small, tmp_path):
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
     assert streamed.count() == batch.count()
     assert trust.contradictions(streamed).where(F.col("rule_id").isNull()).count() == 0
+
+
+def test_changes_of_one_partition_are_dealt_before_texts_are_sorted(spark, tmp_path, monkeypatch):
+    """A file of one row group is one task; what picks versions and holds postings must not be."""
+    seen, latest = [], sync.latest_changes
+    monkeypatch.setattr(sync, "latest_changes", lambda changes: seen.append(changes.rdd.getNumPartitions()) or latest(changes))
+    changes = spark.range(5000).selectExpr(
+        "concat('d', id % 4500) AS doc_id", "cast(id / 4500 AS int) AS version", "concat('word', id, ' word') AS text").coalesce(1)
+    sync.index_batch(changes, 0, str(tmp_path / "index"))
+    assert seen[0] >= 5
+    found = live(spark, str(tmp_path / "index"))
+    assert len(found) == 9000 and found["d499", "word4999"] == 1 and found["d500", "word500"] == 1
+    assert ("d499", "word499") not in found
