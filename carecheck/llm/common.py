@@ -69,16 +69,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLDEN))
 _BASE = 0xD1342543DE82EF95 | 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+KEPT_POWERS = 1 << 20  # workers serve one task after the other and live on, so longer arrays are made anew and given back
+_powers: list[np.ndarray] = []
+
+
+def _powers_of(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    have = 1
+    while have < size:
+        more = min(have, size - have)
+        np.multiply(out[:more], np.uint64(pow(base, have, 1 << 64)), out=out[have:have + more])
+        have += more
+    return out
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-                _powers[k] = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
+    bases = _BASE, pow(_BASE, -1, 1 << 64)
+    if n > KEPT_POWERS:
+        return _powers_of(bases[0], n), _powers_of(bases[1], n)
+    if not _powers or len(_powers[0]) < n:
+        size = min(KEPT_POWERS, max(1 << 16, 2 * n))
+        _powers[:] = [_powers_of(base, size) for base in bases]
     return _powers[0], _powers[1]
 
 

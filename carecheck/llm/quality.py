@@ -26,6 +26,7 @@ from carecheck.llm.common import BYTE_VALUES, SPACES, crc_of_id, mix, slices, sp
 BITS = 18  # weights: 2**BITS
 SAMPLE = 12_000  # labelled rows used for training, at most
 SHARDS, ROUNDS = 8, 2
+TRAINED_AT_ONCE = 1 << 18  # bytes of a shard's texts whose features are held at a time
 ALPHA, BETA, L1, L2 = 10.0, 1.0, 0.002, 0.1
 THRESHOLD = 0.3
 
@@ -71,24 +72,30 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def ftrl(weights: np.ndarray, texts: pa.Array, labels: np.ndarray) -> np.ndarray:
-    """One pass of FTRL-proximal over the rows in their order, from given weights (the last one is the bias)."""
-    rows, hashed, values = features(*utf8(texts))
-    order = np.argsort(rows, kind="stable")
-    rows, hashed, values = rows[order], hashed[order], values[order]
-    bounds = np.searchsorted(rows, np.arange(len(labels) + 1))
+    """One pass of FTRL-proximal over the rows in their order, from given weights (the last one is the bias).
+
+    Features are made for a slice of the texts at a time, as they take many times the space of the texts.
+    """
     n = np.full(len(weights), 1.0)
     z = -weights * ((BETA + np.sqrt(n)) / ALPHA + L2) - np.sign(weights) * L1
-    for k, label in enumerate(labels):
-        span = slice(bounds[k], bounds[k + 1])
-        idx, inverse = np.unique(hashed[span], return_inverse=True)
-        idx = np.r_[idx, len(weights) - 1]
-        x = np.r_[np.bincount(inverse, values[span], len(idx) - 1), 1.0]
-        active = np.abs(z[idx]) > L1
-        w = np.where(active, -(z[idx] - np.sign(z[idx]) * L1) / ((BETA + np.sqrt(n[idx])) / ALPHA + L2), 0.0)
-        gradient = (logistic(w @ x) - label) * x
-        sigma = (np.sqrt(n[idx] + gradient * gradient) - np.sqrt(n[idx])) / ALPHA
-        z[idx] += gradient - sigma * w
-        n[idx] += gradient * gradient
+    at = 0
+    for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", TRAINED_AT_ONCE):
+        rows, hashed, values = features(*utf8(part.column(0)))
+        order = np.argsort(rows, kind="stable")
+        rows, hashed, values = rows[order], hashed[order], values[order]
+        bounds = np.searchsorted(rows, np.arange(part.num_rows + 1))
+        for k, label in enumerate(labels[at:at + part.num_rows]):
+            span = slice(bounds[k], bounds[k + 1])
+            idx, inverse = np.unique(hashed[span], return_inverse=True)
+            idx = np.r_[idx, len(weights) - 1]
+            x = np.r_[np.bincount(inverse, values[span], len(idx) - 1), 1.0]
+            active = np.abs(z[idx]) > L1
+            w = np.where(active, -(z[idx] - np.sign(z[idx]) * L1) / ((BETA + np.sqrt(n[idx])) / ALPHA + L2), 0.0)
+            gradient = (logistic(w @ x) - label) * x
+            sigma = (np.sqrt(n[idx] + gradient * gradient) - np.sqrt(n[idx])) / ALPHA
+            z[idx] += gradient - sigma * w
+            n[idx] += gradient * gradient
+        at += part.num_rows
     return np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
 
 

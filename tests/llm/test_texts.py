@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from carecheck.llm import byte_bpe, near_dedup, packing, pitman_yor, quality, ring, rule_ledger, suffix_dedup
+from carecheck.llm import byte_bpe, common, near_dedup, packing, pitman_yor, quality, ring, rule_ledger, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = (1 << 63) - 1
@@ -291,6 +291,32 @@ def test_ftrl_takes_the_same_steps_as_a_plain_one(from_zero):
     assert np.allclose(got[others], start[others])
 
 
+def test_training_holds_the_features_of_a_slice_only(monkeypatch):
+    """Features take some 50 times the space of their text; a shard's are not held at once."""
+    rng = np.random.default_rng(7)
+    words = np.array(["care", "ward", "Bed", "x1", "!!", "über"])
+    texts = pa.array([None, "", *(" ".join(words[rng.integers(0, 6, 1000)]) for _ in range(400))])
+    labels = np.arange(len(texts)) % 3 % 2
+    seen, features = [], quality.features
+    monkeypatch.setattr(quality, "features", lambda data, offsets: seen.append(len(data)) or features(data, offsets))
+    got = quality.ftrl(np.zeros((1 << quality.BITS) + 1), texts, labels)
+    whole = sum(len((t or "").encode()) for t in texts.to_pylist())
+    assert sum(seen) == whole and max(seen) <= quality.TRAINED_AT_ONCE < whole / 4
+    monkeypatch.setattr(quality, "TRAINED_AT_ONCE", whole)
+    assert np.array_equal(got, quality.ftrl(np.zeros((1 << quality.BITS) + 1), texts, labels))
+
+
+def test_long_power_arrays_are_not_kept():
+    """Workers outlive a task; what one long chunk needed must not stay in memory beside the next stage."""
+    n = 3 * common.KEPT_POWERS
+    up, down = common.powers(n)
+    with np.errstate(over="ignore"):
+        assert len(up) >= n and (up[:n] * down[:n] == 1).all() and (up[1:n] == up[:n - 1] * up[1]).all()
+    common.powers(10)
+    assert sum(p.nbytes for p in common._powers) <= 16 * common.KEPT_POWERS
+    assert np.array_equal(common.powers(5000)[0][:5000], up[:5000])
+
+
 def test_quality_of_odd_rows(docs, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1), (999, 1)], "doc_id bigint, quality int")
     got = quality.classify(docs, docs, labels).collect()
