@@ -45,15 +45,6 @@ def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None
     return rows.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
-    """Number of documents and mean length, as scalar subqueries."""
-    sized = tokenized(docs, key, text)
-    return (
-        sized.agg(F.count(F.lit(1)).cast("double")).scalar(),
-        sized.agg(F.avg("length")).scalar(),
-    )
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term), each term once per query."""
     return queries.select("query_id", F.explode(F.array_distinct(tx.terms(F.col("query")))).alias("term"))
@@ -253,10 +244,20 @@ def bm25_ranks(probes: DataFrame, queries: DataFrame, posts: DataFrame, n_docs:
     return counted.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).alias("rank"))
 
 
+def totals(lengths: DataFrame) -> tuple[Column, Column, int]:
+    """Number of documents and mean length as literals, and the number itself, from a column ``length``; one job."""
+    total = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    return F.lit(float(max(total["n"], 1))), F.lit(total["mean"] or 0.0), total["n"]
+
+
 def bm25_top_k(queries: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The ``k`` best documents of each query (query_id, query, k). Counts the documents, a job of its own."""
-    posts = postings(docs, key, text, only=query_terms(queries))
-    return bm25_rank(queries, posts, *corpus_stats(docs, key, text), floors=docs.count() > FLOOR_DOCS)
+    """The ``k`` best documents of each query (query_id, query, k). Starts jobs when called.
+
+    The postings of the queries' terms are stored, as weights, both sides of the meeting and the first pass read them.
+    """
+    posts = cut_lineage(postings(docs, key, text, only=query_terms(queries)))
+    n_docs, mean_length, n = totals(tokenized(docs, key, text))
+    return bm25_rank(queries, posts, n_docs, mean_length, floors=n > FLOOR_DOCS)
 
 
 # --- vector half ----------------------------------------------------------------------

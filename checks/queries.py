@@ -78,6 +78,15 @@ class Run:
         tables.write_table(self.gold, target)
         return self.spark.read.parquet(target)
 
+    @cached_property
+    def stored_text(self) -> DataFrame:
+        """The searchable texts as a written table, for queries that read them several times."""
+        if self.stored:
+            return self.tables.text
+        target = f"{self.scratch()}/text"
+        tables.write_table(self.tables.text, target)
+        return self.spark.read.parquet(target)
+
     @property
     def contradictions(self) -> DataFrame:
         return self.tables.contradictions
@@ -551,7 +560,7 @@ def _(r: Run) -> DataFrame:
 
 @query("facility_search")
 def _(r: Run) -> DataFrame:
-    text = r.tables.text
+    text = r.stored_text
     found = search.bm25_top_k(r.request(inputs.SEARCH_REQUESTS), text, "facility_id", "facility_text")
     return search.show_facilities(found, text).drop("description")
 

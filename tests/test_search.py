@@ -172,3 +172,20 @@ def test_fusion_counts_ranks_over_whole_lists(spark, monkeypatch):
 
 def test_fusion_without_vectors(spark):
     assert set(hybrid_case(spark, {1: "a b", 2: "a", 3: "c"}, {}, {1: ("a", (1, 0), 2), 2: ("zz", (1, 0), 2)})) == {1}
+
+
+def test_keyword_search_reads_the_texts_for_postings_and_totals_only(spark):
+    """What is searched may be a whole pipeline, and was computed again by every side that needs postings or totals."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"care ward{i % 7} word{i}") for i in range(300)], "doc_id int, text string").mapInPandas(
+        read, "doc_id int, text string")
+    queries = spark.createDataFrame([(1, "care ward3", 5), (2, "word7", 5), (3, "absent", 5)], "query_id int, query string, k int")
+    found = search.bm25_top_k(queries, docs, "doc_id", "text").collect()
+    assert [r["doc_id"] for r in sorted(found, key=lambda r: (r["query_id"], r["rank"]))] == [3, 10, 17, 24, 31, 7]
+    assert seen.value == 2 * 300
