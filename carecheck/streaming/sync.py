@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from carecheck.functions import text as tx
 from carecheck.operators import clean as cl
 from carecheck.operators import search, trust
-from carecheck.session import spread
+from carecheck.session import cut_lineage, spread
 
 TERM_BUCKETS = 8  # folders of a batch's postings; a search reads those of its terms
 CHANGES_PER_TASK = 4_000  # a task holds the postings of so many documents, most of them distinct, in memory
@@ -47,8 +48,9 @@ def index_batch(changes: DataFrame, batch_id: int, folder: str, stream: str = "b
     # picking versions sorts texts: where a task reads a file of one row group, it would sort the whole file
     newest = latest_changes(spread(changes, "doc_id", CHANGES_PER_TASK)).persist()
     try:
-        sized = search.tokenized(newest, "doc_id", "text").select("doc_id", "length")
-        keys = newest.select("doc_id", "version", "deleted").join(sized, "doc_id")
+        # a document's length is on its own row; one without an id has no key
+        keys = newest.where(F.col("doc_id").isNotNull()).select(
+            "doc_id", "version", "deleted", F.size(tx.terms(F.col("text"))).alias("length"))
         posts = search.postings(newest.where("NOT deleted"), "doc_id", "text")
         _write(keys, posts, f"{stream}-{batch_id:010d}", batch_id, folder)
     finally:
@@ -84,13 +86,18 @@ def live_keys(spark: SparkSession, folder: str) -> DataFrame:
     return _last_keys(spark, folder).where("NOT deleted").drop("deleted")
 
 
-def live_postings(spark: SparkSession, folder: str, terms: DataFrame | None = None) -> DataFrame:
-    """Postings of the version that counts of each document; ``terms`` (column ``term``) keeps some terms only."""
+def live_postings(
+    spark: SparkSession, folder: str, terms: DataFrame | None = None, keys: DataFrame | None = None
+) -> DataFrame:
+    """Postings of the version that counts of each document; ``terms`` (column ``term``) keeps some terms only.
+
+    ``keys`` are the live keys, where the caller has them already.
+    """
     posts = spark.read.parquet(f"{folder}/postings")
     if terms is not None:
         posts = posts.join(terms.select("term", _term_bucket().alias("term_bucket")).distinct(), ["term_bucket", "term"], "left_semi")
-    return posts.join(live_keys(spark, folder).select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop(
-        "batch", "term_bucket")
+    keys = live_keys(spark, folder) if keys is None else keys
+    return posts.join(keys.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop("batch", "term_bucket")
 
 
 def compact_index(spark: SparkSession, folder: str, target: str) -> None:
@@ -100,12 +107,11 @@ def compact_index(spark: SparkSession, folder: str, target: str) -> None:
 
 
 def search_index(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
-    """BM25 top-k over the stored index."""
+    """BM25 top-k over the stored index. Starts jobs when called: postings and totals are made once, for all that reads them."""
     keys = live_keys(spark, folder)
-    n_docs = keys.agg(F.count(F.lit(1)).cast("double")).scalar()
-    mean_length = keys.agg(F.avg("length")).scalar()
-    posts = live_postings(spark, folder, search.query_terms(queries))
-    return search.bm25_rank(queries, posts, n_docs, mean_length, floors=keys.count() > search.FLOOR_DOCS)
+    posts = cut_lineage(live_postings(spark, folder, search.query_terms(queries), keys))
+    n_docs, mean_length, n = search.totals(keys)
+    return search.bm25_rank(queries, posts, n_docs, mean_length, floors=n > search.FLOOR_DOCS)
 
 
 def flag_stream(raw: DataFrame, boxes: DataFrame, aliases: DataFrame, as_of: str) -> DataFrame:

@@ -98,3 +98,24 @@ def test_changes_of_one_partition_are_dealt_before_texts_are_sorted(spark, tmp_p
     found = live(spark, str(tmp_path / "index"))
     assert len(found) == 9000 and found["d499", "word4999"] == 1 and found["d500", "word500"] == 1
     assert ("d499", "word499") not in found
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_an_index_picks_versions_once(spark, tmp_path, monkeypatch):
+    """Keys that count, and lengths, are not derived again by everything that reads them; rows without an id have no key."""
+    folder, written, picked = str(tmp_path / "index"), [], []
+    write, last = sync._write, sync._last_keys
+    monkeypatch.setattr(sync, "_write", lambda keys, posts, *where: written.append(_joins(keys)) or write(keys, posts, *where))
+    monkeypatch.setattr(sync, "_last_keys", lambda *where: picked.append(where) or last(*where))
+    rows = [("a", 1, "old words"), ("a", 2, "new words"), ("b", 1, None), (None, 1, "no id")]
+    sync.index_batch(spark.createDataFrame(rows, CHANGE), 0, folder)
+    assert written == [0]
+    assert {r["doc_id"]: r["length"] for r in sync.live_keys(spark, folder).collect()} == {"a": 2, "b": 0}
+    assert live(spark, folder) == {("a", "new"): 1, ("a", "words"): 1}
+    picked.clear()
+    queries = spark.createDataFrame([(1, "words", 5)], "query_id int, query string, k int")
+    assert [r["doc_id"] for r in sync.search_index(spark, folder, queries).collect()] == ["a"]
+    assert len(picked) == 1
