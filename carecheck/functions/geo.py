@@ -17,11 +17,16 @@ WGS84_FLATTENING = 1 / 298.257223563
 CELL_COARSE, CELL_FINE = 25, 200
 
 
-def central_angle(b1: Column, l1: Column, b2: Column, l2: Column) -> Column:
-    """Angle between two points whose latitudes and longitudes are in radians."""
+def central_angle(
+    b1: Column, l1: Column, b2: Column, l2: Column, cos1: Column | None = None, cos2: Column | None = None
+) -> Column:
+    """Angle between two points whose latitudes and longitudes are in radians; ``cos1`` and ``cos2`` are the cosines of the
+    latitudes where they are known."""
+    cos1 = F.cos(b1) if cos1 is None else cos1
+    cos2 = F.cos(b2) if cos2 is None else cos2
     half_lat = F.sin((b2 - b1) / 2)
     half_lon = F.sin((l2 - l1) / 2)
-    h = half_lat * half_lat + F.cos(b1) * F.cos(b2) * half_lon * half_lon
+    h = half_lat * half_lat + cos1 * cos2 * half_lon * half_lon
     return F.lit(2.0) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
 
 
@@ -65,11 +70,21 @@ def distance_km(metric: Metric, lat1: Column, lon1: Column, lat2: Column, lon2:
 def within(df: DataFrame, km: str, limit: str) -> DataFrame:
     """Rows whose column ``km`` is at most the column ``limit``.
 
-    Written as an outer explode of zero or one value: a plain filter would be pushed into
-    the join below, where the distance would be spelled out, and computed, once more.
+    Written over an outer explode of one value: a plain filter would be pushed into the join
+    below, where the distance would be spelled out, and computed, once more.
     """
-    kept = df.withColumn("_kept", F.expr(f"explode_outer(filter(array({km}), d -> d <= {limit}))"))
-    return kept.where(F.col("_kept").isNotNull()).drop("_kept")
+    measured = df.withColumn("_km", F.explode_outer(F.array(km)))
+    return measured.where(F.col("_km") <= F.col(limit)).drop("_km")
+
+
+def round_km(km: Column) -> Column:
+    """``round(km, 6)``, without its decimal numbers where the digits after the sixth are not close to a half.
+
+    A quotient of whole numbers is the double nearest to its decimal form, as that of ``round`` is.
+    """
+    scaled = km * 1e6
+    plain = km.between(0, 1e6) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(plain, F.floor(scaled + 0.5) / F.lit(1e6)).otherwise(F.round(km, 6))
 
 
 def cell_index(degrees: Column, offset: int, per_degree: Column | int) -> Column:

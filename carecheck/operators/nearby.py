@@ -25,6 +25,9 @@ LEVELS = [1, 4, 6, 8, 10, 12]
 KM_PER_DEGREE = 110.0  # below the true length everywhere, so covers are never too small
 LEAST_EARTH_KM = 6300.0  # an angle of one radian is longer than this everywhere, so what it drops is out of reach
 SALTS = 16
+BLOCK = ["_request_block", "_site_block"]
+BLOCK_REQUESTS, BLOCK_SITES = 4096, 1024  # of one cell that meet in a group
+TASK_PAIRS = 4_000_000  # pairs of one cell that a task holds against each other, on average
 FIRST_PASS = 1 / 8  # exact power of two, so a radius survives the round trip
 EDGE_KM = 0.00001  # distances are rounded, so a hit on the edge may tie with one beyond it
 SITE = ["site_lat", "site_lon"]
@@ -101,42 +104,72 @@ def sites_in_reach(
     requests: DataFrame, facilities: DataFrame, metric: geo.Metric = geo.ELLIPSOID
 ) -> DataFrame:
     """Request columns × site columns + ``distance_km`` for every site within ``radius_km``."""
-    return _pairs(requests, sites_of(facilities), metric, [])
+    return _pairs(requests, cut_lineage(sites_of(facilities)), metric, [])
+
+
+def _blocks(requests: DataFrame, sites: DataFrame, cell: list[str], request: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by cell, dealt over blocks of bounded size that they are to meet by as well.
+
+    The requests of a cell, told apart by the columns ``request``, are cut in blocks that all its sites visit, and its sites
+    in blocks that all its requests visit, so a crowded cell is not one task. Requests in cells without a site go no further.
+    Spark sizes partitions by their bytes, which say little of their pairs, so their number is fixed by the pairs, which are
+    counted in a job of its own.
+    """
+    counted = cut_lineage(
+        requests.groupBy(*cell).agg(F.count(F.lit(1)).alias("_requests")).hint("merge")
+        .join(sites.groupBy(*cell).agg(F.count(F.lit(1)).alias("_sites")), cell)
+    )
+    # in doubles, which no number of pairs overflows
+    pairs = counted.agg(F.sum(F.col("_requests").cast("double") * F.col("_sites"))).first()[0] or 0.0
+    parts = max(requests.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
+    cut = counted.select(
+        *cell, F.ceil(F.col("_requests") / BLOCK_REQUESTS).alias("_request_blocks"),
+        F.ceil(F.col("_sites") / BLOCK_SITES).alias("_site_blocks"),
+    )
+
+    def dealt(df: DataFrame, key: list[str], own: str, others: str) -> DataFrame:
+        return (
+            df.hint("merge").join(cut, cell)
+            .withColumn(own, F.pmod(F.xxhash64(*key), F.col(f"{own}s")))
+            .withColumn(others, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"{others}s") - 1)))
+            .drop("_request_blocks", "_site_blocks")
+            .repartition(parts, *cell, *BLOCK)
+        )
+
+    return dealt(requests, request, *BLOCK), dealt(sites, SITE, *BLOCK[::-1])
 
 
 def _pairs(requests: DataFrame, sites: DataFrame, metric: geo.Metric, equal: list[str]) -> DataFrame:
-    """Requests and sites within their radius that agree in the ``equal`` columns.
+    """Requests and sites within their radius that agree in the ``equal`` columns. Both are read twice.
 
-    A crowded cell is salted: its sites are spread over ``SALTS`` groups, requests visit all.
     Both sides are exploded, which Spark's size estimates leave out, so the join is never to be broadcast.
     Unit vectors tell most of a cell's sites outside of the circle, so the distance is taken of few others.
     """
     def prepared(df: DataFrame, lat: str, lon: str, side: str) -> DataFrame:
         b, l = metric.latitude(F.col(lat)), F.radians(lon)
-        return df.withColumns({
-            f"_b{side}": b, f"_l{side}": l, f"_x{side}": F.cos(b) * F.cos(l),
-            f"_y{side}": F.cos(b) * F.sin(l), f"_z{side}": F.sin(b),
+        return df.withColumns({f"_b{side}": b, f"_l{side}": l, f"_c{side}": F.cos(b)}).withColumns({
+            f"_x{side}": F.col(f"_c{side}") * F.cos(f"_l{side}"),
+            f"_y{side}": F.col(f"_c{side}") * F.sin(f"_l{side}"), f"_z{side}": F.sin(f"_b{side}"),
         })
 
     # an angle that no distance within the radius exceeds, and slack for rounding
     least = F.cos(F.least(F.col("radius_km") / LEAST_EARTH_KM, F.lit(math.pi))) - F.lit(1e-9)
-    salted_requests = covering_cells(
-        prepared(requests, "lat", "lon", "1").withColumn("_least", least)
-    ).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted_sites = site_cells(prepared(sites, "site_lat", "site_lon", "2")).withColumn(
-        "_salt", F.pmod(F.xxhash64(*SITE), F.lit(SALTS)).cast("int")
+    cell = ["level", "row", "column", *equal]
+    asked, offered = _blocks(
+        covering_cells(prepared(requests, "lat", "lon", "1").withColumn("_least", least)),
+        site_cells(prepared(sites, "site_lat", "site_lon", "2")), cell, requests.columns,
     )
     close = F.abs(F.col("lat") - F.col("site_lat")) * KM_PER_DEGREE <= F.col("radius_km")
     cosine = sum((F.col(f"_{c}1") * F.col(f"_{c}2") for c in "yz"), F.col("_x1") * F.col("_x2"))
-    angle = geo.central_angle(F.col("_b1"), F.col("_l1"), F.col("_b2"), F.col("_l2"))
+    angle = geo.central_angle(*[F.col(c) for c in ("_b1", "_l1", "_b2", "_l2", "_c1", "_c2")])
     measured = (
-        salted_requests.hint("merge").join(salted_sites, ["level", "row", "column", "_salt", *equal])
+        asked.hint("merge").join(offered, [*cell, *BLOCK])
         .where(close & (cosine >= F.col("_least")))
         .withColumn("_angle", angle)
         .withColumn("distance_km", metric.km(F.col("_b1"), F.col("_b2"), F.col("_angle")))
     )
     return geo.within(measured, "distance_km", "radius_km").select(
-        *requests.columns, *SITE, F.round("distance_km", 6).alias("distance_km")
+        *requests.columns, *SITE, geo.round_km(F.col("distance_km")).alias("distance_km")
     )
 
 

@@ -149,3 +149,39 @@ def test_distances_are_taken_of_sites_with_a_match(spark, places, monkeypatch):
     assert nearby.radius_search(requests, places).count() == 5
     listed = nearby.sites_of(places.where(F.array_contains("specialties", "oncology"))).count()
     assert seen and 0 < max(seen) <= listed < nearby.sites_of(places).count()
+
+
+def test_pairs_of_a_crowded_cell_are_dealt_over_tasks(spark, monkeypatch):
+    """All requests and sites are in one cell of the coarsest level; a third of the requests are copies of one row."""
+    for name, value in (("BLOCK_REQUESTS", 16), ("BLOCK_SITES", 64), ("TASK_PAIRS", 4000)):
+        monkeypatch.setattr(nearby, name, value, raising=False)
+    sites = spark.range(1500).selectExpr("id * 37 % 1499 / 60D + 8 AS latitude", "id * 53 % 1493 / 60D + 70 AS longitude").cache()
+    requests = spark.range(150).selectExpr(
+        "if(id % 3 = 0, 0, id) AS query_id", "if(id % 3 = 0, 25.5D, 8 + id / 10D) AS lat", "if(id % 3 = 0, 85D, 70 + id / 8D) AS lon",
+        "if(id % 3 = 0, 2500D, if(id % 3 = 1, 2000D, 3000D)) AS radius_km").cache()
+    for metric in (geo.SPHERE, geo.ELLIPSOID):
+        km = geo.distance_km(metric, *[F.col(c) for c in ("lat", "lon", "latitude", "longitude")])
+        want = requests.crossJoin(sites.distinct()).withColumn("km", km).where("km <= radius_km").select(
+            "query_id", F.col("latitude").alias("site_lat"), F.col("longitude").alias("site_lon"), F.round("km", 6).alias("distance_km"))
+        got = nearby.sites_in_reach(requests, sites, metric)
+        assert got.columns == [*requests.columns, "site_lat", "site_lon", "distance_km"]
+        rows = got.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+        assert max(r[1] for r in rows) < sum(r[1] for r in rows) / 4
+        got = got.select(*want.columns)
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
+
+
+def test_rounding_without_decimals_is_rounding(spark):
+    """Halves, their neighbours and numbers beyond the plain form included."""
+    halves = spark.range(20000).selectExpr("(id * 7919 + 0.5D) / 1e6D AS km")
+    near = halves.selectExpr("km + 1e-12D AS km").unionByName(halves.selectExpr("km - 2e-12D AS km"))
+    others = spark.range(20000).selectExpr("rand(1) * pow(10D, id % 9 - 2) AS km")
+    odd = spark.createDataFrame([(x,) for x in (0.0, -0.0, -1.5e-6, 1e6, 1e6 + 0.1234565, 1e300, 5e-324, math.inf, math.nan, None)], "km double")
+    df = halves.unionByName(near).unionByName(others).unionByName(odd)
+    different = df.select(geo.round_km(F.col("km")).alias("a"), F.round("km", 6).alias("b")).where("NOT a <=> b")
+    assert different.count() == 0
+
+
+def test_the_distance_of_a_pair_is_computed_once(spark, places):
+    plan = nearby.sites_in_reach(spark.createDataFrame(REQUESTS, REQUEST), places, geo.SPHERE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ASIN") == 1 and "lambdafunction((lambda d" not in plan
