@@ -170,15 +170,19 @@ def needles(claim: str) -> str:
 
 
 def supporting_sources(claim: str) -> str:
-    """Which of the six sources of a facility row back a claim, in report order."""
+    """Which of the six sources of a facility row back a claim, in report order.
+
+    The arrays of one value bind the needles and a source's text by name, so that both are made once per row and not once per
+    source or needle.
+    """
     def found(text: str) -> str:
-        return f"coalesce(exists({needles(claim)}, n -> contains({text}, n)), false)"
+        return f"coalesce(exists(array({text}), txt -> exists(ndl, n -> contains(txt, n))), false)"
 
     tests = {c: found(f"lower(array_join({c}, ' '))") for c in rv.CLAIM_SOURCES[:4]}
     tests["description"] = found("lower(description)")
     tests["capacity_or_doctors"] = "coalesce(capacity, 0) <> 0 OR coalesce(number_doctors, 0) <> 0"
     cases = ", ".join(f"CASE WHEN {tests[s]} THEN '{s}' END" for s in rv.CLAIM_SOURCES)
-    return f"array_compact(array({cases}))"
+    return f"transform(array({needles(claim)}), ndl -> array_compact(array({cases})))[0]"
 
 
 def terms(text: Column) -> Column:

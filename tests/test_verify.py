@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from carecheck import rule_values as rv
 from carecheck import schemas
+from carecheck.functions import text as tx
 from carecheck.operators import evaluation, extract, trust, verify
 from carecheck.sources import lookups
 
@@ -34,6 +36,25 @@ def test_cross_source(spark, gold):
     assert out[5]["agree"] and out[5]["sources_supporting"] == ["specialties", "description"]
 
 
+def test_needles_and_texts_are_made_once_per_row(spark):
+    """As a plain evaluation says, nulls included; a source's text is not lowered anew for every needle."""
+    made = tx.supporting_sources("claim")
+    assert made.count("split(") == 1 and "ndl, n -> contains(txt, n)" in made
+    lists = [None, [], [None], ["Cardiac Surgery", None], ["ecg"]]
+    rows = [(claim, *[lists[(i * j + i) % 5] for j in range(1, 5)], text, capacity, None if i % 2 else 0)
+            for i, (claim, text, capacity) in enumerate(
+                (c, t, n) for c in (None, "", "a b", "CARDIAC  x surgery", "the ecg desk\tcare") for t in (None, "", "Desk of CARE") for n in (None, 0, 3))]
+    df = spark.createDataFrame(rows, "claim string, specialties array<string>, capability array<string>, equipment array<string>,"
+                                     " procedure array<string>, description string, capacity int, number_doctors int")
+    for r in df.selectExpr("*", f"{made} AS got").collect():
+        words = [w for w in (r.claim or "").lower().split() if len(w) > 3]
+        texts = {c: " ".join(x for x in r[c] if x is not None).lower() for c in rv.CLAIM_SOURCES[:4] if r[c] is not None}
+        texts["description"] = (r.description or "").lower()
+        texts["capacity_or_doctors"] = ""
+        want = [s for s in rv.CLAIM_SOURCES if any(w in texts.get(s, "") for w in words) or (s == "capacity_or_doctors" and (r.capacity or r.number_doctors))]
+        assert r.got == want, r
+
+
 def test_trust_report(spark, gold):
     requests = spark.createDataFrame([(1, "F000002"), (2, "gone"), (3, "F000002")], "request_id long, facility_id string")
     out = {r.request_id: json.loads(r.json) for r in verify.trust_report(requests, gold).collect()}
