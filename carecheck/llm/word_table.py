@@ -32,6 +32,7 @@ from carecheck.llm.common import BYTE_VALUES, pack_planes, slices, span_hashes,
 
 CHUNK_BYTES = 16 << 20  # of text in a chunk
 BUCKET_BYTES = 32 << 20  # of text per bucket of words
+HASHED_BYTES = 1 << 19  # of words hashed at a time, for which workers keep the powers
 CHUNK = "__words_chunk"
 ROWS = pa.ipc.IpcWriteOptions(compression="zstd")
 
@@ -55,9 +56,10 @@ def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(chunk[order][cut], pa.int32()), pa.array(blobs, pa.binary())], [CHUNK, "blob"])
 
 
-def unpack_rows(blobs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    for blob in blobs:
-        yield from pa.ipc.open_stream(pa.py_buffer(blob.as_buffer()))
+def unpack_rows(blobs: pa.ChunkedArray) -> list[pa.RecordBatch]:
+    """Rows (id, text) in slices of bounded size. Blobs are joined first: with many chunks a blob has few rows."""
+    rows = pa.Table.from_batches(batch for blob in blobs for batch in pa.ipc.open_stream(pa.py_buffer(blob.as_buffer())))
+    return list(slices(rows.combine_chunks().to_batches(), "text"))
 
 
 def pack_words(words: pa.Array) -> tuple[bytes, bytes]:
@@ -82,8 +84,12 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def by_hash(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The order of distinct words by hash, words of one hash by their bytes, and the hashes in that order."""
-    data, offsets = utf8(words)
-    hashes = span_hashes(BYTE_VALUES[data], offsets[:-1], offsets[1:])
+    hashes = np.zeros(len(words), np.uint64)
+    at = 0
+    for part in slices([pa.RecordBatch.from_arrays([words], ["word"])], "word", HASHED_BYTES):
+        data, offsets = utf8(part.column("word"))
+        hashes[at:at + part.num_rows] = span_hashes(BYTE_VALUES[data], offsets[:-1], offsets[1:])
+        at += part.num_rows
     order = np.argsort(hashes, kind="stable")
     if (np.diff(hashes[order]) == 0).any():
         place = np.empty(len(words), np.int64)
@@ -93,17 +99,17 @@ def by_hash(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct(parts: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
-    """Distinct words of several lists, and the code of every word."""
-    coded = pa.chunked_array(parts, pa.large_string()).dictionary_encode().unify_dictionaries()
-    words = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.large_string())
-    return words, [c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]
+    """Distinct words of several lists, and the code of every word. The lists are coded as one: unifying their
+    dictionaries would read all distinct words again for every list."""
+    coded = pa.chunked_array(parts, pa.large_string()).combine_chunks().dictionary_encode()
+    return coded.dictionary, np.split(coded.indices.to_numpy(zero_copy_only=False), np.cumsum([len(p) for p in parts])[:-1])
 
 
 def chunk_words(buckets: int):
     """A chunk's distinct words in the order of their hashes, one row per bucket."""
 
     def run(chunk: pa.Table) -> pa.Table:
-        parts = [split(rows.column("text"))[0] for batch in unpack_rows(chunk.column("blob")) for rows in slices([batch], "text")]
+        parts = [split(rows.column("text"))[0] for rows in unpack_rows(chunk.column("blob"))]
         words, _ = distinct(parts)
         order, hashes = by_hash(words)
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
@@ -191,7 +197,7 @@ def texts_of_chunk(pieces, names: list[str], keep_ids: bool, keep_text: bool):
 
     def run(chunk: pa.Table, encoded: pa.Table) -> Iterator[pa.RecordBatch]:
         spaced = pa.array(pieces.value, pa.large_string())
-        rows = [r for batch in unpack_rows(chunk.column("blob")) for r in slices([batch], "text")]
+        rows = unpack_rows(chunk.column("blob"))
         parts = [split(r.column("text")) for r in rows]
         words, own = distinct([w for w, _, _ in parts])
         order, _ = by_hash(words)

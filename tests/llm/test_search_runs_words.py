@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -235,3 +236,44 @@ def test_words_of_one_hash_keep_their_order(monkeypatch):
     monkeypatch.setattr(word_table, "span_hashes", lambda values, starts, ends: np.zeros(len(starts), np.uint64))
     words = pa.array(["b", "ab", "", "a"], pa.large_string())
     assert words.take(pa.array(word_table.by_hash(words)[0])).to_pylist() == ["", "a", "ab", "b"]
+
+
+def test_words_are_coded_in_time_by_their_number_not_by_lists():
+    def seconds(lists):
+        parts = [pa.array([f"word{k}" for k in range(first, 60_000, lists)], pa.large_string()) for first in range(lists)]
+        took = []
+        for _ in range(3):
+            start = time.thread_time()
+            words, codes = word_table.distinct(parts)
+            took.append(time.thread_time() - start)
+        assert sorted(words.to_pylist()) == sorted(f"word{k}" for k in range(60_000))
+        for part, own in zip(parts, codes, strict=True):
+            assert words.take(pa.array(own)).equals(part)
+        return min(took)
+
+    assert seconds(600) < 25 * seconds(2)  # with a dictionary per list: over 100 times
+
+
+def test_distinct_words_of_lists_without_words():
+    no = pa.array([], pa.large_string())
+    assert len(word_table.distinct([])[0]) == 0
+    words, codes = word_table.distinct([no, pa.array(["b", "a"], pa.large_string()), no, pa.array(["a", ""], pa.large_string())])
+    assert words.to_pylist() == ["b", "a", ""] and [c.tolist() for c in codes] == [[], [0, 1], [], [1, 2]]
+
+
+def test_word_hashes_do_not_depend_on_slices(monkeypatch):
+    words = pa.array(["", "a" * 70, "b", "é" * 9, *map(str, range(200))], pa.large_string())
+    order, hashes = word_table.by_hash(words)
+    for size in (1, 64):
+        monkeypatch.setattr(word_table, "HASHED_BYTES", size)
+        again, same = word_table.by_hash(words)
+        assert again.tolist() == order.tolist() and same.tolist() == hashes.tolist()
+
+
+def test_blobs_of_few_rows_are_split_together():
+    texts = ["a b", None, "", "c\nd"] * 50
+    dealt = pa.RecordBatch.from_arrays([pa.array([3] * 200, pa.int32()), pa.array(range(200)), pa.array(texts)], ["chunk", "id", "text"])
+    blobs = pa.Table.from_batches(b for k in range(200) for b in word_table.pack_rows([dealt.slice(k, 1)]))
+    assert blobs.num_rows == 200
+    rows, = word_table.unpack_rows(blobs.column("blob"))
+    assert rows.column("id").to_pylist() == list(range(200)) and rows.column("text").to_pylist() == texts
